@@ -97,3 +97,24 @@ def collapse_runs(df: DataFrame, keys: Sequence[str], order: str, value: str,
         F.min("run_start").alias("run_start"), F.sum("run_length").alias("run_length"))
     cols = [*keys, "run_start", value, "run_length"]
     return local.filter(~edge).select(*cols).unionByName(stitched.select(*cols))
+
+
+def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+                  name: str) -> DataFrame:
+    """1-based position of each row in its group.
+
+    ``bucket`` must not decrease along ``order``. Rows are numbered inside buckets and
+    shifted by the sizes of the buckets before, so a hot group is not sorted by one task.
+    """
+    cut = df.withColumn("_bucket", bucket)
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(
+        *keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    return (
+        cut.withColumn("_pos", F.row_number().over(inside))
+        .join(shifts, [*keys, "_bucket"])
+        .withColumn(name, F.col("_pos") + F.col("_shift"))
+        .drop("_bucket", "_pos", "_shift")
+    )
