@@ -164,8 +164,16 @@ select {host}, 2 as snapshot_id, {value} as item from {d.t(table)} where {key} %
 
 def _snapshot_meta(d) -> str:
     return f"""
-select distinct 'host' || (s_suppkey % 8) as host, 1 as version,
-  {d.ts('2024-01-01 00:00:00')} as created_at from {d.t('supplier')}"""
+select 'host' || s_suppkey as host, 1 as version,
+  {d.ts('2024-01-01 00:00:00')} + s_suppkey * interval '37' minute as created_at from {d.t('supplier')}"""
+
+
+def _collection_errors(d) -> str:
+    return f"""
+select distinct 'host' || (s_suppkey % 8) as host,
+  case when s_suppkey % 3 = 0 then 'ports' else 'packages' end as category,
+  case when s_suppkey % 3 = 0 then 'ports: ss: exit status 1' else 'packages: rpm: exit status 2' end as error
+from {d.t('supplier')} where s_suppkey % 10 = 3"""
 
 
 def _listing(d) -> str:
@@ -520,6 +528,7 @@ VIEWS = {
     "ports": lambda d: _named_set(d, "supplier", "s_suppkey", "'tcp 0.0.0.0:' || (1000 + s_suppkey)"),
     "users": lambda d: _named_set(d, "customer", "c_custkey", "'u' || c_custkey"),
     "snapshot_meta": _snapshot_meta,
+    "collection_errors": _collection_errors,
     "listing": _listing,
     "mounts": _mounts,
     "df_lines": _df_lines,
