@@ -158,7 +158,7 @@ select host, severity, template, from_n, to_n,
 from c where severity in ('ERROR', 'WARN') and from_n <> to_n
   and host in (select host from t where boot = -1) and host in (select host from t where boot = 0)""", "journal"))
 def boot_diff(spark, sf_dir):
-    return logs.boot_diff(view(spark, sf_dir, "journal"), -1, 0)
+    return logs.boot_diff(spread(view(spark, sf_dir, "journal")), -1, 0)
 
 
 @query("failure_context", oracle("""
@@ -197,7 +197,8 @@ def exit_code_labels(spark, sf_dir):
 from (select host, service, regexp_extract({duck.sanitise_line('raw')}, '^<([A-Z]+)>', 1) as sev from journal) t
 group by host, service""", "journal"))
 def severity_pivot(spark, sf_dir):
-    return logs.severity_pivot(view(spark, sf_dir, "journal").select("host", "service", "raw"), ["host", "service"])
+    return logs.severity_pivot(
+        spread(view(spark, sf_dir, "journal").select("host", "service", "raw")), ["host", "service"])
 
 
 @query("healthy_logs", oracle(f"""

@@ -101,7 +101,7 @@ with {_MASKED}, collapsed as ({duck.collapse('masked', 'doc_id', 'tagged', 'join
 select doc_id, lang, source, case when text = '' then '' else {duck.trim('joined')} end as sanitised
 from documents join collapsed using (doc_id)"""))
 def sanitise_corpus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return redaction.sanitise_column(docs, "text", "sanitised").drop("text")
 
 
@@ -134,5 +134,5 @@ def _report_sql() -> str:
 
 @query("redaction_report", oracle(_report_sql()))
 def redaction_report(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return redaction.residual_report(docs, "text", "source")

@@ -17,7 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 from opslake.functions.redact import sanitise
 from opslake.functions.text import trim
-from opslake.plans.partitioning import last_per_key, spread
+from opslake.plans.partitioning import last_per_key
 
 # Snapshot format, scan scope and report limits.
 BASELINE_VERSION = 1
@@ -285,7 +285,6 @@ def change_severity() -> Column:
 
 def sanitised_changes(feed: DataFrame) -> DataFrame:
     """The feed with every text field redacted and every number and mode kept."""
-    feed = spread(feed)
     return feed.select(*[
         sanitise(F.col(c)).alias(c) if c in SANITISED_COLUMNS else F.col(c) for c in feed.columns])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opslake.functions.redact import sanitise_line, severity
 from opslake.functions.text import lines, trim
-from opslake.plans.partitioning import last_per_group, running_index, spread
+from opslake.plans.partitioning import last_per_group, running_index
 
 # Lines kept per source when no limit is asked for.
 DEFAULT_LINES = {"service": 50, "boot": 80, "kernel": 60, "file": 100}
@@ -181,7 +181,7 @@ def boot_diff(df: DataFrame, from_boot: int, to_boot: int) -> DataFrame:
     """
     if from_boot == to_boot:
         raise ValueError("the two boots must be different")
-    both = spread(df.filter(F.col("boot").isin(from_boot, to_boot)).select("host", "boot", "raw"))
+    both = df.filter(F.col("boot").isin(from_boot, to_boot)).select("host", "boot", "raw")
     counted = both.withColumn("template", sanitise_line(F.col("raw"))).groupBy("host", "template").agg(
         F.count_if(F.col("boot") == from_boot).alias("from_n"),
         F.count_if(F.col("boot") == to_boot).alias("to_n"))
@@ -244,7 +244,7 @@ def exit_code_label(code: Column) -> Column:
 
 
 def severity_pivot(df: DataFrame, keys: Sequence[str], line: str = "raw") -> DataFrame:
-    tagged = spread(df).withColumn("severity", severity(sanitise_line(F.col(line))))
+    tagged = df.withColumn("severity", severity(sanitise_line(F.col(line))))
     counts = tagged.groupBy(*keys).pivot("severity", SEVERITIES).agg(F.count(F.lit(1)))
     return counts.select(*keys, *[
         F.coalesce(F.col(s), F.lit(0)).cast("bigint").alias(f"n_{s.lower()}") for s in SEVERITIES])

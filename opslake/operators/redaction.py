@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions.redact import PATTERNS, Rule, sanitise
-from opslake.plans.partitioning import spread
 
 # What must not survive redaction, by report name.
 LEAK_PATTERNS = {
@@ -22,8 +21,8 @@ LEAK_PATTERNS = {
 
 
 def sanitise_column(df: DataFrame, column: str, name: str, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Add ``name``, the sanitised text of ``column``; no shuffle beyond filling idle cores."""
-    return spread(df).withColumn(name, sanitise(F.col(column), rules))
+    """Add ``name``, the sanitised text of ``column``; per-row work, no shuffle."""
+    return df.withColumn(name, sanitise(F.col(column), rules))
 
 
 def residual_report(df: DataFrame, column: str, by: str) -> DataFrame:

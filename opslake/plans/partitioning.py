@@ -12,7 +12,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core for per-row work on a scan with fewer splits than cores.
 
     A large scan already has more splits than the cluster has cores, and then
-    nothing is shuffled.
+    nothing is shuffled. Only for scans and their projections: counting the partitions
+    of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
@@ -118,3 +119,21 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .drop("_bucket", "_pos", "_shift")
     )
+
+
+def balanced_chunks(df: DataFrame, keys: Sequence[str], ts: str, chunk_rows: int,
+                    name: str = "chunk") -> DataFrame:
+    """Cut each group into consecutive time slices of about ``chunk_rows`` rows.
+
+    Slices follow a per-minute histogram, so bursts get short slices and only the
+    histogram is ordered group-wide. Small groups stay whole, as slice 0.
+    """
+    cut = df.withColumn("_minute", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 60_000_000))
+    sizes = cut.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    slices = sizes.withColumn("_total", F.sum("_n").over(whole)).select(
+        *keys, "_minute", (F.col("_total") > chunk_rows).alias(f"{name}s_many"),
+        F.when(F.col("_total") <= chunk_rows, 0).otherwise(
+            F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows)).cast("bigint").alias(name))
+    return cut.join(slices, [*keys, "_minute"]).drop("_minute")
