@@ -322,7 +322,7 @@ from (select o_orderkey as k, case o_orderkey % 5 when 0 then 'audit' when 1 the
 def _history(d) -> str:
     return f"""
 select k as seq, ts, cmd as command,
-  case when k % 40 = 0 then chr(123) || '"x":"' || lpad(cast(k as string), 90, 'y') || '"' || chr(125)
+  case when k % 41 = 0 then chr(123) || '"x":"' || lpad(cast(k as string), 90, 'y') || '"' || chr(125)
     when cmd = 'explain' then case when k % 3 = 0 then chr(123) || '"issues":[]' || chr(125)
       else chr(123) || '"issues":[' || chr(123) || '"what":" ' || pri || ' ","why":"w"' || chr(125) || ']' || chr(125) end
     when cmd in ('why', 'audit') then chr(123) || '"summary":"' || pri || '"' || chr(125)
