@@ -295,7 +295,8 @@ def _replies(d) -> str:
                 f"',' || {kv('detail', chr(39) + 'see line ' + chr(39) + ' || k')} || chr(125)")
 
     extra = ("case cmd when 'audit' then ',\"category\":\"file\"' when 'ports' then ',\"port\":\"' || (k % 9000) || '\"' "
-             "when 'mounts' then ',\"mount_point\":\"/data' || (k % 40) || '\"' else '' end")
+             "when 'mounts' then ',\"mount_point\":\"/data' || (k % 40) || '\"' "
+             "else ',\"rule\":\"r' || (k % 5) || '\",\"port\":\"22\"' end")
     title = "',\"title\":\"finding ' || k || '\"'"
     good = finding(sev, title, extra)
     second = finding("'info'", "',\"title\":\"note ' || (k % 10) || '\"'", extra)
@@ -346,7 +347,7 @@ select 'host' || (k % 8) as host, 'u' || k || '.timer' as unit, n as line_no,
     when 1 then 'ActiveState=' || (case when k % 4 = 0 then 'inactive' else 'active' end)
     when 2 then 'Triggers=' || (case when k % 11 = 0 then '' else 'u' || k || '.service other.service' end)
     when 3 then 'NextElapseUSecRealtime=' || (case k % 5 when 0 then '0' when 1 then 'n/a' else {usec} end)
-    when 4 then 'NextElapseUSecMonotonic=' || (case when k % 10 = 0 then {usec} else '' end)
+    when 4 then 'NextElapseUSecMonotonic=' || (case when k % 10 = 0 then {usec} else ',\"rule\":\"r' || (k % 5) || '\",\"port\":\"22\"' end)
     when 5 then 'LastTriggerUSec=' || (case when k % 6 = 0 then '0' else {usec} end)
     when 6 then 'Result=' || (case k % 3 when 0 then 'success' when 1 then 'exit-code' else '' end)
     else 'no separator' end as line
