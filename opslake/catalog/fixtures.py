@@ -28,8 +28,9 @@ class SparkDialect:
     def hex(self, c: str, width: int) -> str:
         return f"lpad(hex({c}), {width}, '0')"
 
-    def series(self, n: int, name: str) -> str:
-        return f"(select explode(sequence(0, {n - 1})) as {name})"
+    def times(self, n: int, name: str) -> str:
+        """Each row ``n`` times, numbered."""
+        return f"lateral view explode(sequence(0, {n - 1})) i as {name}"
 
 
 class DuckDialect(SparkDialect):
@@ -51,8 +52,8 @@ class DuckDialect(SparkDialect):
     def hex(self, c: str, width: int) -> str:
         return f"lpad(upper(to_hex({c})), {width}, '0')"
 
-    def series(self, n: int, name: str) -> str:
-        return f"(select unnest(range(0, {n})) as {name})"
+    def times(self, n: int, name: str) -> str:
+        return f"cross join (select unnest(range(0, {n})) as {name}) i"
 
 
 def _journal(d) -> str:
@@ -268,7 +269,7 @@ select 'host' || k as host, backend, k * 100 + n as line_no, line, zone from (
         when 5 then '' when 6 then 'Chain FORWARD (1 references)' when 7 then 'short row'
         else 'REJECT     udp  --  0.0.0.0/0  0.0.0.0/0' end
     end as line
-  from (select s_suppkey as k from {d.t('supplier')}) s cross join {d.series(9, 'n')} i
+  from (select s_suppkey as k from {d.t('supplier')}) s {d.times(9, 'n')}
   where s.k % 13 <> 0) f
 where line is not null"""
 
@@ -351,7 +352,7 @@ select 'host' || (k % 8) as host, 'u' || k || '.timer' as unit, n as line_no,
     when 5 then 'LastTriggerUSec=' || (case when k % 6 = 0 then '0' else {usec} end)
     when 6 then 'Result=' || (case k % 3 when 0 then 'success' when 1 then 'exit-code' else '' end)
     else 'no separator' end as line
-from (select p_partkey as k from {d.t('part')}) p cross join {d.series(8, 'n')} i"""
+from (select p_partkey as k from {d.t('part')}) p {d.times(8, 'n')}"""
 
 
 def _service_lines(d) -> str:
@@ -424,7 +425,7 @@ select 'host' || (k % 8) as host, k as pid, n as line_no,
     when 2 then case when k % 5 = 0 then 'VmSize:' || chr(9) || '1 kB' else 'VmRSS:' || chr(9) || '  ' || (k % 5000) || ' kB' end
     when 3 then 'Threads:' || chr(9) || (k % 30 + 1)
     when 4 then 'Uid:' || chr(9) || (k % 1000) || chr(9) || '0' || chr(9) || '0' else 'no colon here' end as line
-from (select s_suppkey as k from {d.t('supplier')}) s cross join {d.series(6, 'n')} i"""
+from (select s_suppkey as k from {d.t('supplier')}) s {d.times(6, 'n')}"""
 
 
 def _proc_fds(d) -> str:
@@ -473,7 +474,7 @@ select 'host' || k as host, kind, line_no, line from (
     case n when 0 then 'Filesystem Size Used Avail Use% Mounted' when 1 then '/dev/sda1 100.0Gi ' || (s_suppkey % 90) || 'Gi 10Gi ' || (s_suppkey % 90) || '% /'
       when 2 then '/dev/sda1 100Gi 50Gi 50Gi 50% /again' when 3 then 'overlay 5G 1G 4G 20% /o'
       else '/dev/sdb' || (s_suppkey % 3) || ' 2.0Ti 1.0Ti 1.0Ti 50% /data' end as line
-    from {d.t('supplier')} cross join {d.series(5, 'n')} i
+    from {d.t('supplier')} {d.times(5, 'n')}
   union all
   select s_suppkey as k, 'uptime' as kind, 1 as line_no,
     'up ' || (s_suppkey % 300) || ' days, ' || (s_suppkey % 24) || ' hours, ' || (s_suppkey % 60) || ' minutes' as line
@@ -496,7 +497,7 @@ select 'host' || k as host, n as line_no,
     when 3 then 'VERSION_ID=' || {q} || (k % 40) || {q}
     when 4 then 'PRETTY_NAME=' || chr(39) || 'OS ' || k || chr(39)
     else '=bad' end as line
-from (select s_suppkey as k from {d.t('supplier')}) s cross join {d.series(6, 'n')} i"""
+from (select s_suppkey as k from {d.t('supplier')}) s {d.times(6, 'n')}"""
 
 
 def _captures(d) -> str:

@@ -11,6 +11,11 @@ from opslake.catalog.duck import trim
 from opslake.catalog.fixtures import oracle, view
 from opslake.operators import digests
 from opslake.operators.inventory import crons, firewall, hosts, mounts, ports, process, timers, updates
+from opslake.plans.partitioning import spread
+
+
+def _lines(spark, sf_dir, name: str):
+    return spread(view(spark, sf_dir, name))
 
 
 def _f(line: str = "line") -> str:
@@ -34,7 +39,7 @@ _OUTSIDE = "not regexp_matches(address, '^(127\\.|\\[::1\\])')"
 
 
 def _ports(spark, sf_dir):
-    return ports.inventory(view(spark, sf_dir, "ss"))
+    return ports.inventory(_lines(spark, sf_dir, "ss"))
 
 
 @query("ports_inventory", oracle(f"with {_PORTS} select * from ports", "ss"))
@@ -70,7 +75,7 @@ n as (select host, row_number() over (partition by host order by protocol, local
 p as (select host, (number - 1) // 1000 as page, string_agg(line, chr(10) order by number) as digest from n group by all)
 select hosts.host, coalesce(page, 0) as page, coalesce(digest, '(no listening ports found)') as digest from hosts left join p on p.host = hosts.host""", "ss"))
 def ports_digest(spark, sf_dir):
-    all_hosts = view(spark, sf_dir, "ss").select("host").distinct()
+    all_hosts = _lines(spark, sf_dir, "ss").select("host").distinct()
     bucket = F.concat("protocol", F.substring("local", 1, 9))
     return digests.paged_digest(_ports(spark, sf_dir), all_hosts, ["protocol", "local"], bucket,
                                 ports.digest_line(), "(no listening ports found)")
@@ -125,7 +130,7 @@ where (header and contains(t, '(policy ')) or (not header and not starts_with(t,
 def _backend(name: str, sql: str, parse):
     @query(name, oracle(sql, "fw_lines"))
     def run(spark, sf_dir):
-        return parse(view(spark, sf_dir, "fw_lines"))
+        return parse(_lines(spark, sf_dir, "fw_lines"))
 
 
 _backend("fw_rules_firewalld", _FIREWALLD, firewall.firewalld_rules)
@@ -137,7 +142,7 @@ _RULES = "rules as (" + " union all ".join(f"select {_COLS} from ({q}) r" for q
 
 
 def _rules(spark, sf_dir):
-    return firewall.all_rules(view(spark, sf_dir, "fw_lines"))
+    return firewall.all_rules(_lines(spark, sf_dir, "fw_lines"))
 
 
 @query("fw_read_status", oracle(f"""
@@ -296,7 +301,7 @@ tt as (select t.host, t.unit, t.activates, next_run, last_run, case when result
 
 
 def _timers(spark, sf_dir):
-    return timers.inventory(view(spark, sf_dir, "timer_lines"), view(spark, sf_dir, "service_lines"))
+    return timers.inventory(_lines(spark, sf_dir, "timer_lines"), _lines(spark, sf_dir, "service_lines"))
 
 
 @query("timers_inventory", oracle(f"with {_TIMERS} select * from tt", "timer_lines", "service_lines"))
@@ -329,7 +334,7 @@ _CRONS = f"""jobs as (
 
 
 def _crons(spark, sf_dir):
-    return crons.parse(view(spark, sf_dir, "cron_lines"))
+    return crons.parse(_lines(spark, sf_dir, "cron_lines"))
 
 
 @query("crons_inventory", oracle(f"with {_CRONS} select * from jobs", "cron_lines"))
@@ -346,7 +351,7 @@ _LOGINS = """logins as (select host, p[1] as name from (select host, string_spli
 with {_CRONS}, {_LOGINS} select * from jobs j where exists (select 1 from logins l where l.host = j.host and j.source = 'user:' || l.name)""",
     "cron_lines", "passwd"))
 def user_crons_login_only(spark, sf_dir):
-    return crons.of_login_users(_crons(spark, sf_dir), view(spark, sf_dir, "passwd"))
+    return crons.of_login_users(_crons(spark, sf_dir), _lines(spark, sf_dir, "passwd"))
 
 
 _CRON_STATUS = r"""case when not regexp_matches(schedule, '^(@[a-z]+|[0-9A-Za-z*/,-]+( [0-9A-Za-z*/,-]+){4})$') then 'failed'
@@ -394,11 +399,11 @@ ui as (select u.host, u.manager, u.line_no, u.package, case when u.manager = 'dn
 
 
 def _updates(spark, sf_dir):
-    return updates.parse(view(spark, sf_dir, "update_lines"))
+    return updates.parse(_lines(spark, sf_dir, "update_lines"))
 
 
 def _with_rpm(spark, sf_dir):
-    return updates.with_installed(_updates(spark, sf_dir), view(spark, sf_dir, "rpm_lines"))
+    return updates.with_installed(_updates(spark, sf_dir), _lines(spark, sf_dir, "rpm_lines"))
 
 
 @query("updates_inventory", oracle(f"with {_PARSED}, {_UPDATES} select * from up", "update_lines"))
@@ -439,7 +444,7 @@ p as (select host, (number - 1) // 1000 as page, string_agg(number || '. ' || pa
 select hosts.host, coalesce(page, 0) as page, coalesce({trim('digest')}, '(no pending updates)') as digest from hosts left join p on p.host = hosts.host""",
     "update_lines", "rpm_lines", "passwd"))
 def updates_digest(spark, sf_dir):
-    all_hosts = view(spark, sf_dir, "passwd").select("host").union(spark.sql("select 'quiet-host' as host")).distinct()
+    all_hosts = _lines(spark, sf_dir, "passwd").select("host").union(spark.sql("select 'quiet-host' as host")).distinct()
     bucket = F.floor(F.col("line_no") / 4096)
     return digests.paged_digest(_with_rpm(spark, sf_dir), all_hosts, ["line_no"], bucket,
                                 updates.digest_line(), "(no pending updates)")
@@ -457,14 +462,14 @@ select host, pid, {_pkey('Name')} as name, {_pkey('State')} as state, {_pkey('Vm
 from (select host, pid, line_no, split_part(line, ':', 1) as k, {trim("substr(line, strpos(line, ':') + 1)")} as v
   from proc_status where contains(line, ':')) kv where k in {_in(process.STATUS_KEYS)} group by host, pid""", "proc_status"))
 def process_facts(spark, sf_dir):
-    return process.facts(view(spark, sf_dir, "proc_status"))
+    return process.facts(_lines(spark, sf_dir, "proc_status"))
 
 
 @query("process_fds", oracle("""
 select host, pid, case when starts_with(target, 'socket:[') then 'socket (anonymous)' when starts_with(target, 'pipe:[') then 'pipe (anonymous)'
   else target end as label, min(fd) as first_fd from proc_fds group by all""", "proc_fds"))
 def process_fds(spark, sf_dir):
-    return process.open_files(view(spark, sf_dir, "proc_fds"))
+    return process.open_files(_lines(spark, sf_dir, "proc_fds"))
 
 
 def _address(c: str) -> str:
@@ -486,12 +491,12 @@ _TCP = f"""s as (select host, pid, line_no, state, local, case when remote in ('
 @query("tcp_sockets", oracle(f"""
 with {_TCP} select *, 'tcp  ' || state || '  local=' || local || case when remote <> '' then '  remote=' || remote else '' end as summary from s""", "proc_tcp"))
 def tcp_sockets(spark, sf_dir):
-    return process.tcp_sockets(view(spark, sf_dir, "proc_tcp"))
+    return process.tcp_sockets(_lines(spark, sf_dir, "proc_tcp"))
 
 
 @query("tcp_state_counts", oracle(f"with {_TCP} select host, state, count(*) as n from s group by all", "proc_tcp"))
 def tcp_state_counts(spark, sf_dir):
-    return process.tcp_state_counts(process.tcp_sockets(view(spark, sf_dir, "proc_tcp")))
+    return process.tcp_state_counts(process.tcp_sockets(_lines(spark, sf_dir, "proc_tcp")))
 
 
 @query("top_processes", oracle(f"""
@@ -500,7 +505,7 @@ select host, pid, cast(cpu as varchar) as cpu, command, cast(rn as integer) as r
     select host, pid, cast(f[3] as decimal(10, 1)) as cpu, array_to_string(f[11:], ' ') as command from (select *, {_f()} as f from ps) a where len(f) >= 11) b) c
 where rn <= 15""", "ps"))
 def top_processes(spark, sf_dir):
-    return process.top_processes(view(spark, sf_dir, "ps")).withColumn("cpu", F.col("cpu").cast("string"))
+    return process.top_processes(_lines(spark, sf_dir, "ps")).withColumn("cpu", F.col("cpu").cast("string"))
 
 
 # --- hosts --------------------------------------------------------------------------
@@ -517,7 +522,7 @@ _ENV = f"""env as (select host, {_okey('ID')} as distro_id, {_okey('ID_LIKE')} a
 
 @query("host_env", oracle(f"with {_ENV} select * from env", "os_release"))
 def host_env(spark, sf_dir):
-    return hosts.environment(view(spark, sf_dir, "os_release"))
+    return hosts.environment(_lines(spark, sf_dir, "os_release"))
 
 
 _MGR = ", ".join(f"('{i}', '{m}')" for m, ids in hosts.PACKAGE_MANAGERS.items() for i in ids)
@@ -528,7 +533,7 @@ with {_ENV}, known(id, mgr) as (values {_MGR}), w as (select host, distro_id, un
     unnest(range(1 + len({_f('distro_like')}))) as pos from env)
 select w.host, distro_id, coalesce(arg_min(mgr, pos), '') as package_manager from w left join known on known.id = word group by w.host, distro_id""", "os_release"))
 def host_pkg_manager(spark, sf_dir):
-    env = hosts.environment(view(spark, sf_dir, "os_release"))
+    env = hosts.environment(_lines(spark, sf_dir, "os_release"))
     return env.select("host", "distro_id", hosts.package_manager(
         F.col("distro_id"), F.col("distro_like")).alias("package_manager"))
 

@@ -174,18 +174,16 @@ _SALVAGED = f"""{_NORMAL}, s as (select id, command, json_type(j) = 'OBJECT' as
 with {_SALVAGED} select id, command, json_merge_patch('{{}}', json_object('findings', to_json(kept), 'summary', summary))::varchar as reply
 from k where object""", "replies"))
 def reply_salvaged(spark, sf_dir):
-    rows = _rows(spark, sf_dir).withColumn("s", jr.salvage(F.col("command"), F.col("raw")))
-    return rows.filter("s.reply is not null").select("id", "command", F.col("s.reply").alias("reply"))
+    return replies.salvaged(_rows(spark, sf_dir)).select("id", "command", "reply")
 
 
 @query("reply_dropped", oracle(f"""
 with {_SALVAGED} select command, count(*) as replies, count(*) filter (where len(es) > len(kept)) as incomplete,
   cast(sum(len(es) - len(kept)) as bigint) as dropped from k where object group by command""", "replies"))
 def reply_dropped(spark, sf_dir):
-    rows = _rows(spark, sf_dir).select("command", jr.salvage(F.col("command"), F.col("raw")).alias("s"))
-    return rows.filter("s.reply is not null").groupBy("command").agg(
-        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("s.dropped") > 0).alias("incomplete"),
-        F.sum("s.dropped").alias("dropped"))
+    return replies.salvaged(_rows(spark, sf_dir)).groupBy("command").agg(
+        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("dropped") > 0).alias("incomplete"),
+        F.sum("dropped").alias("dropped"))
 
 
 _ROUTE = r"""case when len(st) = 0 and len(se) = 0 then 'valid' when len(st) = 0 then 'semantic'

@@ -365,7 +365,7 @@ def salvage(command: Column, raw: Column) -> Column:
     the text holds no JSON object.
     """
     def of(v: Column) -> Column:
-        def rebuilt(sp: Column) -> Column:
+        def rebuilt(sp: Column, m: Column) -> Column:
             def field(f: Column) -> Column:
                 def sound(e: Column) -> Column:
                     content = F.when(sp["elementwise"], _element_messages(e, f["checks"])).otherwise(_no_messages())
@@ -382,7 +382,7 @@ def salvage(command: Column, raw: Column) -> Column:
                     scalar = F.struct(f["name"].alias("name"), F.when(
                         x.isNotNull(), _normal_field(x, f)).alias("value"), F.lit(0).alias("lost"))
                     return F.when(f["kind"] == "objects", bind(objects, keep)).otherwise(scalar)
-                return bind(F.try_element_at(members(v), f["name"]), of_value)
+                return bind(F.try_element_at(m, f["name"]), of_value)
 
             def assemble(rows: Column) -> Column:
                 present = F.array_sort(
@@ -392,5 +392,6 @@ def salvage(command: Column, raw: Column) -> Column:
                 return F.struct(F.to_json(doc).alias("reply"), F.aggregate(
                     rows, F.lit(0), lambda acc, r: acc + r["lost"]).alias("dropped"))
             return bind(F.transform(sp["fields"], field), assemble)
-        return F.when(v.isNull() | (kind(v) != "object"), F.lit(None)).otherwise(bind(spec(command), rebuilt))
+        return F.when(v.isNull() | (kind(v) != "object"), F.lit(None)).otherwise(
+            bind(spec(command), lambda sp: bind(members(v), lambda m: rebuilt(sp, m))))
     return bind(F.try_parse_json(raw), of)

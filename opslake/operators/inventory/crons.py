@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.text import field, fields, tail, trim
+from opslake.functions.text import field, fields, once, tail, trim
 
 # Skipped file suffixes and shells that cannot log in.
 BACKUP_SUFFIXES = ["~", ".dpkg-old", ".dpkg-dist", ".rpmsave", ".rpmnew"]
@@ -25,7 +25,7 @@ def parse(df: DataFrame) -> DataFrame:
     at = F.instr("line", "=")
     assignment = (at > 1) & ~F.substring(F.col("line"), F.lit(1), at - 1).rlike("[ \t]")
     rows = rows.filter((F.col("line") != "") & ~F.col("line").startswith("#") & ~assignment)
-    rows = rows.withColumn("f", fields(F.col("line")))
+    rows = once(rows, "f", fields(F.col("line")))
     f, n, system = F.col("f"), F.size("f"), F.col("system_format")
     macro = F.col("line").startswith("@")
     macro_rest = trim(F.regexp_extract("line", "^[^ ]* ([\\s\\S]*)$", 1))
@@ -39,7 +39,7 @@ def parse(df: DataFrame) -> DataFrame:
             schedule.alias("schedule"), field(f, 5).alias("user"), tail(f, 6).alias("command")))
         .when(~macro & ~system & (n >= 6), F.struct(
             schedule.alias("schedule"), F.lit("").alias("user"), tail(f, 5).alias("command"))))
-    return rows.withColumn("job", job).filter("job is not null").select("host", "source", "line_no", "job.*")
+    return rows.select("host", "source", "line_no", F.inline(F.array_compact(F.array(job))))
 
 
 def login_users(passwd: DataFrame) -> DataFrame:

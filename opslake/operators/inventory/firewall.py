@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.text import bind, field, fields, tail, trim
+from opslake.functions.text import bind, field, fields, once, tail, trim
 from opslake.operators.inventory.ports import LOOPBACK, split_local
 from opslake.plans.partitioning import carry_forward
 
@@ -62,7 +62,7 @@ def ufw_rules(df: DataFrame) -> DataFrame:
     """Numbered ufw rules: the first ``port/proto`` field and what follows it."""
     rows = _trimmed(df, "ufw").filter(
         (F.col("line") != "") & ~F.col("line").startswith("Status:") & ~F.col("line").startswith("To"))
-    rows = rows.withColumn("f", fields(F.col("line"))).filter(F.size("f") >= 4)
+    rows = once(rows, "f", fields(F.col("line"))).filter(F.size("f") >= 4)
     rows = rows.withColumn("at", F.get(F.filter(
         F.sequence(F.lit(0), F.size("f") - 1),
         lambda i: F.contains(F.get("f", i), F.lit("/"))), F.lit(0)))
@@ -85,7 +85,7 @@ def ufw_rules(df: DataFrame) -> DataFrame:
 
 def nft_rules(df: DataFrame) -> DataFrame:
     """nft rules with the chain they stand in; port sets are joined by commas."""
-    rows = _trimmed(df, "nftables").withColumn("f", fields(F.col("line")))
+    rows = once(_trimmed(df, "nftables"), "f", fields(F.col("line")))
     header = F.col("line").startswith("chain ")
     rows = carry_forward(rows, ["host"], "line_no", F.when(header, field(F.col("f"), 1)), "chain_name")
     wanted = reduce(lambda a, b: a | b, [F.col("line").startswith(s) for s in NFT_STARTS])
@@ -110,7 +110,7 @@ def nft_rules(df: DataFrame) -> DataFrame:
 
 def iptables_rules(df: DataFrame) -> DataFrame:
     """iptables listing: one row per default policy and per rule, with its chain."""
-    rows = _trimmed(df, "iptables").withColumn("f", fields(F.col("line")))
+    rows = once(_trimmed(df, "iptables"), "f", fields(F.col("line")))
     header = F.col("line").startswith("Chain ")
     rows = carry_forward(rows, ["host"], "line_no", F.when(header & (F.size("f") >= 2), field(F.col("f"), 1)), "chain_name")
     has_policy = header & F.contains("line", F.lit("(policy "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.text import WE, bind, field, fields, trim
+from opslake.functions.text import bind, field, fields, once, trim, WE
 from opslake.operators.inventory.timers import pick_keys
 from opslake.plans.partitioning import first_per_key
 
@@ -54,7 +54,7 @@ def clean_unit(c: Column) -> Column:
 
 def memory(df: DataFrame) -> DataFrame:
     """Memory and swap text per host from ``free -h`` lines (host, line_no, line)."""
-    rows = df.withColumn("f", fields(F.col("line")))
+    rows = once(df, "f", fields(F.col("line")))
     f, n = F.col("f"), F.size("f")
     unit = lambda i: clean_unit(field(f, i))
     mem = F.when((n >= 7) & (field(f, 0) == "Mem:"), F.concat(
@@ -68,7 +68,7 @@ def memory(df: DataFrame) -> DataFrame:
 
 def disks(df: DataFrame) -> DataFrame:
     """Used, size and share per device and host; the first line of a device wins."""
-    rows = df.withColumn("f", fields(F.col("line"))).filter(
+    rows = once(df, "f", fields(F.col("line"))).filter(
         (F.size("f") >= 6) & field(F.col("f"), 0).startswith("/dev/"))
     f = F.col("f")
     parsed = rows.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.text import bind, field, fields, trim
+from opslake.functions.text import bind, field, fields, once, trim
 from opslake.plans.partitioning import first_per_key, last_per_key
 
 # File systems that hold no disk data, network file systems, thresholds.
@@ -40,7 +40,7 @@ def unescape(c: Column) -> Column:
 def mount_table(df: DataFrame) -> DataFrame:
     """(host, device, mountpoint, fstype, options); the first line of a mount point wins."""
     rows = df.withColumn("line", trim(F.col("line"))).filter(~F.col("line").startswith("#"))
-    rows = rows.withColumn("f", fields(F.col("line"))).filter(F.size("f") >= 4)
+    rows = once(rows, "f", fields(F.col("line"))).filter(F.size("f") >= 4)
     f = F.col("f")
     parsed = rows.select(
         "host", "line_no", unescape(field(f, 0)).alias("device"), unescape(field(f, 1)).alias("mountpoint"),
@@ -64,7 +64,7 @@ def human_blocks(text: Column) -> Column:
 
 def usage_table(df: DataFrame) -> DataFrame:
     """``df`` lines by mount point; headers and short lines skipped, the last line wins."""
-    rows = df.withColumn("f", fields(F.col("line"))).filter(
+    rows = once(df, "f", fields(F.col("line"))).filter(
         (F.size("f") >= 6) & (field(F.col("f"), 0) != "Filesystem"))
     f = F.col("f")
     parsed = rows.select(

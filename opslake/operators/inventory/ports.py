@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.text import field, fields, trim
+from opslake.functions.text import field, fields, once, trim
 from opslake.plans.partitioning import first_per_key
 
 # Addresses, sensitive ports and the processes expected on standard ports.
@@ -25,7 +25,7 @@ def process_label(raw: Column) -> Column:
 
 def parse(df: DataFrame) -> DataFrame:
     """One row per usable line; short lines and ``*`` addresses are skipped."""
-    rows = df.withColumn("f", fields(F.col("line"))).filter(
+    rows = once(df, "f", fields(F.col("line"))).filter(
         (F.size("f") >= 4) & (field(F.col("f"), 3) != "*"))
     return rows.select(
         "host", F.col("proto").alias("protocol"), "line_no", field(F.col("f"), 3).alias("local"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opslake.functions.text import bind, field, fields, tail, trim
+from opslake.functions.text import bind, field, fields, once, tail, trim
 from opslake.operators.inventory.timers import pick_keys
 
 # Status keys, TCP state codes, processes shown.
@@ -61,7 +61,7 @@ def decode_address(raw: Column) -> Column:
 
 def tcp_sockets(df: DataFrame) -> DataFrame:
     """State and endpoints of every socket line; an unset remote is ''."""
-    rows = df.withColumn("f", fields(F.col("line"))).filter(F.size("f") >= 4)
+    rows = once(df, "f", fields(F.col("line"))).filter(F.size("f") >= 4)
     code = field(F.col("f"), 3)
     known = F.create_map(*[x for k, v in TCP_STATES.items() for x in (F.lit(k), F.lit(v))])
     rows = rows.select(
@@ -81,7 +81,7 @@ def tcp_state_counts(sockets: DataFrame) -> DataFrame:
 def top_processes(df: DataFrame, n: int = TOP_PROCESSES) -> DataFrame:
     """The ``n`` busiest processes per host; the rank filter limits groups before the shuffle."""
     f = fields(F.col("line"))
-    rows = df.withColumn("f", f).filter(F.size("f") >= 11).select(
+    rows = once(df, "f", f).filter(F.size("f") >= 11).select(
         "host", "pid", field(F.col("f"), 2).try_cast("decimal(10,1)").alias("cpu"), tail(F.col("f"), 10).alias("command"))
     w = Window.partitionBy("host").orderBy(F.desc("cpu"), "pid")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.functions.text import field, fields, tail, trim
+from opslake.functions.text import field, fields, once, tail, trim
 from opslake.plans.partitioning import last_per_key
 
 # Managers by listing form, and packages whose update needs a reboot.
@@ -30,7 +30,7 @@ def parse(df: DataFrame) -> DataFrame:
     """(host, manager, line_no, package, installed, available, security, reboot)."""
     form = F.create_map(*[x for k, v in MANAGERS.items() for x in (F.lit(k), F.lit(v))])[F.col("manager")]
     rows = df.withColumn("line", trim(F.col("line"))).filter("line <> ''")
-    rows = rows.withColumns({"form": form, "f": fields(F.col("line"))})
+    rows = once(rows.withColumn("form", form), "f", fields(F.col("line")))
     f, n, line = F.col("f"), F.size("f"), F.col("line")
     has = lambda text: F.contains(line, F.lit(text))
 
@@ -51,13 +51,13 @@ def parse(df: DataFrame) -> DataFrame:
         .when((F.col("form") == "pacman") & (n >= 3), update(
             field(f, 0), field(f, 1), newer, no, needs_reboot(field(f, 0))))
         .when(F.col("form") == "name", update(line, none, none, no, no)))
-    return rows.withColumn("u", parsed).filter("u is not null").select("host", "manager", "line_no", "u.*")
+    return rows.select("host", "manager", "line_no", F.inline(F.array_compact(F.array(parsed))))
 
 
 def installed_versions(rpm: DataFrame) -> DataFrame:
     """(host, package, version) from ``name version`` lines; the last line wins."""
     f = fields(F.col("line"))
-    rows = rpm.withColumn("f", f).filter(F.size("f") == 2).select(
+    rows = once(rpm, "f", f).filter(F.size("f") == 2).select(
         "host", field(F.col("f"), 0).alias("package"), field(F.col("f"), 1).alias("version"), "line_no")
     return last_per_key(rows, ["host", "package"], F.col("line_no")).drop("line_no")
 

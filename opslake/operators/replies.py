@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opslake.functions import json_reply as jr
+from opslake.functions.text import once
 from opslake.plans.session import scratch_path
 
 # Repair attempts per reply.
@@ -19,12 +20,17 @@ Responder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 def validated(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``structural`` and ``semantic`` error lists; content is checked on sound replies only."""
-    out = df.withColumn("structural", jr.structural_errors(F.col("command"), F.col(raw)))
-    return out.withColumn("semantic", F.when(
+    out = once(df, "structural", jr.structural_errors(F.col("command"), F.col(raw)))
+    return once(out, "semantic", F.when(
         F.size("structural") == 0, jr.semantic_errors(F.col("command"), F.col(raw)),
     ).otherwise(F.array().cast("array<string>")))
 
 
+def salvaged(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """(…, reply, dropped) of the replies that hold a JSON object."""
+    return df.select("*", F.inline(F.array_compact(F.array(jr.salvage(F.col("command"), F.col(raw))))))
+
+
 def route(raw: str = "raw") -> Column:
     """What to do with a validated reply."""
     return (
