@@ -576,3 +576,73 @@ left join (select distinct host from host_text where kind = 'errors') e on e.hos
 def host_insights(spark, sf_dir):
     rows = view(spark, sf_dir, "host_text")
     return hosts.insights(rows.select("host").distinct(), rows.filter("kind = 'failed'"), rows.filter("kind = 'errors'"))
+
+
+# --- digests ------------------------------------------------------------------------
+
+@query("crons_digest", oracle(f"""
+with {_CRONS}, hosts as (select distinct host from cron_lines),
+n as (select *, row_number() over (partition by host order by line_no) as number from jobs),
+p as (select host, (number - 1) // 1000 as page, string_agg('source:   ' || source || chr(10) || 'schedule: ' || schedule
+    || case when "user" <> '' then chr(10) || 'user:     ' || "user" else '' end || chr(10) || 'command:  ' || command || chr(10), chr(10) order by number) as digest from n group by all)
+select hosts.host, coalesce(page, 0) as page, coalesce({trim('digest')}, '(no cron jobs found)') as digest from hosts left join p on p.host = hosts.host""", "cron_lines"))
+def crons_digest(spark, sf_dir):
+    all_hosts = view(spark, sf_dir, "cron_lines").select("host").distinct()
+    return digests.paged_digest(_crons(spark, sf_dir), all_hosts, ["line_no"], F.floor(F.col("line_no") / 4096),
+                                crons.digest_line(), "(no cron jobs found)")
+
+
+@query("timers_digest", oracle(f"""
+with {_TIMERS}, n as (select *, row_number() over (partition by host order by unit) as number from tt),
+shown as (select *, coalesce(strftime(last_run, '%Y-%m-%d %H:%M:%S UTC'), 'never') as l, coalesce(strftime(next_run, '%Y-%m-%d %H:%M:%S UTC'), 'never') as x from n)
+select host, (number - 1) // 1000 as page, {trim("""string_agg('unit:         ' || unit || chr(10) || 'activates:    ' || case when activates = '' then '(unknown)' else activates end
+    || chr(10) || 'active_state: ' || active_state || chr(10) || 'last_run:     ' || l || chr(10) || 'next_run:     ' || x
+    || case when last_result <> '' then chr(10) || 'last_result:  ' || last_result else '' end || chr(10), chr(10) order by number)""")} as digest
+from shown group by host, page""", "timer_lines", "service_lines"))
+def timers_digest(spark, sf_dir):
+    all_hosts = view(spark, sf_dir, "timer_lines").select("host").distinct()
+    return digests.paged_digest(_timers(spark, sf_dir), all_hosts, ["unit"], F.substring("unit", 1, 3),
+                                timers.digest_line(), "(no systemd timers found)")
+
+
+@query("mounts_digest", oracle(f"""
+with {_MOUNTS}, {_USAGE}, n as (select *, row_number() over (partition by host order by mountpoint) as number from mp where not {_PSEUDO}),
+t as (select host, number, 'device:      ' || device || chr(10) || 'mountpoint:  ' || mountpoint || chr(10) || 'fstype:      ' || fstype || chr(10) || 'options:     ' || options
+  || case when size <> '' then chr(10) || 'size:        ' || size || chr(10) || 'used:        ' || used || '  (' || use_percent || ')' || chr(10) || 'available:   ' || avail else '' end
+  || case when {_NFS} then case when stale then chr(10) || 'nfs_status:  STALE' else chr(10) || 'nfs_status:  responsive' end else '' end || chr(10) as line from n),
+p as (select host, (number - 1) // 1000 as page, {trim("string_agg(line, chr(10) order by number)")} as digest from t group by all)
+select h.host, coalesce(page, 0) as page, coalesce(digest, '(no mount entries found)') as digest from (select distinct host from mounts) h left join p on p.host = h.host""",
+    "mounts", "df_lines", "nfs_probes"))
+def mounts_digest(spark, sf_dir):
+    all_hosts = view(spark, sf_dir, "mounts").select("host").distinct()
+    rows = _probed(spark, sf_dir).filter(~mounts.is_pseudo(F.col("fstype")))
+    return digests.paged_digest(rows, all_hosts, ["mountpoint"], F.substring("mountpoint", 1, 6),
+                                mounts.digest_line(), "(no mount entries found)")
+
+
+@query("fw_digest", oracle(f"""
+with {_RULES}, n as (select *, row_number() over (partition by host order by line_no, item) as number from rules),
+t as (select host, number, '  rule_' || number || ':' || chr(10) || array_to_string(list_filter([case when chain <> '' then '    chain:    ' || chain end,
+    case when action <> '' then '    action:   ' || action end, case when protocol <> '' then '    protocol: ' || protocol end,
+    case when port <> '' then '    port:     ' || port end, case when source <> '' then '    source:   ' || source end,
+    case when comment <> '' then '    comment:  ' || comment end], lambda x: x is not null), chr(10)) as line from n),
+p as (select host, (number - 1) // 1000 as page, {trim("string_agg(line, chr(10) order by number)")} as digest from t group by all)
+select r.host, coalesce(page, 0) as page, coalesce(digest, 'rules: (none collected)') as digest from fw_reads r left join p on p.host = r.host""",
+    "fw_lines", "fw_reads"))
+def fw_digest(spark, sf_dir):
+    all_hosts = view(spark, sf_dir, "fw_reads").select("host")
+    return digests.paged_digest(_rules(spark, sf_dir), all_hosts, ["line_no", "item"], F.floor(F.col("line_no") / 4096),
+                                firewall.digest_line(), "rules: (none collected)")
+
+
+@query("process_digest", oracle(f"""
+with {_TCP}, h as (select distinct host from proc_tcp),
+n as (select host, pid, line_no, 'pid ' || pid || '  tcp  ' || state || '  local=' || local || case when remote <> '' then '  remote=' || remote else '' end as line,
+  row_number() over (partition by host order by pid, line_no) as number from s)
+select host, (number - 1) // 1000 as page, {trim("string_agg(line, chr(10) order by number)")} as digest from n group by host, page""", "proc_tcp"))
+def process_digest(spark, sf_dir):
+    lines = _lines(spark, sf_dir, "proc_tcp")
+    rows = process.tcp_sockets(lines)
+    return digests.paged_digest(
+        rows, lines.select("host").distinct(), ["pid", "line_no"], F.col("pid"),
+        F.concat(F.lit("pid "), F.col("pid").cast("string"), F.lit("  "), "summary"), "(none visible)")

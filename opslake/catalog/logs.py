@@ -46,10 +46,9 @@ def log_scan_boot(spark, sf_dir):
 @query("dmesg_tiered", oracle(_tiered(
     "case when priority in (3, 4) then 0 when regexp_matches(lower(message), "
     "'error|err|warn|fail|panic|oops|segfault|oom|crit|bug') then 1 else 2 end",
-    "service = 'kernel' and seq % 3 <> 0", "host", 60), "journal"))
+    "service = 'kernel'", "host", 60), "journal"))
 def dmesg_tiered(spark, sf_dir):
-    # two thirds of the rows, so that hosts without a level-3/4 line can occur
-    return logs.kernel_logs(view(spark, sf_dir, "journal").filter("seq % 3 <> 0")).select(*COLUMNS)
+    return logs.kernel_logs(view(spark, sf_dir, "journal")).select(*COLUMNS)
 
 
 @query("file_tail_filtered", oracle("""

@@ -29,7 +29,9 @@ class _StreamDialect(SparkDialect):
 
 
 def journal_stream(spark, sf_dir) -> DataFrame:
-    event_stream(spark, sf_dir).createOrReplaceTempView("stream_events")
+    # one small file here; a real feed has as many splits as its topic has partitions
+    feed = event_stream(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    feed.createOrReplaceTempView("stream_events")
     return spark.sql(VIEWS["journal"](_StreamDialect(sf_dir)))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from opslake.functions.redact import collapse_repeats
 from opslake.plans.partitioning import balanced_chunks, last_per_group
+from opslake.plans.session import materialise
 
 # Watch defaults.
 MAX_LINES = 50
@@ -145,13 +146,17 @@ def _number(kept: Sequence[str], max_lines: int, silence: int):
 
 def number_batches(df: DataFrame, keys: Sequence[str], alert: Column, max_lines: int = MAX_LINES,
                    silence_seconds: float = SILENCE_SECONDS, chunk_rows: int = CHUNK_ROWS,
-                   ts: str = "ts", carry: Sequence[str] = ()) -> DataFrame:
-    """(keys, seq, us, alert, carried columns, batch_no) for every line; ``seq`` orders equal times."""
+                   ts: str = "ts") -> DataFrame:
+    """(keys, seq, us, alert, batch_no) for every line; ``seq`` is unique per key and orders equal times.
+
+    Three passes need the lines, so the few columns they use are written once first; the
+    alert test, and the redaction below it, does not run again.
+    """
     keys = list(keys)
     silence = int(silence_seconds * 1_000_000)
-    slim = df.select(*keys, "seq", *carry, F.col(ts).alias("_ts"), alert.alias("alert"))
+    slim = materialise(df.select(*keys, "seq", F.col(ts).alias("_ts"), alert.alias("alert")), "watch-lines")
     cut = balanced_chunks(slim, keys, "_ts", chunk_rows).select(
-        *keys, "seq", *carry, "alert", "chunk", "chunks_many",
+        *keys, "seq", "alert", "chunk", "chunks_many",
         F.unix_micros(F.col("_ts").cast("timestamp")).alias("us"))
     key_fields = [cut.schema[k] for k in keys]
     effect_schema = T.StructType(key_fields + [
@@ -163,7 +168,7 @@ def number_batches(df: DataFrame, keys: Sequence[str], alert: Column, max_lines:
     entry_schema = T.StructType(key_fields + [
         T.StructField("chunk", T.LongType()), T.StructField("entry_n", T.LongType()),
         T.StructField("entry_alert", T.BooleanType()), T.StructField("entry_batch", T.LongType())])
-    kept = [*keys, "seq", "us", "alert", *carry]
+    kept = [*keys, "seq", "us", "alert"]
     out_schema = T.StructType([cut.schema[c] for c in kept] + [T.StructField("batch_no", T.LongType())])
 
     rows = cut.drop("chunks_many")
@@ -195,9 +200,10 @@ def alert_batch_texts(df: DataFrame, keys: Sequence[str], alert: Column, line: s
                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The text of each alert batch with repeats collapsed; at most ``max_lines`` lines each."""
     keys = list(keys)
-    numbered = number_batches(df, keys, alert, max_lines, silence_seconds, chunk_rows, carry=[line])
-    grouped = numbered.groupBy(*keys, "batch_no").agg(
-        F.sort_array(F.collect_list(F.struct("us", "seq", line))).alias("rows"),
-        F.bool_or("alert").alias("_any"))
+    numbered = number_batches(df, keys, alert, max_lines, silence_seconds, chunk_rows)
+    alerting = numbered.groupBy(*keys, "batch_no").agg(F.bool_or("alert").alias("_any")).filter("_any")
+    wanted = numbered.join(alerting, [*keys, "batch_no"], "left_semi").select(*keys, "seq", "us", "batch_no")
+    grouped = df.select(*keys, "seq", line).join(wanted, [*keys, "seq"]).groupBy(*keys, "batch_no").agg(
+        F.sort_array(F.collect_list(F.struct("us", "seq", line))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r[line]), "\n")
-    return grouped.filter("_any").select(*keys, "batch_no", collapse_repeats(text).alias("text"))
+    return grouped.select(*keys, "batch_no", collapse_repeats(text).alias("text"))
