@@ -12,6 +12,7 @@ from opslake.functions.redact import actionable, sanitise_line
 from opslake.operators import batching
 from opslake.plans.partitioning import spread
 from opslake.plans.session import scratch_path
+from opslake.sources.follow import follow_files
 from opslake.streaming import watch
 
 WINDOW_SECONDS = 6 * 3600
@@ -20,7 +21,7 @@ WINDOW_SECONDS = 6 * 3600
 def event_stream(spark, sf_dir) -> DataFrame:
     """``events`` as a file stream."""
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events*.parquet")
+    return follow_files(spark, f"{sf_dir}/events*.parquet", schema)
 
 
 class _StreamDialect(SparkDialect):

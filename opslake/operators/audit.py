@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from opslake.functions.redact import sanitise
-from opslake.functions.text import trim
+from opslake.functions.text import once, trim
 from opslake.plans.partitioning import last_per_key
 
 # Snapshot format, scan scope and report limits.
@@ -285,8 +285,10 @@ def change_severity() -> Column:
 
 def sanitised_changes(feed: DataFrame) -> DataFrame:
     """The feed with every text field redacted and every number and mode kept."""
-    return feed.select(*[
-        sanitise(F.col(c)).alias(c) if c in SANITISED_COLUMNS else F.col(c) for c in feed.columns])
+    texts = F.transform(F.array(*SANITISED_COLUMNS), lambda t: sanitise(t))
+    at = {c: i for i, c in enumerate(SANITISED_COLUMNS)}
+    return once(feed, "_texts", texts).select(*[
+        F.get("_texts", F.lit(at[c])).alias(c) if c in at else F.col(c) for c in feed.columns])
 
 
 def write_baseline(df: DataFrame, path: str, version: int = BASELINE_VERSION) -> None:

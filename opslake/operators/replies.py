@@ -18,12 +18,17 @@ MAX_ATTEMPTS = 3
 Responder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def validated(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``structural`` and ``semantic`` error lists; content is checked on sound replies only."""
-    out = once(df, "structural", jr.structural_errors(F.col("command"), F.col(raw)))
-    return once(out, "semantic", F.when(
+def checks(raw: str = "raw") -> tuple[Column, Column]:
+    """The structural and the semantic error list of a reply; content is checked on sound ones only."""
+    return jr.structural_errors(F.col("command"), F.col(raw)), F.when(
         F.size("structural") == 0, jr.semantic_errors(F.col("command"), F.col(raw)),
-    ).otherwise(F.array().cast("array<string>")))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def validated(df: DataFrame, raw: str = "raw", given: tuple[Column, Column] | None = None) -> DataFrame:
+    """Add the ``structural`` and ``semantic`` error lists (``given``: the columns, if built already)."""
+    structural, semantic = given or checks(raw)
+    return once(once(df, "structural", structural), "semantic", semantic)
 
 
 def salvaged(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -77,12 +82,6 @@ def repair_queue(df: DataFrame, raw: str = "raw") -> DataFrame:
     return routed.withColumn("request", repair_request(raw))
 
 
-def _cleaned(df: DataFrame) -> DataFrame:
-    """``current`` cut to its JSON object where it has one, and normalised."""
-    found = df.withColumn("_object", F.coalesce(jr.json_object(F.col("current")), F.col("current")))
-    return found.withColumn("current", jr.normalise(F.col("command"), F.col("_object"))).drop("_object")
-
-
 def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(id, command, attempts, status, reply) after at most ``max_attempts`` repair rounds.
 
@@ -93,13 +92,21 @@ def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX
     """
     spark = df.sparkSession
     base = df.select("id", "command", F.col("raw").alias("original"))
-    todo = _cleaned(base.withColumn("current", F.col("original")))
+    # built once: every round applies the same columns
+    found = F.coalesce(jr.json_object(F.col("current")), F.col("current"))
+    normal, both, request = jr.normalise(F.col("command"), F.col("_object")), checks("current"), repair_request("current")
+
+    def cleaned(replies_: DataFrame) -> DataFrame:
+        """``current`` cut to its JSON object where it has one, and normalised."""
+        return replies_.withColumn("_object", found).select("id", "command", normal.alias("current"))
+
+    todo = cleaned(base.withColumn("current", F.col("original")))
     path = scratch_path(spark, "repair")
     done = []
     for attempt in range(max_attempts + 1):
-        checked = validated(todo.select("id", "command", "current"), "current").withColumn("route", route("current"))
+        checked = validated(todo, "current", both).withColumn("route", route("current"))
         here = f"{path}/round{attempt}"
-        checked.withColumn("request", repair_request("current")).write.parquet(here)
+        checked.withColumn("request", request).write.parquet(here)
         checked = spark.read.parquet(here)
         done.append(checked.filter("route = 'valid'").select(
             "id", "command", F.lit(attempt).alias("attempts"),
@@ -112,7 +119,7 @@ def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX
             break
         answers = left.select("id", "command", F.lit(attempt + 1).alias("attempt"), "request", "current").mapInPandas(
             responder, left.select("id", "command", "current").schema)
-        todo = _cleaned(answers)
+        todo = cleaned(answers)
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
