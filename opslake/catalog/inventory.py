@@ -236,8 +236,9 @@ def _mounts(spark, sf_dir):
     return mounts.mount_table(view(spark, sf_dir, "mounts"))
 
 
-def _probed(spark, sf_dir):
-    used = mounts.with_usage(_mounts(spark, sf_dir), mounts.usage_table(view(spark, sf_dir, "df_lines")))
+def _probed(spark, sf_dir, table=None):
+    table = _mounts(spark, sf_dir) if table is None else table
+    used = mounts.with_usage(table, mounts.usage_table(view(spark, sf_dir, "df_lines")))
     return mounts.with_probe(used, view(spark, sf_dir, "nfs_probes"))
 
 
@@ -606,7 +607,8 @@ def timers_digest(spark, sf_dir):
 
 
 @query("mounts_digest", oracle(f"""
-with {_MOUNTS}, {_USAGE}, n as (select *, row_number() over (partition by host order by mountpoint) as number from mp where not {_PSEUDO}),
+with {_MOUNTS.replace("mnt as (select host,", "mnt as (select line_no, host,")}, {_USAGE},
+n as (select *, row_number() over (partition by host order by line_no) as number from mp where not {_PSEUDO}),
 t as (select host, number, 'device:      ' || device || chr(10) || 'mountpoint:  ' || mountpoint || chr(10) || 'fstype:      ' || fstype || chr(10) || 'options:     ' || options
   || case when size <> '' then chr(10) || 'size:        ' || size || chr(10) || 'used:        ' || used || '  (' || use_percent || ')' || chr(10) || 'available:   ' || avail else '' end
   || case when {_NFS} then case when stale then chr(10) || 'nfs_status:  STALE' else chr(10) || 'nfs_status:  responsive' end else '' end || chr(10) as line from n),
@@ -615,8 +617,9 @@ select h.host, coalesce(page, 0) as page, coalesce(digest, '(no mount entries fo
     "mounts", "df_lines", "nfs_probes"))
 def mounts_digest(spark, sf_dir):
     all_hosts = view(spark, sf_dir, "mounts").select("host").distinct()
-    rows = _probed(spark, sf_dir).filter(~mounts.is_pseudo(F.col("fstype")))
-    return digests.paged_digest(rows, all_hosts, ["mountpoint"], F.substring("mountpoint", 1, 6),
+    table = mounts.mount_table(view(spark, sf_dir, "mounts"), keep_line_no=True)
+    rows = _probed(spark, sf_dir, table).filter(~mounts.is_pseudo(F.col("fstype")))
+    return digests.paged_digest(rows, all_hosts, ["line_no"], F.floor(F.col("line_no") / 4096),
                                 mounts.digest_line(), "(no mount entries found)")
 
 

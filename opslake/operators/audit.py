@@ -242,13 +242,11 @@ def baseline_counts(rows: DataFrame) -> DataFrame:
 
 def in_scope(files: DataFrame, dirs: Sequence[str] = (), depth: int = MAX_DEPTH) -> DataFrame:
     """Files below one of the watched directories, at most ``depth`` levels down."""
-    watched = [d.rstrip("/") for d in (dirs or DEFAULT_DIRS)]
-    roots = files.sparkSession.createDataFrame([(d,) for d in watched], "root string")
-    inside = F.col("path").startswith(F.concat(F.col("root"), F.lit("/")))
-    rel = F.substring(F.col("path"), F.length("root") + 2, F.length("path"))
-    near = F.size(F.split(rel, "/")) <= depth
-    # the directory list is an argument, so its size is known to be small
-    return files.join(F.broadcast(roots), inside & near, "left_semi")
+    def below(root: str) -> Column:
+        rel = F.substring(F.col("path"), F.lit(len(root) + 2), F.length("path"))
+        return F.col("path").startswith(root + "/") & (F.size(F.split(rel, "/")) <= depth)
+    # one predicate per directory of the argument: no join, and prefixes can reach the scan
+    return files.filter(reduce(lambda a, b: a | b, [below(d.rstrip("/")) for d in (dirs or DEFAULT_DIRS)]))
 
 
 def parse_dirs(raw: str) -> list[str]:

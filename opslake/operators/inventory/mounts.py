@@ -37,7 +37,7 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("\\")), F.unhex(joined).cast("string")).otherwise(c)
 
 
-def mount_table(df: DataFrame) -> DataFrame:
+def mount_table(df: DataFrame, keep_line_no: bool = False) -> DataFrame:
     """(host, device, mountpoint, fstype, options); the first line of a mount point wins."""
     rows = df.withColumn("line", trim(F.col("line"))).filter(~F.col("line").startswith("#"))
     rows = once(rows, "f", fields(F.col("line"))).filter(F.size("f") >= 4)
@@ -45,7 +45,8 @@ def mount_table(df: DataFrame) -> DataFrame:
     parsed = rows.select(
         "host", "line_no", unescape(field(f, 0)).alias("device"), unescape(field(f, 1)).alias("mountpoint"),
         field(f, 2).alias("fstype"), field(f, 3).alias("options"))
-    return first_per_key(parsed, ["host", "mountpoint"], F.col("line_no")).drop("line_no")
+    table = first_per_key(parsed, ["host", "mountpoint"], F.struct("line_no"))
+    return table if keep_line_no else table.drop("line_no")
 
 
 def human_blocks(text: Column) -> Column:
