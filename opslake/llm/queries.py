@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import simhash
+from opslake.llm import bpe, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,3 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op3_simhash_near_dedup")
 def op3(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_bpe_encode_decode")
+def op7(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_anchors")
+def op10(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))

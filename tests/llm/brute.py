@@ -30,3 +30,17 @@ def classes(ids, fps, radius=3):
                 a, b = sorted((find(ids[x]), find(ids[y])))
                 parent[b] = a
     return {i: find(i) for i in ids}
+
+
+def pii(text):
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+              if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c in "0123456789"]
+        odd = [x * 2 - 9 * (x > 4) for x in d[-2::-2]]
+        if 16 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(odd)) % 10 == 0:
+            found.append(("card", *m.span()))
+    found += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+              if 8 <= len(re.findall("[0-9]", m[0])) <= 15]
+    return found
