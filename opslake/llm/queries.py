@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, pii, simhash
+from opslake.llm import bpe, line_crf, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +40,9 @@ def op7(spark, sf_dir):
 @query("op10_pii_anchors")
 def op10(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_crf_quality")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))

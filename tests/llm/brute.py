@@ -44,3 +44,19 @@ def pii(text):
     found += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
               if 8 <= len(re.findall("[0-9]", m[0])) <= 15]
     return found
+
+
+def quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    times = {g: grams.count(g) for g in set(grams)} if len(grams) < 400 else __import__("collections").Counter(grams)
+    hit = {i + d for i, g in enumerate(grams) if times[g] > 1 for d in range(3)}
+    n = len(words)
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit),
+            n < 50 or 100 * len(hit) > 50 * n)
