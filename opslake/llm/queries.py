@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, line_crf, pii, simhash
+from opslake.llm import bpe, line_crf, pii, secret_ledger, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,3 +46,8 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_secret_ledger", secret_ledger.sql())
+def op4(spark, sf_dir):
+    return secret_ledger.scan_corpus(table(spark, sf_dir, "documents"))

@@ -60,3 +60,11 @@ def quality(text):
     n = len(words)
     return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit),
             n < 50 or 100 * len(hit) > 50 * n)
+
+
+def secrets(text):
+    kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+             ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16)]
+    found = [(m.start(), i, k, m.end()) for i, (k, p, g, least) in enumerate(kinds)
+             for m in re.finditer(p, text or "", re.ASCII) if len(m[g]) >= least]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
