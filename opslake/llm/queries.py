@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, line_crf, pii, secret_ledger, simhash
+from opslake.llm import bpe, line_crf, pii, secret_ledger, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc_revisits", warc.SQL)
+def op1(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
