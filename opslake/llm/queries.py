@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, line_crf, pii, secret_ledger, simhash, warc
+from opslake.llm import bpe, line_crf, pii, secret_ledger, simhash, suffix_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,11 @@ def op1(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

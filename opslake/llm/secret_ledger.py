@@ -12,6 +12,7 @@ and of the matches themselves, summed in order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -142,12 +143,16 @@ def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return report(docs, ledger, id_col=id_col, text_col=text_col)
 
 
+def _tag_if(least: int) -> Callable[[Column, Column], Column]:
+    return lambda match, tested: F.when(F.length(tested) >= least, F.lit(TAG)).otherwise(match)
+
+
 def redacted(text: Column, rules: list[Rule] = RULES) -> Column:
     """The text with every secret replaced by a tag, rule by rule."""
     for r in rules:
         found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
         tested = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)) if r.group else found
-        put = F.zip_with(found, tested, lambda m, g, least=r.least: F.when(F.length(g) >= least, F.lit(TAG)).otherwise(m))
+        put = F.zip_with(found, tested, _tag_if(r.least))
         whole = F.concat_ws("", F.flatten(F.zip_with(
             F.split(text, r.pattern, -1), put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
         text = F.when(text.rlike(r.pattern), whole).otherwise(text)

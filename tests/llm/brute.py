@@ -68,3 +68,19 @@ def secrets(text):
     found = [(m.start(), i, k, m.end()) for i, (k, p, g, least) in enumerate(kinds)
              for m in re.finditer(p, text or "", re.ASCII) if len(m[g]) >= least]
     return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def repeats(texts, width=200):
+    """(bytes, removed, spans, kept) of every text."""
+    import collections
+    data = [(t or "").encode() for t in texts]
+    times = collections.Counter(d[i:i + width] for d in data for i in range(len(d) - width + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - width + 1):
+            if times[d[i:i + width]] > 1:
+                gone[i:i + width] = b"\1" * width
+        spans = len(re.findall(b"\1+", bytes(gone)))
+        out.append((len(d), sum(gone), spans, bytes(c for c, g in zip(d, gone) if not g)))
+    return out
