@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, line_crf, pii, secret_ledger, simhash, suffix_dedup, warc
+from opslake.llm import (
+    bpe, decontaminate, line_crf, pii, secret_ledger, simhash, suffix_dedup, token_rollups, warc,
+)
+from opslake.plans.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,11 +45,22 @@ def op3(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_token_rollups", token_rollups.sql())
+def op6(spark, sf_dir):
+    return token_rollups.maintained(table(spark, sf_dir, "documents"), scratch_path(spark, "rollups"))
+
+
 @query("op7_bpe_encode_decode")
 def op7(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op9_decontamination")
+def op9(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_row")
+
+
 @query("op10_pii_anchors")
 def op10(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))

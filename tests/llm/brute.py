@@ -84,3 +84,24 @@ def repeats(texts, width=200):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((len(d), sum(gone), spans, bytes(c for c, g in zip(d, gone) if not g)))
     return out
+
+
+def semiglobal(item, text):
+    """Fewest edits of ``item`` anywhere in ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
