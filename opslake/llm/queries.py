@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opslake.llm import (
-    bpe, decontaminate, line_crf, pii, secret_ledger, simhash, suffix_dedup, token_rollups, warc,
+    bpe, decontaminate, hmm_lm, line_crf, pii, secret_ledger, simhash, suffix_dedup, token_rollups, warc,
 )
 from opslake.plans.session import scratch_path
 
@@ -55,6 +55,11 @@ def op7(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op8_hmm_scores")
+def op8(spark, sf_dir):
+    return hmm_lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op9_decontamination")
 def op9(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
