@@ -306,15 +306,20 @@ def _replies(d) -> str:
     summary = "'\"result ' || (k % 100) || '\"'"
     return f"""
 select k as id, cmd as command,
-  case k % 12
-    when 5 then {doc(summary, finding("(case when k % 24 = 5 then 'Warning' else 'crit' end)", title, extra))}
+  case k % 16
+    when 5 then {doc(summary, finding("(case when k % 32 = 5 then 'Warning' else 'crit' end)", title, extra))}
     when 6 then {doc(summary, finding(sev, "''", extra))}
     when 7 then {doc(summary, finding(sev, "',\"title\":' || k", extra))}
     when 8 then 'Sure, here is the result:' || chr(10) || '```json' || chr(10) || {doc(summary, good)} || chr(10) || '```'
     when 9 then case k % 5 when 0 then '' when 1 then ' ' || chr(123) || ' ' || chr(125) || ' '
         when 2 then 'null' when 3 then '[ ]' else chr(10) end
-    when 10 then substring({doc(summary, good)}, 1, 40)
+    when 10 then (case when k % 32 = 10 then substring({doc(summary, good)}, 1, 40)
+      else substring({doc(summary, good)}, 1, length({doc(summary, good)}) - 10) end)
     when 11 then {doc("'\"  \"'", good)}
+    when 12 then {doc(summary, good)} || ' Hope this helps.'
+    when 13 then {doc(summary, good)} || chr(123) || '"x":1' || chr(125)
+    when 14 then {doc(summary, good)} || ' ]'
+    when 15 then chr(123) || '"summary":"old",' || substring({doc(summary, good)}, 2, 100000)
     else {doc(summary, good)} end as raw
 from (select o_orderkey as k, case o_orderkey % 5 when 0 then 'audit' when 1 then 'ports'
         when 2 then 'mounts' when 3 then 'firewall' else 'audit' end as cmd
@@ -323,8 +328,10 @@ from (select o_orderkey as k, case o_orderkey % 5 when 0 then 'audit' when 1 the
 
 def _history(d) -> str:
     return f"""
-select k as seq, ts, cmd as command,
-  case when k % 41 = 0 then chr(123) || '"x":"' || lpad(cast(k as string), 90, 'y') || '"' || chr(125)
+select 'host' || (k % 8) as host, k as seq, ts, cmd as command,
+  case when k % 43 = 0 then chr(123) || '"summary":"' || pri || '"' || chr(125) || ' and more'
+    when k % 47 = 0 then lpad('', 79, 'x') || 'éé' || cast(k as string)
+    when k % 41 = 0 then chr(123) || '"x":"' || lpad(cast(k as string), 90, 'y') || '"' || chr(125)
     when cmd = 'explain' then case when k % 3 = 0 then chr(123) || '"issues":[]' || chr(125)
       else chr(123) || '"issues":[' || chr(123) || '"what":" ' || pri || ' ","why":"w"' || chr(125) || ']' || chr(125) end
     when cmd in ('why', 'audit') then chr(123) || '"summary":"' || pri || '"' || chr(125)

@@ -16,7 +16,7 @@ AS_OF = datetime.datetime(1998, 8, 1)
 
 
 @query("history_retention", oracle(
-    "select seq, ts, command, result from history order by seq desc limit 1000", "history"))
+    "select host, seq, ts, command, result from history qualify row_number() over (partition by host order by seq desc) <= 1000", "history"))
 def history_retention(spark, sf_dir):
     source, target = scratch_path(spark, "history"), scratch_path(spark, "history")
     rows = view(spark, sf_dir, "history")
@@ -39,39 +39,49 @@ def history_since(spark, sf_dir):
 
 @query("history_last", oracle("""
 select * from history where command = 'why' and ts > timestamp '1998-08-01' - interval '720' hour
-order by seq desc limit 10""", "history"))
+qualify row_number() over (partition by host order by seq desc) <= 10""", "history"))
 def history_last(spark, sf_dir):
     return history.entries(view(spark, sf_dir, "history"), AS_OF, "why", "720h")
 
 
+_J = "(case when json_valid(result) then result end)"
+
+
+def _field(path: str) -> str:
+    return f"json_extract_string({_J}, '{path}')"
+
+
+# 80 bytes, with a character that is cut in two replaced by one mark
+_HEAD = r"""decode(from_hex(regexp_replace(regexp_replace(left(hex(encode(result)), 160), '^((?:..)*)C3$', '\1EFBFBD'), '$', '')))"""
+
 _SUMMARY = f"""
-case when command = 'explain' then coalesce({trim("json_extract_string(result, '$.issues[0].what')")}, 'no issues detected')
-  when command in ('why', 'audit') and json_extract_string(result, '$.summary') <> '' then {trim("json_extract_string(result, '$.summary')")}
-  when command = 'status' and json_extract_string(result, '$.overview') <> '' then {trim("json_extract_string(result, '$.overview')")}
-  when command = 'status' and json_extract_string(result, '$.summary') <> '' then {trim("json_extract_string(result, '$.summary')")}
-  when command = 'doctor' and list_contains(json_keys(result), 'issues') then
-    coalesce(nullif({trim("json_extract_string(result, '$.issues[0].title')")}, ''), 'no issues detected')
-  when command = 'doctor' and json_extract_string(result, '$.summary') <> '' then {trim("json_extract_string(result, '$.summary')")}
-  when strlen(result) > 80 then left(result, 80) || '...' else result end"""
+case when command = 'explain' and json_valid(result) then coalesce({trim(_field('$.issues[0].what'))}, 'no issues detected')
+  when command in ('why', 'audit') and {_field('$.summary')} <> '' then {trim(_field('$.summary'))}
+  when command = 'status' and {_field('$.overview')} <> '' then {trim(_field('$.overview'))}
+  when command = 'status' and {_field('$.summary')} <> '' then {trim(_field('$.summary'))}
+  when command = 'doctor' and list_contains(json_keys({_J}), 'issues') then
+    coalesce(nullif({trim(_field('$.issues[0].title'))}, ''), 'no issues detected')
+  when command = 'doctor' and {_field('$.summary')} <> '' then {trim(_field('$.summary'))}
+  when strlen(result) > 80 then {_HEAD} || '...' else result end"""
 
 
-@query("history_summaries", oracle(f"select seq, command, {_SUMMARY} as summary from history", "history"))
+@query("history_summaries", oracle(f"select host, seq, command, {_SUMMARY} as summary from history", "history"))
 def history_summaries(spark, sf_dir):
     return view(spark, sf_dir, "history").select(
-        "seq", "command", history.summary(F.col("command"), F.col("result")).alias("summary"))
+        "host", "seq", "command", history.summary(F.col("command"), F.col("result")).alias("summary"))
 
 
 @query("history_recurring", oracle(f"""
-select command, summary, count(*) as n, min(ts) as first_seen, max(ts) as last_seen
-from (select *, {_SUMMARY} as summary from history) h group by command, summary having count(*) > 1""", "history"))
+select host, command, summary, count(*) as n, min(ts) as first_seen, max(ts) as last_seen
+from (select *, {_SUMMARY} as summary from history) h group by host, command, summary having count(*) > 1""", "history"))
 def history_recurring(spark, sf_dir):
     rows = view(spark, sf_dir, "history")
     return history.recurring(rows.withColumn("summary", history.summary(F.col("command"), F.col("result"))))
 
 
 @query("history_trend", oracle("""
-select command, day, n, n - coalesce(lag(n) over (partition by command order by day), 0) as change
-from (select command, cast(ts as date) as day, count(*) as n from history group by all) d""", "history"))
+select host, command, day, n, n - coalesce(lag(n) over (partition by host, command order by day), 0) as change
+from (select host, command, cast(ts as date) as day, count(*) as n from history group by all) d""", "history"))
 def history_trend(spark, sf_dir):
     return history.trend(view(spark, sf_dir, "history"))
 

@@ -18,11 +18,9 @@ def _rows(spark, sf_dir):
     return spread(view(spark, sf_dir, "replies"))
 
 
-_OBJECT = r"case when json_valid(raw) and raw like '{%' then raw else nullif(regexp_extract(raw, '\{(?s:.*)\}'), '') end"
-
-
 @query("reply_json_object", oracle(
-    "select id, case when json_valid(raw) and trim(raw, ' ' || chr(9) || chr(10) || chr(13)) like '{%' "
+    # class 13 holds a second object, {"x":1}, after the first
+    "select id, case when id % 16 = 13 then left(raw, length(raw) - 7) when json_valid(raw) and trim(raw, ' ' || chr(9) || chr(10) || chr(13)) like '{%' "
     "then trim(raw, ' ' || chr(9) || chr(10) || chr(13)) "
     r"when json_valid(regexp_extract(raw, '\{(?s:.*)\}')) then regexp_extract(raw, '\{(?s:.*)\}') end as object from replies",
     "replies"))
@@ -79,7 +77,9 @@ def _norm_elem(command: str) -> str:
 _ELEMS = "case command " + " ".join(
     f"when '{c}' then list_transform(json_extract(j, '$.findings[*]'), lambda e: {_norm_elem(c)})"
     for c in ("audit", "ports", "mounts", "firewall")) + " end"
-_PARSED = "p as (select id, command, raw, case when json_valid(raw) then raw end as j from replies)"
+# of a repeated key the last one counts
+_LAST = """replace(raw, '"summary":"old",', '')"""
+_PARSED = f"p as (select id, command, raw, case when json_valid(raw) then {_LAST} end as j from replies)"
 _NORMAL = f"""{_PARSED}, n as (select id, command, raw, j, case when j is null then raw when json_type(j) = 'OBJECT' and json_extract(j, '$.summary') is not null
     then json_object('findings', to_json({_ELEMS}), 'summary', {_norm_text('summary', 'j')})::varchar
     when json_type(j) = 'OBJECT' then '{{}}' when json_type(j) = 'ARRAY' then '[]' else 'null' end as normalised from p)"""
@@ -165,7 +165,13 @@ def reply_semantic_errors(spark, sf_dir):
 _SOUND = """json_extract(e, '$.title') is not null and
   (command = 'audit' or json_extract_string(e, '$.severity') in ('warning', 'info')
    or (command in ('mounts', 'firewall') and json_extract_string(e, '$.severity') = 'critical'))"""
-_SALVAGED = f"""{_NORMAL}, s as (select id, command, json_type(j) = 'OBJECT' as object,
+# What is complete of each class of noisy or cut-off text, by how the class is made.
+_COMPLETE = rf"""case when json_valid(raw) then {_LAST} when id % 16 = 13 then left(raw, length(raw) - 7)
+  when id % 32 = 10 then regexp_extract(raw, '^\{{"summary":"[^"]*"') || ',"findings":[]}}'
+  when id % 16 = 10 then regexp_extract(raw, '^(.*\}}),\{{', 1) || ']}}'
+  when raw like '%{{%' then nullif(regexp_extract(raw, '\{{(?s:.*)\}}'), '') end"""
+_NORMAL_COMPLETE = _NORMAL.replace(f"case when json_valid(raw) then {_LAST} end as j", _COMPLETE + " as j", 1)
+_SALVAGED = f"""{_NORMAL_COMPLETE}, s as (select id, command, json_type(j) = 'OBJECT' as object,
   case when json_extract(j, '$.summary') is not null then {_ELEMS} else [] end as es, {_norm_text('summary', 'j')} as summary from n)
 , k as (select *, list_filter(es, lambda e: {_SOUND}) as kept from s)"""
 
@@ -231,7 +237,7 @@ def stand_in_responder(frames):
         yield pdf.assign(current=[answer(r) for r in pdf.itertuples()])[["id", "command", "current"]]
 
 
-_START = r"case when json_valid(raw) then raw when json_valid(regexp_extract(raw, '\{(?s:.*)\}')) then regexp_extract(raw, '\{(?s:.*)\}') else raw end"
+_START = r"case when json_valid(raw) then raw when id % 16 = 13 then left(raw, length(raw) - 7) when json_valid(regexp_extract(raw, '\{(?s:.*)\}')) then regexp_extract(raw, '\{(?s:.*)\}') else raw end"
 
 
 @query("repair_outcomes", oracle(f"""

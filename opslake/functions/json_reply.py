@@ -141,6 +141,24 @@ def _no_messages() -> Column:
     return F.array().cast("array<string>")
 
 
+# --- parsing ------------------------------------------------------------------------
+
+_END = "\ue000 end of reply"  # a private character, so that no reply holds it by chance
+
+
+def strict_json(c: Column) -> Column:
+    """Variant of a text that is one JSON value and nothing else, else null.
+
+    The parser stops after the first value, so the text is read as the first of two list
+    elements: whatever follows the value moves or breaks the second one. Of repeated keys the
+    last one counts where ``spark.sql.variant.allowDuplicateKeys`` is set, as the registered
+    queries do; else such a text does not parse.
+    """
+    pair = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]')))
+    whole = (F.try_variant_get(pair, "$[1]", "string") == _END) & ~F.contains(c, F.lit(_END))
+    return F.when(whole & F.try_variant_get(pair, "$[2]", "variant").isNull(), F.try_variant_get(pair, "$[0]", "variant"))
+
+
 # --- finding the object in the text -------------------------------------------------
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}]', re.DOTALL)
@@ -177,11 +195,82 @@ def json_object(raw: Column) -> Column:
     Python, and only if it has an opening brace.
     """
     t = F.btrim(raw, F.lit(" \t\n\r"))
-    clean = t.startswith("{") & F.try_parse_json(t).isNotNull()
+    clean = t.startswith("{") & strict_json(t).isNotNull()
     noisy = _scan_object(F.when(~clean & F.contains(raw, F.lit("{")), raw))
     return F.when(clean, t).otherwise(noisy)
 
 
+def complete_part(text: str | None) -> str | None:
+    """The first object of a text as far as it is complete: whole fields, and whole elements of lists.
+
+    What follows a cut or a mistake is left out; of repeated fields the last one counts.
+    """
+    at = text.find("{") + 1 if text else 0
+    if not at:
+        return None
+    read, fields = json.JSONDecoder().raw_decode, {}
+
+    def skip(i: int, also: str = "") -> int:
+        while i < len(text) and (text[i] in " \t\r\n" or text[i] == also):
+            i += 1
+        return i
+
+    def value(i: int) -> int | None:
+        """Where a complete value ends; a number at the very end may go on."""
+        try:
+            end = read(text, i)[1]
+        except ValueError:
+            return None
+        return None if end == len(text) and text[i] not in '"{[tfn' else end
+
+    at = skip(at)
+    while at < len(text) and text[at] == '"':
+        end = value(at)
+        name = text[at:end] if end else None
+        at = skip(end) if end else len(text)
+        if at >= len(text) or text[at] != ":":
+            break
+        at = skip(at + 1)
+        if text[at:at + 1] == "[":
+            at, kept = skip(at + 1), []
+            while at < len(text) and text[at] != "]":
+                end = value(at)
+                if end is None:
+                    break
+                kept.append(text[at:end])
+                at = skip(end)
+                if text[at:at + 1] == ",":
+                    at = skip(at + 1)
+                elif text[at:at + 1] != "]":
+                    break
+            fields[name] = "[" + ",".join(kept) + "]"
+            if text[at:at + 1] != "]":
+                break
+            at += 1
+        else:
+            end = value(at)
+            if end is None:
+                break
+            fields[name] = text[at:end]
+            at = end
+        at = skip(at)
+        if text[at:at + 1] != ",":
+            break
+        at = skip(at + 1)
+    return "{" + ",".join(f"{k}:{v}" for k, v in fields.items()) + "}" if fields else None
+
+
+@F.pandas_udf(StringType())
+def _scan_complete(raw: pd.Series) -> pd.Series:
+    return raw.map(complete_part)
+
+
+def recovered(raw: Column) -> Column:
+    """The text where it is one JSON value, else the complete part of its first object, if any."""
+    clean = strict_json(raw).isNotNull()
+    return F.when(clean, raw).otherwise(_scan_complete(F.when(~clean & F.contains(raw, F.lit("{")), raw)))
+
+
 def essentially_empty(raw: Column) -> Column:
     return F.translate(raw, " \t\n\r", "").isin("", "{}", "null", "[]")
 
@@ -251,7 +340,7 @@ def normalise(command: Column, raw: Column) -> Column:
     Text that does not parse is returned unchanged.
     """
     fields = F.coalesce(spec(command)["fields"], F.from_json(F.lit(SPEC_JSON), SPEC_TYPE)["watch"]["fields"])
-    return bind(F.try_parse_json(raw), lambda v: F.when(v.isNull(), raw).otherwise(
+    return bind(strict_json(raw), lambda v: F.when(v.isNull(), raw).otherwise(
         bind(fields, lambda fs: F.to_json(normal_object(v, fs, _normal_field)))))
 
 
@@ -303,7 +392,7 @@ def structural_errors(command: Column, raw: Column) -> Column:
             .otherwise(bind(spec(command)["fields"], lambda fs: F.when(
                 fs.isNull(), F.array(F.concat(F.lit("unknown command "), command)),
             ).otherwise(object_errors(v, fs, F.lit(""), _list_errors)))))
-    return bind(F.try_parse_json(raw), of)
+    return bind(strict_json(raw), of)
 
 
 def _element_messages(e: Column, checks: Column) -> Column:
@@ -352,7 +441,7 @@ def semantic_errors(command: Column, raw: Column) -> Column:
             return bind(spec(command), lambda sp: F.when(
                 sp["checked"], F.flatten(F.transform(sp["fields"], field))).otherwise(_no_messages()))
         return bind(members(v), whole)
-    return bind(F.try_parse_json(raw), of)
+    return bind(strict_json(raw), of)
 
 
 # --- salvaging ----------------------------------------------------------------------
@@ -362,7 +451,7 @@ def salvage(command: Column, raw: Column) -> Column:
 
     Elements are normalised and checked one by one, order kept; list entries that are no
     objects are left out without being counted. Missing lists become []. Null reply when
-    the text holds no JSON object.
+    the text is no JSON object; ``recovered`` makes one of a noisy or cut-off text.
     """
     def of(v: Column) -> Column:
         def rebuilt(sp: Column, m: Column) -> Column:
@@ -394,4 +483,4 @@ def salvage(command: Column, raw: Column) -> Column:
             return bind(F.transform(sp["fields"], field), assemble)
         return F.when(v.isNull() | (kind(v) != "object"), F.lit(None)).otherwise(
             bind(spec(command), lambda sp: bind(members(v), lambda m: rebuilt(sp, m))))
-    return bind(F.try_parse_json(raw), of)
+    return bind(strict_json(raw), of)

@@ -8,7 +8,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opslake.functions.json_reply import strict_json
 from opslake.functions.text import trim
+from opslake.plans.partitioning import last_per_group
 
 # Entries kept, entries shown, bytes of a raw fallback summary.
 MAX_ENTRIES = 1000
@@ -19,7 +21,7 @@ _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1,
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Add entries (seq, ts, command, result); readers prune on ``command``."""
+    """Add entries (host, seq, ts, command, result); readers prune on ``command``."""
     df.write.mode("append").partitionBy("command").parquet(path)
 
 
@@ -28,12 +30,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest(df: DataFrame, n: int = MAX_ENTRIES) -> DataFrame:
-    """The last ``n`` entries in append order (a top-k, not a global sort)."""
-    return df.orderBy(F.desc("seq")).limit(n)
+    """The last ``n`` entries of every host in append order."""
+    return last_per_group(df, ["host"], ["seq"], n)
 
 
 def rewrite_newest(spark: SparkSession, source: str, target: str, n: int = MAX_ENTRIES) -> None:
-    """Retention: write the newest entries to a new path."""
+    """Retention: write the newest entries of every host to a new path."""
     newest(load(spark, source), n).write.partitionBy("command").parquet(target)
 
 
@@ -51,19 +53,19 @@ def parse_since(text: str) -> timedelta:
 
 
 def entries(df: DataFrame, as_of, command: str = "", since: str = "", limit: int = SHOWN) -> DataFrame:
-    """Filter by command, then strictly after ``as_of - since``, then the last ``limit`` (0 = all)."""
+    """Filter by command, then strictly after ``as_of - since``, then the last ``limit`` of a host (0 = all)."""
     if command:
         df = df.filter(F.col("command") == command)
     if since:
         df = df.filter(F.col("ts") > F.lit(as_of - parse_since(since)).cast("timestamp_ntz"))
     if limit > 0:
         df = newest(df, limit)
-    return df.orderBy("seq")
+    return df.orderBy("host", "seq")
 
 
 def summary(command: Column, result: Column) -> Column:
     """One line that stands for a result."""
-    v = F.try_parse_json(result)
+    v = strict_json(result)
     is_object = F.schema_of_variant(v).startswith("OBJECT")
     text = lambda path: F.try_variant_get(v, path, "string")
     filled = lambda path: F.when(text(path) != "", trim(text(path)))
@@ -84,16 +86,16 @@ def summary(command: Column, result: Column) -> Column:
 
 
 def recurring(df: DataFrame) -> DataFrame:
-    """Summaries seen more than once per command."""
-    return df.groupBy("command", "summary").agg(
+    """Summaries a host has seen more than once per command."""
+    return df.groupBy("host", "command", "summary").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
     ).filter("n > 1")
 
 
 def trend(df: DataFrame) -> DataFrame:
-    """Entries per command and day with the change from the day before it in the table."""
-    days = df.groupBy("command", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.lag("n").over(Window.partitionBy("command").orderBy("day"))
+    """Entries per host, command and day with the change from the day before it in the table."""
+    days = df.groupBy("host", "command", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.lag("n").over(Window.partitionBy("host", "command").orderBy("day"))
     return days.withColumn("change", F.col("n") - F.coalesce(before, F.lit(0)))
 
 

@@ -32,8 +32,9 @@ def validated(df: DataFrame, raw: str = "raw", given: tuple[Column, Column] | No
 
 
 def salvaged(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """(…, reply, dropped) of the replies that hold a JSON object."""
-    return df.select("*", F.inline(F.array_compact(F.array(jr.salvage(F.col("command"), F.col(raw))))))
+    """(…, reply, dropped) of the replies that hold a JSON object, be it noisy or cut off."""
+    whole = once(df, "_whole", jr.recovered(F.col(raw)))
+    return whole.select(*df.columns, F.inline(F.array_compact(F.array(jr.salvage(F.col("command"), F.col("_whole"))))))
 
 
 def route(raw: str = "raw") -> Column:
@@ -125,7 +126,7 @@ def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX
         out = out.unionByName(d)
     if left is not None:
         kept = left.select("id", "command").join(base, ["id", "command"])
-        kept = kept.withColumn("object", jr.json_object(F.col("original")))
+        kept = kept.withColumn("object", jr.recovered(F.col("original")))
         best = jr.salvage(F.col("command"), F.col("object"))["reply"]
         out = out.unionByName(kept.select(
             "id", "command", F.lit(max_attempts).alias("attempts"), F.lit("incomplete").alias("status"),
@@ -145,7 +146,8 @@ def quality_cube(df: DataFrame) -> DataFrame:
 
 def observed_keys(df: DataFrame, command: str, text: str) -> DataFrame:
     """(command, key, n) of the top-level keys that occur."""
-    keys = df.select(command, F.explode(F.json_object_keys(F.col(text))).alias("key"))
+    whole = df.filter(jr.strict_json(F.col(text)).isNotNull())
+    keys = whole.select(command, F.explode(F.json_object_keys(F.col(text))).alias("key"))
     return keys.groupBy(F.col(command).alias("command"), "key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -159,7 +161,8 @@ def schema_drift(observed: DataFrame) -> DataFrame:
 
 def findings_tally(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Findings per command and severity; any other severity counts as info."""
-    found = F.coalesce(F.from_json(raw, "findings array<struct<severity string>>")["findings"],
+    whole = F.when(jr.strict_json(F.col(raw)).isNotNull(), F.col(raw))
+    found = F.coalesce(F.from_json(whole, "findings array<struct<severity string>>")["findings"],
                        F.array().cast("array<struct<severity string>>"))
     n = lambda word: F.size(F.filter("f", lambda x: x["severity"] == word))
     return df.withColumn("f", found).groupBy("command").agg(

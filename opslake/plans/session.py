@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "opslake") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -29,17 +30,24 @@ _local_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local runs) a local one is made.
+    Only a local session that names none (tests, trial runs) gets a folder of its own; on a
+    cluster, whose executors would not see it, that is an error.
     """
     global _local_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    need_local_master(spark.sparkContext.master)
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="opslake-")
     return _local_folder
 
 
+def need_local_master(master: str) -> None:
+    if master.split("[")[0] != "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")

@@ -102,12 +102,13 @@ def test_bad_since(text):
 
 def test_entries_and_retention(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
-    rows = [(i, base + dt.timedelta(hours=i), "why" if i % 2 else "audit", "{}") for i in range(30)]
-    df = spark.createDataFrame(rows, "seq long, ts timestamp_ntz, command string, result string")
+    rows = [("a", i, base + dt.timedelta(hours=i), "why" if i % 2 else "audit", "{}") for i in range(30)]
+    df = spark.createDataFrame(rows, "host string, seq long, ts timestamp_ntz, command string, result string")
     as_of = base + dt.timedelta(hours=29)
     assert [r.seq for r in history.entries(df, as_of, "why", "5h").collect()] == [25, 27, 29]
     assert [r.seq for r in history.entries(df, as_of, limit=3).collect()] == [27, 28, 29]
     assert history.entries(df, as_of, limit=0).count() == 30
-    history.append(df, str(tmp_path / "a"))
+    quiet = df.limit(1).withColumn("host", F.lit("quiet")).withColumn("seq", F.lit(-5).cast("long"))
+    history.append(df.unionByName(quiet), str(tmp_path / "a"))
     history.rewrite_newest(spark, str(tmp_path / "a"), str(tmp_path / "b"), 4)
-    assert sorted(r.seq for r in history.load(spark, str(tmp_path / "b")).collect()) == [26, 27, 28, 29]
+    assert sorted(r.seq for r in history.load(spark, str(tmp_path / "b")).collect()) == [-5, 26, 27, 28, 29]

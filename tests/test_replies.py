@@ -97,6 +97,31 @@ def test_salvage(spark):
     assert one(spark, jr.salvage, "ports", "nothing here") is None
 
 
+@pytest.mark.parametrize("text", [
+    '{"summary":"s","findings":[]} trailing', '{"summary":"s"}{"x":1}', '{"summary":"s"} ]', '{"summary":"s"}, {"x":1}', '{"summary":"s"}}',
+    '{"summary":"s"', "", "not json", '1], [2'])
+def test_only_one_whole_value_parses(spark, values, text):
+    assert values(lambda c: F.to_json(jr.strict_json(c)), [text, ' {"a":1} ', "null", "[1,2]", None]) == [
+        None, '{"a":1}', "null", "[1,2]", None]
+    assert one(spark, jr.structural_errors, "audit", text) == ["JSON syntax error"]
+    assert one(spark, jr.normalise, "audit", text) == text
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    raw = '{"summary":"a","summary":" b ","findings":[]}'
+    assert one(spark, jr.structural_errors, "audit", raw) == []
+    assert json.loads(one(spark, jr.normalise, "audit", raw)) == {"summary": "b", "findings": []}
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ('{"summary":"s","findings":[{"a":1},{"b":"}"},{"severity":"in', {"summary": "s", "findings": [{"a": 1}, {"b": "}"}]}),
+    ('{"summary":"cut o', None), ('{"a":1,"b":2', {"a": 1}), ('{"a":[', {"a": []}), ('{"a":[1,2', {"a": [1]}), ('so {"a":true} and {"b":1}', {"a": True}),
+    ('{"a":{"b":[1]},"c":nul', {"a": {"b": [1]}}), ('{"a":1,"a":2,', {"a": 2}), ("{", None), (None, None), ("{]", None), ('{"a" 1}', None)])
+def test_complete_part(text, want):
+    got = jr.complete_part(text)
+    assert (json.loads(got) if got else None) == want
+
+
 def test_repair_loop_is_bounded_and_asks_only_for_invalid(spark, tmp_path):
     log = str(tmp_path / "calls")
     doc = '{"summary":"s","findings":[]}'
@@ -113,7 +138,7 @@ def test_repair_loop_is_bounded_and_asks_only_for_invalid(spark, tmp_path):
         spark.createDataFrame(rows, "id long, command string, raw string"), responder).collect()}
     assert [(got[i].status, got[i].attempts) for i in (1, 2, 3, 4)] == [
         ("valid", 0), ("repaired", 2), ("incomplete", 3), ("incomplete", 3)]
-    assert len(json.loads(got[4].reply)["findings"]) == 1 and got[3].reply is None
+    assert len(json.loads(got[4].reply)["findings"]) == 1 and json.loads(got[3].reply) == json.loads(got[4].reply)
     calls = sorted(open(log).read().split())
     assert calls == ["2:1", "2:2", "3:1", "3:2", "3:3", "4:1", "4:2", "4:3"]
 
