@@ -235,7 +235,8 @@ def _stage(rows: DataFrame) -> DataFrame:
     """The texts as bytes in a table bucketed by row key, in the shared folder."""
     spark = rows.sparkSession
     total = rows.select(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, total // BUCKET_BYTES, 1)
+    # with fewer buckets than shuffle partitions the joins would deal the texts anew
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES, 1)
     name = f"texts_{uuid.uuid4().hex}"
     (rows.select("_row", "_id", F.coalesce(F.encode("_text", "UTF-8"), F.lit(b"")).alias("data"))
      .repartition(buckets, "_row").write.bucketBy(buckets, "_row").option("compression", "zstd")
