@@ -61,8 +61,10 @@ def sub(expr: str, pattern: str, repl: str) -> str:
 def mask_ipv6(expr: str) -> str:
     # addresses first, each pass on text the earlier passes cannot produce
     kept = (rf"({_MAPPED})|{_FULL}|({_SHORT})|{_LONG_LEAD}|({_MAPPED_LEAD})|{_LEAD}|{_TRAIL}")
-    marked = f"regexp_replace({expr}, {quote(kept)}, chr(2) || '\\1\\2\\3' || chr(3), 'g')"
-    return f"translate(replace({marked}, chr(2) || chr(3), '<IPV6>'), chr(2) || chr(3), '')"
+    groups = " || ".join(f"coalesce(regexp_extract_all(t, {quote(kept)}, {g})[i], '')" for g in (1, 2, 3))
+    pieces = f"string_split_regex(t, {quote(kept)})"
+    return (f"list_transform([{expr}], lambda t: array_to_string(list_transform(range(1, len({pieces}) + 1), "
+            f"lambda i: {pieces}[i] || case when i = len({pieces}) then '' when {groups} = '' then '<IPV6>' else {groups} end), ''))[1]")
 
 
 def rule(name: str, expr: str) -> str:

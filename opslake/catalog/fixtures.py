@@ -94,7 +94,8 @@ select event_id as seq,
   || case event_id % 5 when 0 then ' via ::1 dev eth0' when 1 then ' std::vector::iterator'
        when 2 then ' mapped ::ffff:' || (event_id % 90) || ':' || (user_id % 90)
        when 3 then ' at 12:30:' || (event_id % 60) || ' from fe80::1ff:fe23:4567:890a'
-       else ' net ' || (event_id % 1000) || ':' || (user_id % 1000) || ':: up' end as message
+       else ' net ' || (event_id % 1000) || ':' || (user_id % 1000) || ':: up' end
+  || case event_id % 7 when 0 then chr(2) || chr(3) || ' a' || chr(2) || 'b ::2' || chr(3) else '' end as message
 from {d.t('events')}"""
 
 

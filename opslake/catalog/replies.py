@@ -255,7 +255,7 @@ def repair_outcomes(spark, sf_dir):
 
 @query("schema_drift", oracle("""
 with seen as (select command, unnest(json_keys(case when json_valid(raw) and json_type(raw) = 'OBJECT' then raw end)) as key from replies
-    where json_valid(raw) union all select command, unnest(json_keys(result)) from history)
+    where json_valid(raw) union all select command, unnest(json_keys(case when json_valid(result) then result end)) from history)
 select command, key, count(*) as n from seen
 where (command, key) not in (values ('explain', 'issues'), ('why', 'summary'), ('why', 'chain'), ('why', 'next_steps'),
   ('doctor', 'issues'), ('doctor', 'actions'), ('doctor', 'summary'), ('status', 'overview'), ('status', 'anomalies'), ('status', 'summary'),

@@ -25,7 +25,7 @@ PATTERNS = {
     "journal_mark": r"(?md)^-- (?:Boot|Logs begin|No entries|Reboot)[^\n]*",
     "pid_tag": r"\[\d{2,}\][\t\n\f\r ]*",
     "syslog_host": r"(?md)^([A-Za-z0-9_.-]+) ([A-Za-z0-9_./+-]+(?:\[\d+\])?:)",
-    "url": rf"(?iu){WB}(?:https?|ftp|rsync|file)://[^{STOP}]+",
+    "url": rf"{WB}(?iu:https?|ftp|rsync|file)://[^{STOP}]+",
     # \G or a non-local-part character before: same matches, no restart inside a long token
     "email": r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     "mac": rf"{WB}(?:[0-9a-fA-F]{{2}}:){{5}}[0-9a-fA-F]{{2}}{WE}",
@@ -49,7 +49,7 @@ PATTERNS = {
     "error_word": rf"(?i){WB}(?:error|fatal|fail(?:ed|ure)?|panic|critical|emerg){WE}",
     "warn_word": rf"(?i){WB}warn(?:ing)?{WE}",
     "scriptlet_word": r"(?iu)scriptlet|%(?:pre|post|preun|postun)|update-alternatives",
-    "transaction_word": rf"(?iu){WB}(?:installed|upgraded|removed|reinstalled|obsoleted|downgraded){WE}",
+    "transaction_word": rf"{WB}(?iu:installed|upgraded|removed|reinstalled|obsoleted|downgraded){WE}",
     "debug_word": rf"(?i){WB}(?:debug|trace){WE}",
 }
 
@@ -105,9 +105,13 @@ IPV6_CANDIDATE = (
 
 
 def _mask_ipv6(c: Column) -> Column:
-    marked = F.regexp_replace(c, F.lit(IPV6_CANDIDATE), F.lit("\x02$1\x03"))
-    tagged = F.replace(marked, F.lit("\x02\x03"), F.lit("<IPV6>"))
-    return F.translate(tagged, "\x02\x03", "")
+    def put(piece: Column, kept: Column) -> Column:
+        return F.concat(piece, F.when(kept.isNull(), "").when(kept == "", "<IPV6>").otherwise(kept))
+
+    def masked(t: Column) -> Column:
+        kept = F.regexp_extract_all(t, F.lit(IPV6_CANDIDATE), F.lit(1))
+        return F.concat_ws("", F.zip_with(F.split(t, IPV6_CANDIDATE, -1), kept, put))
+    return bind(c, lambda t: F.when(t.rlike(IPV6_CANDIDATE), masked(t)).otherwise(t))
 
 
 def classify_line(line: Column) -> Column:

@@ -124,7 +124,7 @@ def iptables_rules(df: DataFrame) -> DataFrame:
         rows, "iptables", chain=F.col("chain_name"),
         action=F.when(header, F.upper(policy)).otherwise(field(f, 0)),
         protocol=F.when(header, "").when(proto == "0", "all").otherwise(proto),
-        port=F.when(header | (F.size(ports) == 0), "").otherwise(F.substring(F.element_at(ports, -1), 5, 100)),
+        port=F.when(header | (F.size(ports) == 0), "").otherwise(F.substring(F.element_at(ports, -1), F.lit(5), F.length("line"))),
         source=F.when(header, "").otherwise(field(f, 3)),
         comment=F.when(header, "default policy").otherwise(""))
 

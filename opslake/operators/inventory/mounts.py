@@ -31,7 +31,7 @@ def unescape(c: Column) -> Column:
         code = F.conv(F.substring(p, 1, 3), 8, 10).cast("int").bitwiseAND(255)
         return (
             F.when(i == 0, F.hex(p))
-            .when(p.rlike("^[0-7]{3}"), F.concat(F.lpad(F.hex(code), 2, "0"), F.hex(F.substring(p, 4, 100000))))
+            .when(p.rlike("^[0-7]{3}"), F.concat(F.lpad(F.hex(code), 2, "0"), F.hex(F.substring(p, F.lit(4), F.length(p)))))
             .otherwise(F.concat(F.lit("5C"), F.hex(p))))
     joined = F.array_join(F.transform(F.split(c, r"\\"), piece), "")
     return F.when(F.contains(c, F.lit("\\")), F.unhex(joined).cast("string")).otherwise(c)

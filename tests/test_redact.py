@@ -105,3 +105,14 @@ def test_any_text_is_handled_and_stable(values):
     assert None not in got and got[0] == ""
     assert not [g for g in got[len(texts):] if "bob@example.com" in g or "10.1.2.3" in g]
     assert values(sanitise, texts) == got[:len(texts)]
+
+
+def test_control_characters_stay(values):
+    texts = ["plain \x02\x03 ::1", "a\x02b 2001:db8::1", "std::vector::x \x03", None]
+    assert values(BY_NAME["mask-ipv6"].apply, texts) == ["plain \x02\x03 <IPV6>", "a\x02b <IPV6>1", "std::vector::x \x03", None]
+
+
+def test_letters_that_fold_are_no_word_characters(values):
+    assert values(BY_NAME["mask-urls"].apply, ["ſhttp://a.b/c", "Khttps://a.b/c", "xhttp://a.b/c"]) == [
+        "ſ<URL>", "K<URL>", "xhttp://a.b/c"]
+    assert values(redact.classify_line, ["ſinstalled x"]) == ["<TRANSACTION> ſinstalled x"]
