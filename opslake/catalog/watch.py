@@ -9,6 +9,7 @@ from opslake.catalog import duck
 from opslake.catalog.base import query, table
 from opslake.catalog.fixtures import VIEWS, SparkDialect, oracle, view
 from opslake.functions.redact import actionable, sanitise_line
+from opslake.functions.text import once
 from opslake.operators import batching
 from opslake.plans.partitioning import spread
 from opslake.plans.session import scratch_path
@@ -30,15 +31,17 @@ class _StreamDialect(SparkDialect):
 
 
 def journal_stream(spark, sf_dir) -> DataFrame:
-    # one small file here; a real feed has as many splits as its topic has partitions
-    feed = event_stream(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    feed = event_stream(spark, sf_dir)
+    cores = spark.sparkContext.defaultParallelism
+    if table(spark, sf_dir, "events").rdd.getNumPartitions() < cores:  # one small file; a real feed has splits enough
+        feed = feed.repartition(cores)
     feed.createOrReplaceTempView("stream_events")
     return spark.sql(VIEWS["journal"](_StreamDialect(sf_dir)))
 
 
 def _classified(spark, sf_dir) -> DataFrame:
     rows = spread(view(spark, sf_dir, "journal").select("seq", "ts", "host", "service", "raw"))
-    return rows.select("seq", "ts", "host", "service", sanitise_line(F.col("raw")).alias("tagged")).filter("tagged <> ''")
+    return once(rows, "tagged", sanitise_line(F.col("raw"))).drop("raw").filter("tagged <> ''")
 
 
 @query("stream_classified", oracle(
@@ -135,10 +138,30 @@ def alerts_sessions(spark, sf_dir):
     return _plain_times(watch.run_available(counts, scratch_path(spark, "sessions"), "complete"))
 
 
-@query("stream_alert_batches")
+@query("stream_alert_batches", oracle(f"""
+with {_BATCHED},
+b as (select host, service, batch_no, count(*) as n_lines, count(*) filter (where alert) as n_alerts,
+    min(seq) as first_seq, max(seq) as last_seq from walk group by host, service, batch_no),
+f as (select *, max(batch_no) over (partition by host, service) as final from b),
+runs as (select *, case when lag(tagged) over (partition by host, service, batch_no order by i) = tagged then 0 else 1 end as fresh from walk),
+r as (select *, sum(fresh) over (partition by host, service, batch_no order by i) as run from runs),
+c as (select host, service, batch_no, run, tagged, count(*) as n from r group by all),
+t as (select host, service, batch_no, string_agg(tagged || case when n > 1 then ' [x' || n || ']' else '' end, chr(10) order by run) as text
+  from c group by host, service, batch_no)
+select host, service, cast(batch_no as bigint) as batch_no, n_lines, n_alerts, first_seq, last_seq,
+  case when n_lines >= 50 then 'full' when batch_no = final then 'shutdown' else 'silence' end as reason, text
+from f join t using (host, service, batch_no) where n_alerts > 0""", "journal", recursive=True))
 def stream_alert_batches(spark, sf_dir):
-    lines = watch.classify_stream(journal_stream(spark, sf_dir).select("seq", "ts", "host", "service", "raw"))
-    rows = lines.select("host", "service", "seq", F.col("ts").cast("timestamp").alias("ts"), "tagged",
-                        actionable(F.col("tagged")).alias("alert"))
-    batches = watch.batch_alert_stream(rows, 50, WINDOW_SECONDS)
+    journal = view(spark, sf_dir, "journal").select("seq", "ts", "host", "service", "raw")
+    stream = journal_stream(spark, sf_dir).select(*journal.columns)
+    as_alerts = lambda df: df.select(
+        "host", "service", "seq", F.col("ts").cast("timestamp").alias("ts"), "tagged", actionable(F.col("tagged")).alias("alert"))
+    # the end of the feed: a file of end markers, which the stream reads as one more source
+    path = scratch_path(spark, "markers")
+    last = journal.agg(F.max("ts")).first()[0]
+    markers = watch.end_markers(journal, last)
+    markers.write.parquet(path)
+    ends = spark.readStream.schema(markers.schema).parquet(path)
+    batches = watch.batch_alert_stream(
+        as_alerts(watch.classify_stream(stream)).unionByName(ends), 50, WINDOW_SECONDS)
     return watch.run_available(batches, scratch_path(spark, "batches"))

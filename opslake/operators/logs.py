@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.redact import sanitise_line, severity
-from opslake.functions.text import lines, trim
+from opslake.functions.text import lines, once, trim
 from opslake.plans.partitioning import last_per_group, running_index
 
 # Lines kept per source when no limit is asked for.
@@ -182,7 +182,7 @@ def boot_diff(df: DataFrame, from_boot: int, to_boot: int) -> DataFrame:
     if from_boot == to_boot:
         raise ValueError("the two boots must be different")
     both = df.filter(F.col("boot").isin(from_boot, to_boot)).select("host", "boot", "raw")
-    counted = both.withColumn("template", sanitise_line(F.col("raw"))).groupBy("host", "template").agg(
+    counted = once(both, "template", sanitise_line(F.col("raw"))).groupBy("host", "template").agg(
         F.count_if(F.col("boot") == from_boot).alias("from_n"),
         F.count_if(F.col("boot") == to_boot).alias("to_n"))
     hosts = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from opslake.functions.redact import sanitise_line
-from opslake.functions.text import blank
+from opslake.functions.redact import collapse_repeats, sanitise_line
+from opslake.functions.text import blank, once
 from opslake.operators.batching import MAX_LINES, SILENCE_SECONDS
 
 BATCH_SCHEMA = T.StructType([
@@ -25,32 +26,34 @@ STATE_SCHEMA = T.StructType([
     T.StructField("batch_no", T.LongType()), T.StructField("n_alerts", T.LongType()),
     T.StructField("last_us", T.LongType()), T.StructField("seqs", T.ArrayType(T.LongType())),
     T.StructField("lines", T.ArrayType(T.StringType())),
+    T.StructField("waiting", T.ArrayType(T.StructType([
+        T.StructField("us", T.LongType()), T.StructField("seq", T.LongType()),
+        T.StructField("tagged", T.StringType()), T.StructField("alert", T.BooleanType())]))),
 ])
 
 
 def classify_stream(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Sanitised, tagged lines; blank input and blank results are dropped."""
-    tagged = df.filter(~blank(F.col(raw))).withColumn("tagged", sanitise_line(F.col(raw)))
-    return tagged.filter(F.col("tagged") != "")
+    return once(df.filter(~blank(F.col(raw))), "tagged", sanitise_line(F.col(raw))).filter(F.col("tagged") != "")
 
 
 def batch_alert_stream(df: DataFrame, max_lines: int = MAX_LINES,
-                       silence_seconds: float = SILENCE_SECONDS, late: str = "1 minute") -> DataFrame:
+                       silence_seconds: float = SILENCE_SECONDS, late_seconds: int = 60) -> DataFrame:
     """Alert batches of a classified stream with (host, service, seq, ts timestamp, tagged, alert).
 
-    State per key is at most ``max_lines`` lines. A batch with an alert is flushed by the
-    line that follows a silence or by the watermark passing its end; a row whose ``tagged``
-    is null is a shutdown marker and flushes what is left.
+    Rows wait until the watermark has passed them and are then taken in order of (ts, seq), so
+    micro-batches and their order do not change the batches; later rows are dropped. A batch
+    with an alert is flushed by the row that follows a silence, or by the watermark passing the
+    silence. A row whose ``tagged`` is null is an end marker: it flushes what is left and the
+    key's state goes. State of a key is at most ``max_lines`` lines, and the rows of the last
+    ``late_seconds``.
     """
-    silence = int(silence_seconds * 1_000_000)
+    silence, late = int(silence_seconds * 1_000_000), late_seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            number, n_alerts, last_us, seqs, lines = state.get
-            seqs, lines = list(seqs), list(lines)
-        else:
-            number, n_alerts, last_us, seqs, lines = 1, 0, 0, [], []
-        out = []
+        number, n_alerts, last_us, seqs, lines, waiting = state.get if state.exists else (1, 0, 0, [], [], [])
+        seqs, lines, waiting = list(seqs), list(lines), [tuple(w) for w in waiting]
+        out, ended = [], False
 
         def flush(reason: str) -> None:
             nonlocal number, n_alerts, seqs, lines
@@ -60,31 +63,56 @@ def batch_alert_stream(df: DataFrame, max_lines: int = MAX_LINES,
                 number += 1
             n_alerts, seqs, lines = 0, [], []
 
-        if state.hasTimedOut:
+        if not state.hasTimedOut:
+            for rows in frames:
+                stamps = rows["ts"].astype("datetime64[us]").astype("int64")
+                waiting += zip(stamps.tolist(), rows["seq"].tolist(), rows["tagged"].tolist(), rows["alert"].tolist())
+        waiting.sort(key=lambda w: (w[0], w[2] is None, w[1]))
+        # the watermark will stand at least this high before another row of the key is let in
+        passed = max([state.getCurrentWatermarkMs() * 1000] + [w[0] - late for w in waiting[-1:]])
+        ready = 0
+        while ready < len(waiting) and waiting[ready][0] <= passed:
+            us, seq, tagged, alert = waiting[ready]
+            ready += 1
+            if tagged is None:
+                flush("shutdown")
+                ended = True
+                continue
+            ended = False
+            if n_alerts and us - last_us >= silence:
+                flush("silence")
+            seqs.append(seq)
+            lines.append(tagged)
+            n_alerts += bool(alert)
+            last_us = max(last_us, us)
+            if len(seqs) >= max_lines:
+                flush("full")
+        waiting = waiting[ready:]
+        if n_alerts and last_us + silence <= passed and not (waiting and waiting[0][2] is None):
             flush("silence")
+        if ended and not waiting:
+            state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-            stamps = rows["ts"].astype("datetime64[us]").astype("int64")
-            for seq, us, tagged, alert in zip(rows["seq"], stamps, rows["tagged"], rows["alert"], strict=True):
-                if tagged is None:
-                    flush("shutdown")
-                    continue
-                if n_alerts and us - last_us >= silence:
-                    flush("silence")
-                seqs.append(int(seq))
-                lines.append(tagged)
-                n_alerts += bool(alert)
-                last_us = int(us)
-                if len(seqs) >= max_lines:
-                    flush("full")
-        state.update((number, n_alerts, last_us, seqs, lines))
-        if n_alerts:
-            due = (last_us + silence) // 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.update((number, n_alerts, last_us, seqs, lines, waiting))
+            due = [w[0] for w in waiting[:1]] + [last_us + silence] * bool(n_alerts)
+            if due:
+                state.setTimeoutTimestamp(max(-(-min(due) // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=BATCH_SCHEMA.names)
 
-    return df.withWatermark("ts", late).groupBy("host", "service").applyInPandasWithState(
+    batches = df.withWatermark("ts", f"{late_seconds} seconds").groupBy("host", "service").applyInPandasWithState(
         step, BATCH_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return batches.withColumn("text", collapse_repeats(F.col("text")))
+
+
+def end_markers(keys: DataFrame, last: datetime.datetime, late_seconds: int = 60) -> DataFrame:
+    """Rows that end the stream of every (host, service), and one that moves the watermark past them."""
+    end = last + datetime.timedelta(days=1)
+    row = lambda df, at: df.select(
+        "host", "service", F.lit(1 << 62).cast("long").alias("seq"), F.lit(at).cast("timestamp").alias("ts"),
+        F.lit(None).cast("string").alias("tagged"), F.lit(False).alias("alert"))
+    beyond = keys.sparkSession.range(1).select(F.lit("").alias("host"), F.lit("").alias("service"))
+    return row(keys.select("host", "service").distinct(), end).unionByName(
+        row(beyond, end + datetime.timedelta(seconds=late_seconds + 1)))
 
 
 def with_seed(seed: DataFrame, handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
