@@ -74,12 +74,10 @@ def _slice_effect(keys: Sequence[str], max_lines: int, silence: int):
         pdf, ts, alert = _sorted(pdf)
         n = len(ts)
         nxt, next_quiet, next_alert = next_batch_start(ts, alert, max_lines, silence)
-        follow = nxt.tolist()
-        last, opened = list(range(n)), [0] * n
-        for i in range(n - 1, -1, -1):
-            j = follow[i]
-            if j < n:
-                last[i], opened[i] = last[j], opened[j] + 1
+        # last batch start reached from each row, and batches opened on the way, by pointer doubling
+        last, opened = np.where(nxt < n, nxt, np.arange(n)), (nxt < n).astype(np.int64)
+        while (last[last] != last).any():
+            opened, last = opened + opened[last], last[last]
         alerts_from = np.append(np.cumsum(alert[::-1])[::-1], 0) > 0
         exit_n, exit_alert, n_opened = [], [], []
         for count in range(1, max_lines + 1):
@@ -90,9 +88,9 @@ def _slice_effect(keys: Sequence[str], max_lines: int, silence: int):
                     exit_alert.append(bool(has_alert or alerts_from[1]))
                     n_opened.append(0)
                 else:
-                    exit_n.append(n - last[f])
+                    exit_n.append(int(n - last[f]))
                     exit_alert.append(bool(alerts_from[last[f]]))
-                    n_opened.append(opened[f] + 1)
+                    n_opened.append(int(opened[f]) + 1)
         row = {k: pdf[k].iloc[0] for k in keys}
         row.update(chunk=int(pdf["chunk"].iloc[0]), first_us=int(ts[0]), last_us=int(ts[-1]),
                    first_alert=bool(alert[0]), exit_n=exit_n, exit_alert=exit_alert, opened=n_opened)
@@ -155,7 +153,7 @@ def number_batches(df: DataFrame, keys: Sequence[str], alert: Column, max_lines:
     keys = list(keys)
     silence = int(silence_seconds * 1_000_000)
     slim = materialise(df.select(*keys, "seq", F.col(ts).alias("_ts"), alert.alias("alert")), "watch-lines")
-    cut = balanced_chunks(slim, keys, "_ts", chunk_rows).select(
+    cut = balanced_chunks(slim, keys, ["_ts", "seq"], chunk_rows).select(
         *keys, "seq", "alert", "chunk", "chunks_many",
         F.unix_micros(F.col("_ts").cast("timestamp")).alias("us"))
     key_fields = [cut.schema[k] for k in keys]

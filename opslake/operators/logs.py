@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opslake.functions.redact import sanitise_line, severity
 from opslake.functions.text import lines, once, trim
-from opslake.plans.partitioning import last_per_group, running_index
+from opslake.plans.partitioning import last_per_group, range_buckets, running_index
 
 # Lines kept per source when no limit is asked for.
 DEFAULT_LINES = {"service": 50, "boot": 80, "kernel": 60, "file": 100}
@@ -202,22 +202,25 @@ def failure_context(df: DataFrame, n: int | None = None, ts: str = "ts") -> Data
 
     Lines are numbered per (host, service); a failure at position p needs positions
     p-n+1..p, which lie in two adjacent blocks of n, so the join is an equi-join whose
-    groups never hold more than n lines.
+    groups never hold more than n lines. ``seq`` is unique per service.
     """
     size = line_limit(n, "service")
     keys = ["host", "service"]
-    hour = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / 3600)
-    numbered = running_index(df, keys, [ts, "seq"], hour, "_at").withColumn(
+    # texts stay behind: only positions are sorted and joined, and the few lines wanted are fetched last
+    slim = range_buckets(df.select(*keys, ts, "seq", "exit_code"), keys, [ts, "seq"])
+    numbered = running_index(slim, keys, [ts, "seq"], F.col("_bucket"), "_at").withColumn(
         "_block", F.floor(F.col("_at") / size))
     fails = numbered.filter(F.col("exit_code").isNotNull()).select(
         *keys, F.col("seq").alias("failure_seq"), "exit_code", F.col("_at").alias("_end"),
         F.explode(F.array(F.col("_block"), F.col("_block") - 1)).alias("_block"))
-    body = numbered.select(*keys, "_block", "_at", F.col("seq").alias("line_seq"), ts, "raw")
-    return (
+    body = numbered.select(*keys, "_block", "_at", F.col("seq").alias("line_seq"))
+    wanted = (
         fails.join(body, [*keys, "_block"])
         .filter((F.col("_at") <= F.col("_end")) & (F.col("_at") > F.col("_end") - size))
-        .select(*keys, "failure_seq", "exit_code", "line_seq",
-                (F.col("_end") - F.col("_at")).alias("lines_before"), "raw"))
+        .select(*keys, "failure_seq", "exit_code", "line_seq", (F.col("_end") - F.col("_at")).alias("lines_before")))
+    texts = df.select(*keys, F.col("seq").alias("line_seq"), "raw")
+    return wanted.join(texts, [*keys, "line_seq"]).select(
+        *keys, "failure_seq", "exit_code", "line_seq", "lines_before", "raw")
 
 
 def exit_code_error(raw: Column) -> Column:

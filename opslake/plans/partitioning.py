@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opslake.plans.session import materialise
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for per-row work on a scan with fewer splits than cores.
@@ -104,7 +106,7 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
                   name: str) -> DataFrame:
     """1-based position of each row in its group.
 
-    ``bucket`` must not decrease along ``order``. Rows are numbered inside buckets and
+    ``bucket`` must not decrease along ``order`` (``range_buckets`` makes one). Rows are numbered inside buckets and
     shifted by the sizes of the buckets before, so a hot group is not sorted by one task.
     """
     cut = df.withColumn("_bucket", bucket)
@@ -121,19 +123,25 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     )
 
 
-def balanced_chunks(df: DataFrame, keys: Sequence[str], ts: str, chunk_rows: int,
+def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_bucket") -> DataFrame:
+    """Rows with a bucket that does not decrease along (keys, order), from a sampled range partitioning.
+
+    Buckets are about equal in rows however bursty a key is, because a burst is cut at any
+    row. They are written once, as a later evaluation could cut elsewhere.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id()), "ordered")
+
+
+def balanced_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int,
                     name: str = "chunk") -> DataFrame:
-    """Cut each group into consecutive time slices of about ``chunk_rows`` rows.
+    """Cut each group into consecutive slices of ``chunk_rows`` rows along ``order``.
 
-    Slices follow a per-minute histogram, so bursts get short slices and only the
-    histogram is ordered group-wide. Small groups stay whole, as slice 0.
+    A group of no more rows stays whole, as slice 0; ``<name>s_many`` says whether it was cut.
     """
-    cut = df.withColumn("_minute", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 60_000_000))
-    sizes = cut.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    slices = sizes.withColumn("_total", F.sum("_n").over(whole)).select(
-        *keys, "_minute", (F.col("_total") > chunk_rows).alias(f"{name}s_many"),
-        F.when(F.col("_total") <= chunk_rows, 0).otherwise(
-            F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows)).cast("bigint").alias(name))
-    return cut.join(slices, [*keys, "_minute"]).drop("_minute")
+    cut = range_buckets(df, keys, order)
+    at = running_index(cut, keys, order, F.col("_bucket"), "_at")
+    totals = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    return at.join(totals, list(keys)).withColumns({
+        f"{name}s_many": F.col("_total") > chunk_rows,
+        name: F.floor((F.col("_at") - 1) / chunk_rows).cast("bigint")}).drop("_at", "_total")

@@ -74,3 +74,16 @@ def test_last_and_first(rows):
 def test_last_n_limits_groups_before_the_shuffle(rows):
     plan = pt.last_per_group(rows[1], ["k"], ["n"], 4)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan.split("Exchange")[-1] or plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("spread_seconds", [0, 30, 100_000])
+def test_no_slice_is_larger_than_asked_for(spark, spread_seconds):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else "calm", i, rng.randrange(spread_seconds + 1)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, seq long, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got = pt.balanced_chunks(df, ["k"], ["ts", "seq"], 100).collect()
+    want = {}
+    for k in ("hot", "calm"):
+        for i, (_, seq) in enumerate(sorted((at, seq) for name, seq, at in rows if name == k)):
+            want[seq] = i // 100
+    assert {r.seq: r.chunk for r in got} == want and all(r.chunks_many for r in got)
