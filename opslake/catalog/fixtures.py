@@ -258,13 +258,15 @@ select 'host' || k as host, backend, k * 100 + n as line_no, line, zone from (
       when 2 then case n
         when 0 then 'table inet filter ' || chr(123) when 1 then '  chain INPUT ' || chr(123)
         when 2 then '    ct state established,related accept'
-        when 3 then '    tcp dport ' || chr(123) || ' 80, 443, ' || (8000 + k % 100) || '-' || (8100 + k % 100) || ' ' || chr(125) || ' accept'
+        when 3 then case when k % 8 = 2 then '    tcp dport ' || chr(123) || ' ssh, https, gopher ' || chr(125) || ' accept' else
+          '    tcp dport ' || chr(123) || ' 80, 443, ' || (8000 + k % 100) || '-' || (8100 + k % 100) || ' ' || chr(125) || ' accept' end
         when 4 then '    udp dport 53 drop' when 5 then '  chain OUTPUT ' || chr(123)
         when 6 then '    tcp dport ' || (1000 + k) || ' accept' when 7 then '    drop' else '  ' || chr(125) end
       else case n
         when 0 then 'Chain INPUT (policy ' || (case when k % 8 = 3 then 'ACCEPT' else 'DROP' end) || ')'
         when 1 then 'target     prot opt source               destination'
         when 2 then 'ACCEPT     all  --  0.0.0.0/0            0.0.0.0/0'
+          || (case when k % 16 < 8 then '            ctstate RELATED,ESTABLISHED' else '' end)
         when 3 then 'ACCEPT     tcp  --  0.0.0.0/0            0.0.0.0/0            tcp dpt:' || (1000 + k)
         when 4 then 'DROP       0    --  10.0.0.' || (k % 250) || '   0.0.0.0/0 tcp dpt:3306'
         when 5 then '' when 6 then 'Chain FORWARD (1 references)' when 7 then 'short row'

@@ -89,7 +89,7 @@ select host, backend, line_no, cast(i - 1 as integer) as item, zone as chain, ca
   case when kind = 'ports' then case when contains(v, '/') then regexp_extract(v, '^[^/]*/(.*)$', 1) else 'tcp' end else '' end as protocol,
   case when kind = 'ports' then split_part(v, '/', 1) else '' end as port,
   case kind when 'ports' then 'any' when 'sources' then v else '' end as source,
-  case kind when 'services' then 'service: ' || v when 'sources' then 'trusted source' when 'rich-rules' then 'rich rule: ' || v else '' end as comment
+  case kind when 'services' then 'service: ' || v when 'sources' then 'trusted source' when 'rich-rules' then 'rich rule: ' || v else '' end as comment, '' as match
 from (select host, backend, zone, line_no, kind, unnest(vs) as v, unnest(range(1, len(vs) + 1)) as i from (
   select *, case when kind = 'rich-rules' then list_filter([trim(rest)], lambda x: x <> '') else {_f('rest')} end as vs from (
     select *, regexp_extract(trim(line), '^(ports|services|sources|rich-rules):(.*)$', 1) as kind,
@@ -100,7 +100,7 @@ select host, backend, line_no, 0 as item, '' as chain,
   f[a + 1] || case when f[a + 2] in ('IN', 'OUT') then ' ' || f[a + 2] else '' end as action,
   regexp_extract(f[a], '^[^/]*/(.*)$', 1) as protocol, split_part(f[a], '/', 1) as port,
   coalesce(list_filter(f, lambda x: x = 'Anywhere' or contains(x, '.') or contains(x, ':'))[-1], '') as source,
-  coalesce(trim(array_to_string(f[list_filter(range(a + 1, len(f) + 1), lambda i: starts_with(f[i], '('))[1]:], ' '), '()'), '') as comment
+  coalesce(trim(array_to_string(f[list_filter(range(a + 1, len(f) + 1), lambda i: starts_with(f[i], '('))[1]:], ' '), '()'), '') as comment, '' as match
 from (select *, list_filter(range(1, len(f) + 1), lambda i: contains(f[i], '/'))[1] as a from (
   select *, {_f('trim(line)')} as f from fw_lines where backend = 'ufw' and trim(line) <> ''
     and not starts_with(trim(line), 'Status:') and not starts_with(trim(line), 'To')) x where len(f) >= 4) y
@@ -109,7 +109,7 @@ _NFT = f"""
 select host, backend, line_no, 0 as item, coalesce(chain_name, '') as chain, upper(f[-1]) as action,
   case when contains(t, 'tcp ') then 'tcp' when contains(t, 'udp ') then 'udp' else 'all' end as protocol,
   case when contains(t, 'dport ' || chr(123)) then replace(replace(trim(regexp_extract(t, 'dport ' || chr(92) || chr(123) || '([^' || chr(125) || ']*)', 1)), ', ', ','), ' ', ',')
-    when contains(t, 'dport ') then f[list_position(f, 'dport') + 1] else '' end as port, '' as source, '' as comment
+    when contains(t, 'dport ') then f[list_position(f, 'dport') + 1] else '' end as port, '' as source, '' as comment, '' as match
 from (select *, trim(line) as t, {_f('trim(line)')} as f,
     last_value(case when starts_with(trim(line), 'chain ') then ({_f('trim(line)')})[2] end ignore nulls) over (partition by host order by line_no) as chain_name
   from fw_lines where backend = 'nftables') x
@@ -119,7 +119,8 @@ select host, backend, line_no, 0 as item, chain_name as chain,
   case when header then upper(regexp_extract(t, '\\(policy (.*)\\)$', 1)) else f[1] end as action,
   case when header then '' when f[2] = '0' then 'all' else f[2] end as protocol,
   case when header then '' else coalesce(substr(list_filter(f, lambda x: starts_with(x, 'dpt:'))[-1], 5), '') end as port,
-  case when header then '' else f[4] end as source, case when header then 'default policy' else '' end as comment
+  case when header then '' else f[4] end as source, case when header then 'default policy' else '' end as comment,
+  case when header then '' else array_to_string(f[6:], ' ') end as match
 from (select *, trim(line) as t, {_f('trim(line)')} as f, starts_with(trim(line), 'Chain ') as header,
     last_value(case when starts_with(trim(line), 'Chain ') then ({_f('trim(line)')})[2] end ignore nulls) over (partition by host order by line_no) as chain_name
   from fw_lines where backend = 'iptables') x
@@ -154,15 +155,16 @@ def fw_read_status(spark, sf_dir):
     return firewall.read_status(view(spark, sf_dir, "fw_reads"), _rules(spark, sf_dir))
 
 
-_RANGED = """ranged as (select *, case when port <> '' then list_transform(list_filter(string_split(port, ','), lambda p: regexp_matches(p, '^[0-9]+([-:][0-9]+)?$')),
+_NUMBERED = "list_transform(string_split(port, ','), lambda p: case p " + " ".join(
+    f"when '{k}' then '{v}'" for k, v in firewall.SERVICE_PORTS.items()) + " else p end)"
+_RANGED = f"""ranged as (select *, len(list_filter({_NUMBERED}, lambda p: p <> '' and not regexp_matches(p, '^[0-9]+([-:][0-9]+)?$'))) as unknown,
+  case when port <> '' then list_transform(list_filter({_NUMBERED}, lambda p: regexp_matches(p, '^[0-9]+([-:][0-9]+)?$')),
     lambda p: [cast(regexp_extract(p, '^([0-9]+)', 1) as integer), cast(regexp_extract(p, '([0-9]+)$', 1) as integer)]) else [] end as rs from rules)"""
 _OPEN = f"""{_RANGED}, services(name, number) as (values {', '.join(f"('{k}', {v})" for k, v in firewall.SERVICE_PORTS.items())}),
 raw_open as (
   select host, protocol, r[1] as lo, r[2] as hi from (select host, action, chain, protocol, unnest(rs) as r from ranged) u
     where (action like 'ALLOW%' or action = 'ACCEPT') and chain not in ('OUTPUT', 'FORWARD')
-  union all select host, protocol, number, number from rules join services on comment = 'service: ' || name where action like 'ALLOW%'
-  union all select host, protocol, 0, 65535 from rules where backend = 'iptables' and protocol = 'all' and port = '' and comment = ''
-    and action = 'ACCEPT' and chain not in ('OUTPUT', 'FORWARD')),
+  union all select host, protocol, number, number from rules join services on comment = 'service: ' || name where action like 'ALLOW%'),
 open as (select distinct host, case when protocol in ('tcp', 'udp') then protocol else p end as protocol, lo, hi
   from raw_open cross join (values ('tcp'), ('udp')) v(p)),
 listening as (select distinct host, protocol, port from split where {_OUTSIDE} and port is not null)"""
@@ -195,13 +197,15 @@ _ALLOW = "(action like 'ALLOW%' or action = 'ACCEPT')"
 @query("fw_findings", oracle(f"""
 with {_RULES}, {_RANGED}
 select {_COLS}, finding, case when finding in ('all ports open to any source', 'management port open to any source') then 'critical'
-  when finding = 'rich rule to review' then 'info' else 'warning' end as severity from (
+  when finding in ('rich rule to review', 'port name not known') then 'info' else 'warning' end as severity from (
   select *, case when comment = 'default policy' then case when action = 'ACCEPT' and chain in ('INPUT', 'FORWARD') then 'default policy accepts' end
     when action = 'RULE' then 'rich rule to review'
-    when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and ((backend = 'iptables' and port = '' and protocol = 'all') or ({_cover([1])} and {_cover([65535])})) then 'all ports open to any source'
+    when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and {_cover([1])} and {_cover([65535])} then 'all ports open to any source'
+    when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and backend = 'iptables' and port = '' and protocol = 'all' and match = '' then 'everything accepted, perhaps on one interface'
     when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and {_cover(firewall.MANAGEMENT_PORTS)} then 'management port open to any source'
     when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and {_cover(firewall.CRITICAL_PORTS)} then 'critical service open to any source'
-    when regexp_matches(action, '^(DROP|REJECT|DENY)') and ({_cover(firewall.MANAGEMENT_PORTS)} or {_cover(firewall.CRITICAL_PORTS)}) then 'service blocked' end as finding
+    when regexp_matches(action, '^(DROP|REJECT|DENY)') and ({_cover(firewall.MANAGEMENT_PORTS)} or {_cover(firewall.CRITICAL_PORTS)}) then 'service blocked'
+    when unknown > 0 then 'port name not known' end as finding
   from ranged) x where finding is not null""", "fw_lines"))
 def fw_findings(spark, sf_dir):
     return firewall.findings(_rules(spark, sf_dir))

@@ -22,13 +22,14 @@ ANY_SOURCE = ["", "any", "Anywhere", "0.0.0.0/0", "::/0"]
 SERVICE_PORTS = {"ssh": 22, "http": 80, "https": 443, "dns": 53, "cockpit": 9090,
                  "mysql": 3306, "postgresql": 5432, "redis": 6379, "mongodb": 27017}
 
-RULE_COLUMNS = ["host", "backend", "line_no", "item", "chain", "action", "protocol", "port", "source", "comment"]
+RULE_COLUMNS = ["host", "backend", "line_no", "item", "chain", "action", "protocol", "port", "source", "comment", "match"]
 PORT_BIN = 256
+NUMBERS = r"^[0-9]+([-:][0-9]+)?$"
 
 
 def _rules(df: DataFrame, backend: str, **cols: Column | str) -> DataFrame:
     given = {"item": F.lit(0), "chain": F.lit(""), "action": F.lit(""), "protocol": F.lit(""),
-             "port": F.lit(""), "source": F.lit(""), "comment": F.lit("")}
+             "port": F.lit(""), "source": F.lit(""), "comment": F.lit(""), "match": F.lit("")}
     given.update(cols)
     return df.withColumns({"backend": F.lit(backend), **given}).select(*RULE_COLUMNS)
 
@@ -126,7 +127,8 @@ def iptables_rules(df: DataFrame) -> DataFrame:
         protocol=F.when(header, "").when(proto == "0", "all").otherwise(proto),
         port=F.when(header | (F.size(ports) == 0), "").otherwise(F.substring(F.element_at(ports, -1), F.lit(5), F.length("line"))),
         source=F.when(header, "").otherwise(field(f, 3)),
-        comment=F.when(header, "default policy").otherwise(""))
+        comment=F.when(header, "default policy").otherwise(""),
+        match=F.when(header, "").otherwise(tail(f, 5)))
 
 
 def all_rules(df: DataFrame) -> DataFrame:
@@ -144,9 +146,20 @@ def read_status(reads: DataFrame, rules: DataFrame) -> DataFrame:
         .when(n == 0, "empty").otherwise("ok").alias("read_status"))
 
 
+def _numbered(port: Column) -> Column:
+    """The parts of a port text, with known service names as numbers."""
+    known = F.create_map(*[x for k, v in SERVICE_PORTS.items() for x in (F.lit(k), F.lit(str(v)))])
+    return F.transform(F.split(port, ","), lambda p: F.coalesce(F.try_element_at(known, p), p))
+
+
+def unresolved_ports(port: Column) -> Column:
+    """Parts of a port text that name no known port."""
+    return F.filter(_numbered(port), lambda p: (p != "") & ~p.rlike(NUMBERS))
+
+
 def port_ranges(port: Column) -> Column:
-    """array<struct<lo,hi>> of ``80,443,8000-8100`` or ``80:90``; other text is left out."""
-    parts = F.filter(F.split(port, ","), lambda p: p.rlike(r"^[0-9]+([-:][0-9]+)?$"))
+    """array<struct<lo,hi>> of ``80,https,8000-8100`` or ``80:90``; names not known are left out."""
+    parts = F.filter(_numbered(port), lambda p: p.rlike(NUMBERS))
     return F.transform(parts, lambda p: F.struct(
         F.regexp_extract(p, r"^([0-9]+)", 1).cast("int").alias("lo"),
         F.regexp_extract(p, r"([0-9]+)$", 1).cast("int").alias("hi")))
@@ -159,8 +172,9 @@ def is_allow(action: Column) -> Column:
 def allowed_ranges(rules: DataFrame) -> DataFrame:
     """Distinct (host, protocol, lo, hi) that inbound allow rules open.
 
-    Service rules open their standard port; an iptables rule for every protocol without a
-    port opens all ports. Rules of OUTPUT and FORWARD chains say nothing about listeners.
+    Service rules open their standard port. An iptables rule for every protocol without a port
+    covers nothing: the listing does not show whether it holds for one interface only, so it is
+    a finding of its own. Rules of OUTPUT and FORWARD chains say nothing about listeners.
     """
     service = F.regexp_extract("comment", "^service: (.*)$", 1)
     ports = F.create_map(*[x for k, v in SERVICE_PORTS.items() for x in (F.lit(k), F.lit(v))])
@@ -168,9 +182,7 @@ def allowed_ranges(rules: DataFrame) -> DataFrame:
     pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     ranges = (
         F.when(F.col("port") != "", port_ranges(F.col("port")))
-        .when(by_service.isNotNull(), F.array(pair(by_service, by_service)))
-        .when((F.col("backend") == "iptables") & (F.col("protocol") == "all") & (F.col("comment") == ""),
-              F.array(pair(F.lit(0), F.lit(65535)))))
+        .when(by_service.isNotNull(), F.array(pair(by_service, by_service))))
     protocols = F.when(F.col("protocol").isin("tcp", "udp"), F.array("protocol")).otherwise(
         F.array(F.lit("tcp"), F.lit("udp")))
     return (
@@ -218,20 +230,22 @@ def findings(rules: DataFrame) -> DataFrame:
     allow = is_allow(F.col("action"))
     inbound = ~F.col("chain").isin("OUTPUT")
     wide = _covers(ranges, 1) & _covers(ranges, 65535)
-    all_ports = wide | ((F.col("backend") == "iptables") & (F.col("port") == "") & (F.col("protocol") == "all"))
+    bare = (F.col("backend") == "iptables") & (F.col("port") == "") & (F.col("protocol") == "all") & (F.col("match") == "")
     closed = F.col("action").rlike("^(DROP|REJECT|DENY)")
     finding = (
         F.when((F.col("comment") == "default policy") & (F.col("action") == "ACCEPT")
                & F.col("chain").isin("INPUT", "FORWARD"), "default policy accepts")
         .when(F.col("comment") == "default policy", None)
         .when(F.col("action") == "RULE", "rich rule to review")
-        .when(allow & inbound & any_source & all_ports, "all ports open to any source")
+        .when(allow & inbound & any_source & wide, "all ports open to any source")
+        .when(allow & inbound & any_source & bare, "everything accepted, perhaps on one interface")
         .when(allow & inbound & any_source & covers(MANAGEMENT_PORTS), "management port open to any source")
         .when(allow & inbound & any_source & covers(CRITICAL_PORTS), "critical service open to any source")
-        .when(closed & (covers(MANAGEMENT_PORTS) | covers(CRITICAL_PORTS)), "service blocked"))
+        .when(closed & (covers(MANAGEMENT_PORTS) | covers(CRITICAL_PORTS)), "service blocked")
+        .when(F.size(unresolved_ports(F.col("port"))) > 0, "port name not known"))
     severity = (
         F.when(F.col("finding").isin("all ports open to any source", "management port open to any source"), "critical")
-        .when(F.col("finding") == "rich rule to review", "info").otherwise("warning"))
+        .when(F.col("finding").isin("rich rule to review", "port name not known"), "info").otherwise("warning"))
     return rules.withColumn("finding", finding).filter("finding is not null").withColumn("severity", severity)
 
 
