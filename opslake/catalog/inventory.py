@@ -76,7 +76,7 @@ p as (select host, (number - 1) // 1000 as page, string_agg(line, chr(10) order
 select hosts.host, coalesce(page, 0) as page, coalesce(digest, '(no listening ports found)') as digest from hosts left join p on p.host = hosts.host""", "ss"))
 def ports_digest(spark, sf_dir):
     all_hosts = _lines(spark, sf_dir, "ss").select("host").distinct()
-    bucket = F.concat("protocol", F.substring("local", 1, 9))
+    bucket = F.struct("protocol", F.substring("local", 1, 9).alias("prefix"))  # joined texts would sort tcp6 before tcp
     return digests.paged_digest(_ports(spark, sf_dir), all_hosts, ["protocol", "local"], bucket,
                                 ports.digest_line(), "(no listening ports found)")
 

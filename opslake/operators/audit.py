@@ -18,6 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from opslake.functions.redact import sanitise
 from opslake.functions.text import once, trim
 from opslake.plans.partitioning import last_per_key
+from opslake.plans.session import materialise
 
 # Snapshot format, scan scope and report limits.
 BASELINE_VERSION = 1
@@ -188,11 +189,11 @@ def capped_feed(feed: DataFrame, shown: int = SHOWN_PER_CATEGORY) -> DataFrame:
     The report shows a fixed number of lines; the count of the rest is exact.
     """
     lists = ["host", "category", "change"]
+    feed = materialise(feed.select(*lists, "item", change_text().alias("text")), "feed")  # built once, read twice
     counts = feed.groupBy(*lists).agg(F.count(F.lit(1)).alias("total"))
     w = Window.partitionBy(*lists).orderBy("item", "text")
     first = (
-        feed.select(*lists, "item", change_text().alias("text"))
-        .withColumn("shown_no", F.row_number().over(w)).filter(F.col("shown_no") <= shown))
+        feed.withColumn("shown_no", F.row_number().over(w)).filter(F.col("shown_no") <= shown))
     return first.join(counts, lists).select(
         *lists, "shown_no", "text", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
 
@@ -290,8 +291,12 @@ def sanitised_changes(feed: DataFrame) -> DataFrame:
 
 
 def write_baseline(df: DataFrame, path: str, version: int = BASELINE_VERSION) -> None:
-    """Write one snapshot table to a new path, clustered by host so reads can skip files."""
-    (df.withColumn("version", F.lit(version)).sortWithinPartitions("host")
+    """Write one snapshot table to a new path, clustered by host so reads can skip files.
+
+    The ranges also follow the first other column, so that a large host is cut.
+    """
+    order = ["host", *[c for c in df.columns if c != "host"][:1]]
+    (df.withColumn("version", F.lit(version)).repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode("errorifexists").parquet(path))
 
 
@@ -300,6 +305,8 @@ def read_baseline(spark: SparkSession, path: str, version: int = BASELINE_VERSIO
     try:
         df = spark.read.parquet(path)
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise MissingBaseline(f"no baseline at {path}") from e
     stored = df.filter(F.col("version") != version).select("version").head()
     if stored is not None:

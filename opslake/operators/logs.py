@@ -78,11 +78,12 @@ def count_empty_journals(df: DataFrame, text: str, by: str) -> DataFrame:
 def filtered_or_all(df: DataFrame, keys: Sequence[str], keep: Column) -> DataFrame:
     """Rows passing ``keep`` where a group has any, else the whole group.
 
-    The per-group flag is a map-side combined aggregate joined back, not a window, so
-    no task has to hold a whole group.
+    Rows that pass go straight out. Only the others are joined, against the distinct groups
+    that have a row that passes, so no task has to hold a whole group.
     """
-    flags = df.groupBy(*keys).agg(F.bool_or(keep).alias("_any"))
-    return df.join(flags, list(keys)).filter(keep | ~F.col("_any")).drop("_any")
+    passes = F.coalesce(keep, F.lit(False))
+    kept = df.filter(passes)
+    return kept.unionByName(df.filter(~passes).join(kept.select(*keys).distinct(), list(keys), "left_anti").select(*df.columns))
 
 
 def best_tier_last(df: DataFrame, keys: Sequence[str], tier: Column, n: int,

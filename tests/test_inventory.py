@@ -217,3 +217,23 @@ def test_digest_pages_join_to_the_whole_text(spark):
     assert [(r.host, r.page) for r in got] == [("g", 0), ("h", 0), ("h", 1), ("h", 2), ("quiet", 0)]
     text = "\n".join(r.digest for r in got if r.host == "h")
     assert text == "\n".join(f"{i + 1}. p{i:03}" for i in range(250)) and got[-1].digest == "(none)"
+
+
+def _unprotected(spark, backend, text, port):
+    listening = spark.createDataFrame([("h", "tcp", f"0.0.0.0:{port}", "p")], "host string, protocol string, local string, process string")
+    lines = spark.createDataFrame([("h", backend, i, x, "public") for i, x in enumerate(text.split("\n"))],
+                                  "host string, backend string, line_no int, line string, zone string")
+    return [r.port for r in firewall.unprotected_listeners(listening, firewall.all_rules(lines)).collect()]
+
+
+@pytest.mark.parametrize(("backend", "text", "port", "open_"), [
+    ("nftables", "chain INPUT {\ntcp dport { ssh, https } accept", 443, True), ("nftables", "chain INPUT {\ntcp dport { ssh, https } accept", 80, False),
+    ("iptables", "Chain INPUT (policy DROP)\nACCEPT all -- 0.0.0.0/0 0.0.0.0/0 ctstate RELATED,ESTABLISHED", 3306, False),
+    ("iptables", "Chain INPUT (policy DROP)\nACCEPT all -- 0.0.0.0/0 0.0.0.0/0", 3306, False),
+    ("iptables", "Chain INPUT (policy DROP)\nACCEPT tcp -- 0.0.0.0/0 0.0.0.0/0 tcp dpt:3306", 3306, True)])
+def test_what_covers_a_listener(spark, backend, text, port, open_):
+    assert _unprotected(spark, backend, text, port) == ([] if open_ else [port])
+
+
+def test_long_texts_are_not_cut(values):
+    assert len(values(mounts.unescape, ["a\\040" + "b" * 150_000])[0]) == 150_002

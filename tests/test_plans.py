@@ -2,17 +2,22 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from opslake.catalog import registry
 from opslake.catalog.base import table
+from opslake.functions import redact
 from opslake.operators import audit, redaction
+from opslake.plans import session
 from opslake.plans.partitioning import spread
+from opslake.streaming import watch
 
 QUERIES = registry.load()[0]
 # these run jobs while they are built
 EAGER = {"stream_classified", "stream_alert_batches", "alerts_tumbling", "alerts_sliding", "alerts_sessions",
-         "repair_outcomes", "history_retention", "baseline_roundtrip", "alert_batches", "alert_batch_text"}
+         "repair_outcomes", "history_retention", "baseline_roundtrip", "alert_batches", "alert_batch_text",
+         "failure_context", "change_feed_capped"}
 
 
 def plan(df):
@@ -51,3 +56,17 @@ def test_spread_only_fills_idle_cores(spark):
     wide = spark.range(100).repartition(64).select(F.col("id"))
     assert spread(wide) is wide
     assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("local", "local[4]", "local[*]"):
+        session.need_local_master(master)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://h"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.need_local_master(master)
+
+
+def test_redaction_is_evaluated_once(spark, sf_dir):
+    lines = watch.classify_stream(spark.createDataFrame([("x",)], "raw string"))
+    for df in (QUERIES["boot_diff"](spark, sf_dir), lines):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(redact.PATTERNS["uuid"]) == 1
