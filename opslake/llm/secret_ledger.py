@@ -19,6 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opslake.functions.text import bind
 from opslake.llm.common import numbered, spans_text
 from opslake.plans.session import scratch_path
 
@@ -143,19 +144,23 @@ def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return report(docs, ledger, id_col=id_col, text_col=text_col)
 
 
-def _tag_if(least: int) -> Callable[[Column, Column], Column]:
-    return lambda match, tested: F.when(F.length(tested) >= least, F.lit(TAG)).otherwise(match)
+def _without(rule: Rule) -> Callable[[Column], Column]:
+    def tag(match: Column, tested: Column) -> Column:
+        return F.when(F.length(tested) >= rule.least, F.lit(TAG)).otherwise(match)
+
+    def replaced(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+        tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+        parts = F.zip_with(F.split(text, rule.pattern, -1), F.zip_with(found, tested, tag),
+                           lambda before, match: F.concat(before, F.coalesce(match, F.lit(""))))
+        return F.when(text.rlike(rule.pattern), F.concat_ws("", parts)).otherwise(text)
+    return replaced
 
 
 def redacted(text: Column, rules: list[Rule] = RULES) -> Column:
     """The text with every secret replaced by a tag, rule by rule."""
     for r in rules:
-        found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
-        tested = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)) if r.group else found
-        put = F.zip_with(found, tested, _tag_if(r.least))
-        whole = F.concat_ws("", F.flatten(F.zip_with(
-            F.split(text, r.pattern, -1), put, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-        text = F.when(text.rlike(r.pattern), whole).otherwise(text)
+        text = bind(text, _without(r))  # bound, so that the expression grows by one term a rule
     return text
 
 
