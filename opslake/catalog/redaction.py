@@ -119,6 +119,11 @@ _COUNTED = [
     ("url", duck.RULE_SQL["mask-urls"][0][0]),
     ("mac", duck.RULE_SQL["mask-mac"][0][0]),
     ("uuid", duck.RULE_SQL["mask-uuid"][0][0]),
+    ("prefixed_hex", duck.RULE_SQL["mask-hex"][0][0]),
+    ("home", duck.RULE_SQL["mask-home"][0][0]),
+    ("path", duck.RULE_SQL["mask-paths"][4][0]),
+    ("repo", duck.RULE_SQL["normalise-repo"][0][0]),
+    ("time", duck.RULE_SQL["strip-timestamps"][0][0]),
 ]
 
 

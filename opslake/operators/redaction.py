@@ -17,6 +17,11 @@ LEAK_PATTERNS = {
     "url": PATTERNS["url"],
     "mac": PATTERNS["mac"],
     "uuid": PATTERNS["uuid"],
+    "prefixed_hex": PATTERNS["prefixed_hex"],
+    "home": PATTERNS["home_path"],
+    "path": PATTERNS["any_path"],
+    "repo": PATTERNS["repo_cache"],
+    "time": PATTERNS["iso_time"],
 }
 
 

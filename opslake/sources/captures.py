@@ -17,11 +17,12 @@ def capture_lines(df: DataFrame, keys: Sequence[str], output: str = "output") ->
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line) of text files; Spark splits large files across tasks."""
-    return spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line"))
-
-
-def read_journal(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """A journal export; filters on its columns reach the files."""
-    reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    """(file, line_at, line) of text files, large ones split across tasks.
+
+    ``line_at`` orders the lines of a file: by the split they come from, then as read. Write the
+    rows before using them twice, as it holds within one run only.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("line_at"),
+        F.col("value").alias("line"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from opslake.operators import digests
+from opslake.operators import digests, logs
 from opslake.operators.inventory import crons, firewall, hosts, mounts, ports, process, timers, updates
 from opslake.sources import captures
 
@@ -27,6 +27,20 @@ def test_read_log_files(spark, tmp_path):
     assert [r.line for r in got] == ["one", "two"] and got[0].file.endswith("a.log")
 
 
+def test_the_end_of_a_file_in_many_splits(spark, tmp_path):
+    text = [f"line {i} of the file" for i in range(3000)] + ["last error", "quiet"]
+    (tmp_path / "big.log").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = captures.read_log_files(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 5
+        assert [r.line for r in read.orderBy("line_at").collect()] == text
+        assert [r.line for r in logs.tail_filtered(read, ["file"], "line_at", lines_=5).collect()] == ["last error"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_ports(spark):
     text = ('LISTEN 0 128 0.0.0.0:22 0.0.0.0:* users:(("sshd",pid=7,fd=3))\nLISTEN 0 128 0.0.0.0:22 0.0.0.0:* users:(("other",pid=9,fd=3))\n'
             'LISTEN 0 128 *\nLISTEN 0 128 * x\nLISTEN 0 5 [::]:5432 [::]:*\nLISTEN 0 5 127.0.0.1:6379 x users:(("redis",pid=1,fd=2))\n'
