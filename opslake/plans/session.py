@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     need_local_master(spark.sparkContext.master)
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="opslake-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 

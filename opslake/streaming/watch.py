@@ -142,17 +142,10 @@ def _windowed(df: DataFrame, win: Column, alert: Column, late: str, *keys: str)
                           "n_lines", "n_alerts")
 
 
-def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available now and return what it wrote under ``path``.
-
-    Append mode uses the file sink; complete mode replaces the result per micro-batch.
-    """
+def run_available(df: DataFrame, path: str) -> DataFrame:
+    """Run a stream over everything available now and return what it appended under ``path``."""
     spark: SparkSession = df.sparkSession
     out = f"{path}/out"
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.foreachBatch(lambda b, epoch: b.write.mode("overwrite").parquet(out))
-    else:
-        writer = writer.format("parquet").option("path", out)
-    writer.start().awaitTermination()
+    (df.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+     .format("parquet").option("path", out).start().awaitTermination())
     return spark.read.schema(df.schema).parquet(out)
