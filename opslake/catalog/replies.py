@@ -243,14 +243,17 @@ _START = r"case when json_valid(raw) then raw when id % 16 = 13 then left(raw, l
 @query("repair_outcomes", oracle(f"""
 with replies as (select id, command, {_START} as raw from replies_raw), {_NORMAL},
 x as (select id, command, normalised as raw from n), c as (select *, {_structural('raw')} as st from x),
-v as (select *, case when len(st) = 0 then {_semantic('raw')} else [] end as se from c)
-select id, command, case when ok then 0 when id % 3 = 0 then 1 when id % 3 = 1 then 2 else 3 end as attempts,
-  case when ok then 'valid' when id % 3 = 2 then 'incomplete' else 'repaired' end as status
-from (select *, len(st) = 0 and len(se) = 0 as ok from v) z""", "replies").replace(
+v as (select *, case when len(st) = 0 then {_semantic('raw')} else [] end as se from c),
+salvaged as (with {_SALVAGED} select id, json_merge_patch('{{}}', json_object('findings', to_json(kept), 'summary', summary))::varchar as reply
+  from k where object)
+select z.id, command, case when ok then 0 when z.id % 3 = 0 then 1 when z.id % 3 = 1 then 2 else 3 end as attempts,
+  case when ok then 'valid' when z.id % 3 = 2 then 'incomplete' else 'repaired' end as status,
+  case when ok then raw when z.id % 3 = 2 then salvaged.reply else '{{"findings":[],"summary":"fixed ' || z.id || '"}}' end as reply
+from (select *, len(st) = 0 and len(se) = 0 as ok from v) z left join salvaged on salvaged.id = z.id""", "replies").replace(
     "replies as (", "replies_raw as (", 1))
 def repair_outcomes(spark, sf_dir):
     return replies.repair_outcomes(_rows(spark, sf_dir), stand_in_responder).select(
-        "id", "command", "attempts", "status")
+        "id", "command", "attempts", "status", "reply")
 
 
 @query("schema_drift", oracle("""

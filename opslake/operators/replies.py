@@ -89,7 +89,8 @@ def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX
     Each round sends only what is still invalid to ``responder``, a mapInPandas function
     from (id, command, attempt, request, current) to (id, command, current). Its answers are
     written to the shared folder, so later rounds never ask again. A reply that stays
-    invalid is marked incomplete and keeps what could be salvaged from the original.
+    invalid is marked incomplete and keeps what can be salvaged from its last answer, else from
+    the original.
     """
     spark = df.sparkSession
     base = df.select("id", "command", F.col("raw").alias("original"))
@@ -125,9 +126,11 @@ def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX
     for d in done[1:]:
         out = out.unionByName(d)
     if left is not None:
-        kept = left.select("id", "command").join(base, ["id", "command"])
-        kept = kept.withColumn("object", jr.recovered(F.col("original")))
-        best = jr.salvage(F.col("command"), F.col("object"))["reply"]
+        kept = left.select("id", "command", "current").join(base, ["id", "command"])
+        for text in ("current", "original"):
+            kept = once(kept, f"{text}_whole", jr.recovered(F.col(text)))
+        whole = F.when(F.col("current_whole").startswith("{"), F.col("current_whole")).otherwise(F.col("original_whole"))
+        best = jr.salvage(F.col("command"), whole)["reply"]
         out = out.unionByName(kept.select(
             "id", "command", F.lit(max_attempts).alias("attempts"), F.lit("incomplete").alias("status"),
             best.alias("reply")))

@@ -130,17 +130,19 @@ def test_repair_loop_is_bounded_and_asks_only_for_invalid(spark, tmp_path):
         for pdf in frames:
             with open(log, "a") as f:
                 f.writelines(f"{r.id}:{r.attempt}\n" for r in pdf.itertuples())
-            yield pdf.assign(current=[doc if r.id == 2 and r.attempt == 2 else "no" for r in pdf.itertuples()])[["id", "command", "current"]]
+            yield pdf.assign(current=[doc if r.id == 2 and r.attempt == 2 else '{"summary":"late","findings":[{"sev' if r.id == 5 else "no"
+                                      for r in pdf.itertuples()])[["id", "command", "current"]]
 
     partial = '{"summary":"s","findings":[{"severity":"info","category":"file","title":"t","detail":"d"},{"severity":1}],"x":'
-    rows = [(1, "audit", "text " + doc), (2, "audit", ""), (3, "audit", partial), (4, "audit", partial[:-5] + "}")]
+    rows = [(1, "audit", "text " + doc), (2, "audit", ""), (3, "audit", partial), (4, "audit", partial[:-5] + "}"), (5, "audit", "")]
     got = {r.id: r for r in replies.repair_outcomes(
         spark.createDataFrame(rows, "id long, command string, raw string"), responder).collect()}
     assert [(got[i].status, got[i].attempts) for i in (1, 2, 3, 4)] == [
         ("valid", 0), ("repaired", 2), ("incomplete", 3), ("incomplete", 3)]
     assert len(json.loads(got[4].reply)["findings"]) == 1 and json.loads(got[3].reply) == json.loads(got[4].reply)
+    assert json.loads(got[5].reply) == {"summary": "late", "findings": []}
     calls = sorted(open(log).read().split())
-    assert calls == ["2:1", "2:2", "3:1", "3:2", "3:3", "4:1", "4:2", "4:3"]
+    assert calls == ["2:1", "2:2", "3:1", "3:2", "3:3", "4:1", "4:2", "4:3", "5:1", "5:2", "5:3"]
 
 
 def test_schema_text_lists_every_field():
