@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -49,19 +49,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class Kept(dict):
-    """Results of pieces, a bounded number of them; a missing one is encoded."""
+    """Ids of pieces, joined by commas, of a bounded number of pieces; a missing one is encoded."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, str] = {}
 
-    def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, text: str) -> str:
         found = self.older.get(text)
         if found is None:
             byte_ids = self.bpe.byte_ids
-            ids = tuple(self.bpe.merge([byte_ids[b] for b in text.encode("utf-8")]))
-            found = (ids, ",".join(map(str, ids)))
+            found = ",".join(map(str, self.bpe.merge([byte_ids[b] for b in text.encode("utf-8")])))
         if len(text) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
                 self.older = dict(self)
@@ -117,9 +116,9 @@ class Bpe:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.pairs[vocab[a], vocab[b]] = (rank << SYMBOL_BITS | vocab[a + b]) << PLACE_BITS
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()
+        self.bytes_of = {str(i): bytes(back[c] for c in token) for token, i in vocab.items()
                          if all(c in back for c in token)}
-        self.bytes_of |= {i: token.encode() for token, i in self.special.items()}
+        self.bytes_of |= {str(i): token.encode() for token, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.kept = Kept(self)
@@ -174,24 +173,24 @@ class Bpe:
             root = tree[1]
         return [s for s in symbols if s >= 0]
 
-    def encoded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids, and ids joined by commas, of the consecutive pieces of a text."""
+    def encoded(self, text: str) -> str:
+        """The ids of a text, joined by commas."""
         known = self.kept.__getitem__
         if self.cut is None or not self.cut.search(text):
-            return list(map(known, self.split(text)))
+            return ",".join(map(known, self.split(text)))
         out, at = [], 0
         for m in self.cut.finditer(text):
             out += map(known, self.split(text[at:m.start()]))
-            i = self.special[m[0]]
-            out.append(((i,), str(i)))
+            out.append(str(self.special[m[0]]))
             at = m.end()
-        return out + list(map(known, self.split(text[at:])))
+        return ",".join(out + list(map(known, self.split(text[at:]))))
 
     def encode(self, text: str) -> list[int]:
-        return list(itertools.chain.from_iterable([ids for ids, _ in self.encoded(text)]))
+        joined = self.encoded(text)
+        return list(map(int, joined.split(","))) if joined else []
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; unknown ids are left out, broken UTF-8 gives U+FFFD."""
+    def decode(self, ids: Iterable[str]) -> str:
+        """The text of ids, each as a decimal; unknown ones are left out, broken UTF-8 gives U+FFFD."""
         known = self.bytes_of
         try:
             out = b"".join(map(known.__getitem__, ids))
@@ -218,10 +217,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bpe = load(path, pattern)
         counts, sums, backs = [], [], []
         for text in texts.to_pylist():
-            parts = bpe.encoded(text or "")
-            ids_of = list(itertools.chain.from_iterable([p[0] for p in parts]))
+            joined = bpe.encoded(text or "")
+            ids_of = joined.split(",") if joined else []
             counts.append(len(ids_of))
-            sums.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+            sums.append(hashlib.sha256(joined.encode()).hexdigest())
             backs.append(hashlib.sha256(bpe.decode(ids_of).encode()).hexdigest())
         return pa.table({"_id": ids, "n_tokens": pa.array(counts, pa.int64()),
                          "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(backs, pa.string())})
@@ -240,7 +239,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def fold(ids, texts):
         bpe = load(path, pattern)
-        rows = [bpe.encode(t or "") for t in texts.to_pylist()]
+        rows = [np.array(bpe.encode(t or ""), np.int32) for t in texts.to_pylist()]
         return pa.table({"_id": ids, "n_tokens": pa.array([len(r) for r in rows], pa.int64()),
                          "token_ids": pa.array(rows, pa.list_(pa.int32()))})
 
@@ -257,7 +256,7 @@ def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", path: str | None =
 
     def fold(ids, tokens):
         bpe = load(path, pattern)
-        return pa.table({"_id": ids, "text": pa.array([bpe.decode(t or []) for t in tokens.to_pylist()], pa.string())})
+        return pa.table({"_id": ids, "text": pa.array([bpe.decode(map(str, t or [])) for t in tokens.to_pylist()], pa.string())})
 
     rows = encoded.select(encoded[id_col].alias("_id"), encoded["token_ids"].alias("_ids"))
     kind = dict(rows.dtypes)["_id"]

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from opslake.plans.session import scratch_path
 
 
+#: Rows whose texts are Python objects at a time.
+SLICE_ROWS = 500
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that it is computed once."""
     path = scratch_path(df.sparkSession, name)
@@ -51,14 +55,20 @@ def spans_text(spans: Column) -> Column:
 
 
 def arrow_rows(fn: Callable[[dict], Iterator[dict]] | Callable, columns: list[str]):
-    """A mapInArrow function from one that maps each batch, given as lists, to an Arrow table."""
+    """A mapInArrow function from one that maps columns of a batch to an Arrow table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(*[batch.column(c) for c in columns]).to_batches()
+        for part in sliced(batches):
+            yield from fn(*[part.column(c) for c in columns]).to_batches()
     return run
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, as their texts become Python objects a slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column as one array, and where each row starts; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

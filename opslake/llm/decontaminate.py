@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.llm.common import keyed
+from opslake.llm.common import keyed, sliced
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
 
         def fold(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = pickle.loads(sent.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 found = list(search_all(items, [t or "" for t in batch["_text"].to_pylist()]))
                 at = pa.array([f[0] for f in found], pa.int64())
                 values = [pa.array([f[c] for f in found], pa.int64()) for c in range(1, 5)]
@@ -261,7 +261,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_R
 
         def stays(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = pickle.loads(sent.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 keep = np.ones(len(texts), bool)
                 for of, *_ in search_all(items, texts):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.llm.common import arrow_rows
+from opslake.llm.common import arrow_rows, sliced
 
 #: Labelled documents that the model is fitted to, at most.
 TRAIN_DOCS = 2000
@@ -255,7 +255,7 @@ def keep_good(docs: DataFrame, model: Crf, share: float = CONTENT_SHARE, text_co
     at = docs.columns.index(text_col)
 
     def stays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             mask = []
             for text in batch.column(at).to_pylist():
                 words = (text or "").encode("utf-8").split()

@@ -61,5 +61,5 @@ def test_kept_pieces_are_bounded(monkeypatch):
 
 def test_unknown_ids_are_left_out():
     b = bpe.load(bpe.default_path(), bpe.default_pattern())
-    assert b.decode(b.encode("héllo") + [10**6]) == "héllo"
-    assert b.decode(b.encode("é")[:1] or []) in ("é", "�")
+    assert b.decode([*map(str, b.encode("héllo")), "1000000"]) == "héllo"
+    assert b.decode(map(str, b.encode("é")[:1])) in ("é", "�")
