@@ -44,6 +44,11 @@ def _either_case(pattern: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in pattern)
 
 
+#: A private key to its END line (headers may hold single hyphens), else its marker and the base64 lines after it.
+_PEM = (r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=,:\\\t\n\r\x20]*(?:-[A-Za-z0-9+/=,:\\\t\n\r\x20]+){0,64}"
+        r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----|"
+        r"(?:[\r\n]+(?:Proc-Type|DEK-Info):[^\r\n]*){0,2}[\r\n]+[A-Za-z0-9+/=\r\n]*[A-Za-z0-9+/=](?m:$))?")
+
 #: In the order in which kinds are listed; the first three are the base.
 RULES = [
     Rule("assign", 1, _either_case("(password|passwd|secret|token|api_?key)")
@@ -52,7 +57,7 @@ RULES = [
     Rule("hex", 1, r"[0-9a-f]{16,}"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"),
+    Rule("pem", 2, _PEM),
 ]
 BASE = ("assign", "access", "hex")
 TAG = "<SECRET>"
@@ -158,8 +163,8 @@ def _without(rule: Rule) -> Callable[[Column], Column]:
 
 
 def redacted(text: Column, rules: list[Rule] = RULES) -> Column:
-    """The text with every secret replaced by a tag, rule by rule."""
-    for r in rules:
+    """The text with every secret replaced by a tag, rule by rule; whole keys first, before others cut into them."""
+    for r in sorted(rules, key=lambda r: r.kind != "pem"):
         text = bind(text, _without(r))  # bound, so that the expression grows by one term a rule
     return text
 
