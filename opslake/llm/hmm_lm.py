@@ -3,8 +3,8 @@
 Method. Words fall into classes: each of the ``OWN_CLASS`` most frequent words is its own, the rest
 share classes by a hash of their last three letters, in which a word has its smoothed share of
 the class. A hidden Markov chain of ``STATES`` states emits the classes of a text and an end.
-Every round of Baum-Welch adds up expected counts in all partitions over all training documents;
-the start is fitted on a bounded sample (``SAMPLE_DOCS``). The scaled forward recursion gives the
+Every round of Baum-Welch adds up expected counts in all partitions over all training documents,
+from a seeded start until a round gains less than ``TOLERANCE``. The scaled forward recursion gives the
 exact likelihood of a whole text.
 
 Corpus counts. Tasks cut their documents into chunks of bounded size and write each document as
@@ -32,9 +32,8 @@ OWN_CLASS = 2000
 SHARED_CLASSES = 1024
 CLASSES = OWN_CLASS + SHARED_CLASSES + 1
 END = CLASSES - 1
-ROUNDS = 2
-SAMPLE_DOCS = 1500
-SAMPLE_ROUNDS = 12
+#: Training ends when a round gains less than this log likelihood a token.
+TOLERANCE = 0.01
 #: Added to every count of a word; and to every expected count of a class.
 ADD = 0.1
 PRIOR = 0.01
@@ -116,9 +115,9 @@ def forward(model: Hmm, data: Ragged, keep_alpha: bool = False) -> tuple[np.ndar
     return logs, scale, alpha
 
 
-def expected_counts(model: Hmm, data: Ragged) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, steps and emissions of the sequences (the E-step of Baum-Welch)."""
-    _, scale, alpha = forward(model, data, keep_alpha=True)
+def expected_counts(model: Hmm, data: Ragged) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, steps and emissions of the sequences (the E-step of Baum-Welch), and their log likelihood."""
+    logs, scale, alpha = forward(model, data, keep_alpha=True)
     states = len(model.start)
     live, off = data.live.tolist(), data.off.tolist()
     steps = np.zeros((states, states))
@@ -138,7 +137,7 @@ def expected_counts(model: Hmm, data: Ragged) -> tuple[np.ndarray, np.ndarray, n
         else:
             alpha[lo:hi] *= back  # the step to t was counted from what stands at t - 1
     emits = np.stack([np.bincount(data.symbols, alpha[:, s], len(model.emit)) for s in range(states)], 1)
-    return starts, steps * model.step, emits
+    return starts, steps * model.step, emits, float(logs.sum())
 
 
 def in_passes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[tuple[pa.RecordBatch, int, np.ndarray]]]:
@@ -168,12 +167,12 @@ def in_passes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[t
     yield from passes()
 
 
-def baum_welch(encoded: DataFrame, model: Hmm) -> Hmm:
-    """One round over all sequences of ``encoded`` (classes binary)."""
+def baum_welch(encoded: DataFrame, model: Hmm) -> tuple[Hmm, float]:
+    """One round over all sequences of ``encoded`` (classes binary); also their log likelihood before it."""
     states = len(model.start)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))]
+        total = [np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states)), np.zeros(1)]
         for rows in in_passes(batches, "classes"):
             for t, part in zip(total, expected_counts(model, Ragged.of_sequences([s for _, _, s in rows]))):
                 t += part
@@ -182,32 +181,21 @@ def baum_welch(encoded: DataFrame, model: Hmm) -> Hmm:
         yield pa.record_batch({"at": pa.array(at), "n": pa.array(flat[at])})
 
     summed = encoded.select("classes").mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(states + states * states + CLASSES * states)
-    for row in summed.collect():  # at most one row per parameter of the model
+    flat = np.zeros(states + states * states + CLASSES * states + 1)
+    for row in summed.collect():  # at most one row per parameter of the model, and one more
         flat[row.at] = row.n
     return Hmm.from_counts(flat[:states], flat[states:states + states ** 2].reshape(states, states),
-                           flat[states + states ** 2:].reshape(CLASSES, states))
-
-
-def fit_sample(encoded: DataFrame, rounds: int = SAMPLE_ROUNDS, limit: int = SAMPLE_DOCS) -> Hmm:
-    """A first model, by Baum-Welch on at most ``limit`` sequences in one task."""
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Hmm.random()
-        sequences = [np.frombuffer(x, np.uint16) for b in batches for x in b["classes"].to_pylist()]
-        sequences.sort(key=lambda s: (len(s), s.tobytes()))
-        cuts = np.cumsum([len(s) for s in sequences]) // PASS_TOKENS if sequences else np.zeros(0)
-        parts = [Ragged.of_sequences([s for s, c in zip(sequences, cuts) if c == p]) for p in np.unique(cuts)]
-        for _ in range(rounds if parts else 0):
-            counts = [expected_counts(model, p) for p in parts]
-            model = Hmm.from_counts(*[sum(c) for c in zip(*counts)])
-        yield pa.record_batch({"flat": pa.array([np.concatenate((model.start, model.step.ravel(), model.emit.ravel()))])})
-
-    row = encoded.orderBy(F.xxhash64("_id", "classes"), "classes").limit(limit).select("classes").repartition(1).mapInArrow(
-        fit, "flat array<double>").first()
-    if row is None:
-        return Hmm.random()
-    flat, k = np.array(row.flat), STATES
-    return Hmm(flat[:k], flat[k:k + k * k].reshape(k, k), flat[k + k * k:].reshape(CLASSES, k))
+                           flat[states + states ** 2:-1].reshape(CLASSES, states)), float(flat[-1])
+
+
+def fit(encoded: DataFrame, tokens: int) -> Hmm:
+    """Baum-Welch over all sequences until a round gains less than the tolerance."""
+    model, before = Hmm.random(), -np.inf
+    while True:
+        model, now = baum_welch(encoded, model)
+        if now - before < TOLERANCE * tokens:
+            return model
+        before = now
 
 
 # ---- counts and encoding ----
@@ -332,7 +320,7 @@ def encode(chunks: DataFrame) -> tuple[DataFrame, Totals]:
     return keep(encoded, "classes"), totals
 
 
-def scores(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Scores are log10 probabilities of whole texts. A null text is empty: its end is its only
@@ -341,10 +329,9 @@ def scores(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_c
     """
     encoded, totals = encode(chunked(docs, id_col, text_col))
     train = encoded.filter("not held_out")
-    model = fit_sample(train)
-    for _ in range(rounds if totals.train_docs else 0):
-        model = baum_welch(train, model)
-    if not totals.train_docs:
+    if totals.train_docs:
+        model = fit(train, totals.tokens)
+    else:
         model = Hmm.from_counts(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))
     kind = dict(encoded.dtypes)["_id"]
     carried = ["_id", "held_out", "n_tokens", "n_known", "base_score", "inside"]

@@ -101,3 +101,23 @@ def test_odd_rows(spark, monkeypatch):
         assert len([a for a in again if a[0] == 3]) == 1
     assert lm.scores(df.limit(0)).count() == 0
     assert all(np.isfinite(r.score) for r in lm.scores(df.filter("doc_id is null")).collect())
+
+
+def test_every_round_sees_all_documents(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(3, 30)) + 40 * (i % 2))) for i in range(1700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    encoded, totals = lm.encode(lm.chunked(df))
+    seqs = {r._id: (r.held_out, r.inside, np.frombuffer(r.classes, np.uint16)) for r in encoded.collect()}
+    data = lm.Ragged.of_sequences([s for out, _, s in seqs.values() if not out])
+    model, before = lm.Hmm.random(), -np.inf
+    while True:
+        now = lm.forward(model, data)[0].sum()
+        model = lm.Hmm.from_counts(*lm.expected_counts(model, data)[:3])
+        if now - before < lm.TOLERANCE * totals.tokens:
+            break
+        before = now
+    logs, _, _ = lm.forward(model, lm.Ragged.of_sequences([s for _, _, s in seqs.values()]))
+    want = {i: x / np.log(10) + seqs[i][1] for i, x in zip(seqs, logs)}
+    got = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
