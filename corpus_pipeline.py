@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opslake.llm import bpe, decontaminate, line_crf, near_copies, secret_ledger
+from opslake.llm import bpe, decontaminate, line_crf, secret_ledger, simhash
 from opslake.llm.common import keep
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
-    return near_copies.first_of_each(docs)
+    """One document of each group of near copies (fingerprints of three-word shingles, three bits or fewer apart) stays."""
+    return simhash.first_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
