@@ -23,8 +23,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` with a unique long ``_row``.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, id_col: str, name: str = "_row") -> DataFrame:
+    """``df`` with a unique long ``name`` as its last column; it must be free in ``df``.
 
     The id is the row key where it is a whole number, never null and never repeated;
     else the rows are numbered in a kept copy.
@@ -32,8 +40,8 @@ def numbered(df: DataFrame, id_col: str) -> DataFrame:
     if dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
         ids = df.select(df[id_col].alias("_id"))
         if ids.groupBy("_id").count().filter("_id is null or count > 1").isEmpty():
-            return df.withColumn("_row", df[id_col].cast("long"))
-    return keep(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+            return df.withColumn(name, df[id_col].cast("long"))
+    return keep(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

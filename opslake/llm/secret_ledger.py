@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.text import bind
-from opslake.llm.common import numbered, spans_text
+from opslake.llm.common import free_name, numbered, spans_text
 from opslake.plans.session import scratch_path
 
 
@@ -171,19 +171,23 @@ def redacted(text: Column, rules: list[Rule] = RULES) -> Column:
 
 def redact_corpus(docs: DataFrame, ledger_path: str | None = None, batch: str = "0", id_col: str = "doc_id",
                   text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All documents, those with secrets redacted; ``chars_col`` follows where there is one."""
+    """All documents, those with secrets redacted; ``chars_col`` follows where there is one.
+
+    Other columns come back unchanged, whatever they are called.
+    """
     ledger = scan(docs, ledger_path or scratch_path(docs.sparkSession, "ledger"), batch, text_col=text_col)
-    hit = findings(ledger).select("blob", F.lit(True).alias("_hit"))
+    held = findings(ledger).select("blob")
+    row, hit = free_name(docs, "_row"), free_name(docs, "_hit")
     # by row, so that the texts do not move: the blobs go to the rows' keys
-    rows = numbered(docs, id_col)
-    marks = rows.select("_row", blob_of(rows[text_col]).alias("blob")).join(hit, "blob", "left_semi").select(
-        "_row", F.lit(True).alias("_hit"))
-    out = rows.join(marks, "_row", "left").withColumn(
-        text_col, F.when(F.col("_hit"), redacted(F.col(text_col))).otherwise(F.col(text_col)))
+    rows = numbered(docs, id_col, row)
+    marks = rows.select(row, blob_of(rows[text_col]).alias("blob")).join(held, "blob", "left_semi").select(
+        row, F.lit(True).alias(hit))
+    out = rows.join(marks, row, "left").withColumn(
+        text_col, F.when(F.col(hit), redacted(F.col(text_col))).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_hit"), F.length(text_col).cast(dict(docs.dtypes)[chars_col]))
+        out = out.withColumn(chars_col, F.when(F.col(hit), F.length(text_col).cast(dict(docs.dtypes)[chars_col]))
                              .otherwise(F.col(chars_col)))
-    return out.select(*docs.columns)
+    return out.drop(row, hit)
 
 
 def sql() -> str:

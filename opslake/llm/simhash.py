@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opslake.llm.common import arrow_rows, components, keep, keyed, numbered
+from opslake.llm.common import arrow_rows, components, free_name, keep, keyed, numbered
 
 RADIUS = 3
 SHINGLE = 3
@@ -194,7 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with one of each near-duplicate group: that of the smallest row key."""
-    rows = numbered(docs, id_col)
-    stay = near_duplicates(rows, "_row", text_col).filter("_row = component_id").select("_row")
-    return rows.join(stay, "_row", "left_semi").select(*docs.columns)
+    """The documents, with one of each near-duplicate group: that of the smallest row key.
+
+    All columns come back unchanged, whatever they are called.
+    """
+    row = free_name(docs, "_row")
+    rows = numbered(docs, id_col, row)
+    stay = near_duplicates(rows, row, text_col).filter(F.col(row) == F.col("component_id")).select(row)
+    return rows.join(stay, row, "left_semi").drop(row)

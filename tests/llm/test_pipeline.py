@@ -57,3 +57,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
             assert stage(spark, rows, BASE).columns == docs.columns
         assert corpus_pipeline.bpe_encoding(spark, rows, BASE).count() == rows.count()
     assert corpus_pipeline.near_duplicates(spark, docs, BASE).count() == 1
+
+
+def test_stages_leave_other_columns_alone(spark):
+    text = "é password=abcdefghijklmnop " + " ".join(f"w{i}" for i in range(60))
+    names = ["doc_id", "text", "n_chars", "_ROW", "_hit", "_id", "_text", "blob", "print", "fp", "component_id", "fingerprint"]
+    rows = [(i, text if i < 3 else f"{text} {'x ' * 40 * i}", 7, *[f"{c}{i}" for c in names[3:]]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in names[3:]))
+    first = {r.doc_id: tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, BASE).collect()}
+    assert first and all(first[i] == rows[i] for i in first) and not {1, 2} & set(first)
+    out = corpus_pipeline.secret_scans(spark, docs, BASE)
+    assert out.columns == names
+    for r in out.collect():
+        assert tuple(r)[3:] == rows[r.doc_id][3:] and r.text.startswith("é <SECRET> ") and r.n_chars == len(r.text)
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, BASE)
+    assert sorted(map(tuple, clean.collect())) == rows
