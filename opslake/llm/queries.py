@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from opslake.llm import (
-    bpe, decontaminate, hmm_lm, line_crf, pii, secret_ledger, simhash, suffix_dedup, token_rollups, warc,
+    bpe, decontaminate, factorisation, hard_negatives, hmm_lm, lexical_search, line_crf, pii, secret_ledger, simhash,
+    suffix_dedup, token_rollups, warc,
 )
 from opslake.plans.session import scratch_path
 
@@ -80,3 +81,19 @@ def op5(spark, sf_dir):
 @query("op4_secret_ledger", secret_ledger.sql())
 def op4(spark, sf_dir):
     return secret_ledger.scan_corpus(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark, sf_dir):
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_lexical_search", lexical_search.SQL)
+def op12(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_factorisation_quality")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return factorisation.judge(docs, factorisation.train(docs, table(spark, sf_dir, "labels")))
