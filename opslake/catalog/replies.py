@@ -228,29 +228,54 @@ def reply_quality_cube(spark, sf_dir):
 
 
 def stand_in_responder(frames):
-    """Deterministic answers: a third repaired at once, a third on the second try, a third never."""
+    """Deterministic answers: a third right at once, a third on the second try, a third never.
+
+    Wrong answers are empty objects, other words, or an entry whose title is null; a right
+    document comes with fewer findings than it had, and in another order.
+    """
+    def entry(r):
+        if r.id % 3 == 2:
+            return ("{}", "still working on it", "[]")[r.attempt - 1]
+        right = r.id % 3 == 0 or r.attempt > 1
+        one = json.loads(r.current) | {"severity": " info ", "title": "fixed" if right else None}
+        return json.dumps({r.list: [one]} if r.id % 2 else one)
+
+    def document(r):
+        if r.id % 3 == 2:
+            return "{}" if r.attempt == 2 else "still working on it"
+        if r.id % 3 == 1 and r.attempt < 2:
+            return "{}"
+        try:
+            findings = json.loads(r.current)["findings"][:0:-1]
+        except (ValueError, TypeError, KeyError):
+            findings = []
+        return json.dumps({"findings": findings, "summary": f"fixed {r.id}"})
+
     for pdf in frames:
-        def answer(r):
-            if r.id % 3 == 2 or (r.id % 3 == 1 and r.attempt < 2):
-                return "still working on it"
-            return json.dumps({"summary": f"fixed {r.id}", "findings": []})
-        yield pdf.assign(current=[answer(r) for r in pdf.itertuples()])[["id", "command", "current"]]
+        yield pdf.assign(current=[entry(r) if r.list else document(r) for r in pdf.itertuples()])
 
 
 _START = r"case when json_valid(raw) then raw when id % 16 = 13 then left(raw, length(raw) - 7) when json_valid(regexp_extract(raw, '\{(?s:.*)\}')) then regexp_extract(raw, '\{(?s:.*)\}') else raw end"
+# What the stand-in makes of an unsound entry: its other fields stay, keys are sorted.
+_FIXED = """json_merge_patch(json_merge_patch(e, '{"severity":null,"title":null}'), '{"severity":"info","title":"fixed"}')"""
+_ASKED = "case id % 3 when 0 then 1 when 1 then 2 else 3 end"
 
 
 @query("repair_outcomes", oracle(f"""
 with replies as (select id, command, {_START} as raw from replies_raw), {_NORMAL},
 x as (select id, command, normalised as raw from n), c as (select *, {_structural('raw')} as st from x),
 v as (select *, case when len(st) = 0 then {_semantic('raw')} else [] end as se from c),
-salvaged as (with {_SALVAGED} select id, json_merge_patch('{{}}', json_object('findings', to_json(kept), 'summary', summary))::varchar as reply
-  from k where object)
-select z.id, command, case when ok then 0 when z.id % 3 = 0 then 1 when z.id % 3 = 1 then 2 else 3 end as attempts,
-  case when ok then 'valid' when z.id % 3 = 2 then 'incomplete' else 'repaired' end as status,
-  case when ok then raw when z.id % 3 = 2 then salvaged.reply else '{{"findings":[],"summary":"fixed ' || z.id || '"}}' end as reply
-from (select *, len(st) = 0 and len(se) = 0 as ok from v) z left join salvaged on salvaged.id = z.id""", "replies").replace(
-    "replies as (", "replies_raw as (", 1))
+apart as (with {_SALVAGED} select id, coalesce(object, false) as object, coalesce(es, []) as es, len(es) > len(kept) as unsound, summary from k),
+told as (select v.*, object, es, coalesce(unsound, false) as unsound, summary, len(st) = 0 and len(se) = 0 as ok,
+    summary is null or (command <> 'audit' and summary = '') as lacking
+  from v join apart using (id)),
+z as (select *, (case when unsound then {_ASKED} else 0 end) + (case when lacking then {_ASKED} else 0 end) as asked,
+  list_filter(list_transform(es, lambda e: case when {_SOUND} then e when id % 3 <> 2 then {_FIXED} end), lambda e: e is not null) as whole from told)
+select id, command, cast(case when ok then 0 else asked end as integer) as attempts,
+  case when ok then 'valid' when asked = 0 then 'recovered' when id % 3 = 2 then 'incomplete' else 'repaired' end as status,
+  case when ok then raw else '{{"findings":' || to_json(whole) || coalesce(',"summary":' || to_json(
+    case when lacking and id % 3 <> 2 then 'fixed ' || id else summary end), '') || '}}' end as reply
+from z""", "replies").replace("replies as (", "replies_raw as (", 1))
 def repair_outcomes(spark, sf_dir):
     return replies.repair_outcomes(_rows(spark, sf_dir), stand_in_responder).select(
         "id", "command", "attempts", "status", "reply")

@@ -484,3 +484,117 @@ def salvage(command: Column, raw: Column) -> Column:
         return F.when(v.isNull() | (kind(v) != "object"), F.lit(None)).otherwise(
             bind(spec(command), lambda sp: bind(members(v), lambda m: rebuilt(sp, m))))
     return bind(strict_json(raw), of)
+
+
+# --- repairing by parts -------------------------------------------------------------
+
+def _checked_element(sp: Column, f: Column, e: Column) -> Column:
+    """struct(element, errors, sound) of one list element, normalised.
+
+    ``errors`` is what the element is sent back for; ``sound`` also minds content that is only
+    checked as a whole.
+    """
+    def of(n: Column) -> Column:
+        def found(bad: Column, content: Column) -> Column:
+            asked = F.when((F.size(bad) > 0) | ~sp["elementwise"], bad).otherwise(content)
+            return F.struct(F.to_json(n).alias("element"), asked.alias("errors"),
+                            ((F.size(bad) == 0) & (F.size(content) == 0)).alias("sound"))
+        return bind(object_errors(n, f["fields"], F.lit("")), lambda bad: bind(
+            _element_messages(n, f["checks"]), lambda content: found(bad, content)))
+    return bind(normal_object(e, f["fields"]), of)
+
+
+def parts(command: Column, text: Column) -> Column:
+    """The known fields of a reply as JSON texts, and its list elements one by one; null for no object.
+
+    A list field that holds no list is a field; list entries that are no objects are left out.
+    """
+    def of(v: Column) -> Column:
+        def split(sp: Column, m: Column) -> Column:
+            value = lambda f: F.try_element_at(m, f["name"])
+            listed = lambda f: (f["kind"] == "objects") & kind(value(f)).isin("array", "null")
+            present = F.filter(sp["fields"], lambda f: value(f).isNotNull())
+
+            def elements(f: Column) -> Column:
+                numbered = F.transform(items(value(f)), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+                objects = F.filter(numbered, lambda x: kind(x["e"]) == "object")
+                return F.transform(objects, lambda x: bind(_checked_element(sp, f, x["e"]), lambda c: F.struct(
+                    f["name"].alias("list"), x["i"].alias("position"), c["element"].alias("element"),
+                    c["errors"].alias("errors"), c["sound"].alias("sound"))))
+            return F.struct(
+                F.map_from_entries(F.transform(F.filter(present, lambda f: ~listed(f)), lambda f: F.struct(
+                    f["name"], F.to_json(_normal_field(value(f), f))))).alias("fields"),
+                F.flatten(F.transform(F.filter(present, listed), elements)).alias("elements"))
+        return F.when(kind(v) == "object", bind(spec(command), lambda sp: F.when(
+            sp["fields"].isNotNull(), bind(members(v), lambda m: split(sp, m)))))
+    return bind(strict_json(text), of)
+
+
+def answered_element(command: Column, name: Column, answer: Column) -> Column:
+    """struct(element, errors, sound) of an answer to the request for one element of list ``name``.
+
+    An answer that wraps the element in its list is unwrapped.
+    """
+    def of(v: Column) -> Column:
+        def unwrapped(m: Column) -> Column:
+            inner = items(F.try_element_at(m, name))
+            return F.when((F.size(m) == 1) & (F.size(inner) == 1), F.get(inner, F.lit(0))).otherwise(v)
+        lost = F.struct(answer.alias("element"), F.array(F.lit("invalid object")).alias("errors"), F.lit(False).alias("sound"))
+        return F.when(kind(v) == "object", bind(bind(members(v), unwrapped), lambda e: F.when(kind(e) == "object", bind(
+            spec(command), lambda sp: bind(F.get(F.filter(sp["fields"], lambda f: f["name"] == name), F.lit(0)),
+                                           lambda f: _checked_element(sp, f, e))))
+            .otherwise(lost))).otherwise(lost)
+    return bind(strict_json(answer), lambda v: F.coalesce(of(v), F.struct(
+        answer.alias("element"), F.array(F.lit("invalid object")).alias("errors"), F.lit(False).alias("sound"))))
+
+
+def document(command: Column, fields: Column, lists: Column) -> Column:
+    """Reply text of known fields (JSON texts) and lists (arrays of structs with an ``element``); keys sorted."""
+    def of(sp: Column) -> Column:
+        def entry(f: Column) -> Column:
+            of_list = F.transform(F.try_element_at(lists, f["name"]), lambda e: e["element"])
+            listed = F.concat(F.lit("["), F.array_join(F.coalesce(of_list, _no_messages()), ","), F.lit("]"))
+            value = F.coalesce(F.try_element_at(fields, f["name"]), F.when(f["kind"] == "objects", listed))
+            return F.concat(F.lit('"'), f["name"], F.lit('":'), value)
+        ordered = F.array_sort(F.transform(sp["fields"], lambda f: F.struct(f["name"].alias("name"), f["kind"].alias("kind"))))
+        return F.concat(F.lit("{"), F.array_join(F.transform(ordered, entry), ","), F.lit("}"))
+    return bind(spec(command), of)
+
+
+ENTRIES = "array<struct<element: string, sound: boolean>>"
+
+
+def _sound(xs: Column) -> Column:
+    return F.size(F.filter(xs, lambda e: e["sound"]))
+
+
+def by_list(elements: Column) -> Column:
+    """map(list -> entries in order) of an ordered array of elements."""
+    names = F.array_distinct(F.transform(elements, lambda e: e["list"]))
+    return F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.transform(
+        F.filter(elements, lambda e: e["list"] == n),
+        lambda e: F.struct(e["element"].alias("element"), e["sound"].alias("sound"))))))
+
+
+def merged(command: Column, fields: Column, lists: Column, answer: Column) -> Column:
+    """struct(fields, lists, clean) of what is held and a whole-document answer (``parts``) together.
+
+    Held entries never leave a list: an answer's list counts where nothing is held, or, for
+    content that is only checked as a whole, where it has as many sound entries. ``clean`` is
+    false if an entry taken from the answer still has errors.
+    """
+    fit = F.filter(answer["elements"], lambda e: F.size(e["errors"]) == 0)
+
+    def of(sp: Column, theirs: Column) -> Column:
+        own = lambda n: F.coalesce(F.try_element_at(lists, n), F.array().cast(ENTRIES))
+        new = lambda n: F.coalesce(F.try_element_at(theirs, n), F.array().cast(ENTRIES))
+        stays = lambda n: (sp["elementwise"] & (F.size(own(n)) > 0)) | (_sound(own(n)) > _sound(new(n)))
+        names = F.transform(F.filter(sp["fields"], lambda f: f["kind"] == "objects"), lambda f: f["name"])
+        both = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.when(stays(n), own(n)).otherwise(new(n)))))
+        given = F.map_filter(answer["fields"], lambda k, v: v != '""')
+        # a list that was no list before is one once the answer has it
+        left = F.map_filter(fields, lambda k, v: ~F.map_contains_key(given, k) & ~(
+            F.array_contains(names, k) & F.map_contains_key(theirs, k)))
+        clean = F.forall(answer["elements"], lambda e: (F.size(e["errors"]) == 0) | stays(e["list"]))
+        return F.struct(F.map_concat(left, given).alias("fields"), both.alias("lists"), clean.alias("clean"))
+    return bind(spec(command), lambda sp: bind(by_list(fit), lambda theirs: of(sp, theirs)))

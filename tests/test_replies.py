@@ -122,27 +122,103 @@ def test_complete_part(text, want):
     assert (json.loads(got) if got else None) == want
 
 
-def test_repair_loop_is_bounded_and_asks_only_for_invalid(spark, tmp_path):
-    log = str(tmp_path / "calls")
-    doc = '{"summary":"s","findings":[]}'
-
+def _repair(spark, rows, answer, log=None):
+    """Outcomes by id; ``answer`` gets (id, list, position, attempt, current)."""
     def responder(frames):
         for pdf in frames:
-            with open(log, "a") as f:
-                f.writelines(f"{r.id}:{r.attempt}\n" for r in pdf.itertuples())
-            yield pdf.assign(current=[doc if r.id == 2 and r.attempt == 2 else '{"summary":"late","findings":[{"sev' if r.id == 5 else "no"
-                                      for r in pdf.itertuples()])[["id", "command", "current"]]
-
-    partial = '{"summary":"s","findings":[{"severity":"info","category":"file","title":"t","detail":"d"},{"severity":1}],"x":'
-    rows = [(1, "audit", "text " + doc), (2, "audit", ""), (3, "audit", partial), (4, "audit", partial[:-5] + "}"), (5, "audit", "")]
-    got = {r.id: r for r in replies.repair_outcomes(
-        spark.createDataFrame(rows, "id long, command string, raw string"), responder).collect()}
-    assert [(got[i].status, got[i].attempts) for i in (1, 2, 3, 4)] == [
-        ("valid", 0), ("repaired", 2), ("incomplete", 3), ("incomplete", 3)]
-    assert len(json.loads(got[4].reply)["findings"]) == 1 and json.loads(got[3].reply) == json.loads(got[4].reply)
-    assert json.loads(got[5].reply) == {"summary": "late", "findings": []}
-    calls = sorted(open(log).read().split())
-    assert calls == ["2:1", "2:2", "3:1", "3:2", "3:3", "4:1", "4:2", "4:3", "5:1", "5:2", "5:3"]
+            if log:
+                with open(log, "a") as f:
+                    f.writelines(f"{r.id}{r.list and ':%s%d' % (r.list, r.position)}:{r.attempt}\n" for r in pdf.itertuples())
+            yield pdf.assign(current=[answer(r.id, r.list, r.position, r.attempt, r.current) for r in pdf.itertuples()])
+    df = spark.createDataFrame(rows, "id long, command string, raw string")
+    out = replies.repair_outcomes(df, responder)
+    assert out.columns == ["id", "command", "attempts", "status", "reply"]
+    got = out.collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in rows)
+    return {r.id: (r.status, r.attempts, r.reply and json.loads(r.reply)) for r in got}
+
+
+FINE = {"severity": "info", "category": "file", "title": "t", "detail": "d"}
+ALSO = {"severity": "info", "category": "user", "title": "u", "detail": "e"}
+
+
+def _doc(*findings, summary="s", **more):
+    return json.dumps({"summary": summary, "findings": list(findings)} | more)
+
+
+def test_only_what_is_unsound_is_asked_for(spark, tmp_path):
+    log = str(tmp_path / "calls")
+    whole = _doc(FINE)
+    cut = '{"summary":"s","findings":[' + json.dumps(FINE) + ',{"severity":1}],"x":'
+    rows = [(1, "audit", "text " + whole), (2, "audit", ""), (3, "audit", cut), (4, "audit", _doc(FINE, {"severity": 1}, ALSO)),
+            (5, "audit", ""), (6, "audit", whole[:-9]), (7, "nothing", whole), (8, "audit", None)]
+
+    def answer(i, name, position, attempt, current):
+        if i == 4:
+            return json.dumps(json.loads(current) | {"title": "new"} | ({"detail": "n", "category": "file"} if attempt > 1 else {}))
+        return whole if (i, attempt) == (2, 2) else '{"summary":"late","findings":[{"sev' if i == 5 else "no"
+
+    got = _repair(spark, rows, answer, log)
+    assert got[1] == ("valid", 0, json.loads(whole)) and got[2] == ("repaired", 2, json.loads(whole))
+    assert got[3] == ("incomplete", 3, json.loads(whole))
+    assert got[4] == ("repaired", 2, json.loads(_doc(FINE, {"severity": "1", "title": "new", "detail": "n", "category": "file"}, ALSO)))
+    assert got[5] == ("incomplete", 3, json.loads(_doc(summary="late")))
+    assert got[6] == ("recovered", 0, json.loads(_doc()))
+    assert got[7] == ("incomplete", 3, None) and got[8] == ("incomplete", 3, None)
+    assert sorted(open(log).read().split()) == sorted(
+        ["2:1", "2:2", *[f"3:findings1:{k}" for k in (1, 2, 3)], "4:findings1:1", "4:findings1:2",
+         *[f"{i}:{k}" for i in (5, 7, 8) for k in (1, 2, 3)]])
+
+
+def test_sound_entries_never_leave(spark):
+    answers = ["{}", "", "null", "[]", "no", '{"findings":[]}', _doc(ALSO, summary=""), None, '{"summary":"","findings":[{"sev']
+    port = lambda n, sev="info": {"severity": sev, "port": n, "title": "t", "detail": "d"}
+    docs = [("ports", _doc(port("1"), port("2"), summary="")), ("audit", json.dumps({"findings": [FINE, 7, ALSO]})),
+            ("ports", _doc(port("1"), port("2", "bad"), port("3")))]
+    got = _repair(spark, [(10 * k + n, *d) for k in range(len(answers)) for n, d in enumerate(docs)], lambda i, *_: answers[i // 10])
+    for k, answer in enumerate(answers):
+        a, b, c = (got[10 * k + n] for n in range(3))
+        assert (a[0], a[1]) == ("incomplete", 3) and a[2] == {"summary": "", "findings": [port("1"), port("2")]}, answer
+        assert b[0] == "incomplete" and b[2]["findings"] == [FINE, ALSO], answer
+        assert c == ("incomplete", 3, {"summary": "s", "findings": [port("1"), port("3")]}), answer
+
+
+def test_document_answers_add_to_what_is_held(spark):
+    port = lambda n: {"severity": "info", "port": n, "title": "t", "detail": "d"}
+    step = lambda e: {"event": e, "detail": "d"}
+    act = lambda d: {"description": d, "disruptive": True}
+    issue = {"severity": "x", "title": "t", "detail": "d"}
+    rows = [
+        (1, "ports", _doc(port("1"), port("2"), summary=" ")),  # answered shorter and reordered
+        (2, "ports", '{"findings":"none","summary":"s"}'),  # a list that is no list
+        (3, "why", json.dumps({"summary": "s", "chain": [step("a"), step("")], "next_steps": ["n"]})),  # content checked as a whole
+        (4, "doctor", json.dumps({"issues": [issue, {}], "actions": [act("a"), {"description": "b"}]})),  # two lists
+        (5, "ports", "{}"), (6, "ports", _doc({"severity": "bad", "port": "1", "title": "t", "detail": "d"}))]
+
+    first = {1: _doc(port("2"), summary="new"), 2: _doc(port("5"), summary=""), 3: "{}", 5: _doc(port("1"), {"port": 2}),
+             6: json.dumps({"findings": [port("1") | {"severity": "Warn"}]})}
+    later = {3: json.dumps({"chain": [step("a"), step("b")]}), 5: _doc(port("1"), port("2"))}
+    entry = {"issues": json.dumps({"issues": [issue | {"title": "u"}]}), "actions": json.dumps(act("c"))}
+
+    def answer(i, name, position, attempt, current):
+        return entry[name] if i == 4 else later[i] if attempt > 1 else first[i]
+
+    got = _repair(spark, rows, answer)
+    assert got[1] == ("repaired", 1, json.loads(_doc(port("1"), port("2"), summary="new")))
+    assert got[2] == ("repaired", 1, json.loads(_doc(port("5"))))
+    assert got[3] == ("repaired", 2, {"summary": "s", "chain": [step("a"), step("b")], "next_steps": ["n"]})
+    assert got[4] == ("repaired", 1, {"issues": [issue, issue | {"title": "u"}], "actions": [act("a"), act("c")]})
+    assert got[5] == ("repaired", 2, json.loads(_doc(port("1"))))  # the first answer's sound entry is held
+    assert got[6] == ("repaired", 1, json.loads(_doc(port("1") | {"severity": "warning"})))
+
+
+def test_equal_rows_are_repaired_each_for_itself(spark):
+    rows = [(1, "audit", _doc(FINE, {})), (1, "audit", _doc(FINE, {})), (1, "audit", _doc({}))]
+    df = spark.createDataFrame(rows, "id long, command string, raw string")
+    out = replies.repair_outcomes(df, lambda frames: (f.assign(current=json.dumps(ALSO)) for f in frames))
+    assert sorted(len(json.loads(r.reply)["findings"]) for r in out.collect()) == [1, 2, 2]
+    assert replies.repair_outcomes(df, lambda frames: (f.head(0) for f in frames)).filter("status = 'incomplete'").count() == 3
+    assert replies.repair_outcomes(df.limit(0), lambda frames: frames).count() == 0
 
 
 def test_schema_text_lists_every_field():
