@@ -254,14 +254,17 @@ select 'host' || k as host, backend, k * 100 + n as line_no, line, zone from (
         when 2 then '[ 1] 22/tcp                     ALLOW IN    Anywhere'
         when 3 then '[ 2] ' || (3000 + k % 500) || '/tcp  ALLOW IN    10.0.' || (k % 250) || '.7   (note ' || k || ')'
         when 4 then '[ 3] 5432/tcp DENY Anywhere' when 5 then '[ 4] none'
-        when 6 then '[ 5] 27017/tcp  ALLOW IN Anywhere (v6)' else '' end
+        when 6 then '[ 5] 27017/tcp  ALLOW IN Anywhere (v6)' when 7 then '[ 6] 9090/tcp ALLOW OUT Anywhere'
+        when 8 then '[ 7] 5432,6379/tcp ALLOW IN Anywhere' else '' end
       when 2 then case n
         when 0 then 'table inet filter ' || chr(123) when 1 then '  chain INPUT ' || chr(123)
         when 2 then '    ct state established,related accept'
         when 3 then case when k % 8 = 2 then '    tcp dport ' || chr(123) || ' ssh, https, gopher ' || chr(125) || ' accept' else
           '    tcp dport ' || chr(123) || ' 80, 443, ' || (8000 + k % 100) || '-' || (8100 + k % 100) || ' ' || chr(125) || ' accept' end
         when 4 then '    udp dport 53 drop' when 5 then '  chain OUTPUT ' || chr(123)
-        when 6 then '    tcp dport ' || (1000 + k) || ' accept' when 7 then '    drop' else '  ' || chr(125) end
+        when 6 then '    tcp dport ' || (1000 + k) || ' accept' when 7 then '    drop' when 9 then '  chain extra ' || chr(123)
+        when 10 then '    tcp dport 3000-4000 drop' when 11 then '    iif lo accept'
+        when 12 then (case when k % 8 = 2 then '    accept' else '    tcp dport 2000-65535 accept' end) else '  ' || chr(125) end
       else case n
         when 0 then 'Chain INPUT (policy ' || (case when k % 8 = 3 then 'ACCEPT' else 'DROP' end) || ')'
         when 1 then 'target     prot opt source               destination'
@@ -270,9 +273,14 @@ select 'host' || k as host, backend, k * 100 + n as line_no, line, zone from (
         when 3 then 'ACCEPT     tcp  --  0.0.0.0/0            0.0.0.0/0            tcp dpt:' || (1000 + k)
         when 4 then 'DROP       0    --  10.0.0.' || (k % 250) || '   0.0.0.0/0 tcp dpt:3306'
         when 5 then '' when 6 then 'Chain FORWARD (1 references)' when 7 then 'short row'
-        else 'REJECT     udp  --  0.0.0.0/0  0.0.0.0/0' end
+        when 8 then 'REJECT     udp  --  0.0.0.0/0  0.0.0.0/0' when 9 then 'Chain LOCAL (2 references)'
+        when 10 then 'DROP       tcp  --  0.0.0.0/0  0.0.0.0/0  tcp dpt:' || (1005 + k)
+        when 11 then 'ACCEPT     6    --  0.0.0.0/0  0.0.0.0/0  multiport dports 80,443,' || (1001 + k) || ':' || (1010 + k)
+        when 12 then 'ACCEPT     tcp  --  10.0.0.0/8 0.0.0.0/0  tcp dpts:6000:6400'
+        else (case when k % 8 = 3 then 'DROP       all  --  0.0.0.0/0  0.0.0.0/0  ctstate INVALID'
+          else 'ACCEPT     tcp  --  0.0.0.0/0  0.0.0.0/0' end) end
     end as line
-  from (select s_suppkey as k from {d.t('supplier')}) s {d.times(9, 'n')}
+  from (select s_suppkey as k from {d.t('supplier')}) s {d.times(14, 'n')}
   where s.k % 13 <> 0) f
 where line is not null"""
 

@@ -109,7 +109,7 @@ _NFT = f"""
 select host, backend, line_no, 0 as item, coalesce(chain_name, '') as chain, upper(f[-1]) as action,
   case when contains(t, 'tcp ') then 'tcp' when contains(t, 'udp ') then 'udp' else 'all' end as protocol,
   case when contains(t, 'dport ' || chr(123)) then replace(replace(trim(regexp_extract(t, 'dport ' || chr(92) || chr(123) || '([^' || chr(125) || ']*)', 1)), ', ', ','), ' ', ',')
-    when contains(t, 'dport ') then f[list_position(f, 'dport') + 1] else '' end as port, '' as source, '' as comment, '' as match
+    when contains(t, 'dport ') then f[list_position(f, 'dport') + 1] else '' end as port, '' as source, '' as comment, array_to_string(f[:-2], ' ') as match
 from (select *, trim(line) as t, {_f('trim(line)')} as f,
     last_value(case when starts_with(trim(line), 'chain ') then ({_f('trim(line)')})[2] end ignore nulls) over (partition by host order by line_no) as chain_name
   from fw_lines where backend = 'nftables') x
@@ -155,45 +155,65 @@ def fw_read_status(spark, sf_dir):
     return firewall.read_status(view(spark, sf_dir, "fw_reads"), _rules(spark, sf_dir))
 
 
-_NUMBERED = "list_transform(string_split(port, ','), lambda p: case p " + " ".join(
+_NUMBERED = "list_transform(string_split(ports, ','), lambda p: case p " + " ".join(
     f"when '{k}' then '{v}'" for k, v in firewall.SERVICE_PORTS.items()) + " else p end)"
-_RANGED = f"""ranged as (select *, len(list_filter({_NUMBERED}, lambda p: p <> '' and not regexp_matches(p, '^[0-9]+([-:][0-9]+)?$'))) as unknown,
-  case when port <> '' then list_transform(list_filter({_NUMBERED}, lambda p: regexp_matches(p, '^[0-9]+([-:][0-9]+)?$')),
-    lambda p: [cast(regexp_extract(p, '^([0-9]+)', 1) as integer), cast(regexp_extract(p, '([0-9]+)$', 1) as integer)]) else [] end as rs from rules)"""
-_OPEN = f"""{_RANGED}, services(name, number) as (values {', '.join(f"('{k}', {v})" for k, v in firewall.SERVICE_PORTS.items())}),
-raw_open as (
-  select host, protocol, r[1] as lo, r[2] as hi from (select host, action, chain, protocol, unnest(rs) as r from ranged) u
-    where (action like 'ALLOW%' or action = 'ACCEPT') and chain not in ('OUTPUT', 'FORWARD')
-  union all select host, protocol, number, number from rules join services on comment = 'service: ' || name where action like 'ALLOW%'),
-open as (select distinct host, case when protocol in ('tcp', 'udp') then protocol else p end as protocol, lo, hi
-  from raw_open cross join (values ('tcp'), ('udp')) v(p)),
+_RANGED = f"""ported as (select *, case when port <> '' then port
+    when regexp_matches(match, 'multiport dports [^ ]+') then regexp_extract(match, 'multiport dports ([^ ]+)', 1)
+    else regexp_extract(match, 'dpts:([0-9]+:[0-9]+)', 1) end as ports from rules),
+ranged as (select *, len(list_filter({_NUMBERED}, lambda p: p <> '' and not regexp_matches(p, '^[0-9]+([-:][0-9]+)?$'))) as unknown,
+  case when ports <> '' then list_transform(list_filter({_NUMBERED}, lambda p: regexp_matches(p, '^[0-9]+([-:][0-9]+)?$')),
+    lambda p: [cast(regexp_extract(p, '^([0-9]+)', 1) as integer), cast(regexp_extract(p, '([0-9]+)$', 1) as integer)]) else [] end as rs from ported)"""
+_ALLOW = "(action like 'ALLOW%' or action = 'ACCEPT')"
+_ANY = f"source in {_in(firewall.ANY_SOURCE)}"
+# The rules of inbound chains with the ports they decide, in their order; the default policy comes last.
+_DECIDING = f"""{_RANGED}, services(name, number) as (values {', '.join(f"('{k}', {v})" for k, v in firewall.SERVICE_PORTS.items())}),
+judged as (select *, {_ALLOW} as allow, comment = 'default policy' as policy,
+    regexp_matches(action, '^(DROP|REJECT|DENY)') as closed, {_ANY} and (case when backend = 'nftables' then match = '' or regexp_matches(match, '^(tcp|udp) dport ([0-9a-z-]+|\\{{[^\\}}]*\\}})$')
+      else trim(regexp_replace(match, '(tcp|udp|dpts?:[0-9:]+|multiport dports [^ ]+|reject-with [^ ]+)', '', 'g')) = '' end) as unlimited
+  from ranged where upper(chain) not in ('OUTPUT', 'FORWARD') and action not like '% OUT'),
+bounded as (
+  select host, chain, protocol, policy, line_no, item, allow, r[1] as lo, r[2] as hi from (
+    select *, unnest(rs) as r from judged where not policy and (allow or (closed and unlimited))) a
+  union all select host, chain, protocol, policy, line_no, item, allow, 0, 65535 from judged
+    where (policy and upper(chain) = 'INPUT' and (allow or closed))
+      or (not policy and ports = '' and unlimited and (closed or (allow and backend = 'nftables' and match = '')))
+  union all select host, chain, protocol, policy, line_no, item, allow, number, number from judged join services on comment = 'service: ' || name where allow),
+deciding as (select host, chain, p as protocol, row_number() over (partition by host order by policy, line_no, item) as place, policy, allow, lo, hi
+  from bounded join (values ('tcp', 'tcp'), ('udp', 'udp'), ('', 'tcp'), ('', 'udp'), ('all', 'tcp'), ('all', 'udp'), ('6', 'tcp'), ('17', 'udp')) v(q, p) on protocol = q),
 listening as (select distinct host, protocol, port from split where {_OUTSIDE} and port is not null)"""
 
 
 @query("fw_unprotected_listeners", oracle(f"""
-with {_PORTS}, {_SPLIT}, {_RULES}, {_OPEN}
+with {_PORTS}, {_SPLIT}, {_RULES}, {_DECIDING},
+decided as (select l.host, l.protocol, l.port, d.chain, arg_min(allow, place) as open
+  from listening l join deciding d on d.host = l.host and d.protocol = l.protocol and l.port between d.lo and d.hi group by all)
 select host, protocol, port from listening l where host in (select host from rules) and not exists (
-  select 1 from open o where o.host = l.host and o.protocol = l.protocol and l.port between o.lo and o.hi)""", "ss", "fw_lines"))
+  select 1 from decided d where d.host = l.host and d.protocol = l.protocol and d.port = l.port and open)""", "ss", "fw_lines"))
 def fw_unprotected_listeners(spark, sf_dir):
-    return firewall.unprotected_listeners(_ports(spark, sf_dir), _rules(spark, sf_dir))
+    # listeners that ss shows twice are one anyway
+    heard = ports.parse(view(spark, sf_dir, "ss"))
+    return firewall.unprotected_listeners(heard, firewall.all_rules(view(spark, sf_dir, "fw_lines")))
 
 
 @query("fw_stale_rules", oracle(f"""
-with {_PORTS}, {_SPLIT}, {_RULES}, {_OPEN}
+with {_PORTS}, {_SPLIT}, {_RULES}, {_DECIDING},
+cuts as (select distinct host, protocol, chain, unnest([lo, hi + 1]) as start from deciding),
+spans as (select *, lead(start) over (partition by host, protocol, chain order by start) - 1 as stop from cuts),
+firsts as (select s.host, s.protocol, s.chain, s.start, s.stop, min(place) as place, arg_min(allow and not policy, place) as open
+  from spans s join deciding d on d.host = s.host and d.protocol = s.protocol and d.chain = s.chain and s.start between d.lo and d.hi group by all),
+islands as (select *, start - sum(stop - start + 1) over (partition by host, protocol, chain, place order by start) + (stop - start + 1) as island
+  from firsts where open),
+open as (select distinct host, protocol, lo, hi from (select host, protocol, chain, place, island, min(start) as lo, max(stop) as hi from islands group by all) i)
 select host, protocol, lo, hi from open o where not exists (
   select 1 from listening l where o.host = l.host and o.protocol = l.protocol and l.port between o.lo and o.hi)""", "ss", "fw_lines"))
 def fw_stale_rules(spark, sf_dir):
-    return firewall.stale_rules(_ports(spark, sf_dir), _rules(spark, sf_dir))
+    return firewall.stale_rules(ports.parse(view(spark, sf_dir, "ss")), firewall.all_rules(view(spark, sf_dir, "fw_lines")))
 
 
 def _cover(known) -> str:
     return "(" + " or ".join(f"len(list_filter(rs, lambda r: r[1] <= {p} and r[2] >= {p})) > 0" for p in known) + ")"
 
 
-_ANY = f"source in {_in(firewall.ANY_SOURCE)}"
-_ALLOW = "(action like 'ALLOW%' or action = 'ACCEPT')"
-
-
 @query("fw_findings", oracle(f"""
 with {_RULES}, {_RANGED}
 select {_COLS}, finding, case when finding in ('all ports open to any source', 'management port open to any source') then 'critical'
@@ -202,6 +222,7 @@ select {_COLS}, finding, case when finding in ('all ports open to any source', '
     when action = 'RULE' then 'rich rule to review'
     when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and {_cover([1])} and {_cover([65535])} then 'all ports open to any source'
     when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and backend = 'iptables' and port = '' and protocol = 'all' and match = '' then 'everything accepted, perhaps on one interface'
+    when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and backend = 'iptables' and port = '' and protocol in ('tcp', '6', 'udp', '17') and match = '' then 'whole protocol accepted, perhaps on one interface'
     when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and {_cover(firewall.MANAGEMENT_PORTS)} then 'management port open to any source'
     when {_ALLOW} and chain <> 'OUTPUT' and {_ANY} and {_cover(firewall.CRITICAL_PORTS)} then 'critical service open to any source'
     when regexp_matches(action, '^(DROP|REJECT|DENY)') and ({_cover(firewall.MANAGEMENT_PORTS)} or {_cover(firewall.CRITICAL_PORTS)}) then 'service blocked'

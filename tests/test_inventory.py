@@ -1,5 +1,8 @@
 """Inventory parsers and their relational parts on small captures."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +254,79 @@ def test_what_covers_a_listener(spark, backend, text, port, open_):
 
 def test_long_texts_are_not_cut(values):
     assert len(values(mounts.unescape, ["a\\040" + "b" * 150_000])[0]) == 150_002
+
+
+def _walk(listing, port):
+    """Whether tcp ``port`` is open: every chain's lines one after the other, the policy last."""
+    open_, chain, policy, verdicts = False, None, {}, {}
+    for line in listing:
+        f = line.split()
+        if f[0] == "Chain":
+            chain = f[1]
+            if "policy" in line:
+                policy[chain] = f[3].rstrip(")")
+            verdicts.setdefault(chain, None)
+            continue
+        action, proto, source, rest = f[0], f[1], f[3], " ".join(f[5:])
+        if verdicts[chain] or chain in ("OUTPUT", "FORWARD") or proto not in ("tcp", "6", "all", "0"):
+            continue
+        spans = [(p, p) for p in re.findall(r"dpt:(\d+)", rest)] + re.findall(r"dpts:(\d+):(\d+)", rest)
+        for part in re.findall(r"multiport dports (\S+)", rest):
+            spans += [tuple((p + ":" + p).split(":")[:2]) if ":" not in p else tuple(p.split(":")) for p in part.split(",")]
+        limited = source != "0.0.0.0/0" or "state" in rest or "limit" in rest
+        hit = any(int(a) <= port <= int(b) for a, b in spans) if spans else action != "ACCEPT"
+        if hit and (action == "ACCEPT" or not limited):
+            verdicts[chain] = action
+    for chain, verdict in verdicts.items():
+        open_ |= (verdict or (policy.get(chain) if chain == "INPUT" else None)) == "ACCEPT"
+    return open_
+
+
+def _listing(rng):
+    ports_ = lambda: rng.choice([22, 80, 255, 256, 257, 511, 512, 3306, 8000, 65535, rng.randrange(65536)])
+    out = []
+    for chain in ("INPUT", "LOCAL", "OUTPUT"):
+        out.append(f"Chain {chain} (policy {rng.choice(['DROP', 'DROP', 'ACCEPT'])})" if chain != "LOCAL" else "Chain LOCAL (1 references)")
+        for _ in range(rng.randrange(9)):
+            a, b = sorted((ports_(), ports_()))
+            what = rng.choice([f"tcp dpt:{a}", f"tcp dpts:{a}:{b}", f"multiport dports {a},{b}", f"multiport dports {b},{a}:{min(a + 700, 65535)}",
+                               f"ctstate NEW tcp dpt:{a}", "ctstate RELATED,ESTABLISHED", "" if rng.random() < 0.2 else f"tcp dpt:{b}"])
+            out.append(f"{rng.choice(['ACCEPT', 'DROP', 'REJECT'])} {rng.choice(['tcp', '6', 'all', '0', 'icmp', 'udp'])} -- "
+                       f"{rng.choice(['0.0.0.0/0', '0.0.0.0/0', '10.0.0.0/8'])} 0.0.0.0/0 {what}".strip())
+    return out
+
+
+def test_first_matching_rule_decides(spark):
+    rng = random.Random(4)
+    texts = {f"h{i}": _listing(rng) for i in range(40)}
+    rows = [(h, "iptables", i, x, "") for h, text in texts.items() for i, x in enumerate(text)]
+    every = firewall.all_rules(spark.createDataFrame(rows, "host string, backend string, line_no int, line string, zone string"))
+    got = {}
+    for r in firewall.open_ranges(every).filter("protocol = 'tcp'").collect():
+        assert r.lo <= r.hi and not set(range(r.lo, r.hi + 1)) & got.setdefault((r.host, r.chain), set())
+        got[r.host, r.chain].update(range(r.lo, r.hi + 1))
+    for h, text in texts.items():
+        mine = set().union(*(s for (host, _), s in got.items() if host == h))
+        for port in {*range(0, 65536, 997), 65535, *(int(p) + d for p in re.findall(r"\d+", " ".join(x[-40:] for x in text)) if int(p) < 65535 for d in (-1, 0, 1))}:
+            assert port < 0 or (port in mine) == _walk(text, port), (h, port, text)
+    heard = [(h, "tcp", f"0.0.0.0:{p}") for h in texts for p in (22, 80, 81, 255, 256, 257, 511, 512, 700, 3306, 8000, 65535)]
+    listening = spark.createDataFrame(heard * 2, "host string, protocol string, local string")
+    open_ = {(r.host, r.port) for r in firewall.unprotected_listeners(listening, every).collect()}
+    assert open_ == {(h, int(x[8:])) for h, _, x in heard if not _walk(texts[h], int(x[8:]))}
+    assert 20 < len(open_) < len(heard) - 20
+
+
+@pytest.mark.parametrize(("backend", "text", "port", "open_"), [
+    ("iptables", "Chain INPUT (policy DROP)\nACCEPT tcp -- 0.0.0.0/0 0.0.0.0/0 multiport dports 80,443", 443, True),
+    ("iptables", "Chain INPUT (policy DROP)\nACCEPT tcp -- 0.0.0.0/0 0.0.0.0/0 tcp dpts:6000:6010", 6005, True),
+    ("iptables", "Chain INPUT (policy ACCEPT)\nDROP tcp -- 0.0.0.0/0 0.0.0.0/0 tcp dpt:80", 80, False),
+    ("iptables", "Chain INPUT (policy ACCEPT)\nDROP tcp -- 1.2.3.4 0.0.0.0/0 tcp dpt:80", 80, True),
+    ("iptables", "Chain INPUT (policy DROP)\nDROP tcp -- 0.0.0.0/0 0.0.0.0/0\nACCEPT tcp -- 0.0.0.0/0 0.0.0.0/0 tcp dpt:80", 80, False),
+    ("iptables", "Chain INPUT (policy DROP)\nACCEPT tcp -- 0.0.0.0/0 0.0.0.0/0", 80, False),
+    ("ufw", "[ 1] 80/tcp DENY IN Anywhere\n[ 2] 80/tcp ALLOW IN Anywhere", 80, False),
+    ("ufw", "[ 1] 80/tcp ALLOW OUT Anywhere", 80, False), ("ufw", "[ 1] 80/tcp DENY IN 10.0.0.9\n[ 2] 80/tcp ALLOW IN Anywhere", 80, True),
+    ("nftables", "chain input {\ntcp dport 80 drop\naccept", 80, False), ("nftables", "chain input {\ntcp dport 80 drop\naccept", 81, True),
+    ("nftables", "chain input {\niif lo accept\nct state established accept", 81, False), ("nftables", "chain output {\naccept", 81, False),
+    ("firewalld", "ports: 99999999999/tcp 81/tcp 82/sctp", 82, False)])
+def test_order_and_forms_of_rules(spark, backend, text, port, open_):
+    assert _unprotected(spark, backend, text, port) == ([] if open_ else [port])

@@ -70,3 +70,8 @@ def test_redaction_is_evaluated_once(spark, sf_dir):
     lines = watch.classify_stream(spark.createDataFrame([("x",)], "raw string"))
     for df in (QUERIES["boot_diff"](spark, sf_dir), lines):
         assert df._jdf.queryExecution().optimizedPlan().toString().count(redact.PATTERNS["uuid"]) == 1
+
+
+def test_rules_are_parsed_in_one_pass(spark, sf_dir):
+    text = plan(registry.in_utc(QUERIES["fw_unprotected_listeners"])(spark, sf_dir))
+    assert text.count("FileScan parquet") <= 3 and len(re.findall(r"\bExchange\b|BroadcastExchange", text)) <= 8
