@@ -14,7 +14,7 @@ from opslake.operators import batching
 from opslake.plans.partitioning import spread
 from opslake.plans.session import scratch_path
 from opslake.sources.follow import follow_files
-from opslake.streaming import watch
+from opslake.streaming import sinks, watch
 
 WINDOW_SECONDS = 6 * 3600
 
@@ -171,3 +171,46 @@ def stream_alert_batches(spark, sf_dir):
     batches = watch.batch_alert_stream(
         as_alerts(watch.classify_stream(stream)).unionByName(ends), 50, WINDOW_SECONDS)
     return watch.run_available(batches, scratch_path(spark, "batches"))
+
+
+FOLLOW_FROM = "2024-01-21 00:00:00"
+
+
+@query("stream_seeded", oracle(f"""
+select seq, host, service, {duck.sanitise_line('raw')} as tagged, ts < timestamp '{FOLLOW_FROM}' as seeded from (
+  select *, row_number() over (partition by host, service, ts < timestamp '{FOLLOW_FROM}' order by ts desc, seq desc) as rn from journal) t
+where rn <= 20 or ts >= timestamp '{FOLLOW_FROM}'""", "journal"))
+def stream_seeded(spark, sf_dir):
+    start, columns = F.lit(FOLLOW_FROM).cast("timestamp_ntz"), ["seq", "ts", "host", "service", "raw"]
+    history = view(spark, sf_dir, "journal").select(columns).filter(F.col("ts") < start)
+    feed = journal_stream(spark, sf_dir).select(columns).filter(F.col("ts") >= start)
+    classified = lambda df: watch.classify_stream(df).select("seq", "host", "service", "tagged")
+    sink = sinks.EpochTable(scratch_path(spark, "seeded"), classified(batching.seed_lines(history, ["host", "service"])))
+    return sinks.run_into(classified(feed), sink).drop("epoch")
+
+
+#: Events arrive every eight days, a tenth of them eight days later; a day late is late.
+ARRIVALS = 6
+_ARRIVAL = f"least(greatest({{day}} // 8 + case when event_id % 10 = 0 then 1 else 0 end, 0), {ARRIVALS - 1})"
+
+
+@query("late_rows", f"""
+with arrived as (select *, {_ARRIVAL.format(day="date_diff('day', date '2024-01-01', cast(ts as date))")} as b from events),
+latest as (select b, max(ts) as hi from arrived group by b),
+marks as (select a.b, max(l.hi) - interval '1' day as mark from (select distinct b from arrived) a join latest l on l.b < a.b group by a.b)
+select cast(ts as date) as day, count(*) filter (where not coalesce(ts < mark, false)) as on_time, count(*) filter (where ts < mark) as late
+from arrived left join marks using (b) group by all""")
+def late_rows(spark, sf_dir):
+    path = scratch_path(spark, "late")
+    arrival = F.expr(_ARRIVAL.format(day="datediff(ts, date'2024-01-01')").replace("//", "div"))
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.withColumn("b", arrival).write.partitionBy("b").parquet(f"{path}/arrivals")
+    arrived = spark.read.schema("event_id long, ts timestamp, b int").parquet(f"{path}/arrivals")
+    arrived.drop("b").filter("false").write.parquet(f"{path}/feed")
+    feed = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{path}/feed")
+    router = sinks.LateRouter(f"{path}/run", 24 * 3600)
+    for b in range(ARRIVALS):  # what has arrived since the stream last ran
+        arrived.filter(F.col("b") == b).drop("b").write.mode("append").parquet(f"{path}/feed")
+        rows = sinks.run_into(feed, router)
+    return rows.groupBy(F.col("ts").cast("date").alias("day")).agg(
+        F.count_if(~F.col("late")).alias("on_time"), F.count_if("late").alias("late"))

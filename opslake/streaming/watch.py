@@ -5,15 +5,16 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from opslake.functions.redact import collapse_repeats, sanitise_line
 from opslake.functions.text import blank, once
-from opslake.operators.batching import MAX_LINES, SILENCE_SECONDS
+from opslake.operators.batching import MAX_LINES, SILENCE_SECONDS, first_boundary, next_batch_start
 
 BATCH_SCHEMA = T.StructType([
     T.StructField("host", T.StringType()), T.StructField("service", T.StringType()),
@@ -22,14 +23,15 @@ BATCH_SCHEMA = T.StructType([
     T.StructField("last_seq", T.LongType()), T.StructField("reason", T.StringType()),
     T.StructField("text", T.StringType()),
 ])
-STATE_SCHEMA = T.StructType([
-    T.StructField("batch_no", T.LongType()), T.StructField("n_alerts", T.LongType()),
-    T.StructField("last_us", T.LongType()), T.StructField("seqs", T.ArrayType(T.LongType())),
-    T.StructField("lines", T.ArrayType(T.StringType())),
-    T.StructField("waiting", T.ArrayType(T.StructType([
-        T.StructField("us", T.LongType()), T.StructField("seq", T.LongType()),
-        T.StructField("tagged", T.StringType()), T.StructField("alert", T.BooleanType())]))),
-])
+ROW_SCHEMA = T.StructType([
+    T.StructField("us", T.LongType()), T.StructField("seq", T.LongType()),
+    T.StructField("tagged", T.StringType()), T.StructField("alert", T.BooleanType())])
+HEAD_SCHEMA = T.StructType([
+    T.StructField("batch_no", T.LongType()), T.StructField("last_us", T.LongType()),
+    T.StructField("next_us", T.LongType()), T.StructField("timer_ms", T.LongType())])
+
+#: The store that keeps list state, so that rows are appended and not written anew with all others.
+LIST_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def classify_stream(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -37,70 +39,156 @@ def classify_stream(df: DataFrame, raw: str = "raw") -> DataFrame:
     return once(df.filter(~blank(F.col(raw))), "tagged", sanitise_line(F.col(raw))).filter(F.col("tagged") != "")
 
 
-def batch_alert_stream(df: DataFrame, max_lines: int = MAX_LINES,
-                       silence_seconds: float = SILENCE_SECONDS, late_seconds: int = 60) -> DataFrame:
-    """Alert batches of a classified stream with (host, service, seq, ts timestamp, tagged, alert).
+class AlertBatches(StatefulProcessor):
+    """Alert batches of one key, folded in order of (ts, seq) behind the watermark.
 
-    Rows wait until the watermark has passed them and are then taken in order of (ts, seq), so
-    micro-batches and their order do not change the batches; later rows are dropped. A batch
-    with an alert is flushed by the row that follows a silence, or by the watermark passing the
-    silence. A row whose ``tagged`` is null is an end marker: it flushes what is left and the
-    key's state goes. State of a key is at most ``max_lines`` lines, and the rows of the last
-    ``late_seconds``.
+    State of a key: a list of rows that wait for the watermark, a list of the lines of the open
+    batch, and a short head (batch number, last line, earliest waiting row, timer). Waiting rows are
+    appended; the list is written anew only when some of them leave it. Rows that leave are
+    stepped through batch by batch, not line by line.
     """
-    silence, late = int(silence_seconds * 1_000_000), late_seconds * 1_000_000
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, n_alerts, last_us, seqs, lines, waiting = state.get if state.exists else (1, 0, 0, [], [], [])
-        seqs, lines, waiting = list(seqs), list(lines), [tuple(w) for w in waiting]
-        out, ended = [], False
+    def __init__(self, max_lines: int, silence_us: int, late_us: int):
+        self.max_lines, self.silence, self.late = max_lines, silence_us, late_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD_SCHEMA)
+        self.open = handle.getListState("open", ROW_SCHEMA)
+        self.waiting = handle.getListState("waiting", ROW_SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for part in rows:
+            stamps = part["ts"].astype("datetime64[us]").astype("int64")
+            new.append(pd.DataFrame({"us": stamps, "seq": part["seq"], "tagged": part["tagged"], "alert": part["alert"]}))
+        yield from self._advance(key, pd.concat(new, ignore_index=True), timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, _frame([]), timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
 
-        def flush(reason: str) -> None:
-            nonlocal number, n_alerts, seqs, lines
-            if seqs and n_alerts:
-                out.append((*key, number, len(seqs), n_alerts, min(seqs), max(seqs), reason, "\n".join(lines)))
-            if seqs:
-                number += 1
-            n_alerts, seqs, lines = 0, [], []
-
-        if not state.hasTimedOut:
-            for rows in frames:
-                stamps = rows["ts"].astype("datetime64[us]").astype("int64")
-                waiting += zip(stamps.tolist(), rows["seq"].tolist(), rows["tagged"].tolist(), rows["alert"].tolist())
-        waiting.sort(key=lambda w: (w[0], w[2] is None, w[1]))
+    def _advance(self, key, new: pd.DataFrame, watermark_ms: int, fired: int | None = None) -> Iterator[pd.DataFrame]:
+        number, last_us, next_us, timer = self.head.get() if self.head.exists() else (1, 0, None, None)
         # the watermark will stand at least this high before another row of the key is let in
-        passed = max([state.getCurrentWatermarkMs() * 1000] + [w[0] - late for w in waiting[-1:]])
-        ready = 0
-        while ready < len(waiting) and waiting[ready][0] <= passed:
-            us, seq, tagged, alert = waiting[ready]
-            ready += 1
-            if tagged is None:
-                flush("shutdown")
-                ended = True
-                continue
-            ended = False
-            if n_alerts and us - last_us >= silence:
-                flush("silence")
-            seqs.append(seq)
-            lines.append(tagged)
-            n_alerts += bool(alert)
-            last_us = max(last_us, us)
-            if len(seqs) >= max_lines:
-                flush("full")
-        waiting = waiting[ready:]
-        if n_alerts and last_us + silence <= passed and not (waiting and waiting[0][2] is None):
-            flush("silence")
-        if ended and not waiting:
-            state.remove()
+        passed = max(watermark_ms * 1000, int(new["us"].max()) - self.late if len(new) else 0)
+        first = min([t for t in (int(new["us"].min()) if len(new) else None, next_us) if t is not None], default=None)
+        out, ended = [], False
+        if first is None or first > passed:
+            ready = _frame([])
+            if len(new):
+                self.waiting.appendList(_tuples(new))
+            next_us = first
+        else:
+            held = _frame(list(self.waiting.get())) if next_us is not None else _frame([])
+            # of equal times the end marker comes last
+            every = pd.concat([held, new], ignore_index=True) if len(held) else new
+            every = every.assign(ends=every["tagged"].isna()).sort_values(["us", "ends", "seq"], kind="stable")
+            ready, rest = every[every["us"] <= passed], every[every["us"] > passed]
+            if len(rest):
+                self.waiting.put(_tuples(rest))
+            elif len(held):
+                self.waiting.clear()
+            next_us = int(rest["us"].iloc[0]) if len(rest) else None
+        lines = _frame(list(self.open.get())) if self.open.exists() else _frame([])
+        before = len(lines)
+        ends = np.flatnonzero(ready["tagged"].isna().to_numpy())
+        for lo, hi in zip([0, *(ends + 1)], [*ends, len(ready)]):
+            part = ready.iloc[lo:hi]
+            if len(part):
+                lines, number, done = self._step(lines, part, number, last_us)
+                before, ended = -1, False
+                last_us = max(last_us, int(part["us"].iloc[-1]))
+                out += done
+            if hi < len(ready):  # an end marker
+                lines, number, done = self._flush(lines, number, "shutdown")
+                before, ended = -1, True
+                out += done
+        alerting = bool(len(lines)) and bool(lines["alert"].any())
+        if alerting and last_us + self.silence <= passed:
+            # an end marker that waits will say shutdown, if it is the next row
+            nxt = _frame(list(self.waiting.get())).assign(ends=lambda d: d["tagged"].isna()).sort_values(
+                ["us", "ends", "seq"]) if next_us is not None else _frame([])
+            if not len(nxt) or nxt["tagged"].notna().iloc[0]:
+                lines, number, done = self._flush(lines, number, "silence")
+                before, alerting = -1, False
+                out += done
+        if before != len(lines):
+            self.open.put(_tuples(lines)) if len(lines) else self.open.clear()
+        if timer is not None and timer != fired:
+            self.handle.deleteTimer(timer)
+        if ended and next_us is None:
+            self.head.clear()
         else:
-            state.update((number, n_alerts, last_us, seqs, lines, waiting))
-            due = [w[0] for w in waiting[:1]] + [last_us + silence] * bool(n_alerts)
-            if due:
-                state.setTimeoutTimestamp(max(-(-min(due) // 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=BATCH_SCHEMA.names)
-
-    batches = df.withWatermark("ts", f"{late_seconds} seconds").groupBy("host", "service").applyInPandasWithState(
-        step, BATCH_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+            due = [t for t in (next_us, last_us + self.silence if alerting else None) if t is not None]
+            timer = max(-(-min(due) // 1000), watermark_ms + 1) if due else None
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            self.head.update((number, last_us, next_us, timer))
+        rows = [(*key, *b) for b in out]
+        for at in range(0, len(rows), OUT_ROWS):
+            yield pd.DataFrame(rows[at:at + OUT_ROWS], columns=BATCH_SCHEMA.names)
+
+    def _step(self, lines: pd.DataFrame, rows: pd.DataFrame, number: int, last_us: int):
+        """The open batch after ``rows``, and the batches they close."""
+        ts, alert = rows["us"].to_numpy(), rows["alert"].to_numpy(dtype=bool)
+        done = []
+        if len(lines) and lines["alert"].any() and ts[0] - last_us >= self.silence:
+            lines, number, done = self._flush(lines, number, "silence")
+        n = len(ts)
+        nxt, next_quiet, next_alert = next_batch_start(ts, alert, self.max_lines, self.silence)
+        has_alert = bool(alert[0]) or (bool(len(lines)) and bool(lines["alert"].any()))
+        stop = first_boundary(len(lines) + 1, has_alert, next_quiet, next_alert, self.max_lines)
+        start = 0
+        while True:
+            stop = min(stop, n)
+            lines = pd.concat([lines, rows.iloc[start:stop]], ignore_index=True) if len(lines) else rows.iloc[start:stop]
+            if stop == n and len(lines) < self.max_lines:
+                return lines[ROW_SCHEMA.names], number, done
+            lines, number, closed = self._flush(lines, number, "full" if len(lines) >= self.max_lines else "silence")
+            done += closed
+            if stop == n:
+                return lines, number, done
+            start, stop = stop, int(nxt[stop])
+
+    @staticmethod
+    def _flush(lines: pd.DataFrame, number: int, reason: str):
+        n_alerts = int(lines["alert"].sum()) if len(lines) else 0
+        closed = [(number, len(lines), n_alerts, int(lines["seq"].min()), int(lines["seq"].max()), reason,
+                   "\n".join(lines["tagged"]))] if n_alerts else []
+        return _frame([]), number + (len(lines) > 0), closed
+
+
+#: Batches handed on at a time.
+OUT_ROWS = 10_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([tuple(r) for r in rows], columns=ROW_SCHEMA.names)
+
+
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    columns = (rows[c].tolist() for c in ("us", "seq", "tagged", "alert"))
+    return [(us, seq, None if tagged is None or tagged != tagged else tagged, bool(alert)) for us, seq, tagged, alert in zip(*columns)]
+
+
+def batch_alert_stream(df: DataFrame, max_lines: int = MAX_LINES,
+                       silence_seconds: float = SILENCE_SECONDS, late_seconds: int = 60) -> DataFrame:
+    """Alert batches of a classified stream with (host, service, seq, ts timestamp, tagged, alert).
+
+    Rows wait until the watermark has passed them and are then taken in order of (ts, seq), so
+    micro-batches and their order do not change the batches; later rows are dropped
+    (``late_rows`` counts them). A batch with an alert is flushed by the row that follows a silence, or by the
+    watermark passing the silence. A row whose ``tagged`` is null is an end marker: it flushes what is
+    left and the key's state goes. State of a key is at most ``max_lines`` lines, and the rows of the
+    last ``late_seconds``. The session's state store is set to one that keeps lists.
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", LIST_STATE_STORE)
+    folded = AlertBatches(max_lines, int(silence_seconds * 1_000_000), late_seconds * 1_000_000)
+    batches = df.withWatermark("ts", f"{late_seconds} seconds").groupBy("host", "service").transformWithStateInPandas(
+        folded, BATCH_SCHEMA, "append", "EventTime")
     return batches.withColumn("text", collapse_repeats(F.col("text")))
 
 

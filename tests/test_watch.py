@@ -115,3 +115,19 @@ def test_seed_goes_before_the_first_micro_batch(spark, tmp_path):
     handle(new, 0)
     handle(new, 1)
     assert seen == [(0, ["new", "old"]), (1, ["new"])]
+
+
+def test_a_million_rows_of_a_key_in_one_micro_batch(spark, tmp_path):
+    rows = spark.range(1_000_000).selectExpr(
+        "'h' as host", "'hot' as service", "id as seq", "timestamp_millis(1704067200000 + id * 10 + if(id % 1000 >= 500, 4000, 0)) as ts",
+        "concat('<ERROR> line ', id) as tagged", "id % 900 = 0 as alert")
+    src = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(src)
+    last = rows.agg(F.max("ts")).head()[0]
+    watch.end_markers(rows, last).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).parquet(src)
+    got = watch.run_available(watch.batch_alert_stream(stream, 50, 3.0), str(tmp_path / "run"))
+    want = batching.alert_batches(rows, ["host", "service"], F.col("alert"), 50, 3.0)
+    cols = ["batch_no", "n_lines", "n_alerts", "first_seq", "last_seq", "reason"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert got.count() > 1000
