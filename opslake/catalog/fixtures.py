@@ -111,57 +111,41 @@ from {d.t('orders')}"""
 
 
 def _files(d) -> str:
-    base = f"""'host' || (o_orderkey % 8) as host, '/etc/app' || (o_orderkey % 50) || '/f' || o_orderkey || '.conf' as path"""
-    mtime = d.day_seconds("o_orderdate")
-    size = "cast(floor(o_totalprice) as bigint)"
     return f"""
-select {base}, 1 as snapshot_id, {mtime} as mtime, {size} as size
-from {d.t('orders')} where o_orderkey % 97 <> 0
-union all
-select {base}, 2 as snapshot_id,
-  {mtime} + case when o_orderkey % 13 = 0 then 3600 else 0 end as mtime,
-  {size} + case when o_orderkey % 17 = 0 then 1 else 0 end as size
-from {d.t('orders')} where o_orderkey % 89 <> 0"""
+select 'host' || (k % 8) as host, '/etc/app' || (k % 50) || '/f' || k || '.conf' as path, n + 1 as snapshot_id,
+  mtime + case when n = 1 and k % 13 = 0 then 3600 else 0 end as mtime,
+  size + case when n = 1 and k % 17 = 0 then 1 else 0 end as size
+from (select o_orderkey as k, {d.day_seconds("o_orderdate")} as mtime, cast(floor(o_totalprice) as bigint) as size
+      from {d.t('orders')}) o {d.times(2, 'n')}
+where case n when 0 then k % 97 else k % 89 end <> 0"""
 
 
 def _perms(d) -> str:
-    base = f"""'host' || (o_orderkey % 8) as host, '/etc/app' || (o_orderkey % 50) || '/f' || o_orderkey || '.conf' as path"""
-    mode = "case o_orderstatus when 'F' then '0644' when 'O' then '0600' else '0755' end"
     return f"""
-select {base}, 1 as snapshot_id, {mode} as mode, 'root' as owner, 'root' as grp
-from {d.t('orders')} where o_orderkey % 97 <> 0
-union all
-select {base}, 2 as snapshot_id,
-  case when o_orderkey % 19 = 0 then '0777' when o_orderkey % 41 = 0 then '4755' else {mode} end as mode,
-  case when o_orderkey % 23 = 0 then 'u' || o_custkey else 'root' end as owner, 'root' as grp
-from {d.t('orders')} where o_orderkey % 89 <> 0"""
+select 'host' || (k % 8) as host, '/etc/app' || (k % 50) || '/f' || k || '.conf' as path, n + 1 as snapshot_id,
+  case when n = 1 and k % 19 = 0 then '0777' when n = 1 and k % 41 = 0 then '4755' else mode end as mode,
+  case when n = 1 and k % 23 = 0 then 'u' || customer else 'root' end as owner, 'root' as grp
+from (select o_orderkey as k, o_custkey as customer, case o_orderstatus when 'F' then '0644' when 'O' then '0600' else '0755' end as mode
+      from {d.t('orders')}) o {d.times(2, 'n')}
+where case n when 0 then k % 97 else k % 89 end <> 0"""
 
 
 def _packages(d) -> str:
-    def line(bump: str) -> str:
-        return (f"'pkg' || p_partkey || case when p_partkey % 31 = 0 then '' else "
-                f"' ' || (p_size + {bump}) || '.' || (p_partkey % 10) end as line")
-    return f"""
-select 'host' || (p_partkey % 8) as host, 1 as snapshot_id, p_partkey as line_no, {line('0')}
-from {d.t('part')} where p_partkey % 29 <> 0
-union all
-select 'host' || (p_partkey % 8) as host, 2 as snapshot_id, p_partkey as line_no,
-  {line('case when p_partkey % 11 = 0 then 1 else 0 end')}
-from {d.t('part')} where p_partkey % 37 <> 0
-union all
-select 'host' || (p_partkey % 8) as host, 2 as snapshot_id, p_partkey + 1000000000 as line_no,
-  'pkg' || p_partkey || ' 99.' || (p_partkey % 10) as line
-from {d.t('part')} where p_partkey % 43 = 0"""
+    # the third of a part's lines names it again in the second snapshot, with another version
+    return f"""
+select 'host' || (k % 8) as host, case n when 0 then 1 else 2 end as snapshot_id, k + case n when 2 then 1000000000 else 0 end as line_no,
+  case when n = 2 then 'pkg' || k || ' 99.' || (k % 10)
+    else 'pkg' || k || case when k % 31 = 0 then '' else ' ' || (size + case when n = 1 and k % 11 = 0 then 1 else 0 end) || '.' || (k % 10) end
+  end as line
+from (select p_partkey as k, p_size as size from {d.t('part')}) p {d.times(3, 'n')}
+where case n when 0 then k % 29 <> 0 when 1 then k % 37 <> 0 else k % 43 = 0 end"""
 
 
 def _named_set(d, table: str, key: str, value: str) -> str:
-    host = f"'host' || ({key} % 8) as host"
     return f"""
-select {host}, 1 as snapshot_id, {value} as item from {d.t(table)} where {key} % 7 <> 0
-union all
-select {host}, 2 as snapshot_id, {value} as item from {d.t(table)} where {key} % 5 <> 0
-union all
-select {host}, 2 as snapshot_id, {value} as item from {d.t(table)} where {key} % 3 = 0 and {key} % 5 <> 0"""
+select 'host' || (k % 8) as host, case n when 0 then 1 else 2 end as snapshot_id, item
+from (select {key} as k, {value} as item from {d.t(table)}) t {d.times(3, 'n')}
+where case n when 0 then k % 7 <> 0 when 1 then k % 5 <> 0 else k % 3 = 0 and k % 5 <> 0 end"""
 
 
 def _snapshot_meta(d) -> str:

@@ -18,12 +18,14 @@ AS_OF = datetime.datetime(1998, 8, 1)
 @query("history_retention", oracle(
     "select host, seq, ts, command, result from history qualify row_number() over (partition by host order by seq desc) <= 1000", "history"))
 def history_retention(spark, sf_dir):
-    source, target = scratch_path(spark, "history"), scratch_path(spark, "history")
+    path = scratch_path(spark, "history")
     rows = view(spark, sf_dir, "history")
-    history.append(rows.filter("command = 'audit'"), source)
-    history.append(rows.filter("command <> 'audit'"), source)
-    history.rewrite_newest(spark, source, target)
-    return history.load(spark, target)
+    history.append(rows.filter("command = 'audit'"), path, "audits")
+    history.append(rows.filter("command = 'why'"), path, "rest")
+    for _ in range(2):  # a batch that comes again replaces itself
+        history.append(rows.filter("command <> 'audit'"), path, "rest")
+    history.retain_newest(spark, path)
+    return history.load(spark, path)
 
 
 @query("history_by_command", oracle("select * from history where command = 'audit'", "history"))

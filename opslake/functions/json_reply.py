@@ -154,9 +154,12 @@ def strict_json(c: Column) -> Column:
     last one counts where ``spark.sql.variant.allowDuplicateKeys`` is set, as the registered
     queries do; else such a text does not parse.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]')))
-    whole = (F.try_variant_get(pair, "$[1]", "string") == _END) & ~F.contains(c, F.lit(_END))
-    return F.when(whole & F.try_variant_get(pair, "$[2]", "variant").isNull(), F.try_variant_get(pair, "$[0]", "variant"))
+    def of(pair: Column) -> Column:
+        whole = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(pair, "$[2]", "variant").isNull()
+        return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+    # a text that holds the end mark itself is no reply
+    text = F.when(~F.contains(c, F.lit(_END)), F.concat(F.lit("["), c, F.lit(f',"{_END}"]')))
+    return bind(F.try_parse_json(text), of)
 
 
 # --- finding the object in the text -------------------------------------------------

@@ -124,25 +124,83 @@ def diff_packages(df: DataFrame, old: int = 1, new: int = 2, order: str = "line_
         F.when(updated, F.col("n.version")).alias("new_version"))
 
 
-def _feed(df: DataFrame, category: str) -> DataFrame:
-    df = df.withColumn("category", F.lit(category))
-    return df.select(*[
-        (F.col(c) if c in df.columns else F.lit(None).cast(t)).alias(c) for c, t in FEED_COLUMNS.items()])
+# What the entries of each category carry besides their key.
+_VALUES = {"mtime": "bigint", "size": "bigint", "mode": "string", "owner": "string", "grp": "string", "version": "string"}
+_ENTERED = {"port": ("opened", "closed")}
+
+
+def _entries(df: DataFrame, category: str, key: Column, values: dict[str, Column], order: Column | None = None,
+             times: Column | None = None) -> DataFrame:
+    """Entries of a category in the long form: host, category, key, snapshot_id, v (order and values), times."""
+    given = [values.get(c, F.lit(None).cast(t)).cast(t).alias(c) for c, t in _VALUES.items()]
+    return df.select(
+        "host", F.lit(category).alias("category"), key.alias("key"), "snapshot_id",
+        F.struct((order if order is not None else F.lit(None)).cast("bigint").alias("ord"), *given).alias("v"),
+        (times if times is not None else F.lit(1)).cast("bigint").alias("times"))
+
+
+def change_feeds(services: DataFrame, files: DataFrame, perms: DataFrame, packages: DataFrame, ports: DataFrame,
+                 users: DataFrame, snapshots: Sequence[int]) -> DataFrame:
+    """The changes between each two snapshots in a row: old_snapshot, new_snapshot, and the columns of the feed.
+
+    Every table is read once, however many snapshots: all entries go into one aggregation by
+    (host, category, key, pair of snapshots), where an entry counts as new in one pair and as old in the
+    next, and the categories differ only in what they compare.
+    """
+    if len(snapshots) < 2:
+        raise ValueError("changes need at least two snapshots")
+    attributes = ("mode", "owner", "grp")
+    # equal rows of a path are counted first, so that a path has one entry for each different value
+    modes = perms.groupBy("host", "snapshot_id", "path", *attributes).agg(F.count(F.lit(1)).alias("times"))
+    named = packages.filter(trim(F.col("line")) != "").withColumn("p", parse_package(F.col("line")))
+    every = reduce(DataFrame.unionByName, [
+        _entries(services, "service", F.col("item"), {}),
+        _entries(files, "file", F.col("path"), {c: F.col(c) for c in ("mtime", "size")}),
+        _entries(modes, "permission", F.col("path"), {c: F.col(c) for c in attributes}, times=F.col("times")),
+        _entries(named, "package", F.col("p.name"), {"version": F.col("p.version")}, F.col("line_no")),
+        _entries(ports, "port", F.col("item"), {}), _entries(users, "user", F.col("item"), {})])
+    pairs = list(zip(snapshots, snapshots[1:]))
+    sides = F.array(*[F.struct(F.lit(s).alias("at"), F.lit(p).alias("pair"), F.lit(is_new).alias("new"))
+                      for p, pair in enumerate(pairs) for s, is_new in zip(pair, (False, True))])
+    mine = F.filter(sides, lambda x: x["at"] == F.col("snapshot_id"))
+    dealt = every.filter(F.col("snapshot_id").isin(list(snapshots))).withColumn("side", F.explode(mine))
+    last = lambda is_new: F.max(F.when(F.col("side.new") == is_new, F.col("v")))
+    met = dealt.groupBy("host", "category", "key", F.col("side.pair").alias("pair")).agg(
+        last(False).alias("o"), last(True).alias("n"),
+        F.collect_list(F.when((F.col("category") == "permission") & F.col("side.new"), F.struct("v", "times"))).alias("now"))
+    o, n, category = F.col("o"), F.col("n"), F.col("category")
+    differs = lambda a, b, cols: reduce(lambda x, y: x | y, [a[c] != b[c] for c in cols])
+    opened, closed = [F.coalesce(*[F.when(category == c, w[i]) for c, w in _ENTERED.items()], F.lit(w0))
+                      for i, w0 in enumerate(("added", "removed"))]
+    change = (
+        F.when(category == "permission", F.when(o.isNotNull() & n.isNotNull(), "changed"))
+        .when(o.isNull(), opened).when(n.isNull(), closed)
+        .when((category == "file") & differs(o, n, ("mtime", "size")), "modified")
+        .when((category == "package") & (o["version"] != n["version"]), "updated"))
+    # every current row of a path counts, the other categories have one current value
+    changed = F.filter("now", lambda x: differs(o, x["v"], attributes))
+    rows = F.when(category == "permission", F.flatten(F.transform(changed, lambda x: F.array_repeat(x["v"], x["times"].cast("int")))))
+    found = met.withColumn("change", change).filter("change is not null").withColumn(
+        "row", F.explode(F.coalesce(rows, F.array(n))))
+    old, new, text = pair_columns(pairs), F.col("row"), F.concat_ws(" ", "key", F.coalesce("n.version", "o.version"))
+    both = lambda cols, when: [x for c in cols for x in (
+        F.when(when, o[c]).alias(f"old_{c}"), F.when(when, new[c]).alias(f"new_{c}"))]
+    return found.select(
+        *old, "host", "category", "change",
+        F.when((category == "package") & (F.col("change") != "updated"), text).otherwise(F.col("key")).alias("item"),
+        *both(("mtime", "size"), category == "file"), *both(attributes, category == "permission"),
+        *both(("version",), F.col("change") == "updated"))
+
+
+def pair_columns(pairs: Sequence[tuple[int, int]]) -> list[Column]:
+    return [F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), F.col("pair") + 1).alias(c)
+            for i, c in enumerate(("old_snapshot", "new_snapshot"))]
 
 
 def change_feed(services: DataFrame, files: DataFrame, perms: DataFrame, packages: DataFrame,
                 ports: DataFrame, users: DataFrame, old: int = 1, new: int = 2) -> DataFrame:
-    """All six diffs as one long table."""
-    parts = [
-        _feed(diff_sets(services, old, new), "service"),
-        _feed(diff_files(files, old, new).withColumnRenamed("path", "item"), "file"),
-        _feed(diff_permissions(perms, old, new).withColumn("change", F.lit("changed"))
-              .withColumnRenamed("path", "item"), "permission"),
-        _feed(diff_packages(packages, old, new), "package"),
-        _feed(diff_sets(ports, old, new, "opened", "closed"), "port"),
-        _feed(diff_sets(users, old, new), "user"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All six diffs of two snapshots as one long table."""
+    return change_feeds(services, files, perms, packages, ports, users, [old, new]).select(*FEED_COLUMNS)
 
 
 def permission_detail() -> Column:

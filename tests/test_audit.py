@@ -123,3 +123,28 @@ def test_age_against_given_time(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "t timestamp_ntz")
     at = F.lit(dt.datetime(2024, 1, 1, 1)).cast("timestamp_ntz")
     assert df.select(audit.baseline_age(F.col("t"), at)).head()[0] == 3600
+
+
+def test_snapshots_in_a_row_equal_the_pairs(spark):
+    sets = lambda n: spark.createDataFrame([("h", s, f"i{k}") for s in (1, 2, 5) for k in range(n) if (k * s) % 3], SETS)
+    files = spark.createDataFrame([("h", s, f"/f{k}", k * (s if k % 4 == 0 else 1), 1) for s in (1, 2, 5) for k in range(20) if (k + s) % 5], FILES)
+    perms = spark.createDataFrame([("h", s, f"/f{k}", "0777" if (k + s) % 3 == 0 else "0644", "u" if s == 2 else "root", "g")
+                                   for s in (1, 2, 5) for k in range(12) if k % 7 != s for _ in range(1 + k % 3)]
+                                  + [("h", 2, "/f1", "0600", "x", "g")], PERMS)
+    pkgs = spark.createDataFrame([("h", s, k, f"p{k % 6} {k * s}" if k % 5 else "bare") for s in (1, 2, 5) for k in range(1, 14) if k % 4 != s], PKGS)
+    tables = [sets(9), files, perms, pkgs, sets(7), sets(5)]
+    got = audit.change_feeds(*tables, [1, 2, 5])
+    for old, new in ((1, 2), (2, 5)):
+        part = sorted(map(str, got.filter((got.old_snapshot == old) & (got.new_snapshot == new)).drop("old_snapshot", "new_snapshot").collect()))
+        pair = audit.change_feed(*tables, old, new)
+        assert part == sorted(map(str, pair.collect())) and len(part) > 20
+        singly = {
+            "service": audit.diff_sets(tables[0], old, new), "file": audit.diff_files(files, old, new),
+            "permission": audit.diff_permissions(perms, old, new), "package": audit.diff_packages(pkgs, old, new),
+            "port": audit.diff_sets(tables[4], old, new, "opened", "closed"), "user": audit.diff_sets(tables[5], old, new)}
+        for category, df in singly.items():
+            named = df.withColumnRenamed("path", "item")
+            mine = pair.filter(pair.category == category).select(*[c for c in named.columns])
+            assert sorted(map(str, mine.collect())) == sorted(map(str, named.collect())), category
+    with pytest.raises(ValueError, match="two snapshots"):
+        audit.change_feeds(*tables, [1])

@@ -109,6 +109,40 @@ def test_entries_and_retention(spark, tmp_path):
     assert [r.seq for r in history.entries(df, as_of, limit=3).collect()] == [27, 28, 29]
     assert history.entries(df, as_of, limit=0).count() == 30
     quiet = df.limit(1).withColumn("host", F.lit("quiet")).withColumn("seq", F.lit(-5).cast("long"))
-    history.append(df.unionByName(quiet), str(tmp_path / "a"))
-    history.rewrite_newest(spark, str(tmp_path / "a"), str(tmp_path / "b"), 4)
-    assert sorted(r.seq for r in history.load(spark, str(tmp_path / "b")).collect()) == [-5, 26, 27, 28, 29]
+    path = str(tmp_path / "a")
+    assert history.load(spark, path).count() == 0
+    history.append(df.unionByName(quiet), path, "one")
+    assert history.retain_newest(spark, path, 4) == 1
+    assert sorted(r.seq for r in history.load(spark, path).collect()) == [-5, 26, 27, 28, 29]
+
+
+def _parts(path):
+    return {str(p.relative_to(path)) for p in path.rglob("entries/**/*.parquet")}
+
+
+def test_batches_replace_themselves_and_retention_rewrites_few(spark, tmp_path):
+    path = str(tmp_path)
+    rows = lambda host, seqs: spark.createDataFrame([
+        (host, i, dt.datetime(2024, 1, 1), "why" if i % 2 else "audit", "{}") for i in seqs], history.ENTRY)
+    seqs = lambda: sorted((r.host, r.seq) for r in history.load(spark, path).collect())
+    history.append(rows("a", range(5)), path, "d1")
+    history.append(rows("a", range(5, 10)).unionByName(rows("b", range(2))), path, "d2")
+    history.append(rows("a", [77]), path, "d3")
+    for _ in range(2):
+        history.append(rows("a", range(10, 15)), path, "d3")
+    assert seqs() == [("a", i) for i in range(15)] + [("b", 0), ("b", 1)]
+    before = _parts(tmp_path)
+    # d1 falls out whole, d2 in part, d3 not at all
+    assert history.retain_newest(spark, path, 7) == 2
+    assert seqs() == [("a", i) for i in range(8, 15)] + [("b", 0), ("b", 1)]
+    new = _parts(tmp_path) - before
+    assert new and all("batch=d2" in p for p in new)
+    assert history.retain_newest(spark, path, 7) == 0 and _parts(tmp_path) - before == new
+    history.append(rows("c", [1]), path, "d1")
+    history.append(rows("c", []), path, "d2")
+    assert seqs() == [("a", i) for i in range(10, 15)] + [("c", 1)]
+    # entries whose write did not finish are not seen, and the next attempt replaces them
+    rows("x", [1]).write.partitionBy("command").parquet(f"{path}/entries/batch=d4/form=0")
+    assert ("x", 1) not in seqs()
+    history.append(rows("y", [2]), path, "d4")
+    assert ("x", 1) not in seqs() and ("y", 2) in seqs()

@@ -75,3 +75,8 @@ def test_redaction_is_evaluated_once(spark, sf_dir):
 def test_rules_are_parsed_in_one_pass(spark, sf_dir):
     text = plan(registry.in_utc(QUERIES["fw_unprotected_listeners"])(spark, sf_dir))
     assert text.count("FileScan parquet") <= 3 and len(re.findall(r"\bExchange\b|BroadcastExchange", text)) <= 8
+
+
+def test_the_change_feed_reads_each_table_once(spark, sf_dir):
+    text = plan(registry.in_utc(QUERIES["change_feed"])(spark, sf_dir))
+    assert text.count("FileScan parquet") <= 6 and len(re.findall(r"\bExchange\b", text)) <= 2
