@@ -67,6 +67,14 @@ def mask_ipv6(expr: str) -> str:
             f"lambda i: {pieces}[i] || case when i = len({pieces}) then '' when {groups} = '' then '<IPV6>' else {groups} end), ''))[1]")
 
 
+def masked_ipv6(expr: str) -> str:
+    """The addresses that ``mask_ipv6`` masks."""
+    kept = (rf"({_MAPPED})|{_FULL}|({_SHORT})|{_LONG_LEAD}|({_MAPPED_LEAD})|{_LEAD}|{_TRAIL}")
+    groups = " || ".join(f"coalesce(regexp_extract_all({expr}, {quote(kept)}, {g})[i], '')" for g in (1, 2, 3))
+    every = f"regexp_extract_all({expr}, {quote(kept)})"
+    return (f"list_transform(list_filter(range(1, len({every}) + 1), lambda i: {groups} = ''), lambda i: {every}[i])")
+
+
 def rule(name: str, expr: str) -> str:
     if name == "mask-ipv6":
         return mask_ipv6(expr)

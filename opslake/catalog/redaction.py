@@ -8,6 +8,7 @@ from opslake.catalog import duck
 from opslake.catalog.base import query, table
 from opslake.catalog.fixtures import oracle, view
 from opslake.functions import redact
+from opslake.functions.redact import VALUE_EDGE
 from opslake.operators import redaction
 from opslake.plans.partitioning import collapse_runs, spread
 
@@ -141,3 +142,43 @@ def _report_sql() -> str:
 def redaction_report(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("source", "text"))
     return redaction.residual_report(docs, "text", "source")
+
+
+# The texts the report is made for: documents, log lines, and lines with addresses.
+_CORPORA = """corpora as (select 'documents' as corpus, text from documents union all select 'journal', raw from journal
+  union all select 'neighbours', message from neighbours)"""
+
+
+def _survivors_sql() -> str:
+    """One nested select a step: the text left, and the values the step takes out of it."""
+    steps = [(rule, p, r) for rule, ps in duck.RULE_SQL.items() for p, r in (ps or [(None, None)])]
+    edge = " || ".join(f"chr({ord(c)})" for c in VALUE_EDGE)
+    sql, values = "select corpus, text, text as t0 from numbered", []
+    for k, (rule, pattern, repl) in enumerate(steps):
+        before, trimmed = f"t{k}", f"trim(v, {edge})"
+        if pattern is None:
+            found, left = duck.masked_ipv6(before), duck.mask_ipv6(before)
+        else:
+            group = 1 if rule == "strip-hostnames" else 0
+            found, left = f"regexp_extract_all({before}, {duck.quote(pattern)}, {group})", duck.sub(before, pattern, repl)
+            if repl.endswith("<PATH>"):
+                trimmed = f"trim(ltrim(v, {edge} || '('), {edge})"
+        values.append(f"list_transform({found}, lambda v: {{'rule': '{rule}', 'value': {trimmed}}})")
+        sql = f"select *, {left} as t{k + 1}, {values[-1]} as v{k} from ({sql}) s{k}"
+    every = ", ".join(f"v{k}" for k in range(len(steps)))
+    rules = ", ".join(f"('{r}')" for r in duck.RULE_SQL)
+    return f"""
+with {_CORPORA}, numbered as (select * from corpora where text is not null), steps as ({sql}),
+pairs as (select corpus, last, unnest(list_distinct(flatten([{every}]))) as p from (select *, t{len(steps)} as last from steps) x),
+found as (select corpus, p.rule as rule, count(*) as removed, count(*) filter (where contains(last, p.value)) as survived
+  from pairs where p.value <> '' group by all)
+select c.corpus, r.rule, coalesce(removed, 0) as removed, coalesce(survived, 0) as survived
+from (select distinct corpus from corpora) c cross join (values {rules}) r(rule) left join found f on f.corpus = c.corpus and f.rule = r.rule"""
+
+
+@query("redaction_survivors", oracle(_survivors_sql(), "journal", "neighbours"))
+def redaction_survivors(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select(F.lit("documents").alias("corpus"), "text"))
+    lines = spread(view(spark, sf_dir, "journal").select(F.lit("journal").alias("corpus"), F.col("raw").alias("text")))
+    peers = spread(view(spark, sf_dir, "neighbours").select(F.lit("neighbours").alias("corpus"), F.col("message").alias("text")))
+    return redaction.survivor_report(docs.unionByName(lines).unionByName(peers), "text", "corpus")

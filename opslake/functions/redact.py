@@ -229,3 +229,51 @@ def sanitise(c: Column, rules: Sequence[Rule] | None = None) -> Column:
 
 def sanitise_line(c: Column) -> Column:
     return sanitise(c, line_rules())
+
+
+# The masking rules step by step: rule, pattern, the group that is removed, what stands in its place.
+_REMOVALS = [
+    ("strip-timestamps", "iso_time", 0, ""), ("strip-timestamps", "syslog_time", 0, ""),
+    ("strip-timestamps", "journal_mark", 0, ""), ("strip-timestamps", "pid_tag", 0, ""),
+    ("strip-hostnames", "syslog_host", 1, "$2"), ("mask-urls", "url", 0, "<URL>"), ("mask-emails", "email", 0, "<EMAIL>"),
+    ("mask-mac", "mac", 0, "<MAC>"), ("mask-ipv4", "ipv4", 0, "<IPV4>"), ("mask-ipv6", "ipv6", 0, "<IPV6>"),
+    ("normalise-repo", "repo_cache", 0, "<REPO_CACHE>"), ("mask-home", "home_path", 0, "<HOME_PATH>"),
+    ("mask-paths", "config_path", 0, "<CONFIG_PATH>"), ("mask-paths", "log_path", 0, "<LOG_PATH>"),
+    ("mask-paths", "cache_path", 0, "<CACHE_PATH>"), ("mask-paths", "lib_path", 0, "<LIB_PATH>"),
+    ("mask-paths", "any_path", 0, "$1<PATH>"), ("mask-uuid", "uuid", 0, "<UUID>"),
+    ("mask-hex", "prefixed_hex", 0, "<HEX>"), ("mask-hex", "bare_hex", 0, "<HEX>"),
+    ("normalise-package-nvr", "package_nvr", 0, "$1-<VERSION>"),
+]
+MASKING = list(dict.fromkeys(r[0] for r in _REMOVALS))
+#: What a removed value does not begin or end with.
+VALUE_EDGE = " \t\n\f\r"
+
+
+def nothing_removed(text: Column) -> Column:
+    """struct(values, text) before the first step."""
+    return F.struct(F.array().cast("array<struct<rule:string,value:string>>").alias("values"), text.alias("text"))
+
+
+def removal_steps() -> list[Callable[[Column], Column]]:
+    """The masking rules' steps on struct(values, text): what a step takes out joins the (rule, value) pairs.
+
+    A value is what the step's pattern matches in the text as it stands then, without white
+    space around it.
+    """
+    def masked_ipv6(t: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(IPV6_CANDIDATE), F.lit(0)).alias("m"),
+                             F.regexp_extract_all(t, F.lit(IPV6_CANDIDATE), F.lit(1)).alias("kept"))
+        return F.transform(F.filter(pairs, lambda p: p["kept"] == ""), lambda p: p["m"])
+
+    def step(rule: str, name: str, group: int, repl: str) -> Callable[[Column], Column]:
+        change = _mask_ipv6 if name == "ipv6" else _sub(name, repl)
+        found = masked_ipv6 if name == "ipv6" else lambda t: F.regexp_extract_all(t, F.lit(PATTERNS[name]), F.lit(group))
+        opening = F.lit(VALUE_EDGE + "(" * (name == "any_path"))  # a path may stand in brackets
+
+        def run(s: Column) -> Column:
+            own = F.transform(found(s["text"]), lambda v: F.struct(F.lit(rule).alias("rule"), F.rtrim(
+                F.ltrim(v, opening), F.lit(VALUE_EDGE)).alias("value")))
+            return bind(change(s["text"]), lambda left: F.struct(
+                F.when(left == s["text"], s["values"]).otherwise(F.concat(s["values"], own)).alias("values"), left.alias("text")))
+        return run
+    return [step(*r) for r in _REMOVALS]

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from opslake.functions import redact
 from opslake.functions.redact import BY_NAME, classify_lines, collapse_repeats, sanitise, sanitise_line
+from opslake.operators import redaction
 
 
 @pytest.mark.parametrize(("rule", "text", "want"), [
@@ -116,3 +118,31 @@ def test_letters_that_fold_are_no_word_characters(values):
     assert values(BY_NAME["mask-urls"].apply, ["ſhttp://a.b/c", "Khttps://a.b/c", "xhttp://a.b/c"]) == [
         "ſ<URL>", "K<URL>", "xhttp://a.b/c"]
     assert values(redact.classify_line, ["ſinstalled x"]) == ["<TRANSACTION> ſinstalled x"]
+
+
+def test_removed_values_that_survive(spark):
+    texts = {
+        1: "web1 sshd: web1 is at 10.0.0.1 and v10.0.0.1x, see a@b.cc", 2: "uuid 0123abcd-0123-abcd-0123-0123456789ab only", 3: None, 4: "",
+        5: "a peer is 2001:db8::1 or x2001:db8::1", 6: "see (/opt/x and q/opt/x", 7: "10.1.1.1 " * 20000 + "z10.1.1.1", 8: "plain words", 9: "10.0.0.1 10.0.0.1"}
+    df = spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "id int, t string, rule_ string")
+    got = {(r.id, r.rule, r.value, r.survived) for r in redaction.survivors(df, "t").collect()}
+    assert {g for g in got if g[0] != 5} == {
+        (1, "strip-hostnames", "web1", True), (1, "mask-ipv4", "10.0.0.1", True), (1, "mask-emails", "a@b.cc", False),
+        (2, "mask-uuid", "0123abcd-0123-abcd-0123-0123456789ab", False),
+        (6, "mask-paths", "/opt/x", True), (7, "mask-ipv4", "10.1.1.1", True), (9, "mask-ipv4", "10.0.0.1", False)}
+    assert {g[1] for g in got if g[0] == 5} == {"mask-ipv6"}
+    report = {(r.rule): (r.removed, r.survived) for r in redaction.survivor_report(df, "t", "rule_").collect()}
+    assert set(report) == set(redact.MASKING) and len(report) == 13 and report["mask-ipv4"] == (3, 2) and report["mask-mac"] == (0, 0)
+    assert redaction.survivor_report(df.limit(0), "t", "rule_").count() == 0
+
+
+def test_many_values_in_one_pass():
+    values = [f"v{i}" for i in range(3000)] + ["v1", "x"]
+    assert redaction.found_in(values, "v12 and v7") == [v in ("v1", "v12", "v7") for v in values] and redaction.found_in([], "a") == []
+
+
+def test_what_is_left_is_what_the_rules_leave(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    rules = [redact.BY_NAME[n] for n in redact.MASKING]
+    both = redaction.removed_values(docs, "text", "r").select(F.col("r.text").alias("a"), redact.sanitise(F.col("text"), rules).alias("b"))
+    assert both.filter(redact.trim(F.col("a")) != F.col("b")).count() == 0
