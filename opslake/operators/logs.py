@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from opslake.functions.redact import sanitise_line, severity
 from opslake.functions.text import lines, once, trim
-from opslake.plans.partitioning import last_per_group, range_buckets, running_index
+from opslake.plans.partitioning import last_per_group, may_be_wanted, range_buckets, running_index
+from opslake.plans.session import materialise
 
 # Lines kept per source when no limit is asked for.
 DEFAULT_LINES = {"service": 50, "boot": 80, "kernel": 60, "file": 100}
@@ -219,7 +220,9 @@ def failure_context(df: DataFrame, n: int | None = None, ts: str = "ts") -> Data
         fails.join(body, [*keys, "_block"])
         .filter((F.col("_at") <= F.col("_end")) & (F.col("_at") > F.col("_end") - size))
         .select(*keys, "failure_seq", "exit_code", "line_seq", (F.col("_end") - F.col("_at")).alias("lines_before")))
-    texts = df.select(*keys, F.col("seq").alias("line_seq"), "raw")
+    wanted = materialise(wanted, "wanted")
+    # only texts of wanted lines move
+    texts = may_be_wanted(df.select(*keys, F.col("seq").alias("line_seq"), "raw"), wanted, [*keys, "line_seq"])
     return wanted.join(texts, [*keys, "line_seq"]).select(
         *keys, "failure_seq", "exit_code", "line_seq", "lines_before", "raw")
 

@@ -123,6 +123,29 @@ def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     )
 
 
+#: Bits of a key filter for each wanted key, and in all (2^27 bits are 16 MB).
+FILTER_BITS_A_KEY, FILTER_BITS = 16, (16, 27)
+
+
+def may_be_wanted(df: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` whose key is among those of ``wanted``, and a few others; nothing of them is shuffled.
+
+    A bitmap of hashed keys goes to the scan, in pieces of 32,768 bits. Its size follows the number
+    of wanted keys up to a fixed bound; beyond that more of the others pass. ``wanted`` is read twice.
+    """
+    n = wanted.count()
+    low, high = FILTER_BITS
+    bits = min(max((FILTER_BITS_A_KEY * n).bit_length(), low), high)
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    maps = wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    placed = df.withColumn("_place", place).withColumn("_piece", F.bitmap_bucket_number("_place"))
+    at = F.bitmap_bit_position("_place")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8) + 1, F.lit(1))), 16, 10).cast("int")
+    met = placed.join(F.broadcast(maps), "_piece")  # 16 MB at most
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_place", "_piece", "_bits")
+
+
 def range_buckets(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "_bucket") -> DataFrame:
     """Rows with a bucket that does not decrease along (keys, order), from a sampled range partitioning.
 

@@ -87,3 +87,14 @@ def test_no_slice_is_larger_than_asked_for(spark, spread_seconds):
         for i, (_, seq) in enumerate(sorted((at, seq) for name, seq, at in rows if name == k)):
             want[seq] = i // 100
     assert {r.seq: r.chunk for r in got} == want and all(r.chunks_many for r in got)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_key_filter_loses_nothing_and_lets_few_pass(spark, n):
+    df = spark.range(40_000).selectExpr("concat('h', id % 7) as host", "id as seq", "concat('text ', id) as raw")
+    wanted = df.filter(F.col("seq") % 80 == 3).limit(n).select("host", "seq")
+    got = pt.may_be_wanted(df, wanted, ["host", "seq"])
+    assert got.columns == df.columns
+    assert got.join(wanted, ["host", "seq"], "left_semi").count() == n <= got.count() <= n + 3_500
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert not n or ("BroadcastHashJoin" in text and "SortMergeJoin" not in text)
