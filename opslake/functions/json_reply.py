@@ -7,13 +7,10 @@ look fields up in, so the plan has the same size however many commands there are
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from opslake.functions.text import bind, trim
 
@@ -164,114 +161,111 @@ def strict_json(c: Column) -> Column:
 
 # --- finding the object in the text -------------------------------------------------
 
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}]', re.DOTALL)
+# What the scanner stops at: escape pairs, quotes, brackets and commas.
+_SPLIT = r"(?s)\\.|[\"{}\[\],]"
 
 
-def first_object(text: str | None) -> str | None:
-    """The first balanced {...} of a text, aware of strings and escapes."""
-    start = text.find("{") if text else -1
-    if start < 0:
-        return None
-    depth = 0
-    for m in _TOKEN.finditer(text, start):
-        tok = m.group()
-        if tok == '"':  # a string that never ends
-            return None
-        if tok == "{":
-            depth += 1
-        elif tok == "}":
-            depth -= 1
-            if depth == 0:
-                return text[start:m.end()]
-    return None
+def _tokens(t: Column) -> Column:
+    """array(struct(c, gap)): the tokens of a text, and how many characters stand before each."""
+    found = F.regexp_extract_all(t, F.lit(_SPLIT), F.lit(0))
+    gaps = F.transform(F.split(t, _SPLIT, -1), F.length)
+    return F.arrays_zip(found.alias("c"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
 
 
-@F.pandas_udf(StringType())
-def _scan_object(raw: pd.Series) -> pd.Series:
-    return raw.map(first_object)
+def _scan(tokens: Column, opening: str, closing: str) -> Column:
+    """State after the tokens of a text that starts with a brace.
+
+    ``depth`` counts the given brackets, ``done`` is where it falls back to 0, ``quoted`` says
+    whether a string is open. ``kept`` is the last place where all before is complete: a comma of
+    the object, or a comma or the start of a list that is one of its fields (``listed``).
+    """
+    def step(s: Column, x: Column) -> Column:
+        def of(c: Column, end: Column) -> Column:
+            # an escaped quote ends no string, but outside strings it starts one
+            quote = (c == '"') & ~(s["quoted"] & (F.length(x["c"]) > 1))
+            plain = ~s["quoted"] & (c != '"')
+            opens, closes = plain & c.isin(*opening), plain & c.isin(*closing)
+            starts = opens & (s["depth"] == 1)
+            depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+            in_list = F.when(starts, c == "[").otherwise(s["in_list"])
+            comma = plain & (c == ",") & ((s["depth"] == 1) | ((s["depth"] == 2) & s["in_list"]))
+            begins = starts & (c == "[")
+            return F.when(s["done"] > 0, s).otherwise(F.struct(
+                end.alias("at"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), depth.alias("depth"),
+                F.when(closes & (depth <= 0), end).otherwise(0).alias("done"), in_list.alias("in_list"),
+                F.when(begins, end).when(comma, end - 1).otherwise(s["kept"]).alias("kept"),
+                F.when(begins, True).when(comma, s["depth"] == 2).otherwise(s["listed"]).alias("listed")))
+        size = F.length(x["c"])
+        return bind(F.struct(F.right(x["c"], F.lit(1)).alias("c"), (s["at"] + x["gap"] + size).alias("end")),
+                    lambda y: of(y["c"], y["end"]))
+    zero, no = F.lit(0), F.lit(False)
+    return F.aggregate(tokens, F.struct(
+        zero.alias("at"), no.alias("quoted"), zero.alias("depth"), zero.alias("done"), no.alias("in_list"),
+        zero.alias("kept"), no.alias("listed")), step)
+
+
+def _from_brace(text: Column) -> Column:
+    at = F.instr(text, "{")
+    return F.when(at > 0, F.substring(text, at, F.length(text)))
+
+
+def first_object(text: Column) -> Column:
+    """The first balanced {...} of a text, aware of strings and escapes; null when there is none."""
+    def of(t: Column) -> Column:
+        return bind(_scan(_tokens(t), "{", "}")["done"], lambda end: F.when(end > 0, F.substring(t, F.lit(1), end)))
+    return bind(_from_brace(text), of)
 
 
 def json_object(raw: Column) -> Column:
     """First JSON object in noisy text, null when there is none.
 
-    Texts that are one object already are taken as they are; only the rest is scanned in
-    Python, and only if it has an opening brace.
+    Texts that are one object already are taken as they are; only the rest is scanned.
     """
-    t = F.btrim(raw, F.lit(" \t\n\r"))
-    clean = t.startswith("{") & strict_json(t).isNotNull()
-    noisy = _scan_object(F.when(~clean & F.contains(raw, F.lit("{")), raw))
-    return F.when(clean, t).otherwise(noisy)
+    def of(t: Column) -> Column:
+        return F.when(t.startswith("{") & strict_json(t).isNotNull(), t).otherwise(first_object(raw))
+    return bind(F.btrim(raw, F.lit(" \t\n\r")), of)
 
 
-def complete_part(text: str | None) -> str | None:
+def complete_part(text: Column) -> Column:
     """The first object of a text as far as it is complete: whole fields, and whole elements of lists.
 
-    What follows a cut or a mistake is left out; of repeated fields the last one counts.
+    What follows a cut or a mistake is left out. A text whose beginning up to some token can be
+    closed to JSON can be closed at every earlier token, so the last one is found by halving.
     """
-    at = text.find("{") + 1 if text else 0
-    if not at:
-        return None
-    read, fields = json.JSONDecoder().raw_decode, {}
-
-    def skip(i: int, also: str = "") -> int:
-        while i < len(text) and (text[i] in " \t\r\n" or text[i] == also):
-            i += 1
-        return i
-
-    def value(i: int) -> int | None:
-        """Where a complete value ends; a number at the very end may go on."""
-        try:
-            end = read(text, i)[1]
-        except ValueError:
-            return None
-        return None if end == len(text) and text[i] not in '"{[tfn' else end
-
-    at = skip(at)
-    while at < len(text) and text[at] == '"':
-        end = value(at)
-        name = text[at:end] if end else None
-        at = skip(end) if end else len(text)
-        if at >= len(text) or text[at] != ":":
-            break
-        at = skip(at + 1)
-        if text[at:at + 1] == "[":
-            at, kept = skip(at + 1), []
-            while at < len(text) and text[at] != "]":
-                end = value(at)
-                if end is None:
-                    break
-                kept.append(text[at:end])
-                at = skip(end)
-                if text[at:at + 1] == ",":
-                    at = skip(at + 1)
-                elif text[at:at + 1] != "]":
-                    break
-            fields[name] = "[" + ",".join(kept) + "]"
-            if text[at:at + 1] != "]":
-                break
-            at += 1
-        else:
-            end = value(at)
-            if end is None:
-                break
-            fields[name] = text[at:end]
-            at = end
-        at = skip(at)
-        if text[at:at + 1] != ",":
-            break
-        at = skip(at + 1)
-    return "{" + ",".join(f"{k}:{v}" for k, v in fields.items()) + "}" if fields else None
-
-
-@F.pandas_udf(StringType())
-def _scan_complete(raw: pd.Series) -> pd.Series:
-    return raw.map(complete_part)
+    def valid(c: Column) -> Column:
+        return bind(c, lambda x: F.when(strict_json(x).isNotNull(), x))
+
+    def of(t: Column, tokens: Column) -> Column:
+        n = F.size(tokens)
+        upto = lambda end, tail: F.concat(F.substring(t, F.lit(1), end), tail)
+        closers = lambda listed: F.when(listed, "]}").otherwise("}")
+        scanned = lambda k: _scan(F.slice(tokens, F.lit(1), k), "{[", "}]")
+
+        def kept(k: Column) -> Column:
+            return bind(scanned(k), lambda s: F.when(s["kept"] > 0, upto(s["kept"], closers(s["listed"]))))
+
+        def half(s: Column, _: Column) -> Column:
+            def of_mid(mid: Column) -> Column:
+                # no complete place so far is no mistake so far
+                return bind(kept(mid), lambda c: bind(valid(c), lambda v: F.when(
+                    c.isNull() | v.isNotNull(), F.struct(mid.alias("lo"), s["hi"].alias("hi"), v.alias("best"))).otherwise(
+                    F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi"), s["best"].alias("best")))))
+            return F.when(s["lo"] >= s["hi"], s).otherwise(bind(F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int"), of_mid))
+        start = F.struct(F.lit(0).alias("lo"), n.alias("hi"), F.lit(None).cast("string").alias("best"))
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+        halved = F.aggregate(rounds, start, half)["best"]
+        # a number at the very end may go on
+        outer = lambda s: (s["depth"] == 1) | ((s["depth"] == 2) & s["in_list"])
+        whole = bind(scanned(n), lambda s: F.when(s["done"] > 0, upto(s["done"], F.lit(""))).when(
+            ~s["quoted"] & outer(s) & ~t.rlike(r"[0-9.eE+-]\z"), F.concat(t, closers(s["depth"] == 2))))
+        return F.coalesce(valid(whole), halved)
+    found = bind(_from_brace(text), lambda t: bind(_tokens(t), lambda tokens: of(t, tokens)))
+    return bind(found, lambda f: F.when(F.size(F.json_object_keys(f)) > 0, f))
 
 
 def recovered(raw: Column) -> Column:
     """The text where it is one JSON value, else the complete part of its first object, if any."""
-    clean = strict_json(raw).isNotNull()
-    return F.when(clean, raw).otherwise(_scan_complete(F.when(~clean & F.contains(raw, F.lit("{")), raw)))
+    return F.when(strict_json(raw).isNotNull(), raw).otherwise(F.when(F.contains(raw, F.lit("{")), complete_part(raw)))
 
 
 def essentially_empty(raw: Column) -> Column:

@@ -1,6 +1,8 @@
 """Reply normalising, validation, salvage and repair."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +21,33 @@ def one(spark, fn, command, raw):
     ("no braces", None), ('{"a": 1', None), ('{"open string', None), ("", None), ('  {"a":1}\n', '{"a":1}'), ("x } {}", "{}")])
 def test_first_object(values, text, want):
     assert values(jr.json_object, [text]) == [want]
-    assert want is None or jr.first_object(text) == want
+    assert values(jr.first_object, [text]) == [want]
+
+
+def _first(text):
+    """The first balanced object, character by character."""
+    start, depth, quoted, i = text.find("{"), 0, False, 0
+    for i in range(max(start, 0), len(text) if start >= 0 else 0):
+        c = text[i]
+        if quoted:
+            escapes = len(text[start:i]) - len(text[start:i].rstrip("\\"))
+            quoted = not (c == '"' and escapes % 2 == 0)
+        elif c == '"':
+            quoted = True
+        elif c in "{}":
+            depth += 1 if c == "{" else -1
+            if depth == 0:
+                return text[start:i + 1]
+    return None
+
+
+def test_objects_in_random_text(values):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(['{', '}', '"', '\\', 'a', ',', '[', ']', ':', 'é', ' ']) for _ in range(rng.randrange(14))) for _ in range(400)]
+    # a backslash outside strings is plain text, but pairs with what follows; leave such texts out
+    texts = [t for t in texts if not re.search(r'\\\\', re.sub(r'"(?:[^"\\]|\\.)*("|$)', "", t[t.find("{"):], flags=re.S))]
+    texts += ["x" * 50_000 + '{"a":"' + '\\"' * 30_000 + '"} y', "{" * 20_000, '{"a":' + "[" * 3000 + "]" * 3000 + "}"]
+    assert values(jr.first_object, texts) == [_first(t) for t in texts]
 
 
 def test_essentially_empty(values):
@@ -117,11 +145,25 @@ def test_the_last_of_repeated_keys_counts(spark):
     ('{"summary":"s","findings":[{"a":1},{"b":"}"},{"severity":"in', {"summary": "s", "findings": [{"a": 1}, {"b": "}"}]}),
     ('{"summary":"cut o', None), ('{"a":1,"b":2', {"a": 1}), ('{"a":[', {"a": []}), ('{"a":[1,2', {"a": [1]}), ('so {"a":true} and {"b":1}', {"a": True}),
     ('{"a":{"b":[1]},"c":nul', {"a": {"b": [1]}}), ('{"a":1,"a":2,', {"a": 2}), ("{", None), (None, None), ("{]", None), ('{"a" 1}', None)])
-def test_complete_part(text, want):
-    got = jr.complete_part(text)
+def test_complete_part(values, text, want):
+    got = values(jr.complete_part, [text])[0]
     assert (json.loads(got) if got else None) == want
 
 
+def test_every_cut_of_a_reply(values):
+    items = [{"severity": "info", "title": f'q "{k}", {{[', "n": [k, {"x": None}]} for k in range(7)]
+    doc = json.dumps({"summary": "a, {b}", "findings": items, "next": ["é", "y"], "n": 12.5, "ok": True})
+    got = values(jr.complete_part, [f"so: {doc[:k]}" for k in range(len(doc) + 1)])
+    for k, text in enumerate(got):
+        part = json.loads(text) if text else {}
+        whole = [i for i in items if doc.find(json.dumps(i)) + len(json.dumps(i)) <= k]
+        assert part.get("findings", []) == whole or part["findings"] == whole[:-1] and doc[k - 1] != ",", (k, doc[:k])
+        assert all(part[f] == json.loads(doc)[f] for f in part if f not in ("findings", "next"))
+    assert json.loads(got[-1]) == json.loads(doc)
+    wrong = doc.replace('"next"', '"next" oops', 1)
+    assert json.loads(values(jr.complete_part, [wrong + " and more"])[0]) == {"summary": "a, {b}", "findings": items}
+
+
 def _repair(spark, rows, answer, log=None):
     """Outcomes by id; ``answer`` gets (id, list, position, attempt, current)."""
     def responder(frames):
