@@ -11,6 +11,7 @@ block is searched in every document. Texts are compared in lower case with white
 
 from __future__ import annotations
 
+import bisect
 import functools
 import pickle
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opslake.llm.common import keyed, sliced
+from opslake.llm.common import keep, keyed, sliced
 
 Q = 8
 #: Edits allowed per character of an item.
@@ -110,8 +111,8 @@ def retained(items: Items, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     of = np.searchsorted(ends, at, side="right")
     n = len(items.items)
     # a band cannot reach what the whole document does not
-    total = np.bincount(of * n + item, minlength=len(ends) * n)
-    enough = total[of * n + item] >= items.bound[item]
+    _, pair, total = np.unique(of * n + item, return_inverse=True, return_counts=True)
+    enough = total[pair] >= items.bound[item]
     at, item, place, of = at[enough], item[enough], place[enough], of[enough]
     if not len(at):
         return np.zeros((0, 3), np.int64)
@@ -172,28 +173,52 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int)
     return edits, int(start[d]), int(diagonals[d] + m)
 
 
+def apart(regions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Regions (edits, start, end) that overlap no better one: fewer edits, then further left."""
+    kept: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    for edits, a, b in sorted(set(regions)):
+        at = bisect.bisect_left(starts, a)
+        # kept regions do not overlap, so only the neighbours can meet this one
+        if (at == 0 or kept[at - 1][2] <= a) and (at == len(kept) or kept[at][1] >= b):
+            starts.insert(at, a)
+            kept.insert(at, (edits, a, b))
+    return kept
+
+
+def _places(code: np.ndarray, text: np.ndarray) -> Iterator[int]:
+    """Where a short item occurs, from left to right without overlaps."""
+    whole, part = text.tobytes(), code.tobytes()
+    at = whole.find(part)
+    while at >= 0:
+        if at % 4 == 0:
+            yield at // 4
+        at = whole.find(part, at + (len(part) if at % 4 == 0 else 1))
+
+
 def search(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text index, item id, edits, start, end) of the best verified region of every item in every text."""
+    """(text index, item id, edits, start, end) of the verified regions of every item in every text.
+
+    Of regions of an item that overlap the best one counts.
+    """
     codes = [folded(t) for t in texts]
     stop = np.array([0x110000 + 5], np.uint32)
     text = np.concatenate([x for c in codes for x in (c, stop)]) if codes else np.zeros(0, np.uint32)
     ends = np.cumsum([len(c) + 1 for c in codes])
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for of, item, low in retained(items, text, ends).tolist():
         base = int(ends[of]) - len(codes[of]) - 1
         k = int(items.budget[item])
         got = align(items.items[item][1], codes[of], low - base, 2 * (k + 1), k)
-        if got and ((of, item) not in best or got < best[of, item]):
-            best[of, item] = got
-    for (of, item), got in best.items():
-        yield (of, items.items[item][0], *got)
+        if got:
+            found.setdefault((of, item), []).append(got)
+    for (of, item), regions in found.items():
+        for region in apart(regions):
+            yield (of, items.items[item][0], *region)
     for i, c in items.tiny:
         for of, doc in enumerate(codes):
-            at = doc.tobytes().find(c.tobytes())
-            while at >= 0 and at % 4:
-                at = doc.tobytes().find(c.tobytes(), at + 1)
-            if at >= 0:
-                yield of, i, 0, at // 4, at // 4 + len(c)
+            for at in _places(c, doc):
+                yield of, i, 0, at, at + len(c)
 
 
 def search_all(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -214,17 +239,19 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, id_col: st
     """The items in blocks of about ``block_chars`` characters, read one block at a time; null and empty items go."""
     items = benchmark.select(benchmark[id_col].cast("long").alias("i"), benchmark[text_col].alias("t")).filter(
         "t is not null and t <> ''")
+    # dealt by a number of their own, so that equal items spread over the blocks
+    items = keep(items.withColumn("n", F.monotonically_increasing_id()), "items")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // block_chars)
     for b in range(n):
-        yield [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == b).collect()]
+        yield [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("n"), F.lit(n)) == b).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id",
                   text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per document and item found in it: _row, id, item_id, edits, start, end (code points, exclusive).
+    """One row for every region of a document that holds an item: _row, id, item_id, edits, start, end (code points, exclusive).
 
-    Null and empty texts and items match nothing; equal rows give equal rows; an item shorter than
+    Regions of an item in a document do not overlap. Null and empty texts and items match nothing; equal rows give equal rows; an item shorter than
     Q characters must occur exactly; an item id may be null; either table may be empty.
     """
     rows = keyed(docs, id_col, text_col)

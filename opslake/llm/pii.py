@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable
 
@@ -26,17 +27,21 @@ from opslake.llm.common import arrow_rows
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login")
-CUES = ("iban", "IBAN", "account no", "Account no", "acct", "Acct")
+#: In letters of either case.
+CUES = ("iban", "account", "acct", "a/c")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _digits = re.compile(r"[0-9]+").match
 _chain = re.compile(r"[0-9](?:[\x20-]?[0-9])*").match
 _phone = re.compile(r"\+[0-9][\x20().0-9-]*").match
-_after_cue = re.compile(r"(?:[.:#]|\x20no|\x20number|\x20){0,4}([A-Za-z0-9](?:\x20?[A-Za-z0-9]){5,40})").match
+_after_cue = re.compile(r"(?:[\x20\t]*+(?:[.:#]|(?i:numbers?|num|no|nr)(?![A-Za-z0-9])))*+[\x20\t]*+").match
+_word = re.compile(r"[A-Za-z0-9]+").match
 _iban = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}").match
 _login = re.compile(r"([^\s/?#@:]+):([^\s/?#@]+)@").match
-_scheme = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$").search
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 Span = tuple[str, int, int]
 
@@ -44,8 +49,11 @@ Span = tuple[str, int, int]
 @functools.lru_cache(maxsize=1)
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for word in ("@", "+", "://", *"0123456789", *CUES):
-        found.add_word(word, (word[0] if word.isdigit() or len(word) == 1 else word, len(word)))
+    for word in ("@", "+", "://", *"0123456789"):
+        found.add_word(word, (word, len(word)))
+    for cue in CUES:
+        for letters in itertools.product(*({c, c.upper()} for c in cue)):
+            found.add_word("".join(letters), (cue, len(cue)))
     found.make_automaton()
     return found
 
@@ -83,7 +91,7 @@ def spans(text: str) -> list[Span]:
     """All spans of a text, by kind as listed, then start; ends are exclusive."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # what lies before is consumed
-    runs = {"ip": 0, "card": 0}  # the run of digits that begins before is read
+    runs = {"ip": 0, "card": 0, "word": 0}  # the run that begins before is read
 
     def add(kind: str, a: int, b: int) -> None:
         out[kind].append((kind, a, b))
@@ -127,24 +135,27 @@ def spans(text: str) -> list[Span]:
             add("phone", at, end)
 
     def account(end: int) -> None:
-        if end < done["account"]:
-            return
-        m = _after_cue(text, end)
-        if not m:
+        if end < done["account"] or text[end:end + 1] in _LETTERS:
             return
-        a = m.start(1)
+        a = _after_cue(text, end).end()
         b = iban_end(text, a)
         if b:
             add("account", a, b)
             return
-        word = re.match(r"[A-Za-z0-9]+", text[a:a + 35])[0]
-        if 6 <= len(word) <= 34 and sum(c in "0123456789" for c in word) >= 6:
-            add("account", a, a + len(word))
+        if a >= runs["word"]:
+            m = _word(text, a)
+            runs["word"] = m.end() if m else a
+        b = runs["word"]
+        if 6 <= b - a <= 34 and sum(c in "0123456789" for c in text[a:b]) >= 6:
+            add("account", a, b)
 
     def login(at: int) -> None:
-        scheme = _scheme(text[max(done["login"], at - 32):at])
-        m = _login(text, at + 3, at + 3 + 512)
-        if scheme and m:
+        # both runs stop at a slash, so that no character is read for two schemes
+        a = at
+        while a > done["login"] and text[a - 1] in _SCHEME:
+            a -= 1
+        m = _login(text, at + 3) if any(c in _LETTERS for c in text[a:at]) else None
+        if m:
             add("login", m.start(1), m.end(2))
 
     # a plus sign, a cue or a scheme is rare; digits and at-signs are read where they stand

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import brute
 from hypothesis import given, settings
@@ -45,7 +46,21 @@ def test_added_kinds_and_mask():
     extra = {text[a:b] for k, a, b in pii.spans(text) if k not in pii.BASE}
     assert extra == {"DE89 3704 0044 0532 0130 00", "12345678", "me:pw"}
     assert pii.masked("to a@b.co now") == "to <EMAIL> now"
-    assert not pii.spans("no such account was found, an acct of the day")
+    assert not pii.spans("no such account was found, an acct of the day, accounts 123, accountant 12345678, a/c 12345")
+    for cue in ("Account number: ", "ACCOUNT NO ", "account no.: ", "Acct#", "aCCt  :  ", "A/C ", "account\tNumber .", "account", "IBAN nr "):
+        assert pii.spans(f"my {cue}12345678.") == [("account", 3 + len(cue), 11 + len(cue))], cue
+    assert pii.spans("Iban: DE89370400440532013000") == [("account", 6, 28)]
+    long = "p" * 5000
+    assert pii.spans(f"{'s' * 90}://user:{long}@h") == [("login", 93, 98 + 5000)]
+    assert not pii.spans("1://user:pw@h") and not pii.spans("http://user@h") and not pii.spans("http://a/b:c@d")
+    assert pii.spans("account " + "1" * 34) == [("account", 8, 42)] and not pii.spans("account " + "1" * 35)
+
+
+def test_added_kinds_take_linear_time():
+    for part in ("acct1", "account no ", "a://b:", "a/c::", "iban ", "x://y:z@"):
+        began = time.process_time()
+        pii.spans(part * 40_000)
+        assert time.process_time() - began < 8
 
 
 def test_odd_rows(spark):
