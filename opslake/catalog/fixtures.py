@@ -6,8 +6,12 @@ row by row from a table's keys; their size follows the table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
+from opslake.functions import json_reply
+
 
 class SparkDialect:
     def __init__(self, sf_dir: str):
@@ -321,6 +325,46 @@ from (select o_orderkey as k, case o_orderkey % 5 when 0 then 'audit' when 1 the
       from {d.t('orders')}) o"""
 
 
+def reply_forms(schemas: dict, bools: set[str]) -> dict[str, list[str]]:
+    """For every command, replies that break its schema in one way each; ``@`` stands for a number."""
+    words = {"severity": "warning", "status": "ok", "category": "security"}
+
+    def leaf(name: str):
+        return True if name in bools else words.get(name, f"{name} @")
+
+    out = {}
+    for command, fields in schemas.items():
+        sound = {n: f"{n} @" if s == "string" else ["step @", "more"] if s == "strings" else [{f: leaf(f) for f in s} for _ in range(2)]
+                 for n, s in fields.items()}
+        forms = [sound, {}, {n: None for n in fields}, {n: 7 for n in fields}, dict(list(sound.items())[1:]),
+                 {n: [] if isinstance(v, list) else "  " for n, v in sound.items()}]
+        for value in (None, [1], "", "@", 5, "Failed"):  # of every leaf of the second entry, and of the second text
+            changed = {}
+            for n, v in sound.items():
+                if isinstance(v, list):
+                    changed[n] = [v[0], value if fields[n] == "strings" else {f: value for f in v[1]}]
+                else:
+                    changed[n] = v
+            forms.append(changed)
+        for at in range(2):  # one leaf missing, one blank
+            forms.append({n: [v[0], {f: x for f, x in v[1].items() if f != list(v[1])[at % len(v[1])]}] if isinstance(v, list) and isinstance(
+                v[1], dict) else v for n, v in sound.items()})
+            forms.append({n: [v[0] | {list(v[0])[-1 - at % len(v[0])]: " "}, 3] if isinstance(v, list) and isinstance(v[0], dict) else v
+                          for n, v in sound.items()})
+        out[command] = [json.dumps(f) for f in forms] + ["not json", "[1]"]
+    return out
+
+
+def _command_replies(d) -> str:
+    forms = reply_forms(json_reply.SCHEMAS, json_reply.BOOL_FIELDS)
+    n = len(next(iter(forms.values())))
+    command = "case k % {} {} end".format(len(forms), " ".join(f"when {i} then '{c}'" for i, c in enumerate(forms)))
+    texts = " ".join(f"when {i * n + j} then '{t}'" for i, ts in enumerate(forms.values()) for j, t in enumerate(ts))
+    return f"""
+select k as id, {command} as command, replace(case form {texts} end, '@', cast(k as string)) as raw
+from (select p_partkey as k, p_partkey % {len(forms)} * {n} + cast(floor(p_partkey / {len(forms)}) as bigint) % {n} as form from {d.t('part')}) p"""
+
+
 def _history(d) -> str:
     return f"""
 select 'host' || (k % 8) as host, k as seq, ts, cmd as command,
@@ -541,6 +585,7 @@ VIEWS = {
     "fw_lines": _fw_lines,
     "fw_reads": _fw_reads,
     "replies": _replies,
+    "command_replies": _command_replies,
     "history": _history,
     "timer_lines": _timer_lines,
     "service_lines": _service_lines,

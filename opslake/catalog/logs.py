@@ -10,7 +10,9 @@ from opslake.catalog.fixtures import oracle, view
 from opslake.functions.redact import sanitise_line
 from opslake.operators import logs
 from opslake.plans.partitioning import last_per_group, spread
+from opslake.plans.session import scratch_path
 from opslake.sources.captures import capture_lines as to_lines
+from opslake.sources.captures import read_log_files, write_log_files
 
 SINCE, UNTIL = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
 COLUMNS = ["seq", "ts", "host", "service", "boot", "priority", "raw"]
@@ -66,6 +68,25 @@ def file_tail_filtered(spark, sf_dir):
     return logs.tail_filtered(logs.file_lines(docs, "doc_id", "text"), ["doc_id"])
 
 
+@query("file_tail_of_logs", oracle("""
+with l as (select source, doc_id, unnest(string_split(text, chr(10))) as line,
+    unnest(range(len(string_split(text, chr(10))))) as line_no from (
+      select source, doc_id, case when ends_with(text, chr(10)) then left(text, len(text) - 1) else text end as text
+      from documents) d),
+last as (select * from (select *, row_number() over (partition by source order by doc_id desc, line_no desc) as rn,
+    regexp_matches(lower(line), 'error|err|warn|fatal|crit|fail|panic|exception|denied|refused|timeout|traceback|segfault|oom') as hit
+  from l) t where rn <= 100)
+select source, line, count(*) as n from (
+  select *, bool_or(hit) over (partition by source) as any_hit from last) x where hit or not any_hit group by all"""))
+def file_tail_of_logs(spark, sf_dir):
+    docs = spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
+    lines = logs.file_lines(docs.withColumn("key", F.struct("source", "doc_id")), "key", "text")
+    path = scratch_path(spark, "logs")
+    write_log_files(lines.select("key.source", "key.doc_id", "line_no", "line"), path, "source", ["doc_id", "line_no"])
+    found = read_log_files(spark, path, "\n").withColumn("at", F.struct("file", "line_at"))
+    return logs.tail_filtered(found, ["source"], "at").groupBy("source", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("empty_journals", oracle(f"""
 select host, count(*) as journals, cast(count(*) filter (where not has) as bigint) as empty_journals from (
   select host, t <> '' and not ((contains(t, '-- No entries --') or contains(t, '-- no entries --')

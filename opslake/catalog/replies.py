@@ -309,3 +309,87 @@ from (select command, coalesce(json_extract_string(case when json_valid(raw) the
 group by command""", "replies"))
 def findings_tally(spark, sf_dir):
     return replies.findings_tally(view(spark, sf_dir, "replies"))
+
+
+# --- every command's schema ---------------------------------------------------------
+
+def _got(kind: str) -> str:
+    return f"case {kind} when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'bool' else 'number' end"
+
+
+def _field_errors(src: str, name: str, want: str, prefix: str, inner: str = "[]") -> str:
+    """The messages for one field; ``inner`` are those of a list's elements."""
+    kind, path = f"json_type({src}, '$.{name}')", f"'field \"' || {prefix} || '{name}\"'"
+    shown = {"VARCHAR": "string", "BOOLEAN": "bool", "ARRAY": "array"}[want]
+    null = "[]" if want == "ARRAY" else f"[{path} || ' cannot be null']"
+    return (f"case when {kind} is null then [{path} || ' is missing'] when {kind} = 'NULL' then {null} "
+            f"when {kind} <> '{want}' then [{path} || ': expected {shown}, got ' || {_got(kind)}] else {inner} end")
+
+
+def _leaf_kind(name: str) -> str:
+    return "BOOLEAN" if name in jr.BOOL_FIELDS else "VARCHAR"
+
+
+def _command_structural(command: str) -> str:
+    parts = []
+    for name, shape in jr.SCHEMAS[command].items():
+        if shape == "string":
+            parts.append(_field_errors("raw", name, "VARCHAR", "''"))
+            continue
+        at = f"'{name}[' || (i - 1) || ']'"
+        if shape == "strings":
+            each = (f"case when json_type(e) in ('VARCHAR', 'NULL') then [] else "
+                    f"['field \"' || {at} || '\": expected string, got ' || {_got('json_type(e)')}] end")
+        else:
+            leaves = ", ".join(_field_errors("e", f, _leaf_kind(f), f"{at} || '.'") for f in shape)
+            each = (f"case when json_type(e) in ('OBJECT', 'NULL') then flatten([{leaves}]) else [{at} || ': invalid object'] end")
+        parts.append(_field_errors("raw", name, "ARRAY", "''", f"flatten(list_transform(json_extract(raw, '$.{name}[*]'), lambda e, i: {each}))"))
+    return f"flatten([{', '.join(parts)}])"
+
+
+def _check_sql(op: str, name: str, words: list[str], say: str) -> str:
+    raw, allowed = f"coalesce(json_extract_string(e, '$.{name}'), '')", ", ".join(f"'{w}'" for w in words)
+    text, say = trim(raw), (say or "").replace("'", "''")
+    wrong = lambda shown: f"'{name} must be {say}, got \"' || {shown} || '\"'"
+    return {
+        "filled": f"case when {text} = '' then '{name} must not be empty{say}' end",
+        "word": f"case when {text} = '' then '{name} must not be empty' when {text} not in ({allowed}) then {wrong(text)} end",
+        "bare_word": f"case when {text} not in ({allowed}) then {wrong(raw)} end",
+        "exact_word": f"case when {raw} not in ({allowed}) then {wrong(raw)} end",
+        "filled_if_category": f"case when json_extract_string(e, '$.category') in ({allowed}) and {text} = '' then "
+                              f"'{name} must not be empty when category is \"' || json_extract_string(e, '$.category') || '\"' end",
+    }[op]
+
+
+def _command_semantic(command: str) -> str:
+    if command not in jr.ELEMENT_CHECKS:
+        return "[]"
+    parts = []
+    for name, shape in jr.SCHEMAS[command].items():
+        if shape == "string":
+            if name == "summary":
+                parts.append(f"case when {trim(_CS)} = '' then ['summary must not be empty'] else [] end")
+            continue
+        listed = f"coalesce(json_extract(raw, '$.{name}[*]'), [])"
+        if name in jr.REQUIRED_ITEMS:
+            parts.append(f"case when len({listed}) = 0 then ['{jr.REQUIRED_ITEMS[name]}'] else [] end")
+        if shape != "strings":
+            checks = ", ".join(_check_sql(*(*c, [], "")[:4]) if len(c) < 4 else _check_sql(*c) for c in jr.ELEMENT_CHECKS[command])
+            parts.append(f"flatten(list_transform({listed}, lambda e, i: list_transform(list_filter([{checks}], lambda m: m is not null), "
+                         f"lambda m: '{name}[' || (i - 1) || '].' || m)))")
+    return f"flatten([{', '.join(parts)}])"
+
+
+_CS = "json_extract_string(raw, '$.summary')"
+_OF_COMMAND = lambda fn: "case command " + " ".join(f"when '{c}' then {fn(c)}" for c in jr.SCHEMAS) + " end"
+_ALL_CHECKED = f"""c as (select *, case when not json_valid(raw) then ['JSON syntax error']
+    when json_type(raw) <> 'OBJECT' then ['top-level must be a JSON object'] else {_OF_COMMAND(_command_structural)} end as st from command_replies)"""
+
+
+@query("reply_errors_by_command", oracle(f"""
+with {_ALL_CHECKED}
+select id, command, array_to_string(st, '; ') as structural,
+  array_to_string(case when len(st) = 0 then {_OF_COMMAND(_command_semantic)} else [] end, '; ') as semantic from c""", "command_replies"))
+def reply_errors_by_command(spark, sf_dir):
+    rows = replies.validated(spread(view(spark, sf_dir, "command_replies")))
+    return rows.select("id", "command", F.array_join("structural", "; ").alias("structural"), F.array_join("semantic", "; ").alias("semantic"))

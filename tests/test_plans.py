@@ -17,7 +17,7 @@ QUERIES = registry.load()[0]
 # these run jobs while they are built
 EAGER = {"stream_classified", "stream_alert_batches", "alerts_tumbling", "alerts_sliding", "alerts_sessions",
          "repair_outcomes", "history_retention", "baseline_roundtrip", "alert_batches", "alert_batch_text",
-         "failure_context", "change_feed_capped", "stream_seeded", "late_rows"}
+         "failure_context", "change_feed_capped", "stream_seeded", "late_rows", "file_tail_of_logs"}
 
 
 def plan(df):
