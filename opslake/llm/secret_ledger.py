@@ -143,10 +143,15 @@ def report(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES, id_col
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(found).alias("spans"))
 
 
-def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``report`` over a new ledger in the shared folder."""
-    ledger = scan(docs, scratch_path(docs.sparkSession, "ledger"), "0", text_col=text_col)
-    return report(docs, ledger, id_col=id_col, text_col=text_col)
+def scan_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """``report`` over a ledger that is filled in two batches (a new one in the shared folder, if no ``path`` is given).
+
+    The first scan knows the base rules; the second, under all rules, searches the same blobs
+    for the rules the ledger has not seen with them.
+    """
+    path = path or scratch_path(docs.sparkSession, "ledger")
+    scan(docs, path, "0", [r for r in RULES if r.kind in BASE], text_col)
+    return report(docs, scan(docs, path, "1", RULES, text_col), id_col=id_col, text_col=text_col)
 
 
 def _without(rule: Rule) -> Callable[[Column], Column]:

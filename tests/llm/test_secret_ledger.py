@@ -81,3 +81,14 @@ def test_keys_go_with_their_bodies(spark):
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", [[i, texts[i]] for i in (1, 2, 3, 4, 5, 6, 10)])
     assert {r[0]: r[-1].split(",") for r in con.execute(sl.sql()).fetchall()} == {i: spans[i] for i in (1, 2, 3, 4, 5, 6, 10)}
+
+
+def test_the_second_batch_takes_unseen_rules_only(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
+    texts = {1: "token=aaaaaaaaaaaa ghp_" + "aZ" * 20, 2: "none", 3: "none", 4: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sl.scan_corpus(df, path=path).collect()
+    _check(rows, texts)
+    assert {r.spans for r in rows if r.doc_id == 1} == {"assign:0:18,github:19:63"}
+    pairs = {(r.batch, r.rule): r["count"] for r in sl.read_ledger(spark, path).groupBy("batch", "rule").count().collect()}
+    assert pairs == {("0" if r.kind in sl.BASE else "1", r.kind): 3 for r in sl.RULES}
