@@ -98,6 +98,7 @@ def trim(expr: str) -> str:
 def classify(line: str) -> str:
     """Tagged form of one already trimmed line."""
     word = lambda words: rf"(?i)\b(?:{words})\b"
+    # The words of each tag, in order.
     tests = [
         ("ERROR", word("error|fatal|fail(?:ed|ure)?|panic|critical|emerg")),
         ("WARN", word("warn(?:ing)?")),

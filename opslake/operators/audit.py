@@ -214,6 +214,7 @@ def permission_detail() -> Column:
 def change_text() -> Column:
     """One display line per change."""
     item = F.col("item")
+    # The wording of the lines.
     return (
         F.when(F.col("change") == "modified", F.concat(
             item, F.lit("  (size: "), F.col("old_size").cast("string"), F.lit(" → "),

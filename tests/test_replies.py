@@ -55,6 +55,7 @@ def test_essentially_empty(values):
     assert values(jr.essentially_empty, texts) == [True, True, True, True, True, False, True]
 
 
+# Words and the allowed word they stand for.
 @pytest.mark.parametrize(("value", "want"), [
     ("warning", "warning"), ("Warning", "warning"), ("WARNING", "warning"), ("  warning  ", "warning"), ("warn", "warning"),
     ("crit", "critical"), ("informational", "info"), ("error", "error"), ("", ""), ("  ", "  ")])
