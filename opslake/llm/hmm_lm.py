@@ -1,16 +1,19 @@
 """Hidden Markov language model over words, trained by Baum-Welch on a corpus.
 
-Method. Words fall into classes: each of the ``OWN_CLASS`` most frequent words is its own, the rest
-share classes by a hash of their last three letters, in which a word has its smoothed share of
-the class. A hidden Markov chain of ``STATES`` states emits the classes of a text and an end.
-Every round of Baum-Welch adds up expected counts in all partitions over all training documents,
-from a seeded start until a round gains less than ``TOLERANCE``. The scaled forward recursion gives the
-exact likelihood of a whole text.
+Method. A hidden Markov chain of ``STATES`` states emits the words of a text and an end. Training
+goes from tied to untied emissions. First words share classes: each of the ``OWN_CLASS`` most
+frequent words is its own, the rest are classed by a hash of their last three letters. Rounds of
+Baum-Welch over classes add up expected counts in all partitions over all training documents, from
+a seeded start until a round gains less than ``TOLERANCE``. A last round over all training documents
+unties the emissions: every word seen ``MIN_COUNT`` times or more gets its own expected counts by
+state, interpolated with its share of the class; the rarer words of a class back off to what is
+left of it. The scaled forward recursion gives the exact likelihood of a whole text.
 
 Corpus counts. Tasks cut their documents into chunks of bounded size and write each document as
 numbers of a vocabulary of its chunk, and the vocabulary with its counts. Counts of a word are
-summed over chunks and joined back to the chunks that hold it, so what moves is one row per chunk
-and word, and no task or driver holds the vocabulary of the corpus.
+summed over chunks and joined back to the chunks that hold it, and so are its expected counts by
+state. What moves is one row per chunk and word; no task or driver holds the vocabulary of the
+corpus or its emission table, which both grow with the input.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from opslake.llm.common import keep
@@ -37,6 +41,15 @@ TOLERANCE = 0.01
 #: Added to every count of a word; and to every expected count of a class.
 ADD = 0.1
 PRIOR = 0.01
+#: Words seen as often in training have emissions of their own.
+MIN_COUNT = 50
+#: Weight of the tied model beside the expected counts of the last round.
+TIED = 0.01
+#: Bits of a symbol that hold its class; those above hold the word's rank among its class's own, 0 for rarer words.
+CLASS_BITS = 12
+CLASS_MASK = (1 << CLASS_BITS) - 1
+#: Rows of expected counts by word that a task holds before it hands them on.
+HELD_WORDS = 500_000
 #: Tokens in a chunk, and in one forward-backward pass.
 CHUNK_TOKENS = 4_000_000
 PASS_TOKENS = 1_000_000
@@ -115,8 +128,14 @@ def forward(model: Hmm, data: Ragged, keep_alpha: bool = False) -> tuple[np.ndar
     return logs, scale, alpha
 
 
-def expected_counts(model: Hmm, data: Ragged) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, steps and emissions of the sequences (the E-step of Baum-Welch), and their log likelihood."""
+def expected_counts(model: Hmm, data: Ragged, place: np.ndarray | None = None,
+                    places: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, steps and emissions of the sequences (the E-step of Baum-Welch), and their log likelihood.
+
+    Emissions are added up by ``place`` (one of ``places`` for each symbol) where it is given, else by symbol.
+    """
+    if place is None:
+        place, places = data.symbols, len(model.emit)
     logs, scale, alpha = forward(model, data, keep_alpha=True)
     states = len(model.start)
     live, off = data.live.tolist(), data.off.tolist()
@@ -136,68 +155,147 @@ def expected_counts(model: Hmm, data: Ragged) -> tuple[np.ndarray, np.ndarray, n
             alpha[lo:hi] = gamma
         else:
             alpha[lo:hi] *= back  # the step to t was counted from what stands at t - 1
-    emits = np.stack([np.bincount(data.symbols, alpha[:, s], len(model.emit)) for s in range(states)], 1)
+    emits = np.stack([np.bincount(place, alpha[:, s], places) for s in range(states)], 1)
     return starts, steps * model.step, emits, float(logs.sum())
 
 
-def in_passes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[tuple[pa.RecordBatch, int, np.ndarray]]]:
-    """Sequences of a partition, alike in length together, in passes of bounded size."""
+def packed(symbols: np.ndarray) -> bytes:
+    """Whole numbers in 4 bytes, or 8 if one needs them, byte plane by byte plane, compressed."""
+    kind = np.dtype(np.int32 if not len(symbols) or symbols.max() < 1 << 31 else np.int64)
+    planes = symbols.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """The symbols that were packed."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32 if raw[0] == 4 else np.int64)
+
+
+def in_passes(sequences: Iterator[tuple[object, np.ndarray]]) -> Iterator[list[tuple[object, np.ndarray]]]:
+    """Sequences, each with a mark, alike in length together, in passes of bounded size."""
     held, size = [], 0
 
     def passes() -> Iterator[list]:
-        held.sort(key=lambda h: -len(h[2]))
+        held.sort(key=lambda h: -len(h[1]))
         out, n = [], 0
         for h in held:
-            if n and n + len(h[2]) > PASS_TOKENS:
+            if n and n + len(h[1]) > PASS_TOKENS:
                 yield out
                 out, n = [], 0
             out.append(h)
-            n += len(h[2])
+            n += len(h[1])
         if out:
             yield out
 
-    for batch in batches:
-        for i, x in enumerate(batch[column]):
-            seq = np.frombuffer(x.as_py(), np.uint16)
-            held.append((batch, i, seq))
-            size += len(seq)
-            if size >= 2 * CHUNK_TOKENS:
-                yield from passes()
-                held, size = [], 0
+    for h in sequences:
+        held.append(h)
+        size += len(h[1])
+        if size >= 2 * CHUNK_TOKENS:
+            yield from passes()
+            held, size = [], 0
     yield from passes()
 
 
-def baum_welch(encoded: DataFrame, model: Hmm) -> tuple[Hmm, float]:
-    """One round over all sequences of ``encoded`` (classes binary); also their log likelihood before it."""
+def round_counts(encoded: DataFrame, model: Hmm, untied: bool) -> DataFrame:
+    """Expected counts of one round over all sequences of ``encoded``: at, and a double n0, n1, … per state.
+
+    Rows at 0 and above are emissions of a class, or of a symbol if ``untied``; row -1 holds
+    starts, -2 the log likelihood before the round (in n0), -3 and below the steps from a state.
+    """
     states = len(model.start)
+    names = [f"n{s}" for s in range(states)]
+
+    def rows(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({"at": pa.array(at, pa.int64())} | {c: pa.array(np.ascontiguousarray(n[:, s])) for s, c in enumerate(names)})
+
+    def merged(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, place = np.unique(at, return_inverse=True)
+        return at, np.stack([np.bincount(place, n[:, s], len(at)) for s in range(states)], 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states)), np.zeros(1)]
-        for rows in in_passes(batches, "classes"):
-            for t, part in zip(total, expected_counts(model, Ragged.of_sequences([s for _, _, s in rows]))):
-                t += part
-        flat = np.concatenate([t.ravel() for t in total])
-        at = np.flatnonzero(flat)
-        yield pa.record_batch({"at": pa.array(at), "n": pa.array(flat[at])})
-
-    summed = encoded.select("classes").mapInArrow(count, "at long, n double").groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(states + states * states + CLASSES * states + 1)
-    for row in summed.collect():  # at most one row per parameter of the model, and one more
-        flat[row.at] = row.n
-    return Hmm.from_counts(flat[:states], flat[states:states + states ** 2].reshape(states, states),
-                           flat[states + states ** 2:-1].reshape(CLASSES, states)), float(flat[-1])
+        small = np.zeros((states + 2, states))
+        at, n = np.zeros(0, np.int64), np.zeros((0, states))
+        for part in in_passes((None, unpacked(x.as_py())) for b in batches for x in b["symbols"]):
+            data = Ragged.of_sequences([s for _, s in part])
+            symbols = data.symbols
+            data.symbols = symbols & CLASS_MASK
+            if untied:
+                seen, place = np.unique(symbols, return_inverse=True)
+            else:
+                seen, place = np.arange(CLASSES), data.symbols
+            starts, steps, emits, logs = expected_counts(model, data, place, len(seen))
+            small[0] += starts
+            small[1, 0] += logs
+            small[2:] += steps
+            at, n = merged(np.concatenate((at, seen)), np.concatenate((n, emits)))
+            if len(at) > HELD_WORDS:
+                yield rows(at, n)
+                at, n = at[:0], n[:0]
+        yield rows(np.append(at, -1 - np.arange(states + 2)), np.concatenate((n, small)))
+
+    schema = "at long, " + ", ".join(f"{c} double" for c in names)
+    return encoded.select("symbols").mapInArrow(count, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def collected(counts: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Starts, steps, emissions by class (of words without their own) and log likelihood out of a round's counts."""
+    small, emit = np.zeros((states + 2, states)), np.zeros((CLASSES, states))
+    for at, *n in counts.filter(F.col("at") < CLASSES).collect():  # at most one row per class and state, and two more
+        if at < 0:
+            small[-1 - at] = n
+        else:
+            emit[at] = n
+    return small[0], small[2:], emit, float(small[1, 0])
 
 
 def fit(encoded: DataFrame, tokens: int) -> Hmm:
-    """Baum-Welch over all sequences until a round gains less than the tolerance."""
+    """Baum-Welch over all sequences, with tied emissions, until a round gains less than the tolerance."""
     model, before = Hmm.random(), -np.inf
     while True:
-        model, now = baum_welch(encoded, model)
+        *counts, now = collected(round_counts(encoded, model, False), len(model.start))
+        model = Hmm.from_counts(*counts)
         if now - before < TOLERANCE * tokens:
             return model
         before = now
 
 
+@dataclass
+class Untied:
+    """The chain after the last round, with emissions of classes less their own words.
+
+    ``prior`` is the tied emission of a class over one token of it, ``occupied`` the expected tokens of a state.
+    """
+
+    chain: Hmm
+    prior: np.ndarray
+    occupied: np.ndarray
+
+    @classmethod
+    def of(cls, tied: Hmm, start: np.ndarray, step: np.ndarray, rest: np.ndarray, occupied: np.ndarray, totals: Totals) -> Untied:
+        prior = tied.emit / (totals.class_tokens + ADD)[:, None]
+        model = cls(Hmm.from_counts(start, step, tied.emit), prior, occupied)
+        model.chain.emit = model.mixed(rest, prior * (totals.rest_tokens + ADD)[:, None])
+        return model
+
+    def mixed(self, counts: np.ndarray, tied: np.ndarray) -> np.ndarray:
+        seen = self.occupied > 0
+        return (counts / np.where(seen, self.occupied, 1) + TIED * tied) / (seen + TIED)
+
+    def words(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Emissions of words of their own: a word's counts by state add up to its count."""
+        return self.mixed(counts, self.prior[at & CLASS_MASK] * counts.sum(1)[:, None])
+
+
+def untie(encoded: DataFrame, tied: Hmm, totals: Totals) -> tuple[Untied, DataFrame]:
+    """The last round: the model, and the table of expected counts by word."""
+    counts = keep(round_counts(encoded, tied, True), "emissions")
+    start, step, rest, _ = collected(counts, len(tied.start))
+    names = counts.columns[1:]
+    occupied = counts.filter("at >= 0").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
+    return Untied.of(tied, start, step, rest, np.array(occupied), totals), counts.filter(F.col("at") > CLASS_MASK)
+
+
 # ---- counts and encoding ----
 
 class _Numbers(dict):
@@ -232,7 +330,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     train += np.bincount(np.concatenate(learn), minlength=len(words))
                 yield pa.record_batch({
                     "chunk": pa.array([chunk] * n), "_id": ids, "held_out": pa.array(out, pa.bool_()),
-                    "numbers": pa.array([s.tobytes() for s in seqs], pa.binary()), "number": pa.nulls(n, pa.int32()),
+                    "numbers": pa.array([packed(s) for s in seqs], pa.binary()), "number": pa.nulls(n, pa.int32()),
                     "word": pa.nulls(n, pa.string()), "n_train": pa.nulls(n, pa.int64())})
             n = len(words)
             if n:
@@ -267,14 +365,18 @@ class Totals:
     distinct: int
     train_docs: int
     class_tokens: np.ndarray
-    class_words: np.ndarray
+    #: Tokens and words of a class without its own words.
+    rest_tokens: np.ndarray
+    rest_words: np.ndarray
+    chunks: int
 
 
 def encode(chunks: DataFrame) -> tuple[DataFrame, Totals]:
-    """Documents as class sequences with their base score, and the totals of the corpus.
+    """Documents as symbols with their base score, and the totals of the corpus.
 
-    _id, held_out, n_tokens, n_known, base_score, inside (log10 of the words in their
-    classes), classes (uint16, the end included).
+    chunk, _id, held_out, n_tokens, n_known, base_score, inside (log10 of the rarer words' shares of
+    their classes), symbols (packed, the end included), own; and a row for each chunk with
+    all symbols of words of their own in ``own``, and nulls.
     """
     vocabulary = chunks.filter("word is not null")
     counts = vocabulary.groupBy("word").agg(F.sum("n_train").alias("c"))
@@ -282,42 +384,61 @@ def encode(chunks: DataFrame) -> tuple[DataFrame, Totals]:
     top = keep(counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(OWN_CLASS).select(
         "word", (F.row_number().over(Window.orderBy(F.desc("c"), "word")) - 1).alias("own")), "own-classes")
     shared = F.lit(OWN_CLASS) + F.pmod(F.xxhash64(F.substring("word", -3, 3)), F.lit(SHARED_CLASSES))
-    classed = counts.join(F.broadcast(top), "word", "left").select(  # at most OWN_CLASS rows
-        "word", "c", F.coalesce("own", shared).cast("int").alias("cls"))
-    per_class = classed.groupBy("cls").agg(F.sum("c").alias("tokens"), F.sum((F.col("c") > 0).cast("long")).alias("words"))
-    class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    in_class = counts.join(F.broadcast(top), "word", "left").select(  # at most OWN_CLASS rows
+        "word", "c", F.coalesce("own", shared).cast("long").alias("cls"))
+    frequent = (F.col("cls") >= OWN_CLASS) & (F.col("c") >= MIN_COUNT)
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("c"), "word")).cast("long")
+    classed = (in_class.filter(frequent).withColumn("rank", rank)
+               .unionByName(in_class.filter(~frequent).withColumn("rank", F.lit(0).cast("long"))))
+    rare = F.col("rank") == 0
+    per_class = classed.groupBy("cls").agg(
+        F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("words"),
+        F.sum(F.when(rare, F.col("c")).otherwise(0)).alias("rest_tokens"), F.count_if(rare & (F.col("c") > 0)).alias("rest_words"))
+    sums = np.zeros((4, CLASSES), np.int64)
     for r in per_class.collect():  # at most CLASSES rows
-        class_tokens[r.cls], class_words[r.cls] = r.tokens, r.words
-    train_docs = chunks.filter("numbers is not null and not held_out").count()
-    totals = Totals(int(class_tokens.sum()) + train_docs, int(class_words.sum()) + (train_docs > 0), train_docs,
-                    class_tokens, class_words)
+        sums[:, r.cls] = r.tokens, r.words, r.rest_tokens, r.rest_words
+    n_chunks, train_docs = chunks.agg(
+        F.count_if(F.col("number") == 0), F.count_if(F.col("numbers").isNotNull() & ~F.col("held_out"))).first()
+    sums[0, END] = sums[2, END] = train_docs
+    totals = Totals(int(sums[0].sum()), int(sums[1].sum()) + (train_docs > 0), train_docs, sums[0], sums[2], sums[3], max(1, n_chunks))
     of_chunks = vocabulary.select("chunk", "number", "word").join(classed, "word").select(
-        F.col("chunk").alias("of_chunk"), "number", "c", "cls")
+        F.col("chunk").alias("of_chunk"), "number", "c", F.shiftleft("rank", CLASS_BITS).bitwiseOR(F.col("cls")).alias("symbol"))
     kind = dict(chunks.dtypes)["_id"]
 
     def fold(docs: pa.Table, lookup: pa.Table) -> pa.Table:
         n_words = len(lookup)
-        c, cls = np.zeros(n_words + 1, np.int64), np.zeros(n_words + 1, np.int64)
+        c, symbol = np.zeros(n_words + 1, np.int64), np.zeros(n_words + 1, np.int64)
         at = lookup["number"].to_numpy()
-        c[at], cls[at] = lookup["c"].to_numpy(), lookup["cls"].to_numpy()
-        c[-1], cls[-1] = totals.train_docs, END  # the end follows the last word
+        c[at], symbol[at] = lookup["c"].to_numpy(), lookup["symbol"].to_numpy()
+        c[-1], symbol[-1] = totals.train_docs, END  # the end follows the last word
+        cls = symbol & CLASS_MASK
         base = np.log10((c + ADD) / (totals.tokens + ADD * (totals.distinct + 1)))
-        inside = np.log10((c + ADD) / (totals.class_tokens[cls] + ADD * (totals.class_words[cls] + 1)))
-        inside[(cls < OWN_CLASS) | (cls == END)] = 0.0
+        inside = np.log10((c + ADD) / (totals.rest_tokens[cls] + ADD * (totals.rest_words[cls] + 1)))
+        inside[(cls < OWN_CLASS) | (cls == END) | (symbol > CLASS_MASK)] = 0.0
         known = c > 0
-        cols: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "base_score", "inside", "classes")}
+        cols: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "base_score", "inside", "symbols")}
         for raw in docs["numbers"]:
-            seq = np.append(np.frombuffer(raw.as_py(), np.int32), n_words)
+            seq = np.append(unpacked(raw.as_py()), n_words)
             for x, v in zip(cols, (len(seq), int(known[seq].sum()), float(base[seq].sum()), float(inside[seq].sum()),
-                                   cls[seq].astype(np.uint16).tobytes())):
+                                   packed(symbol[seq]))):
                 cols[x].append(v)
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-        return pa.table({"_id": docs["_id"], "held_out": docs["held_out"]} | {x: pa.array(v, k) for (x, v), k in zip(cols.items(), kinds)})
+        rows = pa.table({"chunk": docs["chunk"], "_id": docs["_id"], "held_out": docs["held_out"]}
+                        | {x: pa.array(v, k) for (x, v), k in zip(cols.items(), kinds)}
+                        | {"own": pa.nulls(len(docs), pa.list_(pa.int64()))})
+        words = pa.table({"chunk": docs["chunk"][:1], "own": pa.array([symbol[symbol > CLASS_MASK]], pa.list_(pa.int64()))})
+        return pa.concat_tables([rows, words], promote_options="default")
 
     docs = chunks.filter("numbers is not null").select("chunk", "_id", "held_out", "numbers")
-    encoded = docs.groupBy("chunk").cogroup(of_chunks.groupBy("of_chunk")).applyInArrow(
-        fold, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inside double, classes binary")
-    return keep(encoded, "classes"), totals
+    encoded = by_chunk(docs, "chunk", totals).cogroup(by_chunk(of_chunks, "of_chunk", totals)).applyInArrow(
+        fold, f"chunk long, _id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inside double, "
+              "symbols binary, own array<long>")
+    return keep(encoded, "symbols"), totals
+
+
+def by_chunk(rows: DataFrame, chunk: str, totals: Totals) -> GroupedData:
+    """Rows grouped by chunk, in as many partitions as there are chunks, so that a task's share does not grow."""
+    return rows.repartition(totals.chunks, chunk).groupBy(chunk)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,22 +449,37 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     documents all counts are zero and the model is uniform over classes; an empty table gives no rows.
     """
     encoded, totals = encode(chunked(docs, id_col, text_col))
-    train = encoded.filter("not held_out")
+    texts = encoded.filter("symbols is not null")
+    train = texts.filter("not held_out")
     if totals.train_docs:
-        model = fit(train, totals.tokens)
+        tied = fit(train, totals.tokens)
     else:
-        model = Hmm.from_counts(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))
+        tied = Hmm.from_counts(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))
+    model, by_word = untie(train, tied, totals)
+    states = by_word.columns[1:]
     kind = dict(encoded.dtypes)["_id"]
-    carried = ["_id", "held_out", "n_tokens", "n_known", "base_score", "inside"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in in_passes(batches, "classes"):
-            logs, _, _ = forward(model, Ragged.of_sequences([s for _, _, s in rows]))
-            inside = np.array([b["inside"][i].as_py() for b, i, _ in rows])
-            out = {c: pa.array([b[c][i].as_py() for b, i, _ in rows], rows[0][0][c].type) for c in carried[:-1]}
-            yield pa.record_batch(out | {"score": pa.array(logs / np.log(10) + inside)})
-
-    found = encoded.select(*carried, "classes").mapInArrow(
+    of_chunks = (encoded.filter("own is not null").select(F.col("chunk").alias("of_chunk"), F.explode("own").alias("at"))
+                 .join(by_word, "at").select("of_chunk", "at", *[F.col(c).cast("float").alias(c) for c in states]))
+    carried = ["_id", "held_out", "n_tokens", "n_known", "base_score"]
+
+    def score(docs: pa.Table, lookup: pa.Table) -> pa.Table:
+        at = lookup["at"].to_numpy()
+        order = np.argsort(at)
+        at = at[order]
+        own = np.stack([lookup[c].to_numpy()[order].astype(float) for c in states], 1)
+        chain = Hmm(model.chain.start, model.chain.step, np.concatenate((model.chain.emit, model.words(at, own))))
+        found = np.zeros(len(docs))
+
+        def local(raw: bytes) -> np.ndarray:
+            symbols = unpacked(raw)
+            return np.where(symbols > CLASS_MASK, CLASSES + np.searchsorted(at, symbols), symbols)
+
+        for part in in_passes((i, local(x.as_py())) for i, x in enumerate(docs["symbols"])):
+            found[[i for i, _ in part]] = forward(chain, Ragged.of_sequences([s for _, s in part]))[0]
+        return pa.table({c: docs[c] for c in carried} | {"score": pa.array(found / np.log(10) + docs["inside"].to_numpy())})
+
+    found = by_chunk(texts.select("chunk", *carried, "inside", "symbols"), "chunk", totals).cogroup(
+        by_chunk(of_chunks, "of_chunk", totals)).applyInArrow(
         score, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known",
                         F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from opslake.llm import hmm_lm as lm
 
@@ -103,21 +104,89 @@ def test_odd_rows(spark, monkeypatch):
     assert all(np.isfinite(r.score) for r in lm.scores(df.filter("doc_id is null")).collect())
 
 
-def test_every_round_sees_all_documents(spark):
-    rng = np.random.default_rng(9)
-    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(3, 30)) + 40 * (i % 2))) for i in range(1700)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    encoded, totals = lm.encode(lm.chunked(df))
-    seqs = {r._id: (r.held_out, r.inside, np.frombuffer(r.classes, np.uint16)) for r in encoded.collect()}
-    data = lm.Ragged.of_sequences([s for out, _, s in seqs.values() if not out])
+def _by_brute_force(rows):
+    """Scores of a whole corpus, and its emissions by word and state: tied rounds, then the untied one, all in memory."""
+    words = {i: t.split() for i, t in rows}
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in words}
+    c = collections.Counter(w for i, ws in words.items() if not out[i] for w in ws)
+    top = {w: k for k, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:lm.OWN_CLASS])}
+
+    def cls(w):
+        return top[w] if w in top else lm.OWN_CLASS + xxhash.xxh64(w[-3:], seed=42).intdigest() % lm.SHARED_CLASSES
+
+    def own(w):
+        return w not in top and c[w] >= lm.MIN_COUNT
+
+    train = [i for i in words if not out[i]]
+    data = lm.Ragged.of_sequences([np.array([*map(cls, words[i]), lm.END]) for i in train])
+    tokens = sum(c.values()) + len(train)
     model, before = lm.Hmm.random(), -np.inf
     while True:
         now = lm.forward(model, data)[0].sum()
         model = lm.Hmm.from_counts(*lm.expected_counts(model, data)[:3])
-        if now - before < lm.TOLERANCE * totals.tokens:
+        if now - before < lm.TOLERANCE * tokens:
             break
         before = now
-    logs, _, _ = lm.forward(model, lm.Ragged.of_sequences([s for _, _, s in seqs.values()]))
-    want = {i: x / np.log(10) + seqs[i][1] for i, x in zip(seqs, logs)}
-    got = {r.doc_id: r.score for r in lm.scores(df).collect()}
-    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+    names = sorted(set(w for ws in words.values() for w in ws))
+    number = {w: k for k, w in enumerate(names)} | {None: len(names)}
+    classes = np.array([*map(cls, names), lm.END])
+    by_word = lm.Ragged.of_sequences([np.array([*map(number.get, words[i]), len(names)]) for i in train])
+    start, step, n, _ = lm.expected_counts(lm.Hmm(model.start, model.step, model.emit[classes]), by_word)
+    total, emit = n.sum(0), np.zeros((len(names) + 1, lm.STATES))
+    for k in range(lm.CLASSES):
+        at = np.flatnonzero(classes == k)
+        held = [j for j in at if j < len(names) and own(names[j])]
+        rest = [j for j in at if j not in held]
+        count = {j: c[names[j]] if j < len(names) else len(train) for j in at}
+        whole, left = sum(count.values()), sum(count[j] for j in rest)
+        for j in held:
+            emit[j] = n[j] / total + lm.TIED * model.emit[k] * count[j] / (whole + lm.ADD)
+        for j in rest:
+            share = 1 if k < lm.OWN_CLASS or k == lm.END else (count[j] + lm.ADD) / (left + lm.ADD * (sum(count[x] > 0 for x in rest) + 1))
+            emit[j] = share * (n[rest].sum(0) / total + lm.TIED * model.emit[k] * (left + lm.ADD) / (whole + lm.ADD))
+    chain = lm.Hmm.from_counts(start, step, emit)
+    chain.emit = emit / (1 + lm.TIED)
+    ids = list(words)
+    logs, _, _ = lm.forward(chain, lm.Ragged.of_sequences([np.array([*map(number.get, words[i]), len(names)]) for i in ids]))
+    return dict(zip(ids, logs / np.log(10))), chain.emit, sum(map(own, c))
+
+
+def _two_topics(n=900):
+    rng = np.random.default_rng(9)
+    return [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, rng.integers(3, 30)), 500) + 500 * (i % 2))) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [lm.CHUNK_TOKENS, 3000])
+def test_scores_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lm, "OWN_CLASS", 6)
+    monkeypatch.setattr(lm, "MIN_COUNT", 8)
+    monkeypatch.setattr(lm, "HELD_WORDS", 40)
+    rows = _two_topics()
+    want, _, n_own = _by_brute_force(rows)
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert n_own > 30 and got.keys() == want.keys()
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+
+
+def test_emissions_add_up_and_grow_with_the_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(lm, "OWN_CLASS", 6)
+    monkeypatch.setattr(lm, "MIN_COUNT", 8)
+    rows = _two_topics()
+    _, emit, _ = _by_brute_force(rows)
+    assert (emit.sum(0) < 1 + 1e-9).all() and (emit.sum(0) > 0.9).all()  # the rest is for words never seen
+    sizes = []
+    for part in (rows[:300], rows):
+        encoded, totals = lm.encode(lm.chunked(spark.createDataFrame(part, "doc_id long, text string")))
+        train = encoded.filter("symbols is not null and not held_out")
+        model, by_word = lm.untie(train, lm.fit(train, totals.tokens), totals)
+        n = np.array([r[1:] for r in by_word.collect()])
+        at = np.array([r[0] for r in by_word.collect()])
+        assert np.allclose(model.chain.emit.sum(0) + model.words(at, n).sum(0), 1)
+        sizes.append(len(n))
+    assert sizes[1] > 1.5 * sizes[0]
+
+
+def test_packed_symbols_come_back():
+    for x in ([], [0], [5, 70000, 3], [1, 1 << 40]):
+        assert lm.unpacked(lm.packed(np.array(x, np.int64))).tolist() == x
