@@ -113,12 +113,11 @@ def forward(model: Hmm, data: Ragged, keep_alpha: bool = False) -> tuple[np.ndar
     scale = np.empty(len(data.symbols))
     alpha = np.empty((len(data.symbols), len(model.start))) if keep_alpha else None
     live, off, emit, step = data.live.tolist(), data.off.tolist(), model.emit, model.step
-    a = None
+    a, ones = None, np.ones(len(model.start))
     for t, k in enumerate(live):
         lo, hi = off[t], off[t + 1]
-        e = emit[data.symbols[lo:hi]]
-        a = e * (model.start if t == 0 else a[:k] @ step)
-        c = a.sum(1)
+        a = np.multiply(emit.take(data.symbols[lo:hi], 0), model.start if t == 0 else a[:k] @ step)
+        c = a @ ones
         a /= c[:, None]
         scale[lo:hi] = c
         if keep_alpha:
@@ -140,21 +139,20 @@ def expected_counts(model: Hmm, data: Ragged, place: np.ndarray | None = None,
     states = len(model.start)
     live, off = data.live.tolist(), data.off.tolist()
     steps = np.zeros((states, states))
+    backward = np.ascontiguousarray(model.step.T)
     back = np.ones((live[-1], states))
-    for t in range(len(live) - 1, -1, -1):
-        lo, hi = off[t], off[t + 1]
-        if t < len(live) - 1:
-            lo2, hi2 = off[t + 1], off[t + 2]
-            ahead = model.emit[data.symbols[lo2:hi2]] * back / scale[lo2:hi2, None]
-            steps += alpha[lo:lo + live[t + 1]].T @ ahead
-            back = np.ones((live[t], states))
-            back[:live[t + 1]] = ahead @ model.step.T
-        if t == 0:
-            gamma = alpha[lo:hi] * back
-            starts = gamma.sum(0)
-            alpha[lo:hi] = gamma
-        else:
-            alpha[lo:hi] *= back  # the step to t was counted from what stands at t - 1
+    for t in range(len(live) - 2, -1, -1):
+        lo, lo2, hi2, k = off[t], off[t + 1], off[t + 2], live[t + 1]
+        ahead = model.emit.take(data.symbols[lo2:hi2], 0)
+        ahead *= back
+        ahead /= scale[lo2:hi2, None]
+        now = alpha[lo:lo + k]
+        steps += now.T @ ahead
+        back = ahead @ backward
+        now *= back  # the step to t is counted from what stands at t - 1
+        if k < live[t]:  # nothing follows a sequence's end
+            back = np.concatenate((back, np.ones((live[t] - k, states))))
+    starts = alpha[:live[0]].sum(0)
     emits = np.stack([np.bincount(place, alpha[:, s], places) for s in range(states)], 1)
     return starts, steps * model.step, emits, float(logs.sum())
 
@@ -197,21 +195,41 @@ def in_passes(sequences: Iterator[tuple[object, np.ndarray]]) -> Iterator[list[t
     yield from passes()
 
 
-def round_counts(encoded: DataFrame, model: Hmm, untied: bool) -> DataFrame:
+def merged(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with the same ``at`` added up."""
+    at, place = np.unique(at, return_inverse=True)
+    return at, np.stack([np.bincount(place, x, len(at)) for x in n.T], 1)
+
+
+def columns(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"at": pa.array(at, pa.int64())}
+                           | {f"n{s}": pa.array(np.ascontiguousarray(n[:, s])) for s in range(n.shape[1])})
+
+
+def in_buckets(at: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each bucket that has rows: all of them, packed, the counts in single precision."""
+    of = at % buckets
+    order = np.argsort(of, kind="stable")
+    names, lo = np.unique(of[order], return_index=True)
+    parts = [order[i:j] for i, j in zip(lo, [*lo[1:], len(of)])]
+    return pa.record_batch({"bucket": pa.array(names, pa.int64()), "ats": pa.array([packed(at[p]) for p in parts], pa.binary()),
+                            "ns": pa.array([zstandard.ZstdCompressor(level=1).compress(n[p].astype(np.float32).tobytes()) for p in parts], pa.binary())})
+
+
+def out_of_bucket(ats: bytes, ns: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
+    return unpacked(ats), np.frombuffer(zstandard.ZstdDecompressor().decompress(ns), np.float32).reshape(-1, states)
+
+
+def round_counts(encoded: DataFrame, model: Hmm, buckets: int = 0) -> DataFrame:
     """Expected counts of one round over all sequences of ``encoded``: at, and a double n0, n1, … per state.
 
-    Rows at 0 and above are emissions of a class, or of a symbol if ``untied``; row -1 holds
+    Rows at 0 and above are emissions: of classes, or, with ``buckets``, of symbols. Row -1 holds
     starts, -2 the log likelihood before the round (in n0), -3 and below the steps from a state.
+    A task adds up what it sees. Counts of classes are then summed as rows; those of symbols
+    travel in buckets and are added up as they arrive, so that a task holds its words once.
     """
     states = len(model.start)
-    names = [f"n{s}" for s in range(states)]
-
-    def rows(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"at": pa.array(at, pa.int64())} | {c: pa.array(np.ascontiguousarray(n[:, s])) for s, c in enumerate(names)})
-
-    def merged(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, place = np.unique(at, return_inverse=True)
-        return at, np.stack([np.bincount(place, n[:, s], len(at)) for s in range(states)], 1)
+    schema = "at long, " + ", ".join(f"n{s} double" for s in range(states))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = np.zeros((states + 2, states))
@@ -220,7 +238,7 @@ def round_counts(encoded: DataFrame, model: Hmm, untied: bool) -> DataFrame:
             data = Ragged.of_sequences([s for _, s in part])
             symbols = data.symbols
             data.symbols = symbols & CLASS_MASK
-            if untied:
+            if buckets:
                 seen, place = np.unique(symbols, return_inverse=True)
             else:
                 seen, place = np.arange(CLASSES), data.symbols
@@ -230,12 +248,31 @@ def round_counts(encoded: DataFrame, model: Hmm, untied: bool) -> DataFrame:
             small[2:] += steps
             at, n = merged(np.concatenate((at, seen)), np.concatenate((n, emits)))
             if len(at) > HELD_WORDS:
-                yield rows(at, n)
+                yield in_buckets(at, n, buckets) if buckets else columns(at, n)
                 at, n = at[:0], n[:0]
-        yield rows(np.append(at, -1 - np.arange(states + 2)), np.concatenate((n, small)))
-
-    schema = "at long, " + ", ".join(f"{c} double" for c in names)
-    return encoded.select("symbols").mapInArrow(count, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in names])
+        at, n = np.append(at, -1 - np.arange(states + 2)), np.concatenate((n, small))
+        yield in_buckets(at, n, buckets) if buckets else columns(at, n)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ats, ns, held, last = [np.zeros(0, np.int64)], [np.zeros((0, states))], 0, 0
+        for b in batches:
+            for x, y in zip(b["ats"], b["ns"]):
+                at, n = out_of_bucket(x.as_py(), y.as_py(), states)
+                ats.append(at)
+                ns.append(n)
+                held += len(ats[-1])
+                if held > last + HELD_WORDS:
+                    ats, ns = ([z] for z in merged(np.concatenate(ats), np.concatenate(ns)))
+                    held = last = len(ats[0])
+        at, n = merged(np.concatenate(ats), np.concatenate(ns))
+        for lo in range(0, len(at), HELD_WORDS):
+            yield columns(at[lo:lo + HELD_WORDS], n[lo:lo + HELD_WORDS])
+
+    symbols = encoded.select("symbols")
+    if buckets:
+        moved = symbols.mapInArrow(count, "bucket long, ats binary, ns binary").repartition(buckets, "bucket")
+        return moved.select("ats", "ns").mapInArrow(add, schema)
+    return symbols.mapInArrow(count, schema).groupBy("at").agg(*[F.sum(f"n{s}").alias(f"n{s}") for s in range(states)])
 
 
 def collected(counts: DataFrame, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -253,7 +290,7 @@ def fit(encoded: DataFrame, tokens: int) -> Hmm:
     """Baum-Welch over all sequences, with tied emissions, until a round gains less than the tolerance."""
     model, before = Hmm.random(), -np.inf
     while True:
-        *counts, now = collected(round_counts(encoded, model, False), len(model.start))
+        *counts, now = collected(round_counts(encoded, model), len(model.start))
         model = Hmm.from_counts(*counts)
         if now - before < TOLERANCE * tokens:
             return model
@@ -289,7 +326,7 @@ class Untied:
 
 def untie(encoded: DataFrame, tied: Hmm, totals: Totals) -> tuple[Untied, DataFrame]:
     """The last round: the model, and the table of expected counts by word."""
-    counts = keep(round_counts(encoded, tied, True), "emissions")
+    counts = keep(round_counts(encoded, tied, totals.chunks), "emissions")
     start, step, rest, _ = collected(counts, len(tied.start))
     names = counts.columns[1:]
     occupied = counts.filter("at >= 0").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
