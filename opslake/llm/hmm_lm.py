@@ -157,17 +157,28 @@ def expected_counts(model: Hmm, data: Ragged, place: np.ndarray | None = None,
     return starts, steps * model.step, emits, float(logs.sum())
 
 
-def packed(symbols: np.ndarray) -> bytes:
-    """Whole numbers in 4 bytes, or 8 if one needs them, byte plane by byte plane, compressed."""
-    kind = np.dtype(np.int32 if not len(symbols) or symbols.max() < 1 << 31 else np.int64)
-    planes = symbols.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
-    return bytes([kind.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+class Packing:
+    """Whole numbers and counts as compressed bytes; a task makes one, as its codecs are used again."""
 
+    def __init__(self) -> None:
+        self._in, self._out = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
-def unpacked(raw: bytes) -> np.ndarray:
-    """The symbols that were packed."""
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32 if raw[0] == 4 else np.int64)
+    def pack(self, symbols: np.ndarray) -> bytes:
+        """Whole numbers in 4 bytes, or 8 if one needs them, byte plane by byte plane."""
+        kind = np.dtype(np.int32 if not len(symbols) or symbols.max() < 1 << 31 else np.int64)
+        planes = symbols.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T
+        return bytes([kind.itemsize]) + self._in.compress(planes.tobytes())
+
+    def unpack(self, raw: bytes) -> np.ndarray:
+        planes = np.frombuffer(self._out.decompress(memoryview(raw)[1:]), np.uint8).reshape(raw[0], -1)
+        return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32 if raw[0] == 4 else np.int64)
+
+    def pack_counts(self, n: np.ndarray) -> bytes:
+        """Counts by state in single precision."""
+        return self._in.compress(n.astype(np.float32).tobytes())
+
+    def unpack_counts(self, raw: bytes, states: int) -> np.ndarray:
+        return np.frombuffer(self._out.decompress(raw), np.float32).reshape(-1, states)
 
 
 def in_passes(sequences: Iterator[tuple[object, np.ndarray]]) -> Iterator[list[tuple[object, np.ndarray]]]:
@@ -206,18 +217,12 @@ def columns(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
                            | {f"n{s}": pa.array(np.ascontiguousarray(n[:, s])) for s in range(n.shape[1])})
 
 
-def in_buckets(at: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket that has rows: all of them, packed, the counts in single precision."""
+def in_buckets(at: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buckets that have rows, and the places of each one's rows."""
     of = at % buckets
     order = np.argsort(of, kind="stable")
     names, lo = np.unique(of[order], return_index=True)
-    parts = [order[i:j] for i, j in zip(lo, [*lo[1:], len(of)])]
-    return pa.record_batch({"bucket": pa.array(names, pa.int64()), "ats": pa.array([packed(at[p]) for p in parts], pa.binary()),
-                            "ns": pa.array([zstandard.ZstdCompressor(level=1).compress(n[p].astype(np.float32).tobytes()) for p in parts], pa.binary())})
-
-
-def out_of_bucket(ats: bytes, ns: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
-    return unpacked(ats), np.frombuffer(zstandard.ZstdDecompressor().decompress(ns), np.float32).reshape(-1, states)
+    return names, np.split(order, lo[1:])
 
 
 def round_counts(encoded: DataFrame, model: Hmm, buckets: int = 0) -> DataFrame:
@@ -232,9 +237,18 @@ def round_counts(encoded: DataFrame, model: Hmm, buckets: int = 0) -> DataFrame:
     schema = "at long, " + ", ".join(f"n{s} double" for s in range(states))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = np.zeros((states + 2, states))
+        packing, small = Packing(), np.zeros((states + 2, states))
         at, n = np.zeros(0, np.int64), np.zeros((0, states))
-        for part in in_passes((None, unpacked(x.as_py())) for b in batches for x in b["symbols"]):
+
+        def out() -> pa.RecordBatch:
+            if not buckets:
+                return columns(at, n)
+            names, parts = in_buckets(at, buckets)
+            return pa.record_batch({"bucket": pa.array(names, pa.int64()),
+                                    "ats": pa.array([packing.pack(at[p]) for p in parts], pa.binary()),
+                                    "ns": pa.array([packing.pack_counts(n[p]) for p in parts], pa.binary())})
+
+        for part in in_passes((None, packing.unpack(x.as_py())) for b in batches for x in b["symbols"]):
             data = Ragged.of_sequences([s for _, s in part])
             symbols = data.symbols
             data.symbols = symbols & CLASS_MASK
@@ -248,18 +262,18 @@ def round_counts(encoded: DataFrame, model: Hmm, buckets: int = 0) -> DataFrame:
             small[2:] += steps
             at, n = merged(np.concatenate((at, seen)), np.concatenate((n, emits)))
             if len(at) > HELD_WORDS:
-                yield in_buckets(at, n, buckets) if buckets else columns(at, n)
+                yield out()
                 at, n = at[:0], n[:0]
         at, n = np.append(at, -1 - np.arange(states + 2)), np.concatenate((n, small))
-        yield in_buckets(at, n, buckets) if buckets else columns(at, n)
+        yield out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packing = Packing()
         ats, ns, held, last = [np.zeros(0, np.int64)], [np.zeros((0, states))], 0, 0
         for b in batches:
             for x, y in zip(b["ats"], b["ns"]):
-                at, n = out_of_bucket(x.as_py(), y.as_py(), states)
-                ats.append(at)
-                ns.append(n)
+                ats.append(packing.unpack(x.as_py()))
+                ns.append(packing.unpack_counts(y.as_py(), states))
                 held += len(ats[-1])
                 if held > last + HELD_WORDS:
                     ats, ns = ([z] for z in merged(np.concatenate(ats), np.concatenate(ns)))
@@ -355,7 +369,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = dict(rows.dtypes)["_id"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, docs_of, size = _Numbers(), [], 0
+        packing, words, docs_of, size = Packing(), _Numbers(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = int.from_bytes(os.urandom(8), "little", signed=True)
@@ -367,7 +381,7 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     train += np.bincount(np.concatenate(learn), minlength=len(words))
                 yield pa.record_batch({
                     "chunk": pa.array([chunk] * n), "_id": ids, "held_out": pa.array(out, pa.bool_()),
-                    "numbers": pa.array([packed(s) for s in seqs], pa.binary()), "number": pa.nulls(n, pa.int32()),
+                    "numbers": pa.array([packing.pack(s) for s in seqs], pa.binary()), "number": pa.nulls(n, pa.int32()),
                     "word": pa.nulls(n, pa.string()), "n_train": pa.nulls(n, pa.int64())})
             n = len(words)
             if n:
@@ -412,8 +426,8 @@ def encode(chunks: DataFrame) -> tuple[DataFrame, Totals]:
     """Documents as symbols with their base score, and the totals of the corpus.
 
     chunk, _id, held_out, n_tokens, n_known, base_score, inside (log10 of the rarer words' shares of
-    their classes), symbols (packed, the end included), own; and a row for each chunk with
-    all symbols of words of their own in ``own``, and nulls.
+    their classes), symbols (packed, the end included), bucket, own; and a row with nulls for each
+    chunk and bucket that holds in ``own`` (packed) the chunk's symbols of words of their own.
     """
     vocabulary = chunks.filter("word is not null")
     counts = vocabulary.groupBy("word").agg(F.sum("n_train").alias("c"))
@@ -443,7 +457,7 @@ def encode(chunks: DataFrame) -> tuple[DataFrame, Totals]:
     kind = dict(chunks.dtypes)["_id"]
 
     def fold(docs: pa.Table, lookup: pa.Table) -> pa.Table:
-        n_words = len(lookup)
+        packing, n_words = Packing(), len(lookup)
         c, symbol = np.zeros(n_words + 1, np.int64), np.zeros(n_words + 1, np.int64)
         at = lookup["number"].to_numpy()
         c[at], symbol[at] = lookup["c"].to_numpy(), lookup["symbol"].to_numpy()
@@ -455,27 +469,35 @@ def encode(chunks: DataFrame) -> tuple[DataFrame, Totals]:
         known = c > 0
         cols: dict[str, list] = {x: [] for x in ("n_tokens", "n_known", "base_score", "inside", "symbols")}
         for raw in docs["numbers"]:
-            seq = np.append(unpacked(raw.as_py()), n_words)
+            seq = np.append(packing.unpack(raw.as_py()), n_words)
             for x, v in zip(cols, (len(seq), int(known[seq].sum()), float(base[seq].sum()), float(inside[seq].sum()),
-                                   packed(symbol[seq]))):
+                                   packing.pack(symbol[seq]))):
                 cols[x].append(v)
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         rows = pa.table({"chunk": docs["chunk"], "_id": docs["_id"], "held_out": docs["held_out"]}
-                        | {x: pa.array(v, k) for (x, v), k in zip(cols.items(), kinds)}
-                        | {"own": pa.nulls(len(docs), pa.list_(pa.int64()))})
-        words = pa.table({"chunk": docs["chunk"][:1], "own": pa.array([symbol[symbol > CLASS_MASK]], pa.list_(pa.int64()))})
+                        | {x: pa.array(v, k) for (x, v), k in zip(cols.items(), kinds)})
+        own = symbol[symbol > CLASS_MASK]
+        names, parts = in_buckets(own, totals.chunks)
+        words = pa.table({"chunk": pa.array([docs["chunk"][0].as_py()] * len(names), pa.int64()), "bucket": pa.array(names, pa.int64()),
+                          "own": pa.array([packing.pack(own[p]) for p in parts if len(p)], pa.binary())})
         return pa.concat_tables([rows, words], promote_options="default")
 
     docs = chunks.filter("numbers is not null").select("chunk", "_id", "held_out", "numbers")
-    encoded = by_chunk(docs, "chunk", totals).cogroup(by_chunk(of_chunks, "of_chunk", totals)).applyInArrow(
+    encoded = by_key(docs, "chunk", totals).cogroup(by_key(of_chunks, "of_chunk", totals)).applyInArrow(
         fold, f"chunk long, _id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inside double, "
-              "symbols binary, own array<long>")
+              "symbols binary, bucket long, own binary")
     return keep(encoded, "symbols"), totals
 
 
-def by_chunk(rows: DataFrame, chunk: str, totals: Totals) -> GroupedData:
-    """Rows grouped by chunk, in as many partitions as there are chunks, so that a task's share does not grow."""
-    return rows.repartition(totals.chunks, chunk).groupBy(chunk)
+def by_key(rows: DataFrame, key: str, totals: Totals) -> GroupedData:
+    """Rows grouped by chunk or bucket, in as many partitions as there are chunks, so that a task's share does not grow."""
+    return rows.repartition(totals.chunks, key).groupBy(key)
+
+
+def counts_by_state(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols in order and their counts by state out of rows of expected counts."""
+    rows = rows.sort_by("at")
+    return rows["at"].to_numpy(), np.stack([rows[f"n{s}"].to_numpy() for s in range(STATES)], 1)
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -493,30 +515,42 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     else:
         tied = Hmm.from_counts(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))
     model, by_word = untie(train, tied, totals)
-    states = by_word.columns[1:]
     kind = dict(encoded.dtypes)["_id"]
-    of_chunks = (encoded.filter("own is not null").select(F.col("chunk").alias("of_chunk"), F.explode("own").alias("at"))
-                 .join(by_word, "at").select("of_chunk", "at", *[F.col(c).cast("float").alias(c) for c in states]))
+    asked = encoded.filter("own is not null").select("chunk", "bucket", "own")
+    given = by_word.withColumn("of_bucket", F.pmod("at", F.lit(totals.chunks)))
+
+    def look_up(asked: pa.Table, given: pa.Table) -> pa.Table:
+        packing = Packing()
+        at, n = counts_by_state(given)
+        own = asked["own"].to_pylist()
+        return pa.table({"of_chunk": asked["chunk"], "ats": pa.array(own, pa.binary()), "ns": pa.array(
+            [packing.pack_counts(n[np.searchsorted(at, packing.unpack(x))]) for x in own], pa.binary())})
+
+    of_chunks = by_key(asked, "bucket", totals).cogroup(by_key(given, "of_bucket", totals)).applyInArrow(
+        look_up, "of_chunk long, ats binary, ns binary")
     carried = ["_id", "held_out", "n_tokens", "n_known", "base_score"]
 
     def score(docs: pa.Table, lookup: pa.Table) -> pa.Table:
-        at = lookup["at"].to_numpy()
+        packing = Packing()
+        at = np.concatenate([np.zeros(0, np.int64), *map(packing.unpack, lookup["ats"].to_pylist())])
+        n = np.concatenate([np.zeros((0, STATES)), *(packing.unpack_counts(x, STATES) for x in lookup["ns"].to_pylist())])
         order = np.argsort(at)
         at = at[order]
-        own = np.stack([lookup[c].to_numpy()[order].astype(float) for c in states], 1)
-        chain = Hmm(model.chain.start, model.chain.step, np.concatenate((model.chain.emit, model.words(at, own))))
+        chain = Hmm(model.chain.start, model.chain.step, np.concatenate((model.chain.emit, model.words(at, n[order]))))
         found = np.zeros(len(docs))
 
         def local(raw: bytes) -> np.ndarray:
-            symbols = unpacked(raw)
-            return np.where(symbols > CLASS_MASK, CLASSES + np.searchsorted(at, symbols), symbols)
+            symbols = packing.unpack(raw).astype(np.int64)
+            own = np.flatnonzero(symbols > CLASS_MASK)
+            symbols[own] = CLASSES + np.searchsorted(at, symbols[own])
+            return symbols
 
         for part in in_passes((i, local(x.as_py())) for i, x in enumerate(docs["symbols"])):
             found[[i for i, _ in part]] = forward(chain, Ragged.of_sequences([s for _, s in part]))[0]
         return pa.table({c: docs[c] for c in carried} | {"score": pa.array(found / np.log(10) + docs["inside"].to_numpy())})
 
-    found = by_chunk(texts.select("chunk", *carried, "inside", "symbols"), "chunk", totals).cogroup(
-        by_chunk(of_chunks, "of_chunk", totals)).applyInArrow(
+    found = by_key(texts.select("chunk", *carried, "inside", "symbols"), "chunk", totals).cogroup(
+        by_key(of_chunks, "of_chunk", totals)).applyInArrow(
         score, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known",
                         F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

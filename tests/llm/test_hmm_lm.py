@@ -189,4 +189,5 @@ def test_emissions_add_up_and_grow_with_the_vocabulary(spark, monkeypatch):
 
 def test_packed_symbols_come_back():
     for x in ([], [0], [5, 70000, 3], [1, 1 << 40]):
-        assert lm.unpacked(lm.packed(np.array(x, np.int64))).tolist() == x
+        packing = lm.Packing()
+        assert packing.unpack(packing.pack(np.array(x, np.int64))).tolist() == x
