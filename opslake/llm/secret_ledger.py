@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opslake.functions.text import bind
-from opslake.llm.common import free_name, numbered, spans_text
+from opslake.llm.common import free_name, keep, numbered, spans_text
 from opslake.plans.session import scratch_path
 
 
@@ -132,13 +132,15 @@ def report(docs: DataFrame, ledger: DataFrame, rules: list[Rule] = RULES, id_col
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Null and empty texts have no spans; equal rows give equal rows; texts are searched whole;
-    an empty table gives no rows.
+    an empty table gives no rows. Findings are kept before the join, so that both sides are plain
+    shuffles and the rows of a blob with very many copies can be split over tasks.
     """
+    spans = keep(findings(ledger, rules), "findings")
     paths = docs.select(docs[id_col].alias("_id"), blob_of(docs[text_col]).alias("blob"))
     found = F.coalesce("found", F.array().cast("array<struct<start:bigint,ord:int,kind:string,end:bigint>>"))
     base = F.filter(found, lambda s: s["kind"].isin(*BASE))
     count = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return paths.join(findings(ledger, rules), "blob", "left").select(
+    return paths.join(spans, "blob", "left").select(
         F.col("_id").alias(id_col), *[count(k) for k in BASE],
         F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(found).alias("spans"))
 
