@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opslake.llm.common import numbered, utf8_length
+from opslake.llm.common import keep, numbered, utf8_length
 from opslake.plans.session import scratch_path
 
 #: Smaller payloads are never stored as revisits.
@@ -42,12 +42,13 @@ def resolve(heads: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """_row and refers_row, refers_to, of the headers that are revisits.
 
     The original of a digest is the record with the smallest page, then the smallest row; a null
-    page comes last.
+    page comes last. Originals are kept before the join, so that both sides are plain shuffles
+    and the records of one payload can be split over tasks.
     """
     large = heads.filter(F.col("bytes") >= least_bytes)
     order = F.struct(F.col("page").isNull(), "page", "_row")
-    first = large.groupBy("digest").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "digest", F.col("o._row").alias("refers_row"), F.col("o.page").alias("refers_to"))
+    first = keep(large.groupBy("digest").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "digest", F.col("o._row").alias("refers_row"), F.col("o.page").alias("refers_to")), "originals")
     return large.select("_row", "digest").join(first, "digest").filter("_row <> refers_row").select(
         "_row", "refers_row", "refers_to")
 
