@@ -340,8 +340,9 @@ def repeated_runs(staged: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFram
     one = F.min(F.struct("_row", "start"))
     distinct = keep(prints.groupBy("key", "digest").agg(
         F.count(F.lit(1)).alias("copies"), F.max("twice").alias("twice"), F.max("n").alias("n"), one.alias("one")), "distinct")
-    size = distinct.groupBy("key").agg(
-        F.sum(F.col("n") + WIDTH).alias("bytes"), F.count(F.lit(1)).alias("members"), F.max("twice").alias("open"))
+    # kept, so that joins by key are between plain shuffles, where a hot key can be split
+    size = keep(distinct.groupBy("key").agg(
+        F.sum(F.col("n") + WIDTH).alias("bytes"), F.count(F.lit(1)).alias("members"), F.max("twice").alias("open")), "sizes")
     # without a second member, and without its own anchor twice, nothing is left to sort
     alone = size.filter("members = 1 and not open").select("key")
     large = size.filter((F.col("bytes") > group_bytes) & (F.col("members") > 1)).select("key")
