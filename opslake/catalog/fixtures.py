@@ -11,6 +11,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from opslake.functions import json_reply
+from opslake.plans.partitioning import spread_rows
 
 
 class SparkDialect:
@@ -608,6 +609,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name](SparkDialect(sf_dir)))
 
 
+class _Spread(SparkDialect):
+    """Tables are arguments of the statement."""
+
+    def t(self, name: str) -> str:
+        return f"{{{name}}}"
+
+
+def spread_view(spark: SparkSession, sf_dir: str, name: str, table: str, columns: list[str], rows: int) -> DataFrame:
+    """A view whose rows are built by tasks of at most about ``rows`` rows of ``table``; only its ``columns`` move."""
+    keys = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    return spark.sql(VIEWS[name](_Spread(sf_dir)), **{table: spread_rows(keys, rows)})
+
+
 def oracle(body: str, *names: str, recursive: bool = False) -> str:
     """DuckDB SQL: the named views as CTEs in front of ``body``."""
     ctes = ",\n".join(f"{n} as ({VIEWS[n](DuckDialect())})" for n in names)

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 from opslake.catalog.base import query
 from opslake.catalog.duck import trim
-from opslake.catalog.fixtures import oracle, view
+from opslake.catalog.fixtures import oracle, spread_view, view
 from opslake.functions import json_reply as jr
 from opslake.operators import replies
 from opslake.plans.partitioning import spread
 
 
+#: Replies a task works on: a key takes few bytes, its reply some tenths of a millisecond.
+TASK_ROWS = 50_000
+
+
 def _rows(spark, sf_dir):
-    return spread(view(spark, sf_dir, "replies"))
+    return spread_view(spark, sf_dir, "replies", "orders", ["o_orderkey"], TASK_ROWS)
 
 
 @query("reply_json_object", oracle(

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opslake.functions.text import bind, trim
+from opslake.functions.text import SPACE_CHARS, bind, trim
 
 # Reply fields per command; a list names its element fields.
 SCHEMAS: dict[str, dict[str, object]] = {
@@ -82,18 +82,31 @@ def _check(c: tuple) -> dict:
     return {"op": op, "name": name, "words": words, "say": say}
 
 
+def _tidy(command: str, shape: list[str], checks: list[dict]) -> dict:
+    """What an element that is sound and already normal looks like (``tidy``)."""
+    leaves = [_leaf(command, f) for f in shape]
+    said = {op: [{"name": c["name"], "words": c["words"]} for c in checks if c["op"] == op] for op in ("word", "bare_word", "exact_word", "filled_if_category")}
+    return {"schema": "OBJECT<" + ", ".join(f"{x['name']}: {'BOOLEAN' if x['kind'] == 'bool' else 'STRING'}" for x in sorted(
+                leaves, key=lambda x: x["name"])) + ">",
+            "filled": [c["name"] for c in checks if c["op"] == "filled"],
+            "words": [{"name": x["name"], "words": x["allowed"]} for x in leaves if x["allowed"]]
+                     + said["word"] + said["bare_word"] + said["exact_word"],
+            "by_category": said["filled_if_category"]}
+
+
 def _spec() -> dict:
     out = {}
     for command, fields in SCHEMAS.items():
         rows = []
         for name, shape in fields.items():
             row = _leaf(command, name)
-            row.update(fields=[], checks=[], required=REQUIRED_ITEMS.get(name, ""))
+            row.update(fields=[], checks=[], required=REQUIRED_ITEMS.get(name, ""), tidy=None)
             if shape == "strings":
                 row["kind"] = "strings"
             elif shape != "string":
                 row.update(kind="objects", fields=[_leaf(command, f) for f in shape],
                            checks=[_check(c) for c in ELEMENT_CHECKS.get(command, [])])
+                row["tidy"] = _tidy(command, shape, row["checks"])
             rows.append(row)
         out[command] = {"checked": command in ELEMENT_CHECKS, "elementwise": command not in WHOLE_ONLY,
                         "fields": rows}
@@ -104,7 +117,9 @@ SPEC_JSON = json.dumps(_spec())
 SPEC_TYPE = """map<string, struct<checked: boolean, elementwise: boolean, fields: array<struct<
     name: string, kind: string, allowed: array<string>, required: string,
     fields: array<struct<name: string, kind: string, allowed: array<string>>>,
-    checks: array<struct<op: string, name: string, words: array<string>, say: string>>>>>>"""
+    checks: array<struct<op: string, name: string, words: array<string>, say: string>>,
+    tidy: struct<schema: string, filled: array<string>, words: array<struct<name: string, words: array<string>>>,
+        by_category: array<struct<name: string, words: array<string>>>>>>>>"""
 
 
 def spec(command: Column) -> Column:
@@ -209,10 +224,20 @@ def _from_brace(text: Column) -> Column:
     return F.when(at > 0, F.substring(text, at, F.length(text)))
 
 
+def _valid(text: Column) -> Column:
+    return bind(text, lambda x: F.when(strict_json(x).isNotNull(), x))
+
+
+def _to_last_brace(t: Column) -> Column:
+    """A text that starts with a brace up to its last closing one, if that is JSON: then it is the first object, and needs no scan."""
+    return _valid(F.substring(t, F.lit(1), F.length(t) - F.instr(F.reverse(t), "}") + 1))
+
+
 def first_object(text: Column) -> Column:
     """The first balanced {...} of a text, aware of strings and escapes; null when there is none."""
     def of(t: Column) -> Column:
-        return bind(_scan(_tokens(t), "{", "}")["done"], lambda end: F.when(end > 0, F.substring(t, F.lit(1), end)))
+        return F.coalesce(_to_last_brace(t), bind(
+            _scan(_tokens(t), "{", "}")["done"], lambda end: F.when(end > 0, F.substring(t, F.lit(1), end))))
     return bind(_from_brace(text), of)
 
 
@@ -229,25 +254,25 @@ def json_object(raw: Column) -> Column:
 def complete_part(text: Column) -> Column:
     """The first object of a text as far as it is complete: whole fields, and whole elements of lists.
 
-    What follows a cut or a mistake is left out. A text whose beginning up to some token can be
-    closed to JSON can be closed at every earlier token, so the last one is found by halving.
+    What follows a cut or a mistake is left out. A text that is only cut off can be closed after its
+    last complete place. Else, as one whose beginning up to some token can be closed to JSON can be
+    closed at every earlier token, the last one is found by halving.
     """
-    def valid(c: Column) -> Column:
-        return bind(c, lambda x: F.when(strict_json(x).isNotNull(), x))
-
     def of(t: Column, tokens: Column) -> Column:
         n = F.size(tokens)
         upto = lambda end, tail: F.concat(F.substring(t, F.lit(1), end), tail)
         closers = lambda listed: F.when(listed, "]}").otherwise("}")
         scanned = lambda k: _scan(F.slice(tokens, F.lit(1), k), "{[", "}]")
 
+        closed = lambda s: F.when(s["kept"] > 0, upto(s["kept"], closers(s["listed"])))
+
         def kept(k: Column) -> Column:
-            return bind(scanned(k), lambda s: F.when(s["kept"] > 0, upto(s["kept"], closers(s["listed"]))))
+            return bind(scanned(k), closed)
 
         def half(s: Column, _: Column) -> Column:
             def of_mid(mid: Column) -> Column:
                 # no complete place so far is no mistake so far
-                return bind(kept(mid), lambda c: bind(valid(c), lambda v: F.when(
+                return bind(kept(mid), lambda c: bind(_valid(c), lambda v: F.when(
                     c.isNull() | v.isNotNull(), F.struct(mid.alias("lo"), s["hi"].alias("hi"), v.alias("best"))).otherwise(
                     F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi"), s["best"].alias("best")))))
             return F.when(s["lo"] >= s["hi"], s).otherwise(bind(F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int"), of_mid))
@@ -256,10 +281,11 @@ def complete_part(text: Column) -> Column:
         halved = F.aggregate(rounds, start, half)["best"]
         # a number at the very end may go on
         outer = lambda s: (s["depth"] == 1) | ((s["depth"] == 2) & s["in_list"])
-        whole = bind(scanned(n), lambda s: F.when(s["done"] > 0, upto(s["done"], F.lit(""))).when(
-            ~s["quoted"] & outer(s) & ~t.rlike(r"[0-9.eE+-]\z"), F.concat(t, closers(s["depth"] == 2))))
-        return F.coalesce(valid(whole), halved)
-    found = bind(_from_brace(text), lambda t: bind(_tokens(t), lambda tokens: of(t, tokens)))
+        whole = lambda s: F.when(s["done"] > 0, upto(s["done"], F.lit(""))).when(
+            ~s["quoted"] & outer(s) & ~t.rlike(r"[0-9.eE+-]\z"), F.concat(t, closers(s["depth"] == 2)))
+        return bind(scanned(n), lambda s: F.coalesce(_valid(whole(s)), F.when(
+            s["kept"] > 0, F.coalesce(_valid(closed(s)), halved))))
+    found = bind(_from_brace(text), lambda t: F.coalesce(_to_last_brace(t), bind(_tokens(t), lambda tokens: of(t, tokens))))
     return bind(found, lambda f: F.when(F.size(F.json_object_keys(f)) > 0, f))
 
 
@@ -320,12 +346,36 @@ def normal_object(v: Column, fields: Column, change: Callable[[Column, Column],
     return F.when(kind(v) == "object", F.to_variant_object(F.transform_values(members(v), value))).otherwise(v)
 
 
+_EDGE = "".join(f"\\x{{{ord(c):x}}}" for c in SPACE_CHARS)
+_GAP = "\x01"
+
+
+def tidy(e: Column, f: Column) -> Column:
+    """Whether an element of list ``f`` is sound and normal as it is: exactly the known fields, of their types, no space
+    around a text, and no check to fail. Most are, and this looks at an element as a whole instead of field by field.
+    """
+    def of_texts(m: Column) -> Column:
+        text = lambda name: F.try_element_at(m, name)
+        is_word = lambda w, name: F.array_contains(w["words"], text(name))
+        want = f["tidy"]
+        return (
+            F.forall(want["filled"], lambda n: text(n) != "") & F.forall(want["words"], lambda w: is_word(w, w["name"]))
+            & F.forall(want["by_category"], lambda w: (text(w["name"]) != "") | ~is_word(w, F.lit("category")))
+            & ~F.array_join(F.map_values(m), _GAP).rlike(f"(?:\\A|{_GAP})[{_EDGE}]|[{_EDGE}](?:{_GAP}|\\z)"))
+    return F.coalesce(F.when(F.schema_of_variant(e) == f["tidy"]["schema"], bind(
+        F.try_variant_get(e, "$", "map<string,string>"), of_texts)), F.lit(False))
+
+
+def _normal_element(e: Column, f: Column) -> Column:
+    return F.when(tidy(e, f), e).otherwise(normal_object(e, f["fields"]))
+
+
 def _normal_field(x: Column, f: Column) -> Column:
     string = F.struct(F.lit("").alias("name"), F.lit("string").alias("kind"), f["allowed"].alias("allowed"))
     is_list = kind(x) == "array"
     return (
         F.when((f["kind"] == "objects") & is_list, F.to_variant_object(F.transform(
-            items(x), lambda e: normal_object(e, f["fields"]))))
+            items(x), lambda e: _normal_element(e, f))))
         .when((f["kind"] == "strings") & is_list, F.to_variant_object(F.transform(
             items(x), lambda e: _normal_leaf(e, string))))
         .otherwise(_normal_leaf(x, f)))
@@ -371,12 +421,13 @@ def object_errors(v: Column, fields: Column, prefix: Column,
 def _list_errors(x: Column, f: Column, path: Column) -> Column:
     def element(e: Column, i: Column) -> Column:
         at = F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        return bind(kind(e), lambda k: (
+        as_wanted = F.schema_of_variant(e) == f["tidy"]["schema"]
+        return F.when(as_wanted, _no_messages()).otherwise(bind(kind(e), lambda k: (
             F.when((f["kind"] == "strings") & k.isin("string", "null"), _no_messages())
             .when(f["kind"] == "strings", F.array(F.concat(
                 F.lit('field "'), at, F.lit('": expected string, got '), k)))
             .when(k.isin("object", "null"), object_errors(e, f["fields"], F.concat(at, F.lit("."))))
-            .otherwise(F.array(F.concat(at, F.lit(": invalid object"))))))
+            .otherwise(F.array(F.concat(at, F.lit(": invalid object")))))))
     return F.flatten(F.transform(items(x), element))
 
 
@@ -426,7 +477,8 @@ def semantic_errors(command: Column, raw: Column) -> Column:
                 def of_items(arr: Column) -> Column:
                     def element(e: Column, i: Column) -> Column:
                         at = F.concat(f["name"], F.lit("["), i.cast("string"), F.lit("]."))
-                        return F.transform(_element_messages(e, f["checks"]), lambda t: F.concat(at, t))
+                        return F.when(tidy(e, f), _no_messages()).otherwise(
+                            F.transform(_element_messages(e, f["checks"]), lambda t: F.concat(at, t)))
                     needed = F.when((f["required"] != "") & (F.size(arr) == 0), F.array(f["required"]))
                     return F.concat(F.coalesce(needed, _no_messages()), F.flatten(F.transform(arr, element)))
                 x = F.try_element_at(m, f["name"])
@@ -458,11 +510,14 @@ def salvage(command: Column, raw: Column) -> Column:
                     return (F.size(object_errors(e, f["fields"], F.lit(""))) == 0) & (F.size(content) == 0)
 
                 def of_value(x: Column) -> Column:
-                    objects = F.transform(F.filter(items(x), lambda e: kind(e) == "object"),
-                                          lambda e: normal_object(e, f["fields"]))
+                    def entry(e: Column) -> Column:
+                        other = F.when(kind(e) == "object", normal_object(e, f["fields"]))
+                        return bind(tidy(e, f), lambda good: F.struct(good.alias("good"), F.when(good, e).otherwise(other).alias("e")))
+                    objects = F.filter(F.transform(items(x), entry), lambda y: y["e"].isNotNull())
 
                     def keep(arr: Column) -> Column:
-                        return bind(F.filter(arr, sound), lambda kept: F.struct(
+                        fit = F.filter(arr, lambda y: y["good"] | sound(y["e"]))
+                        return bind(F.transform(fit, lambda y: y["e"]), lambda kept: F.struct(
                             f["name"].alias("name"), F.to_variant_object(kept).alias("value"),
                             (F.size(arr) - F.size(kept)).alias("lost")))
                     scalar = F.struct(f["name"].alias("name"), F.when(
@@ -498,7 +553,8 @@ def _checked_element(sp: Column, f: Column, e: Column) -> Column:
                             ((F.size(bad) == 0) & (F.size(content) == 0)).alias("sound"))
         return bind(object_errors(n, f["fields"], F.lit("")), lambda bad: bind(
             _element_messages(n, f["checks"]), lambda content: found(bad, content)))
-    return bind(normal_object(e, f["fields"]), of)
+    as_is = F.struct(F.to_json(e).alias("element"), _no_messages().alias("errors"), F.lit(True).alias("sound"))
+    return F.when(tidy(e, f), as_is).otherwise(bind(normal_object(e, f["fields"]), of))
 
 
 def parts(command: Column, text: Column) -> Column:

@@ -25,8 +25,11 @@ FIELD_GAP = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+
 
 
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and let ``fn`` use it any number of times."""
-    return F.transform(F.array(value), fn)[0]
+    """Evaluate ``value`` once and let ``fn`` use it any number of times.
+
+    ``element_at`` keeps its type; an index in brackets derives it from all expressions below again for every row.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
 
 
 def trim(c: Column) -> Column:
