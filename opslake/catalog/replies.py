@@ -14,12 +14,8 @@ from opslake.operators import replies
 from opslake.plans.partitioning import spread
 
 
-#: Replies a task works on: a key takes few bytes, its reply some tenths of a millisecond.
-TASK_ROWS = 50_000
-
-
 def _rows(spark, sf_dir):
-    return spread_view(spark, sf_dir, "replies", "orders", ["o_orderkey"], TASK_ROWS)
+    return spread_view(spark, sf_dir, "replies", "orders", ["o_orderkey"], replies.TASK_ROWS)
 
 
 @query("reply_json_object", oracle(

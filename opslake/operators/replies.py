@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from opslake.functions import json_reply as jr
 from opslake.functions.text import once
+from opslake.plans.partitioning import spread_rows
 from opslake.plans.session import scratch_path
 
 # Repair attempts per reply.
 MAX_ATTEMPTS = 3
+#: Replies a task works on: each takes some tenths of a millisecond.
+TASK_ROWS = 50_000
 
 Responder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -172,13 +175,14 @@ def repair_outcomes(df: DataFrame, responder: Responder, max_attempts: int = MAX
     rounds = _Rounds(df.sparkSession, responder)
     # numbered in a kept table, as the numbers are a row's key from here on
     base = rounds.keep(df.select(F.monotonically_increasing_id().alias("row"), "id", "command", F.col("raw").alias("original")))
-    found = once(base, "_object", F.coalesce(jr.json_object(F.col("original")), F.col("original")))
+    # the kept files are small beside the work on them, so their splits would make few, long tasks
+    found = once(spread_rows(base, TASK_ROWS), "_object", F.coalesce(jr.json_object(F.col("original")), F.col("original")))
     first = validated(found.withColumn("current", jr.normalise(F.col("command"), F.col("_object"))), "current", rounds.checks)
     start = rounds.keep(first.withColumn("route", route("current")).drop("_object"))
     out = start.filter("route = 'valid'").select(
         "id", "command", F.lit(0).alias("attempts"), F.lit("valid").alias("status"), F.col("current").alias("reply"))
 
-    left = start.filter("route <> 'valid'").select("row", "id", "command", "original")
+    left = spread_rows(start.filter("route <> 'valid'").select("row", "id", "command", "original"), TASK_ROWS)
     whole = once(left, "_whole", jr.recovered(F.col("original")))
     apart = rounds.keep(once(whole, "p", rounds.parts).drop("_whole"))
     elements = apart.select("row", "id", "command", F.inline("p.elements"))

@@ -24,8 +24,8 @@ def spread(df: DataFrame) -> DataFrame:
 def spread_rows(df: DataFrame, rows: int) -> DataFrame:
     """Hands on at most about ``rows`` rows a task, for work that is dear beside the bytes it reads.
 
-    Splits of a scan follow its bytes and end at row groups, so few bytes a row make few, long tasks. For scans of
-    narrow columns, before the work: they are counted, which reads footers only, and shuffled.
+    Splits of a scan follow its bytes and end at row groups, so few bytes a row make few, long tasks. For scans,
+    before the work: they are counted, which reads little, and shuffled.
     """
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
 

@@ -302,4 +302,15 @@ def test_replies_are_dealt_by_rows(spark, tmp_path):
     sizes = [len(p) for p in got.rdd.glom().collect()]
     assert len(sizes) == 20 and max(sizes) <= 110
     assert sorted(got.collect()) == sorted(fixtures.view(spark, str(tmp_path), "replies").collect())
-    assert queries.TASK_ROWS <= 50_000
+    assert queries.replies.TASK_ROWS <= 50_000
+
+
+def test_kept_replies_are_dealt_by_rows_again(spark, monkeypatch):
+    dealt = []
+    spread = replies.spread_rows
+    monkeypatch.setattr(replies, "TASK_ROWS", 10)
+    monkeypatch.setattr(replies, "spread_rows", lambda df, n: dealt.append(spread(df, n)) or dealt[-1])
+    df = spark.createDataFrame([(i, "audit", _doc(FINE, *[{}] * (i % 2))) for i in range(200)], "id long, command string, raw string")
+    out = replies.repair_outcomes(df, lambda frames: (f.assign(current=json.dumps(ALSO)) for f in frames))
+    assert out.groupBy("status").count().orderBy("status").collect() == [("repaired", 100), ("valid", 100)]
+    assert [d.rdd.getNumPartitions() for d in dealt] == [20, 10]
