@@ -1,26 +1,28 @@
-"""Hard negatives by rotated one-bit codes with stored alignment.
+"""Hard negatives by layers of rotated one-bit codes with stored alignment.
 
-Method. A vector x is rotated and padded to a longer one by an isometry P (signed Hadamard
-rounds, ``COPIES`` times), and keeps one bit a coordinate: c = sign(Px) / sqrt(D). Its decoded
-code vector v = P'c is not x, but its alignment a = cos(v, x) is stored. The other side, an
-anchor y, is held as ``PLANES`` bit planes of Py, so <v, y> comes from popcounts of code and
-plane. With u = v / |v| and e the part of x / |x| across u,
+Method. A vector x is rotated by an isometry P (signed Hadamard rounds) and keeps one bit a
+coordinate: u = P' sign(Px) / sqrt(D), a unit vector. Its alignment with x is stored as the weight
+w = <u, x> = |x| cos(u, x). What it leaves, x - w u, is coded in the same way with a rotation of
+its own, ``COPIES`` layers in all, and the length of what the last one leaves is stored too. With an
+anchor y held as its rotations,
 
-    <x, y> = |x| (a <u, y> + <e, y>),   |<e, y>| <= sqrt(1 - a^2) sqrt(|y|^2 - <u, y>^2)
+    <x, y> = sum_l w_l <u_l, y> + <r, y>,   |<r, y>| <= |r| |y|
 
-by Cauchy-Schwarz, a fixed interval and no estimate of chance; the rounding of the planes widens
-it by its own length. Rows whose interval cannot reach an anchor's best are dropped, the others
-get their integer score.
+by Cauchy-Schwarz, a fixed interval and no estimate of chance; rounding in single precision widens
+it by its greatest size. Rows whose interval cannot reach an anchor's best so far are dropped, the
+others get their integer score.
 
 The anchors are a stated query set. They meet all rows in a grid: rows in slices of about
 ``SLICE_ROWS``, anchors in blocks of about ``BLOCK_ANCHORS``, one group a pair of them, so that no
-group grows with the table or with a label. A group passes on its best few rows for each anchor.
+group grows with the table or with a label. A group goes through its rows tile by tile and passes on
+its best few rows for each anchor.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +37,22 @@ NEGATIVES = 3
 #: Least and largest score of a negative, in hundredths of the positive's.
 LOW, HIGH = 50, 95
 ANCHOR_EVERY = 50
-SLICE_ROWS = 1024
-BLOCK_ANCHORS = 512
-#: Code bits for each (padded) dimension, rounds of signs and Hadamard in each, and planes of an anchor.
-COPIES = 4
+#: Rows and anchors of a group, fewer if vectors are longer than 64.
+SLICE_ROWS = 8192
+BLOCK_ANCHORS = 2048
+#: Layers of codes, and rounds of signs and Hadamard in each.
+COPIES = 6
 ROUNDS = 3
-PLANES = 6
 SEED = 11
 #: Squared norms from here on take no part: hundredfold scores would leave 64 bits.
 TOO_LONG = 2.0 ** 56
-#: Share of the norms by which intervals are widened for rounding.
-SLACK = 1e-9
-#: Pairs scored at a time.
+#: Pairs scored at a time, and pairs whose intervals stand at a time.
 PAIRS = 1 << 16
+TILE = 1 << 19
+#: Rows of the first tile.
+FIRST_TILE = 64
+#: Below all scores, and above all.
+LEAST, MOST = -(1 << 62), 1 << 62
 
 
 @functools.cache
@@ -55,10 +60,19 @@ def _signs(width: int) -> np.ndarray:
     return np.random.default_rng(SEED).choice([-1.0, 1.0], (COPIES, ROUNDS, width))
 
 
+@functools.cache
+def _block(width: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < width:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
     """Orthonormal Walsh-Hadamard transform of each row; the width is a power of two."""
     n, width = x.shape
-    h = 1
+    h = min(width, 64)
+    x = x.reshape(n, -1, h) @ _block(h)
     while h < width:
         x = x.reshape(n, -1, 2, h)
         x = np.stack((x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]), 2)
@@ -71,72 +85,69 @@ def code_width(dims: int) -> int:
     return max(64, 1 << max(0, dims - 1).bit_length())
 
 
-def rotated(x: np.ndarray) -> np.ndarray:
-    """Px of each row of ``x`` (n x code_width)."""
-    parts = []
-    for signs in _signs(x.shape[1]):
-        y = x
-        for s in signs:
-            y = _hadamard(y * s)
-        parts.append(y)
-    return np.concatenate(parts, 1) / math.sqrt(COPIES)
+def _turned(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Px of each row of ``x`` for the rotation of one layer."""
+    for s in signs:
+        x = _hadamard(x * s)
+    return x
 
 
-def decoded(c: np.ndarray) -> np.ndarray:
-    """P'c of each row of ``c``."""
-    total = 0.0
-    for signs, y in zip(_signs(c.shape[1] // COPIES), np.split(c, COPIES, 1)):
-        for s in signs[::-1]:
-            y = _hadamard(y) * s
-        total = total + y
-    return total / math.sqrt(COPIES)
+def _turned_back(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    for s in signs[::-1]:
+        x = _hadamard(x) * s
+    return x
 
 
-def _words(bits: np.ndarray) -> np.ndarray:
-    return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+def rotated(x: np.ndarray) -> np.ndarray:
+    """The rotations of all layers of each row of ``x`` (n x code_width) side by side, as one isometry."""
+    return np.concatenate([_turned(x, signs) for signs in _signs(x.shape[1])], 1) / math.sqrt(COPIES)
+
+
+def decoded(c: np.ndarray) -> np.ndarray:
+    """``rotated`` taken back, layers added up."""
+    parts = zip(_signs(c.shape[1] // COPIES), np.split(c, COPIES, 1))
+    return sum(_turned_back(y, signs) for signs, y in parts) / math.sqrt(COPIES)
 
 
-def encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code words, norms, alignments, and lengths of the decoded code vectors, of the rows of ``x``."""
-    norm = np.sqrt((x * x).sum(1))
-    y = rotated(x)
-    bits = y >= 0
-    v = decoded(np.where(bits, 1.0, -1.0) / math.sqrt(y.shape[1]))
-    length = np.sqrt((v * v).sum(1))
-    align = np.where(norm > 0, (v * x).sum(1) / np.where(norm > 0, norm * length, 1.0), 1.0)
-    return _words(bits), norm, np.clip(align, 0.0, 1.0), length
+def encoded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code words of all layers, their weights, and the length of what they leave, of the rows of ``x``."""
+    root, left, bits, weights = math.sqrt(x.shape[1]), x, [], []
+    for signs in _signs(x.shape[1]):
+        y = _turned(left, signs)
+        bits.append(y >= 0)
+        weights.append(np.abs(y).sum(1) / root)
+        left = left - weights[-1][:, None] * _turned_back(np.where(bits[-1], 1.0, -1.0) / root, signs)
+    words = np.packbits(np.concatenate(bits, 1), axis=1, bitorder="little").view(np.uint64)
+    return words, np.stack(weights, 1), np.sqrt((left * left).sum(1))
 
 
 class Anchors:
-    """Anchors as bit planes: Py is about lo + step * level, coordinate by coordinate."""
+    """Anchors as their rotations, in single precision."""
 
     def __init__(self, y: np.ndarray):
-        r = rotated(y)
         self.norm = np.sqrt((y * y).sum(1))
-        self.lo = r.min(1)
-        self.step = (r.max(1) - self.lo) / ((1 << PLANES) - 1)
-        level = np.rint((r - self.lo[:, None]) / np.where(self.step > 0, self.step, 1.0)[:, None]).astype(np.int64)
-        self.levels = level.sum(1)
-        rest = r - (self.lo[:, None] + self.step[:, None] * level)
-        self.rest = np.sqrt((rest * rest).sum(1))
-        self.planes = np.stack([_words((level >> k & 1).astype(bool)) for k in range(PLANES)], 1)
-
-    def intervals(self, at: np.ndarray, code, norm, align, length) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest integer score of each anchor of ``at`` with each row."""
+        self.turned = rotated(y).astype(np.float32)
+
+    def middles(self, at: np.ndarray, code: np.ndarray, weights: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Middles and half widths of the intervals of each anchor of ``at`` with each row."""
         bits = 64 * code.shape[1]
-        weighted = np.zeros((len(at), len(code)), np.int64)
-        for k in range(PLANES):
-            for w in range(code.shape[1]):
-                weighted += np.bitwise_count(self.planes[at, k, w][:, None] & code[None, :, w]).astype(np.int64) << k
-        ones = np.bitwise_count(code).sum(1, dtype=np.int64)
-        dot = (self.lo[at, None] * (2 * ones - bits)[None, :]
-               + self.step[at, None] * (2 * weighted - self.levels[at, None])) / math.sqrt(bits)
-        g = dot / length
-        off = self.rest[at, None] / length
-        across = np.sqrt(np.maximum(self.norm[at, None] ** 2 - np.maximum(np.abs(g) - off, 0.0) ** 2, 0.0))
-        wide = norm * (align * off + np.sqrt(np.maximum(1.0 - align ** 2, 0.0)) * across + SLACK * self.norm[at, None])
-        mid = norm * align * g
-        return np.ceil(mid - wide), np.floor(mid + wide)
+        scale = np.repeat((weights * math.sqrt(COPIES * COPIES / bits)).astype(np.float32), bits // COPIES, 1)
+        coded = np.where(np.unpackbits(code.view(np.uint8), axis=1, bitorder="little"), scale, -scale)
+        # the greatest error of a product of so many terms in single precision, its factors' and its interval's rounding
+        rounding = (2 * bits + 16) * 2.0 ** -24 * math.sqrt(COPIES) * np.sqrt((weights * weights).sum(1))
+        return self.turned[at] @ coded.T, np.multiply.outer(self.norm[at].astype(np.float32), (left + rounding).astype(np.float32))
+
+    def intervals(self, at: np.ndarray, code: np.ndarray, weights: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the score of each anchor of ``at`` with each row."""
+        mid, half = self.middles(at, code, weights, left)
+        return mid - half, mid + half
+
+    def reaching(self, at: np.ndarray, floor: np.ndarray, *codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``at`` and of rows whose scores may be ``floor`` (one for each of ``at``) or more, and their lower bounds."""
+        mid, half = self.middles(at, *codes)
+        low = np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
+        i, j = np.nonzero(mid + half >= low[:, None])
+        return i, j, mid[i, j] - half[i, j]
 
 
 def _scores(x: np.ndarray, y: np.ndarray, rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -156,11 +167,6 @@ def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarra
     return order[np.arange(len(order)) - first < n]
 
 
-def _nth_greatest(x: np.ndarray, n: int) -> np.ndarray:
-    """The n-th greatest of each row; -inf where a row has fewer."""
-    return np.partition(x, -n, 1)[:, -n] if x.shape[1] >= n else np.full(len(x), -np.inf)
-
-
 class _Side:
     """Rows of one side of a group."""
 
@@ -172,63 +178,79 @@ class _Side:
 
 
 def _codes(table: pa.Table) -> tuple[np.ndarray, ...]:
-    code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint64).reshape(len(table), -1)
-    return code, table["norm"].to_numpy(), table["align"].to_numpy(), table["length"].to_numpy()
+    code, weights = (b"".join(table[c].to_pylist()) for c in ("code", "weights"))
+    return (np.frombuffer(code, np.uint64).reshape(len(table), -1), np.frombuffer(weights).reshape(len(table), -1),
+            table["left"].to_numpy())
+
+
+class _Best:
+    """The first ``n`` rows of each group among those seen, and the least score that may still enter each."""
+
+    def __init__(self, floor: np.ndarray, rows: _Side, n: int):
+        self.floor, self.rows, self.n = floor.copy(), rows, n
+        self.group, self.at, self.score = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, group: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
+        if not len(group):
+            return
+        group, at, score = (np.concatenate(c) for c in ((self.group, group), (self.at, at), (self.score, score)))
+        top = _best(group, score, self.rows.id[at], self.rows.row[at], self.n)
+        self.group, self.at, self.score = group[top], at[top], score[top]
+        last = np.flatnonzero(np.bincount(self.group, minlength=len(self.floor)) == self.n)
+        self.floor[last] = self.score[np.searchsorted(self.group, last, side="right") - 1]
+
+
+def _tiles(places: np.ndarray, beside: int) -> Iterator[np.ndarray]:
+    """``places`` in stretches of about ``TILE`` pairs with as many rows beside them; short ones first, to find floors."""
+    lo, step, most = 0, FIRST_TILE, max(1, TILE // max(1, beside))
+    while lo < len(places):
+        yield places[lo:lo + min(step, most)]
+        lo, step = lo + min(step, most), 2 * step
 
 
 def _positives_of(rows: pa.Table, anchors: pa.Table, width: int) -> pa.Table:
     """Best same-label rows of a slice for each anchor of a block."""
     a, r = _Side(anchors, width), _Side(rows, width)
-    codes, planes = _codes(rows), Anchors(a.x.astype(np.float64))
-    found: list[tuple] = []
+    codes, turned = _codes(rows), Anchors(a.x.astype(np.float64))
+    best = _Best(np.full(len(a.row), LEAST), r, POSITIVES)
+    by_label = np.argsort(r.label, kind="stable")
+    labels = r.label[by_label]
     for label in np.unique(a.label):
-        at, beside = np.flatnonzero(a.label == label), np.flatnonzero(r.label == label)
-        if not len(beside):
-            continue
-        lo, hi = planes.intervals(at, *(c[beside] for c in codes))
-        own = a.row[at, None] == r.row[None, beside]
-        lo[own] = hi[own] = -np.inf
-        i, j = np.nonzero((hi >= _nth_greatest(lo, POSITIVES)[:, None]) & ~own)
-        found.append((at[i], beside[j]))
-    i, j = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
-    score = _scores(r.x, a.x, j, i)
-    top = _best(i, score, r.id[j], r.row[j], POSITIVES)
-    i, j = i[top], j[top]
-    return pa.table({"anchor": a.row[i], "_row": r.row[j], "_id": r.id[j], "score": score[top]})
+        at = np.flatnonzero(a.label == label)
+        for beside in _tiles(by_label[np.searchsorted(labels, label):np.searchsorted(labels, label, side="right")], len(at)):
+            i, j, _ = turned.reaching(at, best.floor[at], *(c[beside] for c in codes))
+            i, j = at[i], beside[j]
+            other = a.row[i] != r.row[j]
+            i, j = i[other], j[other]
+            score = _scores(r.x, a.x, j, i)
+            ok = score >= best.floor[i]
+            best.add(i[ok], j[ok], score[ok])
+    return pa.table({"anchor": a.row[best.group], "_row": r.row[best.at], "_id": r.id[best.at], "score": best.score})
 
 
 def _negatives_of(rows: pa.Table, anchors: pa.Table, width: int) -> pa.Table:
     """Best different-label rows of a slice for each anchor and positive of a block."""
     a, r = _Side(anchors, width), _Side(rows, width)
-    codes, planes = _codes(rows), Anchors(a.x.astype(np.float64))
-    lists = anchors["positives"].to_pylist()
-    goal = np.full((len(a.row), POSITIVES), -1, np.int64)
-    for i, scores in enumerate(lists):
-        goal[i, :len(scores)] = scores
-    has = np.arange(POSITIVES)[None, :] < np.array([len(s) for s in lists])[:, None]
-    least, most = -(-LOW * goal // 100), HIGH * goal // 100
-    found: list[tuple] = []
-    for label in np.unique(a.label):
-        at, beside = np.flatnonzero(a.label == label), np.flatnonzero(r.label != label)
-        if not len(beside):
-            continue
-        lo, hi = planes.intervals(at, *(c[beside] for c in codes))
-        alive = np.zeros(lo.shape, bool)
-        for p in range(POSITIVES):
-            on, bottom, top = has[at, p], least[at, p][:, None], most[at, p][:, None]
-            # rows that are surely in the window bound the others from below
-            sure = _nth_greatest(np.where((hi <= top) & (lo >= bottom), lo, -np.inf), NEGATIVES)[:, None]
-            alive |= (lo <= top) & (hi >= np.maximum(bottom, sure)) & on[:, None]
-        i, j = np.nonzero(alive)
-        found.append((at[i], beside[j]))
-    i, j = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
-    score = _scores(r.x, a.x, j, i)
-    parts = []
-    for p in range(POSITIVES):
-        ok = np.flatnonzero(has[i, p] & (score >= least[i, p]) & (score <= most[i, p]))
-        top = ok[_best(i[ok], score[ok], r.id[j[ok]], r.row[j[ok]], NEGATIVES)]
-        parts.append((a.row[i[top]], np.full(len(top), p + 1, np.int32), r.row[j[top]], r.id[j[top]], score[top]))
-    return pa.table(dict(zip(("anchor", "nth", "_row", "_id", "score"), map(np.concatenate, zip(*parts)))))
+    codes, turned = _codes(rows), Anchors(a.x.astype(np.float64))
+    least, most = np.full((2, len(a.row), POSITIVES), [[[MOST]], [[LEAST]]])
+    for i, scores in enumerate(anchors["positives"].to_pylist()):
+        goal = np.array(scores, np.int64)
+        least[i, :len(goal)], most[i, :len(goal)] = -(-LOW * goal // 100), HIGH * goal // 100
+    least[least > most] = MOST  # of a positive below zero
+    greatest = most.max(1)
+    best = _Best(least.ravel(), r, NEGATIVES)
+    everyone = np.arange(len(a.row))
+    for beside in _tiles(np.arange(len(r.row)), len(a.row)):
+        floor = best.floor.reshape(-1, POSITIVES)
+        i, j, low = turned.reaching(everyone, floor.min(1), *(c[beside] for c in codes))
+        j = beside[j]
+        ok = (a.label[i] != r.label[j]) & (low <= greatest[i])
+        i, j = i[ok], j[ok]
+        score = _scores(r.x, a.x, j, i)
+        pair, p = np.nonzero((score[:, None] >= floor[i]) & (score[:, None] <= most[i]))
+        best.add(i[pair] * POSITIVES + p, j[pair], score[pair])
+    return pa.table({"anchor": a.row[best.group // POSITIVES], "nth": (best.group % POSITIVES + 1).astype(np.int32),
+                     "_row": r.row[best.at], "_id": r.id[best.at], "score": best.score})
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, int]:
@@ -247,13 +269,12 @@ def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         whole = np.zeros((len(x), width), np.int64)
         sizes = np.diff(x.offsets.to_numpy())
         whole[np.arange(width)[None, :] < sizes[:, None]] = x.flatten().to_numpy(zero_copy_only=False)
-        code, norm, align, length = encoded(whole.astype(np.float64))
-        return pa.table({"_id": ids, "label": label, "x": pa.array([v.tobytes() for v in whole], pa.binary()),
-                         "code": pa.array([c.tobytes() for c in code], pa.binary()),
-                         "norm": norm, "align": align, "length": length})
+        code, weights, left = encoded(whole.astype(np.float64))
+        return pa.table({"_id": ids, "label": label, "left": left} | {
+            c: pa.array([v.tobytes() for v in y], pa.binary()) for c, y in (("x", whole), ("code", code), ("weights", weights))})
 
     coded = short.mapInArrow(arrow_rows(fold, ["_id", "label", "x"]),
-                             "_id long, label long, x binary, code binary, norm double, align double, length double")
+                             "_id long, label long, left double, x binary, code binary, weights binary")
     return keep(coded.withColumn("_row", F.monotonically_increasing_id()), "codes"), width
 
 
@@ -283,7 +304,7 @@ def mine(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", l
     rows, width = vectors(table, id_col, vec_col, label_col)
     queries = rows.filter(F.col("_id") % ANCHOR_EVERY == 0).select("_row", "_id", "label", "x")
     n, m = rows.count(), queries.count()
-    slices, blocks = max(1, -(-n // SLICE_ROWS)), max(1, -(-m // BLOCK_ANCHORS))
+    slices, blocks = (max(1, -(-k * (width // 64) // most)) for k, most in ((n, SLICE_ROWS), (m, BLOCK_ANCHORS)))
 
     def folded(fold):
         return lambda r, a: fold(r, a, width) if len(r) and len(a) else fold(r.slice(0, 0), a.slice(0, 0), width)

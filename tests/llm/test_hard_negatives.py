@@ -77,3 +77,28 @@ def test_rotation_is_an_isometry():
     x = np.random.default_rng(1).normal(size=(20, 128))
     y = hn.rotated(x)
     assert y.shape == (20, 128 * hn.COPIES) and np.allclose((y * y).sum(1), (x * x).sum(1)) and np.allclose(hn.decoded(y), x)
+
+
+def test_few_pairs_are_scored_and_few_rows_leave_a_slice(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(4000, 64)) * 32)
+    a = hn.Anchors(x[:40])
+    lo, hi = a.intervals(np.arange(40), *hn.encoded(x))
+    assert np.median(hi - lo) < 0.2 * np.median(a.norm) ** 2
+    table = spark.createDataFrame([(i, [float(v) for v in y], int(i % 4)) for i, y in enumerate(x / 256)],
+                                  "vec_id long, embedding array<float>, label int")
+    rows, width = hn.vectors(table)
+    whole = rows.toArrow()
+    anchors = rows.filter("_id % 50 = 0").select("_row", "_id", "label", "x").toArrow()
+    scored = []
+    exact = hn._scores
+    monkeypatch.setattr(hn, "_scores", lambda r, a, i, j: scored.append(len(i)) or exact(r, a, i, j))
+    near = hn._positives_of(whole, anchors, width)
+    assert len(near) == 80 * hn.POSITIVES and sum(scored) < 0.2 * 80 * 1000
+    scored.clear()
+    goals = {}
+    for row, score in sorted(zip(near["anchor"].to_pylist(), near["score"].to_pylist()), key=lambda r: -r[1]):
+        goals.setdefault(row, []).append(score)
+    asked = anchors.append_column("positives", [[goals[r] for r in anchors["_row"].to_pylist()]])
+    far = hn._negatives_of(whole, asked, width)
+    assert 0 < len(far) <= 80 * hn.POSITIVES * hn.NEGATIVES and sum(scored) < 0.2 * 80 * 3000
