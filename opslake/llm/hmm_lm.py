@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from opslake.llm.common import keep
+from opslake.llm.common import keep, sliced
 
 STATES = 8
 OWN_CLASS = 2000
@@ -53,6 +54,15 @@ HELD_WORDS = 500_000
 #: Tokens in a chunk, and in one forward-backward pass.
 CHUNK_TOKENS = 4_000_000
 PASS_TOKENS = 1_000_000
+#: Bytes of different words that a task holds of a chunk before it closes it.
+CHUNK_BYTES = 256 << 20
+#: Steps between scalings of forward probabilities. As emissions are over their mean, a step takes them down
+#: to the least transition at most, some 1e-12, so that three stay in single precision.
+SCALE_EVERY = 3
+#: Tokens whose emissions are looked up at a time.
+BLOCK_TOKENS = 1 << 15
+#: Tokens whose expected counts are added up at a time, or as many as there are places.
+SUM_TOKENS = 1 << 13
 
 
 def held_out(doc_id: object) -> bool:
@@ -91,6 +101,8 @@ class Ragged:
     live: np.ndarray
     off: np.ndarray
     order: np.ndarray
+    #: Where each sequence ends.
+    ends: np.ndarray
 
     @classmethod
     def of_sequences(cls, sequences: list[np.ndarray]) -> Ragged:
@@ -105,56 +117,87 @@ class Ragged:
         symbols, owner = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
         symbols[place] = np.concatenate([sequences[i] for i in order])
         owner[place] = of
-        return cls(symbols, owner, live, off, order)
-
-
-def forward(model: Hmm, data: Ragged, keep_alpha: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Natural log likelihood of each sequence (in the given order), the scales, and the scaled alphas."""
-    scale = np.empty(len(data.symbols))
-    alpha = np.empty((len(data.symbols), len(model.start))) if keep_alpha else None
-    live, off, emit, step = data.live.tolist(), data.off.tolist(), model.emit, model.step
-    a, ones = None, np.ones(len(model.start))
-    for t, k in enumerate(live):
-        lo, hi = off[t], off[t + 1]
-        a = np.multiply(emit.take(data.symbols[lo:hi], 0), model.start if t == 0 else a[:k] @ step)
-        c = a @ ones
-        a /= c[:, None]
-        scale[lo:hi] = c
-        if keep_alpha:
-            alpha[lo:hi] = a
+        return cls(symbols, owner, live, off, order, off[sizes - 1] + np.arange(len(sizes)))
+
+
+class Room:
+    """Arrays in single precision for the passes of a task, used again, as fresh pages are dear."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, np.ndarray] = {}
+
+    def rows(self, name: str, n: int, states: int) -> np.ndarray:
+        if name not in self._held or len(self._held[name]) < n:
+            self._held[name] = np.empty((max(n, PASS_TOKENS), states), np.float32)
+        return self._held[name][:n]
+
+
+def forward(model: Hmm, data: Ragged, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Natural log likelihood of each sequence (in the given order), and with ``room`` the scaled alphas
+    and emissions over their scales, tokens x states, which stand there till its next use.
+
+    Probabilities are in single precision with ``room``, else in double; they are scaled anew every
+    ``SCALE_EVERY`` steps, and where a sequence ends.
+    """
+    states, size, kind = len(model.start), len(data.symbols), np.float32 if room else np.float64
+    mean = model.emit.mean(1)
+    emit, scale = (model.emit / mean[:, None]).astype(kind), mean.take(data.symbols)
+    alphas, ratios = (room.rows(x, size, states) if room else None for x in ("alphas", "ratios"))
+    live, off, step = data.live.tolist(), data.off.tolist(), model.step.astype(kind)
+    last, ones, ends, begin = model.start.astype(kind)[None], np.ones(states, kind), np.sort(data.ends), 0
+    while begin < len(live):
+        stop = max(begin + 1, int(np.searchsorted(data.off, off[begin] + BLOCK_TOKENS, side="right")) - 1)
+        base, top = off[begin], off[stop]
+        alpha, ratio = (x[base:top] if room else np.empty((top - base, states), kind) for x in (alphas, ratios))
+        emit.take(data.symbols[base:top], 0, out=ratio, mode="clip")
+        for t in range(begin, stop):
+            lo, hi = off[t] - base, off[t + 1] - base
+            now = np.multiply(last[:live[t]] @ step if t else last, ratio[lo:hi], out=alpha[lo:hi])
+            if t % SCALE_EVERY == 0:
+                c = now @ ones
+                now /= c[:, None]
+                ratio[lo:hi] /= c[:, None]
+                scale[base + lo:base + hi] *= c
+            last = now
+        done = ends[np.searchsorted(ends, base):np.searchsorted(ends, top)]
+        c = alpha[done - base] @ ones
+        alpha[done - base] /= c[:, None]
+        ratio[done - base] /= c[:, None]
+        scale[done] *= c
+        begin = stop
     logs = np.zeros(len(data.order))
     logs[data.order] = np.bincount(data.of, np.log(scale), len(data.order))
-    return logs, scale, alpha
+    return logs, alphas, ratios
 
 
-def expected_counts(model: Hmm, data: Ragged, place: np.ndarray | None = None,
-                    places: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: Hmm, data: Ragged, place: np.ndarray | None = None, places: int = 0,
+                    room: Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, steps and emissions of the sequences (the E-step of Baum-Welch), and their log likelihood.
 
     Emissions are added up by ``place`` (one of ``places`` for each symbol) where it is given, else by symbol.
+    Probabilities are in single precision, sums over steps in double.
     """
     if place is None:
         place, places = data.symbols, len(model.emit)
-    logs, scale, alpha = forward(model, data, keep_alpha=True)
+    logs, alpha, ratio = forward(model, data, room or Room())
     states = len(model.start)
     live, off = data.live.tolist(), data.off.tolist()
-    steps = np.zeros((states, states))
-    backward = np.ascontiguousarray(model.step.T)
-    back = np.ones((live[-1], states))
+    steps, backward = np.zeros((states, states)), np.ascontiguousarray(model.step.T, np.float32)
+    back = np.ones((live[0], states), np.float32)  # nothing follows a sequence's end, and later steps are shorter
     for t in range(len(live) - 2, -1, -1):
-        lo, lo2, hi2, k = off[t], off[t + 1], off[t + 2], live[t + 1]
-        ahead = model.emit.take(data.symbols[lo2:hi2], 0)
-        ahead *= back
-        ahead /= scale[lo2:hi2, None]
+        lo, k = off[t], live[t + 1]
+        ahead = ratio[off[t + 1]:off[t + 2]]
+        ahead *= back[:k]
         now = alpha[lo:lo + k]
         steps += now.T @ ahead
-        back = ahead @ backward
-        now *= back  # the step to t is counted from what stands at t - 1
-        if k < live[t]:  # nothing follows a sequence's end
-            back = np.concatenate((back, np.ones((live[t] - k, states))))
-    starts = alpha[:live[0]].sum(0)
-    emits = np.stack([np.bincount(place, alpha[:, s], places) for s in range(states)], 1)
-    return starts, steps * model.step, emits, float(logs.sum())
+        now *= np.matmul(ahead, backward, out=back[:k])  # the step to t is counted from what stands at t - 1
+    starts = alpha[:live[0]].sum(0, dtype=np.float64)
+    emits = np.zeros((states, places))
+    block = max(SUM_TOKENS, places)
+    for lo in range(0, len(place), block):
+        for total, x in zip(emits, np.ascontiguousarray(alpha[lo:lo + block].T, np.float64)):
+            total += np.bincount(place[lo:lo + block], x, places)
+    return starts, steps * model.step, emits.T, float(logs.sum())
 
 
 class Packing:
@@ -206,6 +249,12 @@ def in_passes(sequences: Iterator[tuple[object, np.ndarray]]) -> Iterator[list[t
     yield from passes()
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of ``x``, in order of first use, and the place of each of ``x`` among them."""
+    coded = pa.array(x).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def merged(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with the same ``at`` added up."""
     at, place = np.unique(at, return_inverse=True)
@@ -237,7 +286,7 @@ def round_counts(encoded: DataFrame, model: Hmm, buckets: int = 0) -> DataFrame:
     schema = "at long, " + ", ".join(f"n{s} double" for s in range(states))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packing, small = Packing(), np.zeros((states + 2, states))
+        packing, room, small = Packing(), Room(), np.zeros((states + 2, states))
         at, n = np.zeros(0, np.int64), np.zeros((0, states))
 
         def out() -> pa.RecordBatch:
@@ -253,10 +302,10 @@ def round_counts(encoded: DataFrame, model: Hmm, buckets: int = 0) -> DataFrame:
             symbols = data.symbols
             data.symbols = symbols & CLASS_MASK
             if buckets:
-                seen, place = np.unique(symbols, return_inverse=True)
+                seen, place = distinct(symbols)
             else:
                 seen, place = np.arange(CLASSES), data.symbols
-            starts, steps, emits, logs = expected_counts(model, data, place, len(seen))
+            starts, steps, emits, logs = expected_counts(model, data, place, len(seen), room)
             small[0] += starts
             small[1, 0] += logs
             small[2:] += steps
@@ -349,12 +398,11 @@ def untie(encoded: DataFrame, tied: Hmm, totals: Totals) -> tuple[Untied, DataFr
 
 # ---- counts and encoding ----
 
-class _Numbers(dict):
-    """Words to numbers, in order of first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of lower-cased texts one after the other, and how many each text has; null has none."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    words = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), pa.scalar(None, bare.type), bare))
+    return words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 _CHUNKED = "chunk long, _id {kind}, held_out boolean, numbers binary, number int, word string, n_train long"
@@ -369,43 +417,46 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = dict(rows.dtypes)["_id"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packing, words, docs_of, size = Packing(), _Numbers(), [], 0
+        packing, words, docs_of, size, room = Packing(), [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = int.from_bytes(os.urandom(8), "little", signed=True)
-            train = np.zeros(len(words), np.int64)
-            for ids, out, seqs in docs_of:
-                n = len(out)
-                learn = [s for s, held in zip(seqs, out) if not held]
-                if learn:
-                    train += np.bincount(np.concatenate(learn), minlength=len(words))
+            coded = pa.chunked_array(words).unify_dictionaries()
+            numbers, vocabulary = np.concatenate([c.indices.to_numpy() for c in coded.chunks]), coded.chunk(0).dictionary
+            train, lo = np.zeros(len(vocabulary), np.int64), 0
+            for ids, sizes in docs_of:
+                n, out = len(ids), [held_out(d) for d in ids.to_pylist()]
+                ends = lo + np.cumsum(sizes)
+                train += np.bincount(numbers[lo:ends[-1]][np.repeat(~np.array(out), sizes)], minlength=len(vocabulary))
                 yield pa.record_batch({
                     "chunk": pa.array([chunk] * n), "_id": ids, "held_out": pa.array(out, pa.bool_()),
-                    "numbers": pa.array([packing.pack(s) for s in seqs], pa.binary()), "number": pa.nulls(n, pa.int32()),
-                    "word": pa.nulls(n, pa.string()), "n_train": pa.nulls(n, pa.int64())})
-            n = len(words)
+                    "numbers": pa.array([packing.pack(x) for x in np.split(numbers[lo:ends[-1]], ends[:-1] - lo)], pa.binary()),
+                    "number": pa.nulls(n, pa.int32()), "word": pa.nulls(n, pa.string()), "n_train": pa.nulls(n, pa.int64())})
+                lo = ends[-1]
+            n = len(vocabulary)
             if n:
                 yield pa.record_batch({
                     "chunk": pa.array([chunk] * n), "_id": pa.nulls(n, docs_of[0][0].type), "held_out": pa.nulls(n, pa.bool_()),
-                    "numbers": pa.nulls(n, pa.binary()), "number": pa.array(range(n), pa.int32()),
-                    "word": pa.array([w.decode("utf-8") for w in words], pa.string()), "n_train": pa.array(train)})
-
-        for batch in batches:
-            lo = 0
-            seqs: list[np.ndarray] = []
-            for i, text in enumerate(batch["_text"].to_pylist()):
-                got = (text or "").encode("utf-8").lower().split()
-                seqs.append(np.fromiter(map(words.__getitem__, got), np.int32, len(got)))
-                size += len(got)
-                if size >= CHUNK_TOKENS or i == batch.num_rows - 1:
-                    ids = batch["_id"].slice(lo, i + 1 - lo)
-                    docs_of.append((ids, [held_out(d) for d in ids.to_pylist()], seqs))
-                    lo, seqs = i + 1, []
-                if size >= CHUNK_TOKENS:
+                    "numbers": pa.nulls(n, pa.binary()), "number": pa.array(np.arange(n, dtype=np.int32)),
+                    "word": vocabulary, "n_train": pa.array(train)})
+
+        for batch in sliced(batches):
+            got, sizes = split_words(batch["_text"])
+            ends, lo = np.concatenate(([0], np.cumsum(sizes))), 0
+            while lo < len(sizes):  # a document that fills the chunk is its last
+                hi = min(int(np.searchsorted(ends[1:], ends[lo] + CHUNK_TOKENS - size)) + 1, len(sizes))
+                words.append(got.slice(ends[lo], ends[hi] - ends[lo]).dictionary_encode())
+                docs_of.append((batch["_id"].slice(lo, hi - lo), sizes[lo:hi]))
+                size += int(ends[hi] - ends[lo])
+                room += words[-1].dictionary.nbytes
+                if size >= CHUNK_TOKENS or room >= CHUNK_BYTES:
                     yield from flush()
-                    words, docs_of, size = _Numbers(), [], 0
+                    words, docs_of, size, room = [], [], 0, 0
+                lo = hi
         if docs_of:
             yield from flush()
+        del words[:]
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return keep(rows.mapInArrow(fold, _CHUNKED.format(kind=kind)), "chunks")
 

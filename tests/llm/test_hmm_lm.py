@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -191,3 +192,45 @@ def test_packed_symbols_come_back():
     for x in ([], [0], [5, 70000, 3], [1, 1 << 40]):
         packing = lm.Packing()
         assert packing.unpack(packing.pack(np.array(x, np.int64))).tolist() == x
+
+
+def test_words_are_split_as_bytes_are():
+    texts = ["A a  b", None, "", " \t\n\x0b\x0c\r ", " É é\x1cx\x85y z ", "\nX y\x00 w\n", "ab" * 9 + " ab"]
+    words, sizes = lm.split_words(lm.pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [*map(len, want)]
+    assert words.to_pylist() == [w.decode() for ws in want for w in ws]
+
+
+def test_counts_hold_where_transitions_are_rare():
+    rng = np.random.default_rng(4)
+    step, emit = np.full((3, 3), 1e-12) + np.eye(3), np.full((3, 3), 1e-11) + np.eye(3)
+    m = lm.Hmm(np.ones(3) / 3, step / step.sum(1, keepdims=True), emit / emit.sum(0))
+    seqs = [rng.integers(0, 3, n) for n in (1, 2, 40, 41, 300, 300)]  # a rare transition or emission at most steps
+    a, total = [], 0.0
+    for s in seqs:
+        p = m.start
+        for t, x in enumerate(s):
+            p = (p @ m.step if t else p) * m.emit[x]
+            total += math.log(p.sum())
+            p = p / p.sum()
+        a.append(p)
+    data = lm.Ragged.of_sequences(seqs)
+    start, step, emit, logs = lm.expected_counts(m, data)
+    tokens = sum(map(len, seqs))
+    assert math.isclose(logs, total, rel_tol=1e-5) and math.isclose(lm.forward(m, data)[0].sum(), total, rel_tol=1e-9)
+    assert math.isclose(start.sum(), len(seqs), rel_tol=1e-5) and math.isclose(emit.sum(), tokens, rel_tol=1e-5)
+    assert math.isclose(step.sum(), tokens - len(seqs), rel_tol=1e-5)
+
+
+def test_a_pass_takes_little_memory_beside_its_room():
+    rng = np.random.default_rng(6)
+    data = lm.Ragged.of_sequences([rng.integers(0, lm.CLASSES, 400) for _ in range(500)])
+    room, m = lm.Room(), lm.Hmm.random()
+    want = lm.expected_counts(m, data, room=room)
+    tracemalloc.start()
+    got = lm.expected_counts(m, data, room=room)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * len(data.symbols)  # a copy of the alphas alone has 64 bytes a token in doubles
+    assert all(np.array_equal(x, y) for x, y in zip(want, got))
